@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boughline.llm.frequent import heavy_candidates, top_values
+from boughline.llm.language import document_languages, mislabelled
 from boughline.llm.visual import consistent_names, look_alikes
 from boughline.sources.tables import table
 
@@ -30,7 +31,25 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("manifest_id", "seq", "name_form", "link_target_form").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_approx_counts, p4_found, p4_forms)}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sorted(r[0] for r in table(spark, sf_dir, "lang_codes").select("lang").distinct().collect())  # the languages of the world at most
+    return document_languages(table(spark, sf_dir, "documents"), codes)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(_languages(spark, sf_dir))
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("doc_id", "given", "lang", F.round("confidence", 4).alias("confidence"), F.size("langs").alias("n_langs"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = _languages(spark, sf_dir).where(F.size("langs") > 1)
+    return mixed.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment_no", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.n_sentences", "s.n_words", "s.text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_approx_counts, p4_found, p4_forms, p9_found, p9_documents, p9_segments)}
 
 SQL = {
     "p3_found": f"""
