@@ -38,19 +38,17 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: Column, amount: Column, out: str, buckets: int = 256) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: Column, amount: Column, out: str, bits: int = 10) -> DataFrame:
     """Adds ``out``: the exclusive running sum of ``amount`` per ``keys`` in the order of the 64-bit integer ``order``.
 
-    No key meets one task: rows are cut into ``buckets`` ranges of ``order``
+    No key meets one task: rows are cut into ``2 ** bits`` ranges of ``order``
     within each key, each range is summed in a window of its own, and the sums
-    of the ranges before it (a table of keys times buckets) are joined in.
-    ``order`` should spread evenly over 64 bits (a hash); equal values of it
-    are ordered by the row's columns named in ``keys`` only, so make it unique
-    where the order matters.
+    of the ranges before it (a table of keys times ranges) are joined in.
+    ``order`` should spread evenly over 64 bits (a hash); make it unique where
+    the order matters. NULL keys are keys of their own.
     """
-    width = (1 << 64) // buckets
     placed = df.withColumn("_order", order).withColumn("_amount", amount.cast("bigint"))
-    placed = placed.withColumn("_bucket", F.floor(F.col("_order").cast("decimal(20,0)") / F.lit(width)).cast("int"))
+    placed = placed.withColumn("_bucket", F.shiftright("_order", 64 - bits))
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
