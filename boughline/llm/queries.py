@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from boughline.llm.frequent import heavy_candidates, top_values
 from boughline.llm.language import document_languages, mislabelled
+from boughline.llm.mixing import Target, curriculum, mix, shares, sized_documents
+from boughline.llm.packing import pack_documents
 from boughline.llm.visual import consistent_names, look_alikes
 from boughline.sources.tables import table
 
@@ -31,6 +33,35 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("manifest_id", "seq", "name_form", "link_target_form").distinct()
 
 
+def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "pack_bins").groupBy("bin_kind").agg(F.max("capacity_tokens").alias("c")).collect()  # a fixed table
+    return pack_documents(table(spark, sf_dir, "documents"), {r["bin_kind"]: r["c"] for r in kinds})
+
+
+def p7_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assignments(spark, sf_dir).select("bin_kind", "container", "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _assignments(spark, sf_dir).groupBy("bin_kind", "container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("bin_kind").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[Target]:
+    rows = table(spark, sf_dir, "mix_targets").where("source IS NOT NULL").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("r")).collect()  # a fixed table
+    return curriculum({r["source"]: (r["w"], r["r"]) for r in rows})
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = sized_documents(table(spark, sf_dir, "documents"))
+    return mix(sized, _targets(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = sized_documents(table(spark, sf_dir, "documents")), _targets(spark, sf_dir)
+    return shares(mix(sized, targets), sized, targets)
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = sorted(r[0] for r in table(spark, sf_dir, "lang_codes").select("lang").distinct().collect())  # the languages of the world at most
     return document_languages(table(spark, sf_dir, "documents"), codes)
@@ -49,7 +80,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment_no", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.n_sentences", "s.n_words", "s.text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_approx_counts, p4_found, p4_forms, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_approx_counts, p4_found, p4_forms, p7_assignments, p7_usage, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
 
 SQL = {
     "p3_found": f"""
