@@ -1,0 +1,127 @@
+"""Sizes, moments and identities rolled up the levels of trees."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from boughline.functions.fields import canonical_line
+from boughline.functions.order import natural_key
+from boughline.operators.common import settle
+from boughline.schema import TREE
+
+
+def roll_up(entries: DataFrame, line: Column | None = None, include_listing: bool = True) -> DataFrame:
+    """Resolves unknown sizes and moments of directories: ``manifest_id, path, size, ts`` of all directories.
+
+    A directory's size is the sum of its children's plus (``include_listing``)
+    the bytes of its own one-level listing, its moment the latest of theirs;
+    any unknown child makes it unknown, an empty directory has size 0 and no
+    moment. Known values stay and still count for the parent.
+
+    Files are summed per directory in one aggregate over all levels; the loop
+    from the deepest level up touches directories alone. ``line`` is the
+    canonical line of an entry (over its columns).
+    """
+    text = canonical_line() if line is None else line
+    length = F.octet_length(text) + 1 if include_listing else F.lit(0)
+    add = lambda df, n: df.groupBy(TREE, "parent_path").agg(
+        F.sum("size").alias("s"), F.sum(n).alias("b"), F.max("ts").alias("t"), F.bool_or(F.col("size").isNull()).alias("no_s"), F.bool_or(F.col("ts").isNull()).alias("no_t")
+    )
+    files = add(entries.where("NOT is_dir"), length)
+    # Neighbouring levels meet in joins on (manifest, directory); only directories go around.
+    dirs = entries.where("is_dir").alias("d").join(files.alias("f"), (F.col("d.manifest_id") == F.col("f.manifest_id")) & (F.col("d.path") == F.col("f.parent_path")), "left")
+    dirs = settle(dirs.select("d.*", F.struct("f.s", "f.b", "f.t", "f.no_s", "f.no_t", F.col("f.manifest_id").isNotNull().alias("any")).alias("own")))
+    levels = sorted((r[0] for r in dirs.select("depth").distinct().collect()), reverse=True)  # as many as the trees are deep
+    done, below = None, None
+    for depth in levels:
+        here = dirs.where(F.col("depth") == depth)
+        if below is None:
+            empty = {"s": "bigint", "b": "bigint", "t": "timestamp_ntz", "no_s": "boolean", "no_t": "boolean"}
+            here = here.withColumn("sub", F.struct(*[F.lit(None).cast(k).alias(c) for c, k in empty.items()], F.lit(False).alias("any")))
+        else:
+            sub = below.select(F.col(TREE).alias("_t"), F.col("parent_path").alias("_p"), F.struct("s", "b", "t", "no_s", "no_t", F.lit(True).alias("any")).alias("sub"))
+            here = here.join(sub, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").drop("_t", "_p")
+        some = F.coalesce("own.any", F.lit(False)) | F.coalesce("sub.any", F.lit(False))
+        unknown = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(False)) | F.coalesce(F.col(f"sub.{c}"), F.lit(False))
+        zero = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(0)) + F.coalesce(F.col(f"sub.{c}"), F.lit(0))
+        size = F.when(~some, 0).when(unknown("no_s"), None).otherwise(zero("s") + zero("b"))
+        ts = F.when(some & ~unknown("no_t"), F.greatest("own.t", "sub.t"))
+        here = here.withColumn("size", F.coalesce("size", size).cast("bigint")).withColumn("ts", F.coalesce("ts", ts)).drop("own", "sub")
+        here = settle(here)
+        done = here if done is None else done.unionByName(here)
+        below = add(here, length)
+    return (dirs if done is None else done).select(TREE, "path", "size", "ts")
+
+
+_LISTED = "manifest_id string, path string, digest binary"
+
+
+def _hash_groups(algorithm: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hasher, out = None, None, []
+        for batch in batches:
+            for tree, parent, line in zip(*(batch.column(c).to_pylist() for c in ("manifest_id", "parent_path", "line")), strict=True):
+                if (tree, parent) != key:
+                    if hasher:
+                        out.append((*key, hasher.digest()))
+                    key, hasher = (tree, parent), hashlib.new(algorithm)
+                hasher.update(line.encode() + b"\n")
+            if len(out) > 50_000:
+                yield _rows(out)
+                out = []
+        if hasher:
+            out.append((*key, hasher.digest()))
+        yield _rows(out)
+
+    return run
+
+
+def _rows(out: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["manifest_id", "path", "digest"])
+
+
+def listing_digests(entries: DataFrame, line: Column, algorithm: str = "sha512") -> DataFrame:
+    """``manifest_id, path, digest``: the hash of each directory's one-level listing ('' is the root).
+
+    Lines are sorted files first, then in natural order, and streamed through a
+    hasher, so a directory of any size takes constant memory.
+    """
+    last = F.when(F.col("is_dir"), 1).otherwise(0)
+    lines = entries.select(TREE, "parent_path", last.alias("_d"), natural_key(F.col("name")).alias("_n"), line.alias("line"))
+    ordered = lines.repartition(TREE, "parent_path").sortWithinPartitions(TREE, "parent_path", "_d", "_n", "line")
+    return ordered.select(TREE, "parent_path", "line").mapInArrow(_hash_groups(algorithm), _LISTED)
+
+
+def tree_digests(entries: DataFrame, line: Column | None = None, algorithm: str = "sha512") -> DataFrame:
+    """Merkle identities ``manifest_id, path, digest`` of all directories and of each root (path '').
+
+    From the deepest level up each directory's listing is hashed and its digest
+    becomes the ``content_id`` of its row; every entry's line is made and
+    hashed once. A directory without entries has the digest of nothing.
+    """
+    text = canonical_line() if line is None else line
+    dirs = settle(entries.where("is_dir"))
+    # The root's listing is level -1: every entry belongs to the directory one level up.
+    levels = sorted((r[0] for r in entries.select("depth").distinct().collect()), reverse=True)
+    known = None
+    empty = F.lit(hashlib.new(algorithm).digest())
+    for depth in levels:
+        files = entries.where(~F.col("is_dir") & (F.col("depth") == depth))
+        here = dirs.where(F.col("depth") == depth)
+        if known is not None:
+            found = known.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), "digest")
+            here = here.join(found, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").withColumn("content_id", F.coalesce("digest", empty)).drop("_t", "_p", "digest")
+        else:
+            here = here.withColumn("content_id", empty)
+        level = settle(listing_digests(files.unionByName(here, allowMissingColumns=True), text, algorithm))
+        known = level if known is None else known.unionByName(level)
+    if known is None:
+        return entries.select(TREE, "path", F.lit(None).cast("binary").alias("digest")).limit(0)
+    childless = dirs.select(TREE, "path").join(known.select(TREE, "path"), [TREE, "path"], "left_anti").withColumn("digest", empty)
+    return known.unionByName(childless)

@@ -14,6 +14,16 @@ from boughline.operators.common import broadcast_up_to, settle
 _PAIRS = 62
 
 
+def except_all_both_ways(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``n``: what EXCEPT ALL leaves of ``a`` (``n`` copies) and of ``b`` (``-n`` copies).
+
+    EXCEPT ALL counts the copies of a row on both sides; one signed count gives
+    both directions, so every row is shuffled once, combined before. NULLs are equal.
+    """
+    signed = a.select(*columns, F.lit(1).alias("_sign")).unionByName(b.select(*columns, F.lit(-1).alias("_sign")))
+    return signed.groupBy(*columns).agg(F.sum("_sign").alias("n")).where("n <> 0")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """Changes from ``old`` to ``new``: ``keys`` and ``change_type`` (added, removed, changed).
 
@@ -25,9 +35,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], compared: lis
     Either side may be empty.
     """
     columns = [*keys, *compared]
-    a, b = old.select(*columns).distinct(), new.select(*columns).distinct()
-    gone = a.exceptAll(b).select(*keys).distinct().withColumn("_old", F.lit(True)).alias("o")
-    come = b.exceptAll(a).select(*keys).distinct().withColumn("_new", F.lit(True)).alias("n")
+    residue = except_all_both_ways(old.select(*columns).distinct(), new.select(*columns).distinct(), columns)
+    gone = residue.where("n > 0").select(*keys).distinct().withColumn("_old", F.lit(True)).alias("o")
+    come = residue.where("n < 0").select(*keys).distinct().withColumn("_new", F.lit(True)).alias("n")
     same_key = reduce(Column.__and__, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
     kind = F.when(F.col("o._old").isNull(), "added").when(F.col("n._new").isNull(), "removed").otherwise("changed")
     return gone.join(come, same_key, "full_outer").select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys], kind.alias("change_type"))

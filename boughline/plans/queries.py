@@ -1,0 +1,696 @@
+"""Queries of the tree operators over the test tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boughline.functions import fields, ids, order
+from boughline.operators import compare, navigate, rollup, sequences, summaries
+from boughline.operators.snapshots import series_order, snapshot_diff
+from boughline.plans import reconcile
+from boughline.plans import sqltext as S
+from boughline.schema import ENTRY, TREE, unique_entries
+from boughline.sources.tables import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL where SQL can express it."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unique_entries(table(spark, sf_dir, "entries"))
+
+
+def _order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_order(table(spark, sf_dir, "manifests"), "volume_id", TREE, "taken_at")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Older and newer entries of all consecutive snapshots, under the newer manifest's id."""
+    entries, o = _entries(spark, sf_dir), _order(spark, sf_dir)
+    newer = o.where("ordinal > 0").select("series", F.col("snapshot").alias("_new"), (F.col("ordinal") - 1).alias("ordinal"))
+    pairs = o.join(newer, ["series", "ordinal"]).select(F.col("snapshot").alias("_old"), "_new")
+    old = entries.join(pairs, F.col(TREE) == F.col("_old")).withColumn(TREE, F.col("_new")).select(*ENTRY.names)
+    new = entries.join(pairs.select("_new"), F.col(TREE) == F.col("_new"), "left_semi").select(*ENTRY.names)
+    return old, new
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    entries, o = _entries(spark, sf_dir), _order(spark, sf_dir)
+    enough = o.where("ordinal = 2").select("series")
+    kept = o.join(enough, "series", "left_semi")
+    return [entries.join(kept.where(F.col("ordinal") == i).select("snapshot", "series"), F.col(TREE) == F.col("snapshot")).withColumn(TREE, F.col("series")).select(*ENTRY.names) for i in range(3)]
+
+
+def _hex(c: str = "content_id") -> F.Column:
+    return F.lower(F.hex(c))
+
+
+def _raw_line() -> F.Column:
+    """The canonical line with hex ids and raw names, which SQL can express too."""
+    return fields.canonical_line(identity=_hex(), name=F.col("name"))
+
+
+# Documented recipes
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, seq, path, parent_path FROM e")
+def entry_paths(spark, d):
+    lines = _entries(spark, d).select(TREE, "seq", "depth", "name")
+    return navigate.build_paths(lines, "seq").select(TREE, "seq", "path", "parent_path")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, row_number() OVER (PARTITION BY manifest_id ORDER BY seq) AS row_no FROM e QUALIFY is_dir")
+def directories_numbered(spark, d):
+    return order.ranked(_entries(spark, d).select(TREE, "seq", "path", "is_dir"), TREE, [F.col("seq")], "row_no").where("is_dir").select(TREE, "path", "row_no")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE ends_with(name, '.exr')")
+def find_extension(spark, d):
+    return _entries(spark, d).where(F.col("name").endswith(".exr")).select(TREE, "path")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e WHERE size > 1000000")
+def large_files(spark, d):
+    return summaries.larger_than(_entries(spark, d), 1_000_000).select(TREE, "path", "size")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {S.moment('ts')} AS ts_text FROM e WHERE ts > TIMESTAMP '2024-06-01'")
+def modified_after(spark, d):
+    return summaries.modified_after(_entries(spark, d), "2024-06-01").select(TREE, "path", fields.moment_text(F.col("ts")).alias("ts_text"))
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT manifest_id, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^./]*)$', 1) ELSE 'none' END AS extension, count(*) AS n_files FROM e WHERE NOT is_dir GROUP BY ALL"
+)
+def count_by_extension(spark, d):
+    return summaries.count_by_extension(_entries(spark, d))
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT manifest_id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS top, CAST(sum(coalesce(size, 0)) AS BIGINT) AS n_bytes FROM e WHERE NOT is_dir GROUP BY ALL"
+)
+def bytes_by_top_directory(spark, d):
+    return summaries.bytes_by_top_directory(_entries(spark, d))
+
+
+_DUPLICATES = "d AS (SELECT manifest_id, content_id, count(*) AS n FROM e WHERE content_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
+
+
+@query(f"WITH {S.ENTRIES}, {_DUPLICATES} SELECT manifest_id, lower(hex(content_id)) AS content_hex, n FROM d")
+def duplicate_content(spark, d):
+    return summaries.duplicate_ids(_entries(spark, d)).select(TREE, _hex().alias("content_hex"), "n")
+
+
+@query(f"WITH {S.ENTRIES}, {_DUPLICATES} SELECT e.manifest_id, e.path, lower(hex(e.content_id)) AS content_hex FROM e JOIN d USING (manifest_id, content_id)")
+def duplicate_rows(spark, d):
+    return summaries.sharing_rows(_entries(spark, d)).select(TREE, "path", _hex().alias("content_hex"))
+
+
+@query(
+    f"WITH {S.ENTRIES}, g AS (SELECT manifest_id, content_id, count(*) AS n, arg_max(size, seq) AS s FROM (SELECT * FROM e WHERE content_id IS NOT NULL AND size IS NOT NULL UNION ALL SELECT * REPLACE (0 AS size) FROM e WHERE false) GROUP BY ALL) "
+    "SELECT manifest_id, CAST(sum(coalesce(s, 0) * (n - 1)) AS BIGINT) AS wasted FROM g GROUP BY ALL"
+)
+def duplicate_wasted(spark, d):
+    return summaries.wasted_bytes(_entries(spark, d).where("size IS NOT NULL"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e WHERE size IS NOT NULL ORDER BY size DESC, manifest_id, path LIMIT 50")
+def top_by_size(spark, d):
+    return summaries.largest(_entries(spark, d), 50).select(TREE, "path", "size")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {S.moment('ts')} AS ts_text FROM e WHERE ts IS NOT NULL ORDER BY ts DESC, manifest_id, path LIMIT 50")
+def top_by_time(spark, d):
+    return summaries.newest(_entries(spark, d), 50).select(TREE, "path", fields.moment_text(F.col("ts")).alias("ts_text"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, left(lower(hex(content_id)), 16) AS short_id FROM e")
+def short_ids(spark, d):
+    return _entries(spark, d).select(TREE, "path", F.substring(_hex(), 1, 16).alias("short_id"))
+
+
+def _units_sql() -> str:
+    cases = []
+    for power, unit in ((4, "T"), (3, "G"), (2, "M"), (1, "K")):
+        tenths = f"((size * 10 + {1024**power // 2}) // {1024**power})"
+        cases.append(f"WHEN size >= {1024**power} THEN CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) || ' {unit}'")
+    return f"CASE {' '.join(cases)} ELSE CAST(size AS VARCHAR) || ' B' END"
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {_units_sql()} AS units, format('{{:,}}', size) AS commas FROM e WHERE size IS NOT NULL")
+def size_texts(spark, d):
+    sized = _entries(spark, d).where("size IS NOT NULL")
+    return sized.select(TREE, "path", fields.size_units(F.col("size")).alias("units"), fields.size_text(F.col("size")).alias("commas"))
+
+
+@query(f"WITH {S.PAIRS} SELECT manifest_id, lower(hex(content_id)) AS content_hex FROM (SELECT manifest_id, content_id FROM b WHERE content_id IS NOT NULL EXCEPT ALL SELECT manifest_id, content_id FROM a WHERE content_id IS NOT NULL)")
+def minus_by_id(spark, d):
+    old, new = _pairs(spark, d)
+    return compare.minus_by_id(new, old).select(TREE, _hex().alias("content_hex"))
+
+
+@query(
+    f"WITH {S.PAIRS} SELECT DISTINCT a.manifest_id, a.name FROM a JOIN b ON a.manifest_id = b.manifest_id AND a.name = b.name AND NOT a.is_dir AND NOT b.is_dir AND a.content_id <> b.content_id"
+)
+def same_name_other_content(spark, d):
+    return compare.same_name_other_content(*_pairs(spark, d))
+
+
+@query(
+    "WITH b AS (SELECT doc_id, sha256(text) AS digest, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS now FROM documents WHERE text IS NOT NULL) "
+    "SELECT doc_id, digest AS stored_hex FROM b WHERE sha256(now) <> digest"
+)
+def verify_content(spark, d):
+    """Stored digests against content of which some was altered: the rows that no longer match."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    blobs = docs.select("doc_id", ids.content_id(F.col("text"), 256).alias("digest"), F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("now"))
+    return blobs.where(ids.content_id(F.col("now"), 256) != F.col("digest")).select("doc_id", _hex("digest").alias("stored_hex"))
+
+
+# Filters and navigation
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE regexp_full_match(name, '[^/]*_[a-f][^/]*\\.[^/][^/][^/]')")
+def glob_filter(spark, d):
+    return navigate.by_glob(_entries(spark, d), "*_[a-f]*.???").select(TREE, "path")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE starts_with(name, 'h')")
+def prefix_filter(spark, d):
+    return navigate.by_prefix(_entries(spark, d), "h").select(TREE, "path")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE depth = 2")
+def depth_filter(spark, d):
+    return navigate.at_depth(_entries(spark, d), 2).select(TREE, "path")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, name, arg_max(path, seq) AS path FROM e GROUP BY ALL")
+def last_by_name(spark, d):
+    return navigate.last_by_name(_entries(spark, d)).select(TREE, "name", "path")
+
+
+@query(f"WITH {S.ENTRIES} SELECT p.manifest_id, p.path, count(*) AS n_children FROM e p JOIN e c ON c.manifest_id = p.manifest_id AND c.parent_path = p.path WHERE p.is_dir GROUP BY ALL")
+def children_count(spark, d):
+    return navigate.children(_entries(spark, d)).groupBy(TREE, "path").agg(F.count(F.lit(1)).alias("n_children"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, count(*) OVER (PARTITION BY manifest_id, parent_path) - 1 AS n_siblings FROM e")
+def sibling_counts(spark, d):
+    return navigate.sibling_counts(_entries(spark, d))
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT x.manifest_id, x.path, length(trim(x.path, '/')) - length(replace(trim(x.path, '/'), '/', '')) - y.depth AS distance, y.path AS ancestor "
+    "FROM e x JOIN e y ON x.manifest_id = y.manifest_id AND y.is_dir AND starts_with(x.path, y.path) AND x.path <> y.path"
+)
+def ancestor_rows(spark, d):
+    return navigate.ancestor_rows(_entries(spark, d))
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT y.manifest_id, y.path, count(x.path) AS n_descendants FROM e y LEFT JOIN e x ON x.manifest_id = y.manifest_id AND starts_with(x.path, y.path) AND x.path <> y.path WHERE y.is_dir GROUP BY ALL"
+)
+def descendant_counts(spark, d):
+    return navigate.descendant_counts(_entries(spark, d))
+
+
+#: The directory that subtree queries work on: the first of all top-level ones.
+_TOP = "(SELECT min(path) FROM e WHERE is_dir AND depth = 0)"
+
+
+def _top(entries: DataFrame) -> str:
+    return entries.where("is_dir AND depth = 0").agg(F.min("path")).head()[0]
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, substr(path, length({_TOP}) + 1) AS path, depth - 1 AS depth FROM e WHERE starts_with(path, {_TOP}) AND path <> {_TOP}")
+def subtree_extract(spark, d):
+    e = _entries(spark, d)
+    return navigate.extract_subtree(e, _top(e)).select(TREE, "path", "depth")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE NOT starts_with(path, {_TOP})")
+def subtree_remove(spark, d):
+    e = _entries(spark, d)
+    return navigate.remove_subtree(e, _top(e)).select(TREE, "path")
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT manifest_id, path, depth FROM e WHERE NOT starts_with(path, {_TOP}) OR path = {_TOP} "
+    f"UNION ALL SELECT manifest_id, {_TOP} || path, depth + 1 FROM e WHERE depth = 0 AND manifest_id IN (SELECT manifest_id FROM e WHERE path = {_TOP})"
+)
+def subtree_inject(spark, d):
+    e = _entries(spark, d)
+    return navigate.inject_subtree(e, _top(e), e.where("depth = 0")).select(TREE, "path", "depth")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, CASE WHEN starts_with(path, {_TOP}) THEN 'moved/here/' || substr(path, length({_TOP}) + 1) ELSE path END AS path, CASE WHEN starts_with(path, {_TOP}) THEN depth + 1 ELSE depth END AS depth FROM e")
+def move_directory(spark, d):
+    e = _entries(spark, d)
+    return navigate.move(e, _top(e), "moved/here/").select(TREE, "path", "depth")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e WHERE path = {_TOP}")
+def resolve_path(spark, d):
+    e = _entries(spark, d)
+    return navigate.resolve(e, _top(e).rstrip("/")).select(TREE, "path", "size")
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT manifest_id, path, concat_ws(',', CASE WHEN {S.mode()} IS NULL THEN 'Mode' END, CASE WHEN {S.moment('ts')} IS NULL THEN 'Timestamp' END, CASE WHEN size IS NULL OR size < 0 THEN 'Size' END) AS unknown FROM e"
+)
+def null_fields(spark, d):
+    c = F.col
+    return _entries(spark, d).select(TREE, "path", fields.null_fields(c("file_type"), c("perm"), c("ts"), c("size")).alias("unknown"))
+
+
+@query(
+    f"WITH {S.ENTRIES} SELECT manifest_id, coalesce(file_type, '?') AS kind, count(*) AS n, count(*) FILTER (WHERE coalesce(file_type = 'd', false) OR ends_with(name, '/')) AS n_dirs, count(*) FILTER (WHERE flow_op IS NOT NULL) AS n_flows, count(*) FILTER (WHERE is_sequence) AS n_sequences FROM e GROUP BY ALL"
+)
+def entry_kinds(spark, d):
+    e = _entries(spark, d)
+    return e.groupBy(TREE, F.coalesce("file_type", F.lit("?")).alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(fields.is_directory(F.col("file_type"), F.col("name"))).alias("n_dirs"), F.count_if(F.col("flow_op").isNotNull()).alias("n_flows"), F.count_if("is_sequence").alias("n_sequences")
+    )
+
+
+# Differences, patches, merges
+
+
+_EQUAL = f"CASE WHEN x.content_id IS NOT NULL AND y.content_id IS NOT NULL THEN {S.same(['file_type', 'perm'], 'x', 'y')} AND x.content_id = y.content_id ELSE {S.same(['file_type', 'perm', 'size', 'ts', 'link_target'], 'x', 'y')} END"
+_KIND = f"CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'removed' WHEN {_EQUAL} THEN 'same' ELSE 'modified' END"
+
+
+@query(
+    f"WITH {S.PAIRS}, x AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY manifest_id, name ORDER BY seq DESC) = 1), y AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY manifest_id, name ORDER BY seq DESC) = 1) "
+    f"SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, coalesce(x.name, y.name) AS key, {_KIND} AS change_type FROM x FULL JOIN y ON x.manifest_id = y.manifest_id AND x.name = y.name"
+)
+def flat_diff(spark, d):
+    return compare.flat_diff(*_pairs(spark, d)).select(TREE, "key", "change_type")
+
+
+@query(
+    f"WITH {S.PAIRS}, k AS (SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, {_KIND} AS change_type FROM a x FULL JOIN b y ON x.manifest_id = y.manifest_id AND x.path = y.path) "
+    "SELECT manifest_id, change_type, count(*) AS n FROM k GROUP BY ALL"
+)
+def diff_stats(spark, d):
+    return compare.flat_diff(*_pairs(spark, d), key="path").groupBy(TREE, "change_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DELTA = f"""{S.PAIRS},
+j AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, coalesce(a.path, b.path) AS path,
+      CASE WHEN a.path IS NULL THEN 'add' WHEN b.path IS NULL THEN 'remove' WHEN NOT {S.same(S.IDENTITY)} THEN 'replace' END AS op
+      FROM a FULL JOIN b ON a.manifest_id = b.manifest_id AND a.path = b.path),
+g AS (SELECT * FROM j WHERE op = 'remove'),
+c AS (SELECT * FROM j WHERE op IN ('add', 'replace') UNION ALL
+      SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g t WHERE t.manifest_id = g.manifest_id AND ends_with(t.path, '/') AND starts_with(g.path, t.path) AND t.path <> g.path))"""
+
+
+@query(
+    f"WITH {_DELTA} SELECT * FROM c UNION ALL SELECT manifest_id, path, 'touch' FROM j WHERE op IS NULL AND ends_with(path, '/') "
+    "AND EXISTS (SELECT 1 FROM c WHERE c.manifest_id = j.manifest_id AND starts_with(c.path, j.path))"
+)
+def patch_rows(spark, d):
+    return compare.tree_diff(*_pairs(spark, d)).select(TREE, "path", "op")
+
+
+@query(f"WITH {S.PAIRS} SELECT manifest_id, path, size, lower(hex(content_id)) AS content_hex FROM b")
+def apply_patch(spark, d):
+    """The delta of each pair of snapshots applied to the older one gives the newer."""
+    old, new = _pairs(spark, d)
+    return compare.apply_delta(old, compare.tree_diff(old, new, touch_parents=False)).select(TREE, "path", "size", _hex().alias("content_hex"))
+
+
+@query(
+    f"""WITH {S.PAIRS},
+    h AS (SELECT b.manifest_id, b.path FROM a JOIN b ON a.manifest_id = b.manifest_id AND a.path = b.path AND {S.same(S.IDENTITY)}),
+    u AS (SELECT manifest_id, path FROM a UNION SELECT manifest_id, path FROM b)
+    SELECT manifest_id, path FROM u WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.manifest_id = u.manifest_id AND (h.path = u.path OR (ends_with(h.path, '/') AND starts_with(u.path, h.path))))"""
+)
+def toggle_patch(spark, d):
+    return compare.toggle_patch(*_pairs(spark, d)).select(TREE, "path")
+
+
+@query(f"WITH {S.PAIRS}, c AS (SELECT manifest_id, path, content_id, ts, size FROM a), n AS (SELECT manifest_id, path, content_id, ts, size FROM b), ca AS (SELECT * FROM c EXCEPT ALL SELECT * FROM n), cb AS (SELECT * FROM n EXCEPT ALL SELECT * FROM c) SELECT coalesce(ca.manifest_id, cb.manifest_id) AS manifest_id, coalesce(ca.path, cb.path) AS path, CASE WHEN ca.path IS NULL THEN 'added' WHEN cb.path IS NULL THEN 'removed' ELSE 'changed' END AS change_type FROM ca FULL JOIN cb ON ca.manifest_id = cb.manifest_id AND ca.path = cb.path")
+def snapshot_changes(spark, d):
+    old, new = _pairs(spark, d)
+    return snapshot_diff(old, new, [TREE, "path"], ["content_id", "ts", "size"])
+
+
+def _merge_equal_sql(x: str, y: str) -> str:
+    link = lambda t: f"coalesce({t}.file_type = 'l', false)"
+    return (
+        f"(CASE WHEN {x}.is_dir <> {y}.is_dir THEN false WHEN {x}.is_dir THEN {S.same(['flow_op', 'flow_target'], x, y)} "
+        f"WHEN {link(x)} OR {link(y)} THEN {link(x)} = {link(y)} AND {x}.link_target IS NOT DISTINCT FROM {y}.link_target ELSE {x}.content_id IS NOT DISTINCT FROM {y}.content_id END)"
+    )
+
+
+_BL, _BR, _LR = _merge_equal_sql("t0", "t1"), _merge_equal_sql("t0", "t2"), _merge_equal_sql("t1", "t2")
+_MERGE = f"""{S.TRIPLES},
+k AS (SELECT manifest_id, path FROM t0 UNION SELECT manifest_id, path FROM t1 UNION SELECT manifest_id, path FROM t2),
+m AS (SELECT k.manifest_id, k.path, t0.content_id AS c0, t1.content_id AS c1, t2.content_id AS c2, t1.path IS NOT NULL AS hl, t2.path IS NOT NULL AS hr,
+  coalesce(t2.ts, TIMESTAMP '1970-01-01') > coalesce(t1.ts, TIMESTAMP '1970-01-01') AS newer,
+  CASE WHEN t0.path IS NULL AND t2.path IS NULL THEN 'local' WHEN t0.path IS NULL AND t1.path IS NULL THEN 'remote'
+    WHEN t0.path IS NULL THEN CASE WHEN {_LR} THEN 'local' ELSE 'conflict' END
+    WHEN t1.path IS NOT NULL AND t2.path IS NOT NULL THEN CASE WHEN {_BL} AND {_BR} THEN 'base' WHEN {_BR} THEN 'local' WHEN {_BL} THEN 'remote' WHEN {_LR} THEN 'local' ELSE 'conflict' END
+    WHEN t1.path IS NOT NULL THEN CASE WHEN {_BL} THEN 'delete' ELSE 'conflict' END
+    WHEN t2.path IS NOT NULL THEN CASE WHEN {_BR} THEN 'delete' ELSE 'conflict' END ELSE 'delete' END AS decision
+  FROM k LEFT JOIN t0 USING (manifest_id, path) LEFT JOIN t1 USING (manifest_id, path) LEFT JOIN t2 USING (manifest_id, path)),
+w AS (SELECT *, CASE WHEN decision <> 'conflict' THEN decision WHEN NOT hl THEN 'remote' WHEN NOT hr THEN 'local' WHEN newer THEN 'remote' ELSE 'local' END AS winner,
+  CASE WHEN ends_with(path, '/') THEN regexp_replace(path, '/$', '') || '.conflict/' ELSE path || '.conflict' END AS beside FROM m),
+r AS (SELECT manifest_id, path, CASE winner WHEN 'base' THEN c0 WHEN 'local' THEN c1 ELSE c2 END AS content_id FROM w WHERE winner <> 'delete'),
+l AS (SELECT manifest_id, beside AS path, CASE winner WHEN 'local' THEN c2 ELSE c1 END AS content_id FROM w WHERE decision = 'conflict' AND hl AND hr),
+f AS (SELECT * FROM r UNION ALL SELECT * FROM l WHERE (manifest_id, path) NOT IN (SELECT manifest_id, path FROM r))"""
+
+
+@query(
+    f"""WITH {_MERGE}, q AS (SELECT manifest_id, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/' AS path
+      FROM (SELECT manifest_id, path, unnest(range(1, CAST(length(trim(path, '/')) - length(replace(trim(path, '/'), '/', '')) + 1 AS BIGINT))) AS i FROM f))
+    SELECT manifest_id, path, lower(hex(content_id)) AS content_hex FROM f
+    UNION ALL SELECT DISTINCT manifest_id, path, NULL FROM q WHERE (manifest_id, path) NOT IN (SELECT manifest_id, path FROM f)"""
+)
+def merge_trees(spark, d):
+    return compare.merge_trees(*_triples(spark, d))[0].select(TREE, "path", _hex().alias("content_hex"))
+
+
+@query(f"WITH {_MERGE} SELECT manifest_id, path, winner, CASE WHEN hl AND hr THEN beside END AS loser_path FROM w WHERE decision = 'conflict'")
+def merge_conflicts(spark, d):
+    return compare.merge_trees(*_triples(spark, d))[1]
+
+
+@query(
+    f"WITH {S.TRIPLES}, u AS (SELECT manifest_id, path FROM t1 UNION SELECT manifest_id, path FROM t2) SELECT manifest_id, path FROM u "
+    f"UNION SELECT t1.manifest_id, t1.path || '.conflict' FROM t1 JOIN t2 USING (manifest_id, path) WHERE NOT t1.is_dir AND NOT {_LR} "
+    f"UNION SELECT t1.manifest_id, regexp_replace(t1.path, '/$', '') || '.conflict/' FROM t1 JOIN t2 USING (manifest_id, path) WHERE t1.is_dir AND NOT {_LR}"
+)
+def union_trees(spark, d):
+    _, local, remote = _triples(spark, d)
+    return compare.merge_trees(local.limit(0), local, remote)[0].select(TREE, "path")
+
+
+_CLOSED = """q AS (SELECT manifest_id, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/' AS path
+  FROM (SELECT manifest_id, path, unnest(range(1, CAST(length(path) - length(replace(path, '/', '')) + 1 AS BIGINT))) AS i FROM f))
+SELECT manifest_id, path FROM f UNION SELECT manifest_id, path FROM q"""
+
+
+@query(f"WITH {S.PAIRS}, f AS (SELECT manifest_id, path FROM b WHERE NOT is_dir AND (manifest_id, content_id) IN (SELECT manifest_id, content_id FROM a WHERE NOT is_dir AND content_id IS NOT NULL)), {_CLOSED}")
+def intersect_by_id(spark, d):
+    return compare.intersect_by_id(*_pairs(spark, d)).select(TREE, "path")
+
+
+@query(f"WITH {S.PAIRS}, f AS (SELECT manifest_id, path FROM b WHERE NOT is_dir AND (manifest_id, path) IN (SELECT manifest_id, path FROM a WHERE NOT is_dir)), {_CLOSED}")
+def intersect_by_path(spark, d):
+    return compare.intersect_by_path(*_pairs(spark, d)).select(TREE, "path")
+
+
+@query(
+    f"""WITH {S.PAIRS}, x AS (SELECT * FROM a WHERE NOT is_dir), y AS (SELECT * FROM b WHERE NOT is_dir),
+    k AS (SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'removed' WHEN x.content_id IS NOT DISTINCT FROM y.content_id THEN 'unchanged' ELSE 'modified' END AS change_type,
+      coalesce(y.size, x.size, 0) AS size FROM x FULL JOIN y ON x.manifest_id = y.manifest_id AND x.path = y.path)
+    SELECT manifest_id, change_type, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM k GROUP BY ALL"""
+)
+def explain_diff(spark, d):
+    return compare.explain_diff(*_pairs(spark, d))
+
+
+@query(
+    f"""WITH {S.PAIRS}, k AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, a.path AS ap, b.path AS bp, a.content_id AS ac, b.content_id AS bc FROM a FULL JOIN b ON a.manifest_id = b.manifest_id AND a.path = b.path)
+    SELECT manifest_id, count(*) FILTER (WHERE ap IS NULL) AS n_added, count(*) FILTER (WHERE bp IS NULL) AS n_removed, count(*) FILTER (WHERE ap IS NOT NULL AND bp IS NOT NULL AND ac IS DISTINCT FROM bc) AS n_modified FROM k GROUP BY ALL"""
+)
+def change_log(spark, d):
+    return compare.id_changes(*_pairs(spark, d))
+
+
+_PLAN = f"""{S.PAIRS},
+j AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, coalesce(a.path, b.path) AS path, b.path IS NOT NULL AS have, a.path IS NOT NULL AS had, coalesce(b.is_dir, a.is_dir) AS dir,
+  b.content_id AS tid, a.content_id AS cid, coalesce(b.file_type = 'l', false) AS tl, coalesce(a.file_type = 'l', false) AS cl, b.link_target AS tt, a.link_target AS ct, b.perm AS tp, a.perm AS cp, b.ts AS tts, a.ts AS cts
+  FROM a FULL JOIN b ON a.manifest_id = b.manifest_id AND a.path = b.path),
+x AS (SELECT *, 'mkdir' AS op FROM j WHERE have AND NOT had AND dir
+  UNION ALL SELECT *, 'create' FROM j WHERE have AND NOT tl AND NOT dir AND (NOT had OR tid IS DISTINCT FROM cid OR tl <> cl)
+  UNION ALL SELECT *, 'symlink' FROM j WHERE have AND tl AND (NOT had OR NOT cl OR tt IS DISTINCT FROM ct)
+  UNION ALL SELECT *, 'chmod' FROM j WHERE have AND had AND tp IS NOT NULL AND tp IS DISTINCT FROM cp
+  UNION ALL SELECT *, 'chtimes' FROM j WHERE have AND had AND tts IS NOT NULL AND tts IS DISTINCT FROM cts
+  UNION ALL SELECT *, 'remove' FROM j WHERE NOT have AND NOT dir
+  UNION ALL SELECT *, 'rmdir' FROM j WHERE NOT have AND dir),
+mk AS (SELECT manifest_id, path, tid AS id, row_number() OVER (PARTITION BY manifest_id, tid ORDER BY path) AS n FROM x WHERE op = 'create' AND NOT had AND tid IS NOT NULL),
+rm AS (SELECT manifest_id, path, cid AS id, row_number() OVER (PARTITION BY manifest_id, cid ORDER BY path) AS n FROM x WHERE op = 'remove' AND cid IS NOT NULL),
+mv AS (SELECT mk.manifest_id, mk.path, rm.path AS src FROM mk JOIN rm USING (manifest_id, id, n))"""
+
+
+@query(
+    f"""WITH {_PLAN} SELECT manifest_id, op, path, NULL AS src_path FROM x
+    WHERE NOT (op = 'create' AND (manifest_id, path) IN (SELECT manifest_id, path FROM mv)) AND NOT (op = 'remove' AND (manifest_id, path) IN (SELECT manifest_id, src FROM mv))
+    UNION ALL SELECT manifest_id, 'move', path, src FROM mv"""
+)
+def plan_operations(spark, d):
+    old, new = _pairs(spark, d)
+    return reconcile.plan_operations(new, old).select(TREE, "op", "path", "src_path")
+
+
+@query(f"WITH {S.PAIRS} SELECT DISTINCT manifest_id, lower(hex(content_id)) AS content_hex FROM b WHERE NOT is_dir AND content_id IS NOT NULL AND (manifest_id, content_id) NOT IN (SELECT manifest_id, content_id FROM a WHERE NOT is_dir AND content_id IS NOT NULL)")
+def plan_missing(spark, d):
+    old, new = _pairs(spark, d)
+    return reconcile.missing_content(new, old).select(TREE, _hex().alias("content_hex"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, lower(hex(content_id)) AS content_hex, min(path) AS path, count(*) AS n_paths FROM e WHERE NOT is_dir AND content_id IS NOT NULL GROUP BY manifest_id, content_id")
+def availability(spark, d):
+    return reconcile.availability(_entries(spark, d)).select(TREE, _hex().alias("content_hex"), "path", "n_paths")
+
+
+# Roll-ups and identities
+
+_LEVELS = 12
+
+
+def _rollup_sql() -> str:
+    agg = "sum(size) AS s, sum(b) AS b, max(ts) AS t, bool_or(size IS NULL) AS ns, bool_or(ts IS NULL) AS nt"
+    out = [
+        S.ENTRIES,
+        f"fs AS (SELECT manifest_id, parent_path, {agg} FROM (SELECT *, strlen({S.line()}) + 1 AS b FROM e WHERE NOT is_dir) GROUP BY ALL)",
+        "l12 AS (SELECT manifest_id, parent_path, 0::HUGEINT AS s, 0::HUGEINT AS b, NULL::TIMESTAMP AS t, false AS ns, false AS nt FROM e WHERE false)",
+    ]
+    for n in reversed(range(_LEVELS)):
+        any_ = "(f.manifest_id IS NOT NULL OR g.manifest_id IS NOT NULL)"
+        size = f"CASE WHEN NOT {any_} THEN 0 WHEN coalesce(f.ns, false) OR coalesce(g.ns, false) THEN NULL ELSE coalesce(f.s, 0) + coalesce(g.s, 0) + coalesce(f.b, 0) + coalesce(g.b, 0) END"
+        ts = f"CASE WHEN {any_} AND NOT (coalesce(f.nt, false) OR coalesce(g.nt, false)) THEN greatest(f.t, g.t) END"
+        out.append(f"d{n} AS (SELECT d.* REPLACE (CAST({size} AS BIGINT) AS size, {ts} AS ts) FROM e d LEFT JOIN fs f ON d.manifest_id = f.manifest_id AND d.path = f.parent_path LEFT JOIN l{n + 1} g ON d.manifest_id = g.manifest_id AND d.path = g.parent_path WHERE d.is_dir AND d.depth = {n})")
+        out.append(f"l{n} AS (SELECT manifest_id, parent_path, {agg} FROM (SELECT *, strlen({S.line()}) + 1 AS b FROM d{n}) GROUP BY ALL)")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT manifest_id, path, size, {S.moment('ts')} AS ts_text FROM d{n}" for n in range(_LEVELS))
+
+
+@query(_rollup_sql())
+def rollup_sizes(spark, d):
+    """Sizes and moments of all directories from their files, as if no directory knew its own."""
+    blank = lambda c: F.when(~F.col("is_dir"), F.col(c))
+    e = _entries(spark, d).withColumn("size", blank("size")).withColumn("ts", blank("ts"))
+    return rollup.roll_up(e, _raw_line()).select(TREE, "path", "size", fields.moment_text(F.col("ts")).alias("ts_text"))
+
+
+def _merkle_sql() -> str:
+    out = [S.ENTRIES, "h12 AS (SELECT manifest_id, parent_path, '' AS h FROM e WHERE false)"]
+    for n in reversed(range(_LEVELS)):
+        own = "CASE WHEN x.is_dir THEN coalesce(g.h, sha256('')) ELSE lower(hex(x.content_id)) END"
+        out.append(
+            f"h{n} AS (SELECT x.manifest_id, x.parent_path, sha256(string_agg({S.line('x.', own)} || chr(10), '' ORDER BY CASE WHEN x.is_dir THEN 1 ELSE 0 END, {S.natural('x.name')}, x.name)) AS h "
+            f"FROM e x LEFT JOIN h{n + 1} g ON x.is_dir AND x.manifest_id = g.manifest_id AND x.path = g.parent_path WHERE x.depth = {n} GROUP BY x.manifest_id, x.parent_path)"
+        )
+    listed = " UNION ALL ".join(f"SELECT manifest_id, parent_path AS path, h AS digest_hex FROM h{n}" for n in range(_LEVELS))
+    return "WITH " + ", ".join(out) + f", a AS ({listed}) SELECT * FROM a UNION ALL SELECT manifest_id, path, sha256('') FROM e WHERE is_dir AND (manifest_id, path) NOT IN (SELECT manifest_id, path FROM a)"
+
+
+@query(_merkle_sql())
+def merkle_digests(spark, d):
+    return rollup.tree_digests(_entries(spark, d), _raw_line(), "sha256").select(TREE, "path", _hex("digest").alias("digest_hex"))
+
+
+@query()
+def merkle_roots(spark, d):
+    """Production identities of whole manifests: 512-bit digests of safe names and base-58 ids."""
+    roots = rollup.tree_digests(_entries(spark, d)).where("path = ''")
+    return roots.select(TREE, ids.id_text(F.col("digest")).alias("root_id"))
+
+
+def _root_sql() -> str:
+    out = [S.ENTRIES, "r0 AS MATERIALIZED (SELECT manifest_id AS g, d, row_number() OVER (PARTITION BY manifest_id ORDER BY d) - 1 AS p FROM (SELECT DISTINCT manifest_id, content_id AS d FROM e WHERE content_id IS NOT NULL))"]
+    for n in range(24):
+        out.append(f"r{n + 1} AS MATERIALIZED (SELECT x.g, CASE WHEN y.d IS NULL THEN x.d ELSE unhex(sha256(least(x.d, y.d) || greatest(x.d, y.d))) END AS d, x.p // 2 AS p FROM r{n} x LEFT JOIN r{n} y ON x.g = y.g AND y.p = x.p + 1 WHERE x.p % 2 = 0)")
+    return "WITH " + ", ".join(out) + " SELECT g AS manifest_id, lower(hex(d)) AS root_hex FROM r24"
+
+
+@query(_root_sql())
+def id_list_roots(spark, d):
+    return ids.id_list_root(_entries(spark, d), TREE, "content_id", 256).select(TREE, _hex("root").alias("root_hex"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, count(*) FILTER (WHERE NOT is_dir) AS n_files, count(*) FILTER (WHERE is_dir) AS n_dirs, CAST(sum(greatest(coalesce(size, 0), 0)) AS BIGINT) AS total_size FROM e GROUP BY ALL")
+def manifest_stats(spark, d):
+    return summaries.manifest_stats(_entries(spark, d))
+
+
+@query(
+    f"""WITH {S.ENTRIES} SELECT manifest_id, count(*) AS n_entries, count(*) FILTER (WHERE file_type = 'l') AS n_links, count(*) FILTER (WHERE perm IS NULL) AS n_no_mode, count(*) FILTER (WHERE ts IS NULL) AS n_no_ts,
+    count(*) FILTER (WHERE size IS NULL) AS n_no_size, count(content_id) AS n_ids, {S.moment('min(ts)')} AS first_ts, {S.moment('max(ts)')} AS last_ts, max(depth) AS max_depth, max(size) AS max_size, CAST(max(length(name)) AS INTEGER) AS name_width FROM e GROUP BY manifest_id"""
+)
+def field_stats(spark, d):
+    text = fields.moment_text
+    return summaries.field_stats(_entries(spark, d)).withColumn("first_ts", text(F.col("first_ts"))).withColumn("last_ts", text(F.col("last_ts")))
+
+
+@query(
+    f"""WITH {S.ENTRIES} SELECT manifest_id, greatest(80, CAST(ceil((37 + max(length(format('{{:,}}', coalesce(size, 0)))) + max(depth * 2 + length(name) + coalesce(length(link_target) + 4, 0)) + 10) / 10.0) * 10 AS BIGINT)) AS id_column FROM e GROUP BY manifest_id"""
+)
+def id_column(spark, d):
+    return summaries.id_width(_entries(spark, d))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, coalesce({S.mode()}, '-') AS mode, count(*) AS n FROM e GROUP BY ALL")
+def mode_counts(spark, d):
+    return summaries.mode_counts(_entries(spark, d))
+
+
+@query(f"WITH {S.ENTRIES}, m AS (SELECT DISTINCT {S.mode()} AS mode, file_type, perm FROM e WHERE file_type IS NOT NULL AND perm > 0) SELECT mode, file_type, perm FROM m")
+def mode_round_trip(spark, d):
+    modes = _entries(spark, d).where("file_type IS NOT NULL AND perm > 0").select(fields.mode_text(F.col("file_type"), F.col("perm")).alias("mode")).distinct()
+    kind, perm = fields.parse_mode(F.col("mode"))
+    return modes.select("mode", kind.alias("file_type"), perm.alias("perm"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {S.line()} AS line FROM e")
+def canonical_lines(spark, d):
+    return _entries(spark, d).select(TREE, "path", _raw_line().alias("line"))
+
+
+@query()
+def canonical_text(spark, d):
+    """Manifests as text in canonical order, the way a writer emits them."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), fields.canonical_line())
+    placed = order.ranked(_entries(spark, d), TREE, [order.path_key(F.col("path"))], "line_no")
+    return placed.select(TREE, "line_no", line.alias("line"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS place FROM e")
+def canonical_order(spark, d):
+    key = [order.path_key(F.col("path")), F.col("path")]
+    return order.ranked(_entries(spark, d).select(TREE, "path"), TREE, key, "place").select(TREE, "path", "place")
+
+
+@query("WITH n AS (SELECT DISTINCT name FROM entries) SELECT name, row_number() OVER (ORDER BY " + S.natural("name") + ", name) AS place FROM n")
+def natural_order(spark, d):
+    names = table(spark, d, "entries").select("name").distinct().withColumn("g", F.lit(1))
+    return order.ranked(names, "g", [order.natural_key(F.col("name")), F.col("name")], "place").select("name", "place")
+
+
+@query(
+    f"""WITH {S.ENTRIES}, n AS (SELECT manifest_id, parent_path, regexp_extract(name, '^([^0-9]*)([0-9]+)(.*)$', 1) AS prefix, regexp_extract(name, '^([^0-9]*)([0-9]+)(.*)$', 3) AS suffix, regexp_extract(name, '^([^0-9]*)([0-9]+)(.*)$', 2) AS digits,
+      coalesce(file_type = 'l', false) AS link, size, ts, perm, content_id FROM e WHERE NOT is_dir AND regexp_matches(name, '[0-9]')),
+    f AS (SELECT *, length(digits) AS width, CAST(digits AS BIGINT) AS frame FROM n),
+    i AS (SELECT *, frame - row_number() OVER (PARTITION BY manifest_id, parent_path, prefix, suffix, width, link ORDER BY frame) AS island FROM f),
+    g AS (SELECT manifest_id, parent_path, prefix, suffix, width, link, count(*) AS n_frames, CASE WHEN count(size) = count(*) THEN CAST(sum(size) AS BIGINT) END AS size, min(perm) AS perm, min(frame) AS a, max(frame) AS z, count(content_id) AS k FROM i GROUP BY manifest_id, parent_path, prefix, suffix, width, link, island)
+    SELECT manifest_id, parent_path, prefix || '[' || CASE WHEN length(CAST(a AS VARCHAR)) < width THEN lpad(CAST(a AS VARCHAR), CAST(width AS INTEGER), '0') ELSE CAST(a AS VARCHAR) END || '-' || CASE WHEN length(CAST(z AS VARCHAR)) < width THEN lpad(CAST(z AS VARCHAR), CAST(width AS INTEGER), '0') ELSE CAST(z AS VARCHAR) END || ']' || suffix AS name, n_frames, size, perm
+    FROM g WHERE n_frames >= 3 AND (link OR k = n_frames)"""
+)
+def sequence_fold(spark, d):
+    return sequences.fold_sequences(_entries(spark, d)).select(TREE, "parent_path", "name", "n_frames", "size", "perm")
+
+
+@query(
+    f"""WITH {S.ENTRIES}, s AS (SELECT *, regexp_extract(name, '^(.*?)\\[([0-9]+)-([0-9]+)\\](.*)$', 1) AS prefix, regexp_extract(name, '^(.*?)\\[([0-9]+)-([0-9]+)\\](.*)$', 2) AS a, regexp_extract(name, '^(.*?)\\[([0-9]+)-([0-9]+)\\](.*)$', 3) AS z, regexp_extract(name, '^(.*?)\\[([0-9]+)-([0-9]+)\\](.*)$', 4) AS suffix FROM e WHERE regexp_matches(name, '\\[[0-9]+-[0-9]+\\]')),
+    x AS (SELECT *, unnest(range(CAST(a AS BIGINT), CAST(z AS BIGINT) + 1)) AS frame FROM s)
+    SELECT manifest_id, path, frame - CAST(a AS BIGINT) + 1 AS frame_no, frame, coalesce(parent_path, '') || prefix || CASE WHEN length(CAST(frame AS VARCHAR)) < length(a) THEN lpad(CAST(frame AS VARCHAR), CAST(length(a) AS INTEGER), '0') ELSE CAST(frame AS VARCHAR) END || suffix AS member FROM x"""
+)
+def sequence_expand(spark, d):
+    return sequences.expand_sequences(_entries(spark, d))
+
+
+@query(
+    f"WITH {S.ENTRIES}, f AS (SELECT manifest_id, parent_path, count(DISTINCT CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT)) AS n_frames FROM e WHERE NOT is_dir AND regexp_matches(name, '[0-9]') GROUP BY ALL) SELECT manifest_id, parent_path, n_frames FROM f"
+)
+def frame_counts(spark, d):
+    """Frames of each directory as normal ranges, counted back from the ranges."""
+    files = _entries(spark, d).where(~F.col("is_dir") & F.col("name").rlike("[0-9]"))
+    number = F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint")
+    one = F.struct(number.alias("first"), number.alias("last"), F.lit(1).cast("bigint").alias("step"))
+    lists = files.groupBy(TREE, "parent_path").agg(F.collect_set(one).alias("r"))
+    return lists.select(TREE, "parent_path", sequences.frame_count(sequences.normalize_ranges(F.col("r"))).alias("n_frames"))
+
+
+@query(
+    f"""WITH {S.ENTRIES}, c AS (SELECT manifest_id, path, regexp_replace(coalesce(name, ''), '/$', '') AS core FROM e)
+    SELECT manifest_id, path, 'name' AS issue FROM c WHERE core IN ('', '.', '..') OR contains(core, '/') OR contains(core, chr(92)) UNION SELECT manifest_id, path, 'duplicate' FROM e GROUP BY ALL HAVING count(*) > 1"""
+)
+def structural_issues(spark, d):
+    return summaries.structural_issues(_entries(spark, d))
+
+
+@query(
+    f"""WITH {S.ENTRIES}, w AS (SELECT manifest_id, seq, is_dir, depth - coalesce(lag(depth) OVER (PARTITION BY manifest_id ORDER BY seq), -1) AS jump,
+      coalesce(bool_or(is_dir) OVER (PARTITION BY manifest_id, parent_path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM e)
+    SELECT manifest_id, seq, 'depth jump' AS issue FROM w WHERE jump > 1 UNION ALL SELECT manifest_id, seq, 'file after directory' FROM w WHERE NOT is_dir AND late"""
+)
+def order_issues(spark, d):
+    return summaries.order_issues(_entries(spark, d))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT trim(link_target) AS path FROM entries WHERE link_target IS NOT NULL AND trim(link_target) <> ''),
+    q AS (SELECT array_to_string(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, i), '/') || '/' AS path
+      FROM (SELECT path, unnest(range(1, CAST(len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS BIGINT))) AS i FROM t))
+    SELECT path FROM t UNION SELECT path FROM q"""
+)
+def path_closure(spark, d):
+    return navigate.paths_to_entries(table(spark, d, "entries"), "link_target").select("path")
+
+
+@query("SELECT DISTINCT sha256(text) AS digest_hex, strlen(text) AS n_bytes FROM documents WHERE text IS NOT NULL")
+def store_blobs(spark, d):
+    """Content stored once per digest."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select(F.sha2("text", 256).alias("digest_hex"), F.octet_length("text").cast("bigint").alias("n_bytes")).dropDuplicates(["digest_hex"])
+
+
+@query("WITH i AS (SELECT DISTINCT content_id AS c FROM entries WHERE content_id IS NOT NULL), p AS (SELECT c, lag(c) OVER (ORDER BY c) AS b FROM i) SELECT lower(hex(c)) AS id_hex, CASE WHEN b IS NOT NULL THEN sha256(b || c) END AS sum_hex FROM p")
+def pair_sums(spark, d):
+    """Each id summed with the one before it in id order."""
+    distinct = table(spark, d, "entries").where("content_id IS NOT NULL").select("content_id").distinct().withColumn("g", F.lit(1))
+    placed = order.ranked(distinct, "g", [F.col("content_id")], "n").select("content_id", "n")
+    before = placed.select(F.col("content_id").alias("b"), (F.col("n") + 1).alias("n"))
+    joined = placed.join(before, "n", "left")
+    return joined.select(_hex().alias("id_hex"), _hex_of(ids.pair_sum(F.col("b"), F.col("content_id"), 256)).alias("sum_hex"))
+
+
+def _hex_of(c: F.Column) -> F.Column:
+    return F.lower(F.hex(c))
+
+
+@query("SELECT DISTINCT lower(hex(content_id)) AS id_hex, true AS same FROM entries WHERE content_id IS NOT NULL")
+def id_texts(spark, d):
+    """Ids rendered in base 58 and parsed back."""
+    distinct = table(spark, d, "entries").where("content_id IS NOT NULL").select("content_id").distinct().withColumn("text", ids.id_text(F.col("content_id")))
+    return distinct.select(_hex().alias("id_hex"), (ids.is_id(F.col("text")) & (ids.parse_id(F.col("text")) == F.col("content_id"))).alias("same"))
+
+
+@query("SELECT DISTINCT name, true AS same FROM entries WHERE name IS NOT NULL")
+def safe_names(spark, d):
+    """Names in safe encoding and decoded back."""
+    names = table(spark, d, "entries").where("name IS NOT NULL").select("name").distinct()
+    return names.select("name", (fields.unsafe_name(fields.safe_name(F.col("name"))) == F.col("name").cast("binary")).alias("same"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, flow_op, flow_target, regexp_matches(flow_target, '^[a-zA-Z][a-zA-Z0-9_-]*:') AS labelled, count(*) AS n FROM e WHERE flow_op IS NOT NULL GROUP BY ALL")
+def flow_links(spark, d):
+    flows = _entries(spark, d).where("flow_op IS NOT NULL")
+    return flows.groupBy(TREE, "flow_op", "flow_target", fields.is_flow_target(F.col("flow_target")).alias("labelled")).agg(F.count(F.lit(1)).alias("n"))
