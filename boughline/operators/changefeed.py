@@ -68,6 +68,8 @@ def _classified(events: DataFrame, resets: DataFrame) -> DataFrame:
     by_path = Window.partitionBy("chain_id", "path")
     upto = by_path.orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = marked.withColumn("_epoch", F.coalesce(F.last("_reset", ignorenulls=True).over(upto), F.lit(-1).cast("bigint")))
+    after = by_path.orderBy("lsn", "seq").rowsBetween(1, Window.unboundedFollowing)
+    marked = marked.withColumn("_next_reset", F.first("_reset", ignorenulls=True).over(after))
     marked = marked.withColumn("_last_reset", F.coalesce(F.max("_reset").over(by_path), F.lit(-1).cast("bigint")))
     own = marked.where("_reset IS NULL AND lsn > _epoch")
     in_epoch = Window.partitionBy("chain_id", "path", "_epoch").orderBy("lsn", "seq")
@@ -86,24 +88,11 @@ def _below(paths: DataFrame, removals: DataFrame) -> DataFrame:
     return up.join(gone, (F.col("chain_id") == F.col("_c")) & (F.col("_dir") == F.col("_d"))).select("chain_id", "path", "lsn").distinct()
 
 
-def apply_changes(sections: DataFrame, changes: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Current rows of each chain: ``chain_id``, ``path`` and the fields of ``changes``.
-
-    Deliveries are deduplicated by identifier and put in log order
-    (``section_order``); a window over each path ranks its changes by log
-    sequence number and keeps the latest, which is merged into ``base`` (rows
-    with ``chain_id``, the state before the first section; empty by default),
-    dropping deletes. An entry equal to the current one at its path removes it
-    and, if it is a directory, all below it, also what the same section
-    changes below; any other entry replaces the current one or is added.
-    Removals of directories are settled level by level of the tree, over
-    directories alone, before all paths are ranked once.
-
-    Repeated rows count once; NULL equals NULL; a change with a NULL path or of
-    an unknown section is none. Several different changes of a path in one
-    section apply in the order of ``seq``. Empty inputs give an empty state.
-    """
+def _replayed(sections: DataFrame, changes: DataFrame, base: DataFrame | None, stop_at: int | None) -> DataFrame:
+    """All events in log order, classified, with the resets that removals of directories mean."""
     order = settle(section_order(sections))
+    if stop_at is not None:
+        order = order.where(F.col("lsn") <= stop_at)
     fields = ["seq", "path", "is_dir", *IDENTITY]
     slim = changes.where("path IS NOT NULL").select("section_id", *[F.col(c) for c in fields])
     events = slim.join(order, "section_id").select("chain_id", "lsn", *fields)
@@ -121,6 +110,42 @@ def apply_changes(sections: DataFrame, changes: DataFrame, base: DataFrame | Non
         here = dirs.where(F.col("_level") == level)
         found = _classified(here, _below(here.select("chain_id", "path").distinct(), removals))
         removals = settle(removals.unionByName(found.where(~F.col("_odd")).select("chain_id", "path", "lsn")))
-    resets = _below(events.select("chain_id", "path").distinct(), removals)
-    final = _classified(events, resets).where("_live AND _odd")
+    return _classified(events, _below(events.select("chain_id", "path").distinct(), removals))
+
+
+def apply_changes(sections: DataFrame, changes: DataFrame, base: DataFrame | None = None, stop_at: int | None = None) -> DataFrame:
+    """Current rows of each chain: ``chain_id``, ``path``, ``lsn`` and the fields of ``changes``.
+
+    Deliveries are deduplicated by identifier and put in log order
+    (``section_order``); a window over each path ranks its changes by log
+    sequence number and keeps the latest, which is merged into ``base`` (rows
+    with ``chain_id``, the state before the first section; empty by default),
+    dropping deletes. An entry equal to the current one at its path removes it
+    and, if it is a directory, all below it, also what the same section
+    changes below; any other entry replaces the current one or is added.
+    Removals of directories are settled level by level of the tree, over
+    directories alone, before all paths are ranked once. ``stop_at`` gives the
+    state after so many sections.
+
+    Repeated rows count once; NULL equals NULL; a change with a NULL path or of
+    an unknown section is none. Several different changes of a path in one
+    section apply in the order of ``seq``. Empty inputs give an empty state.
+    """
+    final = _replayed(sections, changes, base, stop_at).where("_live AND _odd")
     return final.select("chain_id", "path", "lsn", "is_dir", *IDENTITY)
+
+
+def chain_log(sections: DataFrame, changes: DataFrame) -> DataFrame:
+    """What each section did: ``chain_id, lsn, n_added, n_removed, n_modified`` (paths, directories included).
+
+    A path counts as modified if its id changes. Sections that did nothing of
+    the kind have no row.
+    """
+    events = _replayed(sections, changes, None, None)
+    in_epoch = Window.partitionBy("chain_id", "path", "_epoch").orderBy("lsn", "seq")
+    before = events.withColumn("_had", F.coalesce(F.lag("_odd").over(in_epoch), F.lit(False))).withColumn("_old_id", F.lag("content_id").over(in_epoch)).withColumn("_more", F.lead("_step").over(in_epoch).isNotNull())
+    kind = F.when(~F.col("_odd"), "removed").when(~F.col("_had"), "added").when(~F.col("_old_id").eqNullSafe(F.col("content_id")), "modified")
+    own = before.select("chain_id", "lsn", kind.alias("kind")).where("kind IS NOT NULL")
+    swept = before.where("_odd AND NOT _more AND _next_reset IS NOT NULL").select("chain_id", F.col("_next_reset").alias("lsn"), F.lit("removed").alias("kind"))
+    count = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
+    return own.unionByName(swept).groupBy("chain_id", "lsn").agg(count("added"), count("removed"), count("modified"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,15 +12,21 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 200_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set first if the session has none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boughline-"))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder all executors share.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; only
     where that is unset (as in tests) is an own one set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boughline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

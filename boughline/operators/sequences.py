@@ -20,6 +20,11 @@ def is_sequence(name: Column) -> Column:
     return name.rlike(r"^.*?\[[0-9]+(-[0-9]+(:[0-9]+)?)?(,[0-9]+(-[0-9]+(:[0-9]+)?)?)*\]")
 
 
+def is_sequence_text(escaped: Column) -> Column:
+    """``is_sequence`` of a name in manifest text, where escaped brackets are plain ones."""
+    return escaped.rlike(r"^(?:[^\\\[]|\\.)*\[[0-9]+(-[0-9]+(:[0-9]+)?)?(,[0-9]+(-[0-9]+(:[0-9]+)?)?)*\]")
+
+
 def parse_sequence(name: Column) -> Column:
     """``prefix, suffix, padding, ranges`` of a sequence's name; NULL for other names."""
     inner = F.regexp_extract(name, _PATTERN, 2)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boughline.functions import fields, ids, order
-from boughline.operators import compare, navigate, rollup, sequences, summaries
+from boughline.operators import changefeed, compare, navigate, rollup, sequences, summaries
+from boughline.operators.common import shared_folder
 from boughline.operators.snapshots import series_order, snapshot_diff
 from boughline.plans import reconcile
 from boughline.plans import sqltext as S
 from boughline.schema import ENTRY, TREE, unique_entries
+from boughline.sources import text
 from boughline.sources.tables import table
+from boughline.streaming.chains import ChainState, table_stream, windowed_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -694,3 +699,51 @@ def safe_names(spark, d):
 def flow_links(spark, d):
     flows = _entries(spark, d).where("flow_op IS NOT NULL")
     return flows.groupBy(TREE, "flow_op", "flow_target", fields.is_flow_target(F.col("flow_target")).alias("labelled")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Chains, text and streams
+
+
+@query()
+def chain_log(spark, d):
+    return changefeed.chain_log(table(spark, d, "patch_sections"), table(spark, d, "patch_entries"))
+
+
+@query()
+def chain_first_three(spark, d):
+    """The state of each chain after its first three sections."""
+    return changefeed.apply_changes(table(spark, d, "patch_sections"), table(spark, d, "patch_entries"), stop_at=3).select("chain_id", "path", "lsn")
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, CASE WHEN perm > 0 OR file_type <> '-' THEN file_type END AS file_type, size, lower(hex(content_id)) AS content_hex, {S.moment('ts')} AS ts_text, flow_op FROM e")
+def text_round_trip(spark, d):
+    """Manifests written as text and read back."""
+    lines = text.manifest_text(_entries(spark, d))
+    c = F.col
+    return text.read_entries(lines).select(TREE, "path", "file_type", "size", _hex().alias("content_hex"), fields.moment_text(c("ts")).alias("ts_text"), "flow_op")
+
+
+@query()
+def pretty_text(spark, d):
+    return text.pretty_text(_entries(spark, d))
+
+
+@query("SELECT manifest_id, true AS is_manifest FROM (SELECT DISTINCT manifest_id FROM entries)")
+def sniff_text(spark, d):
+    return text.sniff(text.manifest_text(_entries(spark, d)))
+
+
+@query()
+def stream_chain_state(spark, d):
+    """The change feed taken as a stream; the state must equal the batch's."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    chains = ChainState(spark, folder)
+    chains.take(table_stream(spark, d, "patch_sections"), "sections")
+    chains.take(table_stream(spark, d, "patch_entries"), "changes")
+    return chains.state().select("chain_id", "path", F.coalesce(_hex(), F.lit("")).alias("content_id_hex"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    counts = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")

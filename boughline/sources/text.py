@@ -1,0 +1,121 @@
+"""Manifests as text: reading, sniffing and writing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from boughline.functions import fields, ids
+from boughline.functions.order import path_key, ranked
+from boughline.operators.sequences import is_sequence_text
+from boughline.operators.navigate import build_paths
+from boughline.schema import TREE
+from boughline.sources.manifest_lines import permission_bits
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``manifest_id`` (the file), ``line_no`` from 1 and ``line`` of text files, each file one manifest."""
+    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias(TREE), "value")
+    return texts.select(TREE, F.posexplode(F.split("value", "\n")).alias("_i", "line")).select(TREE, (F.col("_i") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def line_kind(line: Column) -> Column:
+    """``blank``, ``id`` (a boundary between patches), ``ids`` (members of a range), ``bad`` (directives, carriage returns) or ``entry``."""
+    text = F.trim(line)
+    return F.when(text == "", "blank").when(ids.is_id(text), "id").when(ids.is_id_list(text), "ids").when(text.startswith("@") | line.contains("\r"), "bad").otherwise("entry")
+
+
+def sniff(lines: DataFrame) -> DataFrame:
+    """``manifest_id, is_manifest``: whether the first line with text is an entry or an id rather than a path."""
+    first = lines.where("trim(line) <> ''").groupBy(TREE).agg(F.min_by("line", "line_no").alias("_l"))
+    text = F.trim("_l")
+    entry = text.rlike(r"^(-|[-dlbcps][-rwxstST]{9}) +(-|0|[0-9]{4}-[0-9]{2}-[0-9]{2}T)")
+    return first.select(TREE, (entry | ids.is_id(text)).alias("is_manifest"))
+
+
+def _unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r'\\([ "\[\]])', "$1")
+
+
+def read_entries(lines: DataFrame) -> DataFrame:
+    """Entries of manifest text with ``section_no`` (patches after bare ids) and ``base_id`` of the section.
+
+    Fields are separated by blanks that no backslash escapes, so a name is one
+    field; escapes and safe encoding are undone. The indent of the first
+    indented line is the width of a level. Lines that are no entries give none;
+    unknown values are NULL. Sections are numbered from 0 by a running count.
+    """
+    kinds = lines.withColumn("_k", line_kind(F.col("line")))
+    upto = Window.partitionBy(TREE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    boundary = F.when(F.col("_k") == "id", F.trim("line"))
+    numbered = kinds.withColumn("section_no", F.count(boundary).over(upto).cast("int")).withColumn("base_id", F.last(boundary, ignorenulls=True).over(upto))
+    indent = F.length("line") - F.length(F.ltrim("line"))
+    numbered = numbered.where("_k = 'entry'").withColumn("_i", indent)
+    step = F.min_by(F.when(F.col("_i") > 0, F.col("_i")), F.when(F.col("_i") > 0, F.col("line_no"))).over(Window.partitionBy(TREE))
+    token = F.regexp_extract_all(F.trim("line"), F.lit(r"((?:\\.|[^ \\])+)"), 1)
+    split = numbered.withColumn("depth", F.floor(F.col("_i") / F.coalesce(step, F.lit(1))).cast("int")).withColumn("_t", token).where("size(_t) >= 5")
+    t = lambda i: F.try_element_at(F.col("_t"), F.lit(i))
+    value = lambda c: F.when(c != "-", c)
+    raw = t(4)
+    sequence = is_sequence_text(raw)
+    name = F.coalesce(fields.unsafe_name(_unescaped(raw)).cast("string"), raw)
+    op = F.when(F.size("_t") > 5, t(5))
+    target = F.when(F.size("_t") > 6, fields.unsafe_name(_unescaped(t(6))).cast("string"))
+    flow = op.isin("<-", "<>") | ((op == "->") & fields.is_flow_target(target) & (F.substring(t(1), 1, 1) != "l"))
+    mode = F.when(t(1).rlike("^[-dlbcps][-rwxstST]{9}$") & (t(1) != "-" * 10), t(1))
+    parsed = split.select(
+        TREE,
+        F.col("line_no").alias("seq"),
+        "section_no",
+        "base_id",
+        "depth",
+        F.when(sequence, raw).otherwise(name).alias("name"),
+        F.substring(mode, 1, 1).alias("file_type"),
+        permission_bits(mode).alias("perm"),
+        fields.parse_moment(value(t(2))).alias("ts"),
+        F.regexp_replace(value(t(3)), ",", "").try_cast("bigint").alias("size"),
+        F.when(~flow, target).alias("link_target"),
+        ids.parse_id(value(t(-1))).alias("content_id"),
+        F.when(op.rlike("^->[0-9]+$"), F.substring(op, 3, 9).try_cast("int")).when((op == "->") & target.isNull(), F.lit(-1)).alias("hard_link"),
+        F.when(flow, op).alias("flow_op"),
+        F.when(flow, target).alias("flow_target"),
+        sequence.alias("is_sequence"),
+    )
+    parsed = parsed.withColumn("pattern", F.when(F.col("is_sequence"), F.col("name")))
+    located = build_paths(parsed.withColumn("_m", F.col(TREE)).withColumn(TREE, F.concat_ws("\x00", TREE, "section_no")), "seq")
+    return located.withColumn(TREE, F.col("_m")).drop("_m").withColumn("is_dir", F.col("name").endswith("/"))
+
+
+def manifest_text(entries: DataFrame, indent: int = 2) -> DataFrame:
+    """``manifest_id, line_no, line``: entries as canonical text, in canonical order, indented by depth."""
+    line = F.concat(F.repeat(F.lit(" " * indent), F.col("depth")), fields.canonical_line())
+    return ranked(entries, TREE, [path_key(F.col("path")), F.col("path")], "line_no").select(TREE, "line_no", line.alias("line"))
+
+
+def pretty_text(entries: DataFrame) -> DataFrame:
+    """``manifest_id, line_no, line`` for readers: sizes with commas in a column of one width, ids aligned."""
+    widest = entries.groupBy(TREE).agg(F.max(F.length(F.format_number(F.coalesce("size", F.lit(0)), 0))).alias("_w"))
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    placed = ranked(entries, TREE, [path_key(F.col("path")), F.col("path")], "line_no").join(widest, TREE)
+    size = F.lpad(dash(F.format_number("size", 0)), F.col("_w"), F.lit(" "))
+    head = F.concat(
+        F.repeat(F.lit("  "), F.col("depth")), F.rpad(dash(fields.mode_text(F.col("file_type"), F.col("perm"))), 10, " "), F.lit(" "),
+        dash(F.date_format("ts", "MMM d HH:mm:ss yyyy")), F.lit(" "), size, F.lit(" "), fields.escape_name(fields.safe_name(F.col("name")), F.col("is_sequence")),
+        fields.link_text(F.col("link_target"), F.col("hard_link"), F.col("flow_op"), F.col("flow_target")),
+    )
+    made = placed.withColumn("_h", head)
+    longest = F.max(F.length("_h")).over(Window.partitionBy(TREE))
+    column = F.greatest(F.lit(80), (F.ceil((longest + 10) / 10) * 10)).cast("int")
+    return made.select(TREE, "line_no", F.concat(F.rpad("_h", column, F.lit(" ")), dash(ids.id_text(F.col("content_id")))).alias("line"))
+
+
+def write_text(lines: DataFrame, folder: str, files: int = 8) -> None:
+    """Writes ``manifest_text`` lines, a folder per manifest, each manifest in order."""
+    ordered = lines.repartitionByRange(files, TREE, "line_no").sortWithinPartitions(TREE, "line_no")
+    ordered.select(TREE, "line").write.mode("overwrite").partitionBy(TREE).text(folder)
+
+
+def path_list(entries: DataFrame) -> DataFrame:
+    """Full paths in byte order."""
+    return entries.select(TREE, "path").orderBy(TREE, "path")
