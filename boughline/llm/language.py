@@ -410,6 +410,10 @@ def fit_languages(documents: DataFrame, codes: list[str], train_docs: int = TRAI
     shares of the whole. Rows with NULL texts or unknown labels don't count.
     """
     labelled = _messages(documents).where(F.col("given").isin(codes) & F.col("message").isNotNull())
+    total = documents.where(F.col("lang").isin(codes) & F.col("text").isNotNull()).count()
+    if total > 4 * train_docs:
+        # Twice the sample by hash range, so that no task sends a whole sample to the driver.
+        labelled = labelled.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * train_docs / total))))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "message").limit(train_docs).collect()
     return fit(codes, [(r["message"], r["given"]) for r in sample])
 
