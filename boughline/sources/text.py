@@ -111,8 +111,8 @@ def pretty_text(entries: DataFrame) -> DataFrame:
 
 
 def write_text(lines: DataFrame, folder: str, files: int = 8) -> None:
-    """Writes ``manifest_text`` lines, a folder per manifest, each manifest in order."""
-    ordered = lines.repartitionByRange(files, TREE, "line_no").sortWithinPartitions(TREE, "line_no")
+    """Writes ``manifest_text`` lines, a folder with one file per manifest, in order."""
+    ordered = lines.repartition(files, TREE).sortWithinPartitions(TREE, "line_no")
     ordered.select(TREE, "line").write.mode("overwrite").partitionBy(TREE).text(folder)
 
 
