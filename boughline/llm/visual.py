@@ -40,6 +40,8 @@ SHAPELESS = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F
 SHAPED = set(range(0x600, 0x606)) | {0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Arrow rows that are converted at a time.
 BATCH_TEXTS = 20_000
+#: Characters that one expression writes out; more take several.
+MOST_REPLACED = 150
 
 
 @functools.cache
@@ -77,19 +79,25 @@ def _quoted(text: str) -> str:
 
 def form_sql(column: str, chars: set[str]) -> str:
     """The DuckDB expression that brings ``column`` to its form; ``chars`` are the characters that may occur."""
-    one, many, gone = rules()
+    one, _, gone = rules()
     sql = column
     invisible = sorted(c for c in chars if c in gone)
     if invisible:
         sql = f"regexp_replace({sql}, '[' || {_quoted(''.join(invisible))} || ']', '', 'g')"
-    for c in sorted(c for c in chars if c in many):
-        sql = f"replace({sql}, {_quoted(c)}, {_quoted(many[c])})"
     single = sorted(c for c in chars if c in one)
     if single:
         sql = f"translate({sql}, {_quoted(''.join(single))}, {_quoted(''.join(one[c] for c in single))})"
     return f"nfc_normalize({sql})"
 
 
+def expansion_sql(column: str, chars: list[str]) -> str:
+    """The DuckDB expression that writes characters of several letters out."""
+    sql = column
+    for c in chars:
+        sql = f"replace({sql}, {_quoted(c)}, {_quoted(rules()[1][c])})"
+    return sql
+
+
 @functools.cache
 def _duckdb():
     import duckdb
@@ -107,15 +115,13 @@ def visual_forms(texts: pa.Array) -> pa.Array:
     for k in range(0, len(distinct), BATCH_TEXTS):
         part = distinct.slice(k, BATCH_TEXTS)
         rest = {c for c in set("".join(part.to_pylist())) if c > "\x7f"}
-        many = [c for c in rest if c in rules()[1]]
-        table = pa.table({"i": pa.array(range(len(part)), pa.int32()), "t": part})
-        for n in range(0, max(1, len(many)), 150):  # deep expressions are cut into passes
-            chars = rest if n == 0 and len(many) <= 150 else ((rest - set(many)) | set(many[n : n + 150]) if n + 150 >= len(many) else set(many[n : n + 150]))
-            con = _duckdb()
+        many = sorted(c for c in rest if c in rules()[1])
+        steps = [expansion_sql("t", many[n : n + MOST_REPLACED]) for n in range(0, len(many), MOST_REPLACED)]
+        con = _duckdb()
+        for step in [*steps, form_sql("t", rest)]:
             con.register("texts", table)
-            got = con.sql(f"SELECT i, {form_sql('t', chars)} AS t FROM texts ORDER BY i").to_arrow_table()
+            table = con.sql(f"SELECT i, {step} AS t FROM texts ORDER BY i").to_arrow_table()
             con.unregister("texts")
-            table = got
         forms.append(table.column("t").combine_chunks().cast(pa.string()))
     if not forms:
         return pa.nulls(len(texts), pa.string())
