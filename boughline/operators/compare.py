@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boughline.operators.common import ancestors
+from boughline.operators.common import ancestors, settle
 from boughline.operators.navigate import last_by_name, parent_closure
 from boughline.operators.snapshots import except_all_both_ways
 from boughline.schema import ENTRY, IDENTITY, TREE, located
@@ -64,16 +64,18 @@ def tree_diff(old: DataFrame, new: DataFrame, touch_parents: bool = True) -> Dat
     """
     rest = [c for c in ENTRY.names if c not in (TREE, "path")]
     both = _sides(old, new, "path", rest).withColumnRenamed("_key", "path")
-    op = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove").when(~same_in(IDENTITY), "replace")
-    delta = both.select(TREE, "path", op.alias("op"), F.coalesce("b", "a").alias("_e"))
-    removed = delta.where("op = 'remove'")
-    covered = _below(removed, removed.where(F.col("path").endswith("/")))
-    changed = delta.where("op IS NOT NULL").join(covered.withColumn("_c", F.lit(True)), [TREE, "path"], "left").where("_c IS NULL OR op <> 'remove'").drop("_c")
+    op = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove").otherwise("replace")
+    differs = F.col("a").isNull() | F.col("b").isNull() | ~same_in(IDENTITY)
+    # The changes alone are kept; what follows reads them several times.
+    delta = settle(both.where(differs).select(TREE, "path", op.alias("op"), F.coalesce("b", "a").alias("_e")))
+    removed = delta.where("op = 'remove'").select(TREE, "path")
+    covered = _below(removed, removed.where(F.col("path").endswith("/"))).withColumn("op", F.lit("remove"))
+    changed = delta.join(covered, [TREE, "path", "op"], "left_anti").select(TREE, "path", "op", "_e.*")
     if touch_parents:
-        need = changed.select(TREE, F.explode(ancestors(F.col("path"))).alias("path")).distinct()
-        touched = delta.where("op IS NULL").join(need, [TREE, "path"], "left_semi").withColumn("op", F.lit("touch"))
-        changed = changed.unionByName(touched)
-    return changed.select(TREE, "path", "op", "_e.*")
+        need = delta.select(TREE, F.explode(ancestors(F.col("path"))).alias("path")).distinct().join(delta.select(TREE, "path"), [TREE, "path"], "left_anti")
+        touched = new.join(need, [TREE, "path"], "left_semi").withColumn("op", F.lit("touch"))
+        changed = changed.unionByName(touched.select(TREE, "path", "op", *rest))
+    return changed
 
 
 def apply_delta(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -147,14 +149,20 @@ def merge_trees(base: DataFrame, local: DataFrame, remote: DataFrame) -> tuple[D
     winner = F.when(F.col("decision") == "conflict", F.when(F.col("l").isNull(), "remote").when(F.col("r").isNull(), "local").when(newer, "remote").otherwise("local")).otherwise(F.col("decision"))
     decided = decided.withColumn("winner", winner)
     entry = F.when(F.col("winner") == "base", F.col("b")).when(F.col("winner") == "local", F.col("l")).when(F.col("winner") == "remote", F.col("r"))
-    main = decided.select(TREE, "path", entry.alias("_e")).where("_e IS NOT NULL").select(TREE, "path", "_e.*")
     beside = F.when(F.col("path").endswith("/"), F.concat(F.regexp_replace("path", "/$", ""), F.lit(".conflict/"))).otherwise(F.concat("path", F.lit(".conflict")))
     two = (F.col("decision") == "conflict") & F.col("l").isNotNull() & F.col("r").isNotNull()
-    losers = decided.where(two).select(TREE, beside.alias("path"), F.when(F.col("winner") == "local", F.col("r")).otherwise(F.col("l")).alias("_e")).select(TREE, "path", "_e.*")
+    loser = F.when(F.col("winner") == "local", F.col("r")).otherwise(F.col("l"))
+    kept = F.array_compact(
+        F.array(F.when(entry.isNotNull(), F.struct(F.col("path").alias("path"), F.lit(False).alias("lost"), entry.alias("e"))), F.when(two, F.struct(beside.alias("path"), F.lit(True).alias("lost"), loser.alias("e"))))
+    )
+    # Winners and losers come out of one pass over the three trees; the result is written once and completed from there.
+    put = settle(decided.select(TREE, F.explode(kept).alias("_k")).select(TREE, "_k.path", "_k.lost", "_k.e.*"))
+    main = put.where("NOT lost").select(*ENTRY.names)
+    losers = put.where("lost")
     for name, value in located(F.col("path")).items():
         losers = losers.withColumn(name, value)
-    losers = losers.join(main.select(TREE, "path"), [TREE, "path"], "left_anti")
-    merged = parent_closure(main.select(*ENTRY.names).unionByName(losers.select(*ENTRY.names)), perm=0o755)
+    losers = losers.join(main.select(TREE, "path"), [TREE, "path"], "left_anti").select(*ENTRY.names)
+    merged = parent_closure(main.unionByName(losers), perm=0o755)
     conflicts = decided.where("decision = 'conflict'").select(TREE, "path", "winner", F.when(two, beside).alias("loser_path"))
     return merged, conflicts
 

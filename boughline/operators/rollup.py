@@ -106,7 +106,8 @@ def tree_digests(entries: DataFrame, line: Column | None = None, algorithm: str
     hashed once. A directory without entries has the digest of nothing.
     """
     text = canonical_line() if line is None else line
-    dirs = settle(entries.where("is_dir"))
+    entries = settle(entries)  # read once per level
+    dirs = entries.where("is_dir")
     # The root's listing is level -1: every entry belongs to the directory one level up.
     levels = sorted((r[0] for r in entries.select("depth").distinct().collect()), reverse=True)
     known = None

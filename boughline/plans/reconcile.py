@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boughline.functions.order import ranked
+from boughline.operators.common import settle
 from boughline.schema import TREE
 
 #: Order in which operations run.
@@ -44,7 +45,7 @@ def plan_operations(target: DataFrame, current: DataFrame) -> DataFrame:
             F.when(~have & directory, F.lit("rmdir")),
         )
     )
-    each = both.select(TREE, "path", F.explode(ops).alias("op"), F.col("t.content_id").alias("_tid"), F.col("c.content_id").alias("_cid"), had.alias("_had"))
+    each = settle(both.select(TREE, "path", F.explode(ops).alias("op"), F.col("t.content_id").alias("_tid"), F.col("c.content_id").alias("_cid"), had.alias("_had")))  # the changes alone
     place = lambda df, c: ranked(df.withColumn("_g", F.concat_ws(" ", TREE, F.hex(c))), "_g", [F.col("path")], "_n")
     made = place(each.where("op = 'create' AND NOT _had AND _tid IS NOT NULL"), "_tid").select(TREE, "path", F.col("_tid").alias("_id"), "_n")
     lost = place(each.where("op = 'remove' AND _cid IS NOT NULL"), "_cid").select(TREE, F.col("path").alias("src_path"), F.col("_cid").alias("_id"), "_n")
