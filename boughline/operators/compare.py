@@ -209,3 +209,39 @@ def id_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(TREE).agg(
         one(F.col("a").isNull()).alias("n_added"), one(F.col("b").isNull()).alias("n_removed"), one(F.col("a").isNotNull() & F.col("b").isNotNull() & ~same_in(["content_id"])).alias("n_modified")
     )
+
+
+def merge_all(trees: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Union of several trees from left to right, and the conflicts of all steps; a caller that wants none checks that they are empty."""
+    merged, conflicts = trees[0], None
+    for tree in trees[1:]:
+        merged, found = merge_trees(merged.limit(0), merged, tree)
+        merged = merged.select(*ENTRY.names)
+        conflicts = found if conflicts is None else conflicts.unionByName(found)
+    if conflicts is None:
+        conflicts = trees[0].limit(0).select(TREE, "path", F.lit("").alias("winner"), F.lit("").alias("loser_path"))
+    return merged, conflicts
+
+
+def explain_patch(target: DataFrame, current: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``manifest_id, action, n_files, n_bytes, n_missing``: files to create, update, remove and skip.
+
+    ``stored`` (``content_id``) tells which contents can be had; files to write
+    without one are counted as missing.
+    """
+    files = lambda df: df.where("NOT is_dir")
+    both = _sides(files(current), files(target), "path", ["content_id", "size"])
+    action = F.when(F.col("a").isNull(), "create").when(F.col("b").isNull(), "remove").when(same_in(["content_id"]), "skip").otherwise("update")
+    rows = both.select(TREE, action.alias("action"), F.coalesce("b.size", "a.size", F.lit(0)).alias("size"), F.col("b.content_id").alias("content_id"))
+    if stored is not None:
+        have = stored.where("content_id IS NOT NULL").select(F.col("content_id").alias("_have")).distinct()
+        rows = rows.join(have, F.col("content_id") == F.col("_have"), "left")
+        missing = F.col("action").isin("create", "update") & F.col("content_id").isNotNull() & F.col("_have").isNull()
+    else:
+        missing = F.lit(False)
+    return rows.groupBy(TREE, "action").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), F.count_if(missing).alias("n_missing"))
+
+
+def reverse_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The delta that leads from ``new`` back to ``old``."""
+    return tree_diff(new, old)

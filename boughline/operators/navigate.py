@@ -169,3 +169,21 @@ def expand_listings(entries: DataFrame, listings: DataFrame, max_levels: int = 6
         result = result.unionByName(front, allowMissingColumns=True)
         front = front.where("is_dir AND content_id IS NOT NULL")
     return result
+
+
+def resolve_listing(listings: DataFrame, root_id: bytes, path: str) -> DataFrame:
+    """The entry that a path leads to through stored listings: one step of ``name`` to ``content_id`` per component.
+
+    ``listings`` is as for ``expand_listings``. Intermediate steps are ids of
+    single directories; the result is empty where a step isn't found.
+    """
+    parts = [p for p in path.split("/") if p]
+    at, found = root_id, listings.limit(0)
+    for i, part in enumerate(parts):
+        found = listings.where((F.col("listing_id") == F.lit(at)) & F.col("name").isin(part, part + "/"))
+        if i + 1 < len(parts):
+            step = found.where(F.col("name").endswith("/")).select("content_id").head()
+            if step is None:
+                return listings.limit(0)
+            at = bytes(step[0])
+    return found

@@ -126,3 +126,22 @@ def tree_digests(entries: DataFrame, line: Column | None = None, algorithm: str
         return entries.select(TREE, "path", F.lit(None).cast("binary").alias("digest")).limit(0)
     childless = dirs.select(TREE, "path").join(known.select(TREE, "path"), [TREE, "path"], "left_anti").withColumn("digest", empty)
     return known.unionByName(childless)
+
+
+def text_digests(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
+    """``manifest_id, digest``: the hash of each manifest's whole text, from ``manifest_id, line_no, line``.
+
+    This is the identity of the nested text, another one than a root's listing
+    has. Lines are streamed through a hasher in order, in constant memory.
+    """
+    ordered = lines.repartition(TREE).sortWithinPartitions(TREE, "line_no")
+    shaped = ordered.select(TREE, F.lit("").alias("parent_path"), "line")
+    return shaped.mapInArrow(_hash_groups(algorithm), _LISTED).select(TREE, "digest")
+
+
+def listing_texts(entries: DataFrame, line: Column | None = None) -> DataFrame:
+    """``manifest_id, path, content``: the one-level listing of each directory as text ('' is the root), to be stored by its digest."""
+    text = canonical_line() if line is None else line
+    item = F.struct(F.when(F.col("is_dir"), 1).otherwise(0).alias("d"), natural_key(F.col("name")).alias("n"), text.alias("line"))
+    listed = entries.groupBy(TREE, "parent_path").agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    return listed.select(TREE, F.col("parent_path").alias("path"), F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boughline.functions.fields import mode_text, valid_name
+from boughline.functions.order import path_key, ranked
 from boughline.schema import TREE
 
 
@@ -113,3 +114,16 @@ def order_issues(entries: DataFrame) -> DataFrame:
 
 def mode_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy(TREE, F.coalesce(mode_text(F.col("file_type"), F.col("perm")), F.lit("-")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def out_of_order(entries: DataFrame) -> DataFrame:
+    """``manifest_id, n_moved``: entries whose place by ``seq`` isn't their canonical one; 0 for a manifest in order."""
+    by_seq = ranked(entries.select(TREE, "path", "seq"), TREE, [F.col("seq"), F.col("path")], "_a").select(TREE, "path", "_a")
+    by_key = ranked(entries.select(TREE, "path"), TREE, [path_key(F.col("path")), F.col("path")], "_b").select(TREE, "path", "_b")
+    return by_seq.join(by_key, [TREE, "path"]).groupBy(TREE).agg(F.count_if(F.col("_a") != F.col("_b")).alias("n_moved"))
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` with a progress observation: rows, directories and bytes that passed, filled when an action has run."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n_entries"), F.count_if("is_dir").alias("n_dirs"), F.sum(F.coalesce("size", F.lit(0))).alias("n_bytes")), seen

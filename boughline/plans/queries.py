@@ -704,6 +704,47 @@ def flow_links(spark, d):
 # Chains, text and streams
 
 
+@query(
+    f"WITH {S.ENTRIES} SELECT manifest_id, sha256(string_agg(repeat('  ', depth) || {S.line()} || chr(10), '' ORDER BY {S.path_key('path')}, path)) AS digest_hex FROM e GROUP BY manifest_id"
+)
+def text_identities(spark, d):
+    """The hash of each manifest's nested text (raw names and hex ids, as SQL has them)."""
+    e = _entries(spark, d)
+    lines = order.ranked(e, TREE, [order.path_key(F.col("path")), F.col("path")], "line_no").select(TREE, "line_no", F.concat(F.repeat(F.lit("  "), F.col("depth")), _raw_line()).alias("line"))
+    return rollup.text_digests(lines, "sha256").select(TREE, _hex("digest").alias("digest_hex"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, parent_path AS path, sha256(string_agg({S.line()} || chr(10), '' ORDER BY CASE WHEN is_dir THEN 1 ELSE 0 END, {S.natural('name')}, {S.line()})) AS digest_hex FROM e GROUP BY manifest_id, parent_path")
+def listing_texts(spark, d):
+    """The stored listing of each directory, by its digest."""
+    return rollup.listing_texts(_entries(spark, d), _raw_line()).select(TREE, "path", F.sha2("content", 256).alias("digest_hex"))
+
+
+@query(
+    f"""WITH {S.PAIRS}, x AS (SELECT * FROM a WHERE NOT is_dir), y AS (SELECT * FROM b WHERE NOT is_dir), st AS (SELECT DISTINCT content_id FROM a WHERE content_id IS NOT NULL),
+    k AS (SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, CASE WHEN x.path IS NULL THEN 'create' WHEN y.path IS NULL THEN 'remove' WHEN x.content_id IS NOT DISTINCT FROM y.content_id THEN 'skip' ELSE 'update' END AS action,
+      coalesce(y.size, x.size, 0) AS size, y.content_id AS c FROM x FULL JOIN y ON x.manifest_id = y.manifest_id AND x.path = y.path)
+    SELECT manifest_id, action, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes, count(*) FILTER (WHERE action IN ('create', 'update') AND c IS NOT NULL AND c NOT IN (SELECT content_id FROM st)) AS n_missing FROM k GROUP BY ALL"""
+)
+def explain_patch(spark, d):
+    old, new = _pairs(spark, d)
+    return compare.explain_patch(new, old, old)
+
+
+@query(
+    f"WITH {S.ENTRIES}, r AS (SELECT manifest_id, row_number() OVER (PARTITION BY manifest_id ORDER BY seq, path) AS a, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS b FROM e) SELECT manifest_id, count(*) FILTER (WHERE a <> b) AS n_moved FROM r GROUP BY ALL"
+)
+def out_of_order(spark, d):
+    return summaries.out_of_order(_entries(spark, d))
+
+
+@query(f"WITH {S.PAIRS} SELECT manifest_id, path, size FROM a")
+def revert_patch(spark, d):
+    """The reverse delta of each pair applied to the newer snapshot gives the older one."""
+    old, new = _pairs(spark, d)
+    return compare.apply_delta(new, compare.reverse_delta(old, new)).select(TREE, "path", "size")
+
+
 @query()
 def chain_log(spark, d):
     return changefeed.chain_log(table(spark, d, "patch_sections"), table(spark, d, "patch_entries"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,64 @@ def missing_content(target: DataFrame, *sources: DataFrame) -> DataFrame:
     return need
 
 
+def execute(plan: DataFrame, target: DataFrame, folder: str, fetch) -> dict[str, int]:
+    """Runs the plan of one tree on a local folder, in order; returns how many operations of each kind were done or skipped.
+
+    ``fetch(digest)`` gives the bytes of a file to create. Operations that find
+    their result already there are skipped, so a run that broke off can be
+    repeated. Rows stream to the driver one partition at a time. Paths that
+    would leave the folder are refused. Moments of directories are set last, deepest first.
+    """
+    done: dict[str, int] = {}
+    root = os.path.realpath(folder)
+    meta = target.select("path", F.col("perm").alias("_p"), F.col("ts").alias("_t"), F.col("content_id").alias("_c"), F.col("link_target").alias("_l"))
+    late: list[tuple[str, float]] = []
+
+    def place(path: str) -> str:
+        at = os.path.join(root, path.rstrip("/"))
+        if os.path.commonpath([root, os.path.realpath(os.path.dirname(at))]) != root or ".." in path.split("/"):
+            raise ValueError(f"{path} lies outside of the folder")
+        return at
+
+    for r in in_run_order(plan.join(meta, "path", "left")).toLocalIterator():
+        at, op = place(r["path"]), r["op"]
+        here = os.path.lexists(at)
+        skip = (op == "mkdir" and here) or (op in ("remove", "rmdir") and not here)
+        if not skip:
+            if op == "mkdir":
+                os.makedirs(at)
+            elif op == "move":
+                source = place(r["src_path"])
+                if os.path.lexists(source):
+                    os.replace(source, at)
+                else:
+                    skip = True
+            elif op == "create":
+                with open(at + ".part", "wb") as f:
+                    f.write(fetch(bytes(r["_c"])) if r["_c"] is not None else b"")
+                os.replace(at + ".part", at)
+            elif op == "symlink":
+                if here:
+                    os.remove(at)
+                os.symlink(r["_l"], at)
+            elif op == "remove":
+                os.remove(at)
+            elif op == "rmdir":
+                if os.listdir(at):
+                    skip = True
+                else:
+                    os.rmdir(at)
+        if op in ("mkdir", "create", "move", "chmod") and r["_p"] is not None and not os.path.islink(at) and os.path.lexists(at):
+            os.chmod(at, r["_p"])
+        if op in ("mkdir", "create", "move", "chtimes") and r["_t"] is not None and os.path.lexists(at) and not os.path.islink(at):
+            late.append((at, r["_t"].replace(tzinfo=datetime.UTC).timestamp()))
+        key = "skipped" if skip else op
+        done[key] = done.get(key, 0) + 1
+    for at, moment in sorted(late, reverse=True):
+        os.utime(at, (moment, moment))
+    return done
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     """Operations per pair: ``manifest_id, op, n``."""
     return plan.groupBy(TREE, "op").agg(F.count(F.lit(1)).alias("n"))

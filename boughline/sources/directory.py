@@ -105,3 +105,9 @@ def entry_stream(entries: DataFrame, handle) -> int:
         handle(row)
         n += 1
     return n
+
+
+def progressive_scan(spark: SparkSession, root: str) -> Iterator[tuple[str, DataFrame]]:
+    """``(stage, entries)`` in three stages, each as soon as it is there: names, then metadata, then ids."""
+    for stage in ("structure", "metadata", "full"):
+        yield stage, scan(spark, root, stage)

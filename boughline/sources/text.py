@@ -10,6 +10,7 @@ from boughline.functions import fields, ids
 from boughline.functions.order import path_key, ranked
 from boughline.operators.sequences import is_sequence_text
 from boughline.operators.navigate import build_paths
+from boughline.operators.rollup import text_digests
 from boughline.schema import TREE
 from boughline.sources.manifest_lines import permission_bits
 
@@ -119,3 +120,27 @@ def write_text(lines: DataFrame, folder: str, files: int = 8) -> None:
 def path_list(entries: DataFrame) -> DataFrame:
     """Full paths in byte order."""
     return entries.select(TREE, "path").orderBy(TREE, "path")
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """Lines a strict reader refuses: directives and carriage returns."""
+    return lines.where(line_kind(F.col("line")) == "bad")
+
+
+def patch_text(delta: DataFrame, base_ids: DataFrame) -> DataFrame:
+    """``manifest_id, line_no, line``: patches as text, each after the id of the state it applies to (``manifest_id, base_id``)."""
+    body = manifest_text(delta)
+    head = base_ids.select(TREE, F.lit(0).cast("bigint").alias("line_no"), ids.id_text(F.col("base_id")).alias("line"))
+    return head.unionByName(body.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line"))
+
+
+def identify(lines: DataFrame) -> DataFrame:
+    """``manifest_id, digest`` of files read as lines: a manifest is hashed in its canonical text, another file as it stands."""
+    kinds = sniff(lines)
+    manifests = lines.join(kinds.where("is_manifest"), TREE, "left_semi")
+    others = lines.join(kinds.where("is_manifest"), TREE, "left_anti")
+    canonical = manifest_text(read_entries(manifests))
+    # A file that ends in a newline has an empty last line, which the hasher's own newline replaces.
+    last = F.max("line_no").over(Window.partitionBy(TREE))
+    raw = others.withColumn("_z", last).where("NOT (line = '' AND line_no = _z)").drop("_z")
+    return text_digests(canonical.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line").unionByName(raw.select(TREE, "line_no", "line")))

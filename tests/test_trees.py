@@ -320,3 +320,54 @@ def test_operators_take_empty_tables(spark):
     df = spark.createDataFrame([], ENTRY)
     for out in (compare.flat_diff(df, df), compare.tree_diff(df, df), compare.merge_trees(df, df, df)[0], navigate.parent_closure(df), rollup.roll_up(df), summaries.manifest_stats(df), sequences.fold_sequences(df), reconcile.plan_operations(df, df), text.manifest_text(df)):
         assert out.count() == 0
+
+
+def test_more_of_text_listings_and_plans(spark, tmp_path):
+    df = build(spark, [{"path": "b/", "perm": 0o755}, {"path": "b/x", "size": 1, "content_id": sha("x"), "perm": 0o644}, {"path": "a", "size": 2, "perm": 0o600}])
+    lines = text.manifest_text(df)
+    whole = "\n".join(r["line"] for r in lines.orderBy("line_no").collect()) + "\n"
+    assert bytes(rollup.text_digests(lines).head()["digest"]) == sha(whole)
+    files = tmp_path / "in"
+    files.mkdir()
+    (files / "m.txt").write_text("- - 2 z -\n- - 1 a -\n")
+    (files / "other.txt").write_text("no manifest\nat all\n")
+    (files / "open.txt").write_text("no newline at the end")
+    got = {r["manifest_id"].rsplit("/", 1)[1]: bytes(r["digest"]) for r in text.identify(text.read_lines(spark, str(files))).collect()}
+    assert got["m.txt"] == sha("- - 1 a -\n- - 2 z -\n") and got["other.txt"] == sha("no manifest\nat all\n")
+    assert text.rejected(text.read_lines(spark, str(files))).count() == 0
+    listing = {r["path"]: r["content"] for r in rollup.listing_texts(df).collect()}
+    assert listing["b/"] == f"-rw-r--r-- - 1 x {ids.encode_id(sha('x'))}\n" and listing[""].count("\n") == 2
+    stored = spark.createDataFrame([(sha("r"), "b/", sha("b")), (sha("b"), "x", sha("x"))], "listing_id binary, name string, content_id binary")
+    assert bytes(navigate.resolve_listing(stored, sha("r"), "b/x").head()["content_id"]) == sha("x")
+    assert navigate.resolve_listing(stored, sha("r"), "q/x").count() == 0
+    ids_ = spark.createDataFrame([("m", sha("alfa"))], "manifest_id string, base_id binary")
+    assert [r["line"] for r in text.patch_text(df, ids_).orderBy("line_no").collect()][0] == ID_OF_ALFA
+    assert summaries.out_of_order(df).head()["n_moved"] > 0
+    seen, o = summaries.observed(df, "p")
+    seen.collect()
+    assert o.get == {"n_entries": 3, "n_dirs": 1, "n_bytes": 3}
+    merged, conflicts = compare.merge_all([df, df, build(spark, [{"path": "c", "size": 1}])])
+    assert {r["path"] for r in merged.collect()} == {"a", "b/", "b/x", "c"} and conflicts.count() == 0
+    counts = {r["action"]: (r["n_files"], r["n_missing"]) for r in compare.explain_patch(df, df.where("path = 'a'"), df.limit(0)).collect()}
+    assert counts == {"create": (1, 1), "skip": (1, 0)}
+
+
+def test_plan_execution(spark, tmp_path):
+    root = tmp_path / "work"
+    (root / "old").mkdir(parents=True)
+    (root / "old" / "f").write_text("alfa")
+    (root / "gone").write_text("x")
+    from boughline.sources.directory import progressive_scan
+
+    have = scan(spark, str(root))
+    assert [s for s, _ in progressive_scan(spark, str(root))] == ["structure", "metadata", "full"]
+    moment = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    want = build(spark, [{"path": "new/", "perm": 0o750, "ts": moment}, {"path": "new/f", "size": 4, "content_id": sha("alfa"), "perm": 0o600, "ts": moment}, {"path": "c", "content_id": sha("bravo"), "perm": 0o644}, {"path": "l", "file_type": "l", "link_target": "c"}])
+    have = have.withColumn("manifest_id", F.lit("m"))
+    plan = reconcile.plan_operations(want, have)
+    done = reconcile.execute(plan, want, str(root), lambda digest: {sha("bravo"): b"bravo"}[digest])
+    assert done == {"mkdir": 1, "move": 1, "create": 1, "symlink": 1, "remove": 1, "rmdir": 1}
+    now = {r["path"]: r for r in scan(spark, str(root)).collect()}
+    assert set(now) == {"new/", "new/f", "c", "l"} and now["new/f"]["ts"] == moment == now["new/"]["ts"] and now["new/f"]["perm"] == 0o600 and bytes(now["c"]["content_id"]) == sha("bravo")
+    with pytest.raises(ValueError):
+        reconcile.execute(reconcile.plan_operations(build(spark, [{"path": "../x", "content_id": sha("bravo")}]), have.limit(0)), build(spark, [{"path": "../x"}]), str(root), lambda d: b"")
