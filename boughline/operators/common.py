@@ -32,7 +32,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def broadcast_up_to(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffle join follows)."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ancestors(path: Column) -> Column:
