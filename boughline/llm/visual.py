@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from boughline.operators.common import settle
+from boughline.operators.common import broadcast_up_to, settle
 
 # Letters of other scripts and the letter each has the shape of.
 LOOK_ALIKES = {
@@ -40,6 +39,8 @@ SHAPELESS = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F
 SHAPED = set(range(0x600, 0x606)) | {0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Arrow rows that are converted at a time.
 BATCH_TEXTS = 20_000
+#: Keys (of 16 bytes) up to which those with different texts are broadcast; beyond it rows are shuffled to them.
+KEYS_BROADCAST = 1_000_000
 #: Characters that one expression writes out; more take several.
 MOST_REPLACED = 150
 
@@ -167,9 +168,8 @@ def look_alikes(entries: DataFrame) -> DataFrame:
     Either both have one ``parent_path`` and their names differ but have one
     form, or the ``link_target`` of one differs from the ``path`` of the other
     but has its form. The key of both is (manifest, form of the full path),
-    as a 128-bit digest: entries and targets move as digests, repeated ones
-    combined before; a window per key keeps keys with different texts, and
-    only those are joined.
+    as a 128-bit digest: one aggregate finds the keys with different texts,
+    and only rows of those move and are joined.
     No pair is lost and equal texts are never paired, however many share a key.
 
     Repeated rows give no more pairs. Rows with a NULL manifest, seq or name
@@ -184,11 +184,11 @@ def look_alikes(entries: DataFrame) -> DataFrame:
     )
     target = F.struct(digest(F.col("_target"), 1).alias("h"), digest(F.col("_target"), 2).alias("g"), F.lit(0).cast("bigint").alias("parent"), F.xxhash64("link_target").alias("text"), F.lit(True).alias("link"))
     both = F.when(F.col("link_target").isNull(), F.array(own)).otherwise(F.array(own, target))
-    # Copies of a row are combined before they travel, however many there are.
-    rows = formed.select("manifest_id", "seq", F.explode(both).alias("r")).select("manifest_id", "seq", "r.*").distinct()
-    key = Window.partitionBy("h", "g")
-    mixed = rows.withColumn("_least", F.min("text").over(key)).withColumn("_most", F.max("text").over(key)).where("_least <> _most").drop("_least", "_most")
-    mixed = settle(mixed)
+    rows = formed.select("manifest_id", "seq", F.explode(both).alias("r")).select("manifest_id", "seq", "r.*")
+    # Copies, and all rows of a key, are combined before they travel.
+    keys = rows.groupBy("h", "g").agg(F.min("text").alias("_least"), F.max("text").alias("_most")).where("_least <> _most").select("h", "g")
+    keys = broadcast_up_to(settle(keys), KEYS_BROADCAST)
+    mixed = settle(rows.join(keys, ["h", "g"], "left_semi").distinct())
     a, b = mixed.where("NOT link").alias("a"), mixed.alias("b")
     match = (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.text") != F.col("b.text")) & (F.col("a.manifest_id") == F.col("b.manifest_id"))
     match &= F.when(F.col("b.link"), F.col("a.seq") != F.col("b.seq")).otherwise((F.col("a.seq") < F.col("b.seq")) & (F.col("a.parent") == F.col("b.parent")))
