@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boughline.operators.balance import balanced_aggregate, balanced_join
 from boughline.operators.changefeed import apply_changes
 from boughline.operators.snapshots import series_changes
+from boughline.plans import feedsql
 from boughline.sources.manifest_lines import load_manifest_lines, rejected_lines
 from boughline.sources.tables import table
 
@@ -95,6 +96,10 @@ _KEYED = (
 )
 
 SQL = {
+    "p1_found": feedsql.P1_FOUND,
+    "p1_entries": feedsql.P1_ENTRIES,
+    "p1_messages": feedsql.P1_MESSAGES,
+    "p6_found": feedsql.STATE,
     "p2_found": f"""
         SELECT field_name, {_VALUE} FROM {_KEYED} WHERE key IS NOT NULL
         GROUP BY field_name, key HAVING count(*) >= 0.025 * (SELECT count(*) FROM entries)""",

@@ -11,7 +11,7 @@ from boughline.functions import fields, ids, order
 from boughline.operators import changefeed, compare, navigate, rollup, sequences, summaries
 from boughline.operators.common import shared_folder
 from boughline.operators.snapshots import series_order, snapshot_diff
-from boughline.plans import reconcile
+from boughline.plans import feedsql, reconcile
 from boughline.plans import sqltext as S
 from boughline.schema import ENTRY, TREE, unique_entries
 from boughline.sources import text
@@ -745,12 +745,12 @@ def revert_patch(spark, d):
     return compare.apply_delta(new, compare.reverse_delta(old, new)).select(TREE, "path", "size")
 
 
-@query()
+@query(feedsql.LOG)
 def chain_log(spark, d):
     return changefeed.chain_log(table(spark, d, "patch_sections"), table(spark, d, "patch_entries"))
 
 
-@query()
+@query(feedsql.FIRST_THREE)
 def chain_first_three(spark, d):
     """The state of each chain after its first three sections."""
     return changefeed.apply_changes(table(spark, d, "patch_sections"), table(spark, d, "patch_entries"), stop_at=3).select("chain_id", "path", "lsn")
@@ -774,7 +774,7 @@ def sniff_text(spark, d):
     return text.sniff(text.manifest_text(_entries(spark, d)))
 
 
-@query()
+@query(feedsql.STATE)
 def stream_chain_state(spark, d):
     """The change feed taken as a stream; the state must equal the batch's."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
