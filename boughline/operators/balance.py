@@ -121,9 +121,12 @@ def balanced_join(big: DataFrame, matching: DataFrame, keys: list[str], tasks: i
     """Joins ``big`` with ``matching`` on ``keys`` (of the same names in both), load-balanced.
 
     Rows of ``big`` keep their multiplicity. ``how`` is ``inner`` or ``left``.
-    NULL keys match nothing; with ``left`` their rows stay. Other columns must
-    not clash; rename them before. Either side may be empty.
+    NULL keys match nothing; with ``left`` their rows stay. Other columns of
+    ``matching`` that ``big`` has too get the suffix ``_matching``. Either side
+    may be empty; rows of ``matching`` keep their multiplicity too.
     """
+    twice = {c for c in matching.columns if c in big.columns and c not in keys}
+    matching = matching.select(*[F.col(c).alias(f"{c}_matching" if c in twice else c) for c in matching.columns])
     loads = settle(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_load")))
     placed = place(loads, keys, "_load", tasks)
     left, right = scatter(big, placed, spread), replicate(matching, placed)

@@ -50,6 +50,16 @@ def test_balanced_join_keeps_rows(spark, how):
     assert got == want
 
 
+def test_balanced_join_of_nothing_and_clashing_names(spark):
+    _, df = skewed(spark, 50)
+    other = spark.createDataFrame([("hot", 7, 1), ("hot", 8, 1)], "key string, id int, v int")
+    joined = balanced_join(df, other, ["key"], 4, F.col("id"))
+    assert set(joined.columns) == {"key", "id", "size", "id_matching", "v"} and {r["id_matching"] for r in joined.collect()} == {7, 8}
+    assert joined.count() == 2 * df.where("key = 'hot'").count()
+    assert balanced_join(df.limit(0), other, ["key"], 4, F.col("id")).count() == 0
+    assert balanced_join(df, other.limit(0), ["key"], 4, F.col("id"), "left").count() == 50
+
+
 def test_running_sum(spark):
     rows = [("a" if i % 3 else None, i, i % 5) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, id bigint, n int")
