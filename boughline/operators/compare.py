@@ -38,7 +38,8 @@ def flat_diff(a: DataFrame, b: DataFrame, key: str = "name") -> DataFrame:
     ``b``, the others ``a``.
     """
     columns = ["path", "file_type", "perm", "size", "ts", "link_target", "content_id"]
-    both = _sides(last_by_name(a), last_by_name(b), "name", columns) if key == "name" else _sides(a, b, "path", columns)
+    slim = lambda df: df.select(TREE, "name", "seq", *columns)
+    both = _sides(last_by_name(slim(a)), last_by_name(slim(b)), "name", columns) if key == "name" else _sides(a, b, "path", columns)
     known = F.col("a.content_id").isNotNull() & F.col("b.content_id").isNotNull()
     mode = same_in(["file_type", "perm"])
     equal = F.when(known, mode & (F.col("a.content_id") == F.col("b.content_id"))).otherwise(mode & same_in(["size", "ts", "link_target"]))
