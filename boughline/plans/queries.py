@@ -34,8 +34,10 @@ def query(sql: str | None = None):
     return register
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unique_entries(table(spark, sf_dir, "entries"))
+def _entries(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Entries without repeated rows; with ``columns`` only those beside manifest and path, hashed without a sort."""
+    entries = table(spark, sf_dir, "entries")
+    return entries.select(TREE, "path", *columns).distinct() if columns else unique_entries(entries)
 
 
 def _order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,42 +75,42 @@ def _raw_line() -> F.Column:
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, seq, path, parent_path FROM e")
 def entry_paths(spark, d):
-    lines = _entries(spark, d).select(TREE, "seq", "depth", "name")
+    lines = _entries(spark, d, "seq", "depth", "name").select(TREE, "seq", "depth", "name")
     return navigate.build_paths(lines, "seq").select(TREE, "seq", "path", "parent_path")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, row_number() OVER (PARTITION BY manifest_id ORDER BY seq) AS row_no FROM e QUALIFY is_dir")
 def directories_numbered(spark, d):
-    return order.ranked(_entries(spark, d).select(TREE, "seq", "path", "is_dir"), TREE, [F.col("seq")], "row_no").where("is_dir").select(TREE, "path", "row_no")
+    return order.ranked(_entries(spark, d, "seq", "is_dir").select(TREE, "seq", "path", "is_dir"), TREE, [F.col("seq")], "row_no").where("is_dir").select(TREE, "path", "row_no")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE ends_with(name, '.exr')")
 def find_extension(spark, d):
-    return _entries(spark, d).where(F.col("name").endswith(".exr")).select(TREE, "path")
+    return _entries(spark, d, "name").where(F.col("name").endswith(".exr")).select(TREE, "path")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e WHERE size > 1000000")
 def large_files(spark, d):
-    return summaries.larger_than(_entries(spark, d), 1_000_000).select(TREE, "path", "size")
+    return summaries.larger_than(_entries(spark, d, "size", "is_dir"), 1_000_000).select(TREE, "path", "size")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {S.moment('ts')} AS ts_text FROM e WHERE ts > TIMESTAMP '2024-06-01'")
 def modified_after(spark, d):
-    return summaries.modified_after(_entries(spark, d), "2024-06-01").select(TREE, "path", fields.moment_text(F.col("ts")).alias("ts_text"))
+    return summaries.modified_after(_entries(spark, d, "ts", "is_dir"), "2024-06-01").select(TREE, "path", fields.moment_text(F.col("ts")).alias("ts_text"))
 
 
 @query(
     f"WITH {S.ENTRIES} SELECT manifest_id, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^./]*)$', 1) ELSE 'none' END AS extension, count(*) AS n_files FROM e WHERE NOT is_dir GROUP BY ALL"
 )
 def count_by_extension(spark, d):
-    return summaries.count_by_extension(_entries(spark, d))
+    return summaries.count_by_extension(_entries(spark, d, "name", "is_dir"))
 
 
 @query(
     f"WITH {S.ENTRIES} SELECT manifest_id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS top, CAST(sum(coalesce(size, 0)) AS BIGINT) AS n_bytes FROM e WHERE NOT is_dir GROUP BY ALL"
 )
 def bytes_by_top_directory(spark, d):
-    return summaries.bytes_by_top_directory(_entries(spark, d))
+    return summaries.bytes_by_top_directory(_entries(spark, d, "size", "is_dir"))
 
 
 _DUPLICATES = "d AS (SELECT manifest_id, content_id, count(*) AS n FROM e WHERE content_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"
@@ -116,12 +118,12 @@ _DUPLICATES = "d AS (SELECT manifest_id, content_id, count(*) AS n FROM e WHERE
 
 @query(f"WITH {S.ENTRIES}, {_DUPLICATES} SELECT manifest_id, lower(hex(content_id)) AS content_hex, n FROM d")
 def duplicate_content(spark, d):
-    return summaries.duplicate_ids(_entries(spark, d)).select(TREE, _hex().alias("content_hex"), "n")
+    return summaries.duplicate_ids(_entries(spark, d, "content_id")).select(TREE, _hex().alias("content_hex"), "n")
 
 
 @query(f"WITH {S.ENTRIES}, {_DUPLICATES} SELECT e.manifest_id, e.path, lower(hex(e.content_id)) AS content_hex FROM e JOIN d USING (manifest_id, content_id)")
 def duplicate_rows(spark, d):
-    return summaries.sharing_rows(_entries(spark, d)).select(TREE, "path", _hex().alias("content_hex"))
+    return summaries.sharing_rows(_entries(spark, d, "content_id")).select(TREE, "path", _hex().alias("content_hex"))
 
 
 @query(
@@ -129,22 +131,22 @@ def duplicate_rows(spark, d):
     "SELECT manifest_id, CAST(sum(coalesce(s, 0) * (n - 1)) AS BIGINT) AS wasted FROM g GROUP BY ALL"
 )
 def duplicate_wasted(spark, d):
-    return summaries.wasted_bytes(_entries(spark, d).where("size IS NOT NULL"))
+    return summaries.wasted_bytes(_entries(spark, d, "content_id", "size", "seq").where("size IS NOT NULL"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e WHERE size IS NOT NULL ORDER BY size DESC, manifest_id, path LIMIT 50")
 def top_by_size(spark, d):
-    return summaries.largest(_entries(spark, d), 50).select(TREE, "path", "size")
+    return summaries.largest(_entries(spark, d, "size"), 50).select(TREE, "path", "size")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {S.moment('ts')} AS ts_text FROM e WHERE ts IS NOT NULL ORDER BY ts DESC, manifest_id, path LIMIT 50")
 def top_by_time(spark, d):
-    return summaries.newest(_entries(spark, d), 50).select(TREE, "path", fields.moment_text(F.col("ts")).alias("ts_text"))
+    return summaries.newest(_entries(spark, d, "ts"), 50).select(TREE, "path", fields.moment_text(F.col("ts")).alias("ts_text"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, left(lower(hex(content_id)), 16) AS short_id FROM e")
 def short_ids(spark, d):
-    return _entries(spark, d).select(TREE, "path", F.substring(_hex(), 1, 16).alias("short_id"))
+    return _entries(spark, d, "content_id").select(TREE, "path", F.substring(_hex(), 1, 16).alias("short_id"))
 
 
 def _units_sql() -> str:
@@ -157,7 +159,7 @@ def _units_sql() -> str:
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {_units_sql()} AS units, format('{{:,}}', size) AS commas FROM e WHERE size IS NOT NULL")
 def size_texts(spark, d):
-    sized = _entries(spark, d).where("size IS NOT NULL")
+    sized = _entries(spark, d, "size").where("size IS NOT NULL")
     return sized.select(TREE, "path", fields.size_units(F.col("size")).alias("units"), fields.size_text(F.col("size")).alias("commas"))
 
 
@@ -190,32 +192,32 @@ def verify_content(spark, d):
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE regexp_full_match(name, '[^/]*_[a-f][^/]*\\.[^/][^/][^/]')")
 def glob_filter(spark, d):
-    return navigate.by_glob(_entries(spark, d), "*_[a-f]*.???").select(TREE, "path")
+    return navigate.by_glob(_entries(spark, d, "name"), "*_[a-f]*.???").select(TREE, "path")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE starts_with(name, 'h')")
 def prefix_filter(spark, d):
-    return navigate.by_prefix(_entries(spark, d), "h").select(TREE, "path")
+    return navigate.by_prefix(_entries(spark, d, "name"), "h").select(TREE, "path")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path FROM e WHERE depth = 2")
 def depth_filter(spark, d):
-    return navigate.at_depth(_entries(spark, d), 2).select(TREE, "path")
+    return navigate.at_depth(_entries(spark, d, "depth"), 2).select(TREE, "path")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, name, arg_max(path, seq) AS path FROM e GROUP BY ALL")
 def last_by_name(spark, d):
-    return navigate.last_by_name(_entries(spark, d)).select(TREE, "name", "path")
+    return navigate.last_by_name(_entries(spark, d, "name", "seq")).select(TREE, "name", "path")
 
 
 @query(f"WITH {S.ENTRIES} SELECT p.manifest_id, p.path, count(*) AS n_children FROM e p JOIN e c ON c.manifest_id = p.manifest_id AND c.parent_path = p.path WHERE p.is_dir GROUP BY ALL")
 def children_count(spark, d):
-    return navigate.children(_entries(spark, d)).groupBy(TREE, "path").agg(F.count(F.lit(1)).alias("n_children"))
+    return navigate.children(_entries(spark, d, "parent_path", "is_dir")).groupBy(TREE, "path").agg(F.count(F.lit(1)).alias("n_children"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, count(*) OVER (PARTITION BY manifest_id, parent_path) - 1 AS n_siblings FROM e")
 def sibling_counts(spark, d):
-    return navigate.sibling_counts(_entries(spark, d))
+    return navigate.sibling_counts(_entries(spark, d, "parent_path"))
 
 
 @query(
@@ -223,14 +225,14 @@ def sibling_counts(spark, d):
     "FROM e x JOIN e y ON x.manifest_id = y.manifest_id AND y.is_dir AND starts_with(x.path, y.path) AND x.path <> y.path"
 )
 def ancestor_rows(spark, d):
-    return navigate.ancestor_rows(_entries(spark, d))
+    return navigate.ancestor_rows(_entries(spark, d, "is_dir"))
 
 
 @query(
     f"WITH {S.ENTRIES} SELECT y.manifest_id, y.path, count(x.path) AS n_descendants FROM e y LEFT JOIN e x ON x.manifest_id = y.manifest_id AND starts_with(x.path, y.path) AND x.path <> y.path WHERE y.is_dir GROUP BY ALL"
 )
 def descendant_counts(spark, d):
-    return navigate.descendant_counts(_entries(spark, d))
+    return navigate.descendant_counts(_entries(spark, d, "is_dir"))
 
 
 #: The directory that subtree queries work on: the first of all top-level ones.
@@ -279,14 +281,14 @@ def resolve_path(spark, d):
 )
 def null_fields(spark, d):
     c = F.col
-    return _entries(spark, d).select(TREE, "path", fields.null_fields(c("file_type"), c("perm"), c("ts"), c("size")).alias("unknown"))
+    return _entries(spark, d, "file_type", "perm", "ts", "size").select(TREE, "path", fields.null_fields(c("file_type"), c("perm"), c("ts"), c("size")).alias("unknown"))
 
 
 @query(
     f"WITH {S.ENTRIES} SELECT manifest_id, coalesce(file_type, '?') AS kind, count(*) AS n, count(*) FILTER (WHERE coalesce(file_type = 'd', false) OR ends_with(name, '/')) AS n_dirs, count(*) FILTER (WHERE flow_op IS NOT NULL) AS n_flows, count(*) FILTER (WHERE is_sequence) AS n_sequences FROM e GROUP BY ALL"
 )
 def entry_kinds(spark, d):
-    e = _entries(spark, d)
+    e = _entries(spark, d, "file_type", "name", "flow_op", "is_sequence")
     return e.groupBy(TREE, F.coalesce("file_type", F.lit("?")).alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(fields.is_directory(F.col("file_type"), F.col("name"))).alias("n_dirs"), F.count_if(F.col("flow_op").isNotNull()).alias("n_flows"), F.count_if("is_sequence").alias("n_sequences")
     )
@@ -473,7 +475,7 @@ def plan_missing(spark, d):
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, lower(hex(content_id)) AS content_hex, min(path) AS path, count(*) AS n_paths FROM e WHERE NOT is_dir AND content_id IS NOT NULL GROUP BY manifest_id, content_id")
 def availability(spark, d):
-    return reconcile.availability(_entries(spark, d)).select(TREE, _hex().alias("content_hex"), "path", "n_paths")
+    return reconcile.availability(_entries(spark, d, "is_dir", "content_id")).select(TREE, _hex().alias("content_hex"), "path", "n_paths")
 
 
 # Roll-ups and identities
@@ -538,12 +540,12 @@ def _root_sql() -> str:
 
 @query(_root_sql())
 def id_list_roots(spark, d):
-    return ids.id_list_root(_entries(spark, d), TREE, "content_id", 256).select(TREE, _hex("root").alias("root_hex"))
+    return ids.id_list_root(_entries(spark, d, "content_id"), TREE, "content_id", 256).select(TREE, _hex("root").alias("root_hex"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, count(*) FILTER (WHERE NOT is_dir) AS n_files, count(*) FILTER (WHERE is_dir) AS n_dirs, CAST(sum(greatest(coalesce(size, 0), 0)) AS BIGINT) AS total_size FROM e GROUP BY ALL")
 def manifest_stats(spark, d):
-    return summaries.manifest_stats(_entries(spark, d))
+    return summaries.manifest_stats(_entries(spark, d, "is_dir", "size"))
 
 
 @query(
@@ -559,17 +561,17 @@ def field_stats(spark, d):
     f"""WITH {S.ENTRIES} SELECT manifest_id, greatest(80, CAST(ceil((37 + max(length(format('{{:,}}', coalesce(size, 0)))) + max(depth * 2 + length(name) + coalesce(length(link_target) + 4, 0)) + 10) / 10.0) * 10 AS BIGINT)) AS id_column FROM e GROUP BY manifest_id"""
 )
 def id_column(spark, d):
-    return summaries.id_width(_entries(spark, d))
+    return summaries.id_width(_entries(spark, d, "size", "depth", "name", "link_target"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, coalesce({S.mode()}, '-') AS mode, count(*) AS n FROM e GROUP BY ALL")
 def mode_counts(spark, d):
-    return summaries.mode_counts(_entries(spark, d))
+    return summaries.mode_counts(_entries(spark, d, "file_type", "perm"))
 
 
 @query(f"WITH {S.ENTRIES}, m AS (SELECT DISTINCT {S.mode()} AS mode, file_type, perm FROM e WHERE file_type IS NOT NULL AND perm > 0) SELECT mode, file_type, perm FROM m")
 def mode_round_trip(spark, d):
-    modes = _entries(spark, d).where("file_type IS NOT NULL AND perm > 0").select(fields.mode_text(F.col("file_type"), F.col("perm")).alias("mode")).distinct()
+    modes = _entries(spark, d, "file_type", "perm").where("file_type IS NOT NULL AND perm > 0").select(fields.mode_text(F.col("file_type"), F.col("perm")).alias("mode")).distinct()
     kind, perm = fields.parse_mode(F.col("mode"))
     return modes.select("mode", kind.alias("file_type"), perm.alias("perm"))
 
@@ -590,7 +592,7 @@ def canonical_text(spark, d):
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS place FROM e")
 def canonical_order(spark, d):
     key = [order.path_key(F.col("path")), F.col("path")]
-    return order.ranked(_entries(spark, d).select(TREE, "path"), TREE, key, "place").select(TREE, "path", "place")
+    return order.ranked(_entries(spark, d, "seq").select(TREE, "path"), TREE, key, "place").select(TREE, "path", "place")
 
 
 @query("WITH n AS (SELECT DISTINCT name FROM entries) SELECT name, row_number() OVER (ORDER BY " + S.natural("name") + ", name) AS place FROM n")
@@ -609,7 +611,7 @@ def natural_order(spark, d):
     FROM g WHERE n_frames >= 3 AND (link OR k = n_frames)"""
 )
 def sequence_fold(spark, d):
-    return sequences.fold_sequences(_entries(spark, d)).select(TREE, "parent_path", "name", "n_frames", "size", "perm")
+    return sequences.fold_sequences(_entries(spark, d, "is_dir", "name", "parent_path", "file_type", "size", "ts", "perm", "content_id")).select(TREE, "parent_path", "name", "n_frames", "size", "perm")
 
 
 @query(
@@ -618,7 +620,7 @@ def sequence_fold(spark, d):
     SELECT manifest_id, path, frame - CAST(a AS BIGINT) + 1 AS frame_no, frame, coalesce(parent_path, '') || prefix || CASE WHEN length(CAST(frame AS VARCHAR)) < length(a) THEN lpad(CAST(frame AS VARCHAR), CAST(length(a) AS INTEGER), '0') ELSE CAST(frame AS VARCHAR) END || suffix AS member FROM x"""
 )
 def sequence_expand(spark, d):
-    return sequences.expand_sequences(_entries(spark, d))
+    return sequences.expand_sequences(_entries(spark, d, "name", "parent_path"))
 
 
 @query(
@@ -626,7 +628,7 @@ def sequence_expand(spark, d):
 )
 def frame_counts(spark, d):
     """Frames of each directory as normal ranges, counted back from the ranges."""
-    files = _entries(spark, d).where(~F.col("is_dir") & F.col("name").rlike("[0-9]"))
+    files = _entries(spark, d, "is_dir", "name", "parent_path").where(~F.col("is_dir") & F.col("name").rlike("[0-9]"))
     number = F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint")
     one = F.struct(number.alias("first"), number.alias("last"), F.lit(1).cast("bigint").alias("step"))
     lists = files.groupBy(TREE, "parent_path").agg(F.collect_set(one).alias("r"))
@@ -638,7 +640,7 @@ def frame_counts(spark, d):
     SELECT manifest_id, path, 'name' AS issue FROM c WHERE core IN ('', '.', '..') OR contains(core, '/') OR contains(core, chr(92)) UNION SELECT manifest_id, path, 'duplicate' FROM e GROUP BY ALL HAVING count(*) > 1"""
 )
 def structural_issues(spark, d):
-    return summaries.structural_issues(_entries(spark, d))
+    return summaries.structural_issues(_entries(spark, d, *[c for c in ENTRY.names if c not in (TREE, "path")]))
 
 
 @query(
@@ -647,7 +649,7 @@ def structural_issues(spark, d):
     SELECT manifest_id, seq, 'depth jump' AS issue FROM w WHERE jump > 1 UNION ALL SELECT manifest_id, seq, 'file after directory' FROM w WHERE NOT is_dir AND late"""
 )
 def order_issues(spark, d):
-    return summaries.order_issues(_entries(spark, d))
+    return summaries.order_issues(_entries(spark, d, "seq", "depth", "is_dir", "parent_path"))
 
 
 @query(
@@ -697,7 +699,7 @@ def safe_names(spark, d):
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, flow_op, flow_target, regexp_matches(flow_target, '^[a-zA-Z][a-zA-Z0-9_-]*:') AS labelled, count(*) AS n FROM e WHERE flow_op IS NOT NULL GROUP BY ALL")
 def flow_links(spark, d):
-    flows = _entries(spark, d).where("flow_op IS NOT NULL")
+    flows = _entries(spark, d, "flow_op", "flow_target").where("flow_op IS NOT NULL")
     return flows.groupBy(TREE, "flow_op", "flow_target", fields.is_flow_target(F.col("flow_target")).alias("labelled")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -735,7 +737,7 @@ def explain_patch(spark, d):
     f"WITH {S.ENTRIES}, r AS (SELECT manifest_id, row_number() OVER (PARTITION BY manifest_id ORDER BY seq, path) AS a, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS b FROM e) SELECT manifest_id, count(*) FILTER (WHERE a <> b) AS n_moved FROM r GROUP BY ALL"
 )
 def out_of_order(spark, d):
-    return summaries.out_of_order(_entries(spark, d))
+    return summaries.out_of_order(_entries(spark, d, "seq"))
 
 
 @query(f"WITH {S.PAIRS} SELECT manifest_id, path, size FROM a")
