@@ -69,8 +69,9 @@ def sharing_rows(entries: DataFrame) -> DataFrame:
 
 
 def wasted_bytes(entries: DataFrame) -> DataFrame:
-    """``manifest_id, wasted``: bytes of further copies; of an id's sizes the last one counts."""
-    per = entries.where("content_id IS NOT NULL").groupBy(TREE, "content_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("size", "seq").alias("s"))
+    """``manifest_id, wasted``: bytes of further copies, all entries of an id counted; of an id's known sizes the last one counts."""
+    known = F.when(F.col("size").isNotNull(), F.col("seq"))
+    per = entries.where("content_id IS NOT NULL").groupBy(TREE, "content_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("size", known).alias("s"))
     return per.groupBy(TREE).agg(F.sum(F.coalesce("s", F.lit(0)) * (F.col("n") - 1)).alias("wasted"))
 
 

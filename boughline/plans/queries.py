@@ -131,7 +131,7 @@ def duplicate_rows(spark, d):
     "SELECT manifest_id, CAST(sum(coalesce(s, 0) * (n - 1)) AS BIGINT) AS wasted FROM g GROUP BY ALL"
 )
 def duplicate_wasted(spark, d):
-    return summaries.wasted_bytes(_entries(spark, d, "content_id", "size", "seq").where("size IS NOT NULL"))
+    return summaries.wasted_bytes(_entries(spark, d, "content_id", "size", "seq"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e WHERE size IS NOT NULL ORDER BY size DESC, manifest_id, path LIMIT 50")
