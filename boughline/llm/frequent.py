@@ -114,8 +114,10 @@ def top_values(df: DataFrame, column: str, k: int, **sketch: int) -> DataFrame:
     Candidates come from the sketch; their rows are then counted (a scan that
     keeps at most a few hundred values). If the ``k``-th count doesn't lie above
     the estimates of all candidates left out and the floor, more candidates
-    are counted, up to all. At equal counts the smaller value comes first. Raises if even all candidates leave
-    the result open, which a larger ``heap`` and ``width`` settle.
+    are counted, up to all. If even all candidates leave the result open (flat
+    columns, ties with evicted values), all values are counted in one
+    aggregate, combined before the shuffle. At equal counts the smaller value
+    comes first.
     """
     found = heavy_candidates(df, column, **sketch).persist()
     try:
@@ -129,8 +131,13 @@ def top_values(df: DataFrame, column: str, k: int, **sketch: int) -> DataFrame:
             unseen = max(floor, best[n]["approx_count"] if len(best) > n else 0)
             if (len(top) == k and top[-1]["n_rows"] > unseen) or unseen == 0:
                 break
-            if len(best) <= n:
-                raise ValueError(f"the sketch is too small: a value left out may occur {unseen} times")
+            if len(best) <= n or best[k - 1]["approx_count"] <= floor:  # more candidates can't settle it
+                least = top[-1]["n_rows"] if len(top) == k else 1
+                values = df.select(F.col(column).alias("value")).where("value IS NOT NULL")
+                exact = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least).orderBy(F.desc("n_rows"), "value").limit(k)
+                seen = exact.join(found.select("value", "approx_count"), "value", "left")
+                top = seen.select("value", "n_rows", F.coalesce("approx_count", F.lit(floor)).alias("approx_count")).orderBy(F.desc("n_rows"), "value").collect()
+                break
             n *= 4
     finally:
         found.unpersist()
