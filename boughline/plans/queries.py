@@ -55,10 +55,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Base, local and remote entries of every run of three consecutive snapshots, under the newest manifest's id."""
     entries, o = _entries(spark, sf_dir), _order(spark, sf_dir)
-    enough = o.where("ordinal = 2").select("series")
-    kept = o.join(enough, "series", "left_semi")
-    return [entries.join(kept.where(F.col("ordinal") == i).select("snapshot", "series"), F.col(TREE) == F.col("snapshot")).withColumn(TREE, F.col("series")).select(*ENTRY.names) for i in range(3)]
+    newest = o.where("ordinal >= 2").select("series", F.col("snapshot").alias("_new"), F.col("ordinal").alias("_last"))
+    runs = o.join(newest, "series").select("snapshot", "_new", (F.col("_last") - F.col("ordinal")).alias("_back"))
+    return [entries.join(runs.where(F.col("_back") == i).select("snapshot", "_new"), F.col(TREE) == F.col("snapshot")).withColumn(TREE, F.col("_new")).select(*ENTRY.names) for i in (2, 1, 0)]
 
 
 def _hex(c: str = "content_id") -> F.Column:
@@ -404,8 +405,8 @@ def merge_conflicts(spark, d):
     f"UNION SELECT t1.manifest_id, regexp_replace(t1.path, '/$', '') || '.conflict/' FROM t1 JOIN t2 USING (manifest_id, path) WHERE t1.is_dir AND NOT {_LR}"
 )
 def union_trees(spark, d):
-    _, local, remote = _triples(spark, d)
-    return compare.merge_trees(local.limit(0), local, remote)[0].select(TREE, "path")
+    old, new = _pairs(spark, d)
+    return compare.merge_trees(old.limit(0), old, new)[0].select(TREE, "path")
 
 
 _CLOSED = """q AS (SELECT manifest_id, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/' AS path
