@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,21 +20,30 @@ def section_order(sections: DataFrame) -> DataFrame:
     Returns ``chain_id, section_id, lsn`` with ``lsn`` from 1. Deliveries of one
     change (same chain, base and new state) are one section, named by the
     smallest ``section_id``. Chains are linear: of several sections that start
-    from one state, or make one state, the one that arrived first counts.
-    Sections without a new state, and those that no chain leads to, are left out.
+    from one state, the one that arrived first applies first, the others where
+    the chain comes back to that state. Sections without a new state, and those
+    that no chain leads to, are left out, whatever state they name.
 
     Positions come from pointer doubling: each round joins every section with
     the one its pointer names and doubles the reach, so a chain of n sections
-    takes log2(n) rounds, whatever share of the rows it holds.
+    takes log2(n) rounds, whatever share of the rows it holds. Chains in which
+    a state starts or ends several sections are walked forward in the same way.
     """
     once = (
         sections.where("chain_id IS NOT NULL AND new_id IS NOT NULL")
         .groupBy("chain_id", "base_id", "new_id")
         .agg(F.min("section_id").alias("section_id"), F.min("arrived_at").alias("_at"))
     )
-    first = F.row_number()
-    once = once.withColumn("_r", first.over(Window.partitionBy("chain_id", "new_id").orderBy(F.col("_at").asc_nulls_last(), F.col("section_id")))).where("_r = 1")
-    once = once.withColumn("_r", first.over(Window.partitionBy("chain_id", "base_id").orderBy(F.col("_at").asc_nulls_last(), F.col("section_id")))).where("_r = 1")
+    once = settle(once)
+    unclear = reduce(DataFrame.unionByName, [once.groupBy("chain_id", c).count().where("count > 1").select("chain_id") for c in ("base_id", "new_id")]).distinct()
+    unclear = settle(unclear)
+    if unclear.isEmpty():
+        return _doubled(once)
+    return _doubled(once.join(unclear, "chain_id", "left_anti")).unionByName(_walked(once.join(unclear, "chain_id", "left_semi")))
+
+
+def _doubled(once: DataFrame) -> DataFrame:
+    """Positions in chains of which each state starts and ends one section at most."""
     links = settle(once.select("chain_id", "section_id", F.col("new_id").alias("_state"), F.col("base_id").alias("_ptr"), F.lit(1).cast("bigint").alias("lsn")))
     rounds = max(1, links.count().bit_length())
     for _ in range(rounds):  # more are never needed; a cycle is left unresolved
@@ -55,6 +66,40 @@ def section_order(sections: DataFrame) -> DataFrame:
     return links.where("_ptr IS NULL").select("chain_id", "section_id", "lsn")
 
 
+def _walked(left: DataFrame) -> DataFrame:
+    """Positions in any chains: from the empty state on, at each state the first arrived section not yet applied.
+
+    Each round follows the first section of every state until a state has none
+    or was met before, doubling the reach of jumps; chains that came back to a
+    state with sections left go on with those in the next round.
+    """
+    ends = left.select("chain_id").distinct().select(F.col("chain_id").alias("_c"), F.lit(None).cast("binary").alias("_state"), F.lit(0).cast("bigint").alias("_lsn"))
+    walked = []
+    while True:
+        arrived = Window.partitionBy("chain_id", "base_id").orderBy(F.col("_at").asc_nulls_last(), F.col("section_id"))
+        first = settle(left.withColumn("_r", F.row_number().over(arrived)).where("_r = 1").drop("_r"))
+        at_end = (F.col("chain_id") == F.col("_c")) & F.col("base_id").eqNullSafe(F.col("_state"))
+        reached = settle(first.join(ends, at_end).select("chain_id", "section_id", (F.col("_lsn") + 1).alias("lsn")))
+        if reached.isEmpty():
+            break
+        after = first.select(F.col("chain_id").alias("_c"), F.col("base_id").alias("_b"), F.col("section_id").alias("_next"))
+        jumps = settle(first.join(after, (F.col("chain_id") == F.col("_c")) & (F.col("new_id") == F.col("_b"))).select("chain_id", "section_id", "_next"))
+        hop, known = 1, reached.count()
+        while True:
+            ahead = reached.join(jumps, ["chain_id", "section_id"]).select("chain_id", F.col("_next").alias("section_id"), (F.col("lsn") + hop).alias("lsn"))
+            reached = settle(reached.unionByName(ahead).groupBy("chain_id", "section_id").agg(F.min("lsn").alias("lsn")))
+            n = reached.count()
+            if n == known:
+                break
+            second = jumps.select("chain_id", F.col("section_id").alias("_next"), F.col("_next").alias("_then"))
+            jumps = settle(jumps.join(second, ["chain_id", "_next"]).select("chain_id", "section_id", F.col("_then").alias("_next")))
+            hop, known = 2 * hop, n
+        walked.append(reached)
+        ends = settle(first.join(reached, ["chain_id", "section_id"]).groupBy(F.col("chain_id").alias("_c")).agg(F.max_by("new_id", "lsn").alias("_state"), F.max("lsn").alias("_lsn")))
+        left = settle(left.join(reached, ["chain_id", "section_id"], "left_anti"))
+    return reduce(DataFrame.unionByName, walked, reached)
+
+
 def _classified(events: DataFrame, resets: DataFrame) -> DataFrame:
     """Events of known paths with ``_odd`` (puts a row; else removes it) and ``_live`` (last of its path and not reset since).
 
