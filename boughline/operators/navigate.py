@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boughline.functions.globs import glob
-from boughline.operators.common import ancestors
+from boughline.operators.common import ancestors, settle
 from boughline.schema import ENTRY, TREE, located
 
 
@@ -148,24 +148,32 @@ def resolve(entries: DataFrame, path: str) -> DataFrame:
     return entries.where(F.col("path").isin(path.rstrip("/"), path.rstrip("/") + "/"))
 
 
-def expand_listings(entries: DataFrame, listings: DataFrame, max_levels: int = 64) -> DataFrame:
+def expand_listings(entries: DataFrame, listings: DataFrame) -> DataFrame:
     """Inlines stored one-level listings below directories, level by level.
 
     ``listings`` has ``listing_id`` (an id of directories) and the entry
     columns ``name``, ``file_type``, ``perm``, ``ts``, ``size``,
-    ``content_id``. Directories without a stored listing stay closed.
+    ``content_id``. Directories without a stored listing stay closed. Listings
+    are inlined however deep they are nested; raises if one contains itself,
+    which ids of contents can't.
     """
     stored = listings.select(F.col("listing_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("name", "file_type", "perm", "ts", "size", "content_id")])
     result = entries
     front = entries.where("is_dir AND content_id IS NOT NULL")
-    for _ in range(max_levels):
+    level, most = 0, None
+    while True:
         found = front.select(TREE, F.col("path").alias("_up"), F.col("content_id").alias("_c")).join(stored, F.col("_c") == F.col("_id"))
         rows = found.select(TREE, F.concat("_up", "_name").alias("path"), *[F.col(f"_{c}").alias(c) for c in ("file_type", "perm", "ts", "size", "content_id")])
         at = located(F.col("path"))
         front = rows.select("*", *[v.alias(k) for k, v in at.items()])
-        front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front
+        front = settle(front)
         if front.isEmpty():
             break
+        level += 1
+        if level == 64:  # nested deeper than there are listings, one would contain itself
+            most = listings.select("listing_id").distinct().count()
+        if most is not None and level > most:
+            raise ValueError("a stored listing contains itself")
         result = result.unionByName(front, allowMissingColumns=True)
         front = front.where("is_dir AND content_id IS NOT NULL")
     return result
