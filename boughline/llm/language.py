@@ -60,17 +60,30 @@ _IDENT = r"[!-~]*[0-9_/\\@=<>{}#$%^*+|~][!-~]*"
 _DROPPED = re.compile(r'`[^`]*`|"[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|' + _IDENT)
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]+|[^\W\d_぀-ヿ㐀-鿿豈-﫿]+")
 _PREFIX = re.compile(r"^(?:\[[^\]]*\]\s*|WIP:?\s+|[A-Za-z][\w./-]*(?:\([^)]*\))?!?:\s+)+")
-_TRAILER = re.compile(r"^(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+|Cc|Fixes|Closes|Refs|Bug|Link|See):|^\(cherry picked from|^Conflicts:\s*$|^[\t ]")
+_TRAILER = re.compile(r"^(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+|Cc|Fixes|Closes|Refs|Bug|Link|See):|^\(cherry picked from|^Conflicts:\s*$")
+_CODE_END = re.compile(r"[;{}]$")
+_PROSE_END = re.compile(r"[.!?…,:]$")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
+def _listed(line: str) -> bool:
+    """Whether an indented line is a path or code: a single token that ends no clause, or half of it identifiers at least."""
+    body = line.strip()
+    if line[:1] not in ("\t", " ") or _CJK.search(body):
+        return False
+    tokens = body.split()
+    if len(tokens) == 1 and not _PROSE_END.search(body) or _CODE_END.search(body):
+        return True
+    return 2 * len(_WORD.findall(_DROPPED.sub(" ", body))) <= len(tokens)
+
+
 def sentences(text: str) -> list[list[tuple[str, list[str]]]]:
     """Paragraphs of a message's natural language, each a list of (sentence, words).
 
     Of a commit only the indented lines are its message. Quote marks of
-    replies are removed; trailers, file lists, identifiers and quoted phrases
-    are no words. Whole texts are read.
+    replies are removed; trailers, file lists and code (``_listed``),
+    identifiers and quoted phrases are no words. Whole texts are read.
     """
     lines = text.replace("\r", "").split("\n")
     if text.startswith("commit "):
@@ -79,7 +92,7 @@ def sentences(text: str) -> list[list[tuple[str, list[str]]]]:
     for line in [*lines, ""]:
         body = line.lstrip("> ") if line.startswith(">") else line
         mark = ">" if line.startswith(">") else ""
-        skip = not body.strip() or _TRAILER.match(body)
+        skip = not body.strip() or _TRAILER.match(body) or _listed(body)
         if held and (skip or mark != level):
             paragraphs.append(" ".join(held))
             held = []
