@@ -28,8 +28,10 @@ STEPS = 45
 #: Rounds that clean labels, and how many times likelier a document's label makes its language.
 CLEAN_ROUNDS = 6
 LABEL_ODDS = 4.0
-#: Part of a language's sentences that must bear its label, else its labels are taken for wrong.
+#: Part of a language's sentences that must bear its label, else its words are compared with the other languages'.
 RELIABLE_AT = 0.25
+#: Overlap of word distributions (Bhattacharyya) from which two languages can't be told apart.
+ALIKE_AT = 0.8
 #: Words that a sentence's evidence counts as at most, since its words aren't independent.
 EVIDENCE_WORDS = 4
 #: Hash buckets of word, affix and n-gram features.
@@ -218,7 +220,8 @@ def clean_labels(labels: list[str], words: list[np.ndarray], given: np.ndarray,
     the label of its document counts ``LABEL_ODDS`` times only. A sentence is no
     evidence of its own (it is left out of the counts it is judged by). A
     language few of whose sentences bear its label (``RELIABLE_AT``) is none that
-    occurs: its labels were given to other languages' sentences, to which they return.
+    occurs if its words are another's (``ALIKE_AT``) or none is of its lexicon:
+    its labels were given to other languages' sentences, to which they return.
     """
     n = len(labels)
     flat, size = np.concatenate(words), np.array([len(w) for w in words])
@@ -233,7 +236,14 @@ def clean_labels(labels: list[str], words: list[np.ndarray], given: np.ndarray,
         if round_no > 1:
             held = belief.sum(axis=0)
             true = np.array([belief[given == j, j].sum() for j in range(n)])
-            gone |= true < RELIABLE_AT * held
+            doubted = (true < RELIABLE_AT * held) & ~gone
+            if doubted.any():
+                used = np.array([np.bincount(flat, weights=belief[owner, j], minlength=len(vocabulary)) for j in range(n)])
+                roots = np.sqrt(used / np.maximum(used.sum(axis=1, keepdims=True), 1e-9))
+                for j in np.flatnonzero(doubted):
+                    alike = np.delete(roots @ roots[j], j).max(initial=0.0)
+                    unknown = labels[j] in _WORDS and used[j, known[:, j] > 0].sum() < 0.5
+                    gone[j] = alike >= ALIKE_AT or unknown
         counts = known.copy()
         for j in range(n):
             counts[:, j] += np.bincount(flat, weights=belief[owner, j], minlength=len(vocabulary))
