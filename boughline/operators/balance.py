@@ -25,12 +25,12 @@ BUNDLES_PER_TASK = 32
 
 @dataclass(frozen=True)
 class Placement:
-    """Where keys go: ``heavy`` has ``keys, _tasks array<int>``, ``bundles[i]`` is the task of bundle i."""
+    """Where keys go: ``heavy`` has ``keys, _tasks array<int>``, ``bundles`` has ``_b, _light`` (bundle and task)."""
 
     keys: tuple[str, ...]
     tasks: int
     heavy: DataFrame
-    bundles: tuple[int, ...]
+    bundles: DataFrame
     loads: tuple[int, ...]
 
 
@@ -69,22 +69,22 @@ def place(loads: DataFrame, keys: list[str], weight: str, tasks: int) -> Placeme
             shard_tasks[i].append(task)
     schema = T.StructType([*loads.select(*keys).schema, T.StructField("_tasks", T.ArrayType(T.IntegerType()))])
     rows = [(*[r[k] for k in keys], sorted(set(t))) for r, t in zip(heavy, shard_tasks, strict=True)]
-    table = loads.sparkSession.createDataFrame(rows, schema)
+    spark = loads.sparkSession
+    bundles = spark.createDataFrame(list(enumerate(bundle_task)), "_b int, _light int")
     by_task = [0] * tasks
     for at, task in queue:
         by_task[task] = int(at)
-    return Placement(tuple(keys), tasks, table, tuple(bundle_task), tuple(by_task))
+    return Placement(tuple(keys), tasks, spark.createDataFrame(rows, schema), bundles, tuple(by_task))
 
 
 def _with_tasks(df: DataFrame, p: Placement) -> DataFrame:
     """Adds ``_tasks``: the tasks that hold a row's key."""
     heavy = p.heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(p.keys)], "_tasks")
     match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(p.keys)])
-    table = F.array(*[F.lit(t) for t in p.bundles])
-    light = F.array(F.element_at(table, _bundle(p.keys, len(p.bundles)) + 1))
-    # At most tasks / SPLIT_AT rows: a proven bound.
-    joined = df.join(F.broadcast(heavy), match, "left")
-    return joined.withColumn("_tasks", F.coalesce("_tasks", light)).drop(*[f"_h{i}" for i in range(len(p.keys))])
+    bundle = F.when(F.col("_tasks").isNull(), _bundle(p.keys, p.tasks * BUNDLES_PER_TASK))
+    # At most tasks / SPLIT_AT and tasks * BUNDLES_PER_TASK rows: proven bounds.
+    joined = df.join(F.broadcast(heavy), match, "left").withColumn("_b", bundle).join(F.broadcast(p.bundles), "_b", "left")
+    return joined.withColumn("_tasks", F.coalesce("_tasks", F.array("_light"))).drop("_b", "_light", *[f"_h{i}" for i in range(len(p.keys))])
 
 
 def scatter(df: DataFrame, p: Placement, spread: Column) -> DataFrame:
@@ -103,15 +103,17 @@ def balanced_aggregate(df: DataFrame, keys: list[str], partials: dict[str, tuple
 
     ``partials`` maps an output column to an aggregate and to the function that
     merges it (``sum``, ``min`` or ``max``). Rows are combined before the first
-    shuffle into at most ``slots`` parts per key, the parts are placed by load
-    (``place``), combined by task and the shards of split keys merged. A NULL
-    key is a key of its own; repeated rows are rows; an empty table has no keys.
+    shuffle into at most ``slots`` parts per key; the parts, which are what
+    moves, are placed by their number (``place``), combined by task and the
+    shards of split keys merged. There is no matching side to replicate
+    (``balanced_join`` has one). A NULL key is a key of its own; repeated rows
+    are rows; an empty table has no keys.
     """
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
     sliced = df.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(slots)))
-    parts = sliced.groupBy(*keys, "_slot").agg(*[a.alias(c) for c, (a, _) in partials.items()], F.count(F.lit(1)).alias("_rows"))
+    parts = sliced.groupBy(*keys, "_slot").agg(*[a.alias(c) for c, (a, _) in partials.items()])
     parts = settle(parts)
-    placed = place(parts.groupBy(*keys).agg(F.sum("_rows").alias("_load")), keys, "_load", tasks)
+    placed = place(parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_load")), keys, "_load", tasks)
     merged = [merge[how](c).alias(c) for c, (_, how) in partials.items()]
     by_task = scatter(parts, placed, F.col("_slot")).groupBy("_task", *keys).agg(*merged)
     return by_task.groupBy(*keys).agg(*merged)

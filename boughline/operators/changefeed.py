@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boughline.operators.common import ancestors, settle
+from boughline.operators.common import ancestors, broadcast_up_to, discard, settle
 
 #: Fields in which an entry equals the current one at its path, which removes it.
 IDENTITY = ["name", "file_type", "perm", "ts", "size", "link_target", "content_id", "hard_link", "flow_op", "flow_target"]
@@ -44,25 +44,24 @@ def section_order(sections: DataFrame) -> DataFrame:
 
 def _doubled(once: DataFrame) -> DataFrame:
     """Positions in chains of which each state starts and ends one section at most."""
-    links = settle(once.select("chain_id", "section_id", F.col("new_id").alias("_state"), F.col("base_id").alias("_ptr"), F.lit(1).cast("bigint").alias("lsn")))
+    links = settle(once.select("chain_id", "section_id", F.col("new_id").alias("_state"), F.col("base_id").alias("_ptr"), F.lit(1).cast("bigint").alias("lsn"), F.lit(True).alias("_moved")))
     rounds = max(1, links.count().bit_length())
     for _ in range(rounds):  # more are never needed; a cycle is left unresolved
         at = links.select(F.col("chain_id").alias("_c"), F.col("_state").alias("_s"), F.col("_ptr").alias("_next"), F.col("lsn").alias("_hops"))
         joined = links.join(at, (F.col("chain_id") == F.col("_c")) & (F.col("_ptr") == F.col("_s")), "left")
         moved = F.col("_s").isNotNull()
-        links = settle(
-            joined.select(
-                "chain_id",
-                "section_id",
-                "_state",
-                F.when(moved, F.col("_next")).otherwise(F.col("_ptr")).alias("_ptr"),
-                (F.col("lsn") + F.when(moved, F.col("_hops")).otherwise(0)).alias("lsn"),
-                moved.alias("_moved"),
-            )
+        ahead = joined.select(
+            "chain_id",
+            "section_id",
+            "_state",
+            F.when(moved, F.col("_next")).otherwise(F.col("_ptr")).alias("_ptr"),
+            (F.col("lsn") + F.when(moved, F.col("_hops")).otherwise(0)).alias("lsn"),
+            moved.alias("_moved"),
         )
+        former, links = links, settle(ahead)
+        discard(former)
         if links.where("_moved AND _ptr IS NOT NULL").isEmpty():
             break
-        links = links.drop("_moved")
     return links.where("_ptr IS NULL").select("chain_id", "section_id", "lsn")
 
 
@@ -105,31 +104,43 @@ def _classified(events: DataFrame, resets: DataFrame) -> DataFrame:
 
     Within a run of equal consecutive values the first puts the row, the second
     removes it, the third puts it again; a reset (an ancestor's removal) starts
-    over, and wins over changes below it in the same section.
+    over, and wins over changes below it in the same section. One sort of each
+    path's events serves all windows. ``_fresh`` marks the first event since the
+    last reset, ``_next_reset`` the reset that follows.
     """
     marked = events.withColumn("_reset", F.lit(None).cast("bigint")).unionByName(
         resets.select("chain_id", "path", F.col("lsn"), F.col("lsn").alias("_reset"), F.lit(-1).cast("bigint").alias("seq")), allowMissingColumns=True
     )
-    by_path = Window.partitionBy("chain_id", "path")
-    upto = by_path.orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumn("_epoch", F.coalesce(F.last("_reset", ignorenulls=True).over(upto), F.lit(-1).cast("bigint")))
-    after = by_path.orderBy("lsn", "seq").rowsBetween(1, Window.unboundedFollowing)
-    marked = marked.withColumn("_next_reset", F.first("_reset", ignorenulls=True).over(after))
-    marked = marked.withColumn("_last_reset", F.coalesce(F.max("_reset").over(by_path), F.lit(-1).cast("bigint")))
-    own = marked.where("_reset IS NULL AND lsn > _epoch")
-    in_epoch = Window.partitionBy("chain_id", "path", "_epoch").orderBy("lsn", "seq")
+    by = Window.partitionBy("chain_id", "path").orderBy("lsn", "seq")
+    upto, before, all_ = (by.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1, Window.unboundedFollowing))
+    none = F.lit(-1).cast("bigint")
     value = F.struct(*IDENTITY)
-    own = own.withColumn("_step", F.row_number().over(in_epoch)).withColumn("_same", (F.col("_step") > 1) & F.lag(value).over(in_epoch).eqNullSafe(value))
-    own = own.withColumn("_run_start", F.max(F.when(~F.col("_same"), F.col("_step"))).over(in_epoch.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    own = own.withColumn("_odd", (F.col("_step") - F.col("_run_start")) % 2 == 0)
-    newest = Window.partitionBy("chain_id", "path").orderBy(F.col("lsn").desc(), F.col("seq").desc())
-    return own.withColumn("_live", (F.row_number().over(newest) == 1) & (F.col("_epoch") == F.col("_last_reset")))
+    marked = marked.select(
+        "*",
+        F.coalesce(F.last("_reset", ignorenulls=True).over(upto), none).alias("_epoch"),
+        F.coalesce(F.max("_reset").over(all_), none).alias("_last_reset"),
+        F.first("_reset", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_next_reset"),
+        # Within an epoch the event before is the row before.
+        F.lag(value).over(by).eqNullSafe(value).alias("_same"),
+        F.lead("lsn").over(by).isNull().alias("_final"),
+    )
+    own = F.col("_reset").isNull() & (F.col("lsn") > F.col("_epoch"))
+    marked = marked.withColumn("_own", own).withColumn("_n", F.count_if("_own").over(upto))
+    fresh = ~F.last(F.when(F.col("_own"), F.col("_epoch")), ignorenulls=True).over(before).eqNullSafe(F.col("_epoch"))
+    marked = marked.withColumn("_fresh", fresh)
+    start = F.last(F.when(F.col("_own") & (F.col("_fresh") | ~F.col("_same")), F.col("_n")), ignorenulls=True).over(upto)
+    marked = marked.withColumn("_odd", (F.col("_n") - start) % 2 == 0)
+    return marked.where("_own").withColumn("_live", F.col("_final") & (F.col("_epoch") == F.col("_last_reset")))
+
 
+def _below(events: DataFrame, removals: DataFrame) -> DataFrame:
+    """Resets ``chain_id, path, lsn`` that removals of directories mean for the paths below them.
 
-def _below(paths: DataFrame, removals: DataFrame) -> DataFrame:
-    """Resets ``chain_id, path, lsn`` that removals of directories mean for the paths below them."""
-    up = paths.select("chain_id", "path", F.explode(ancestors(F.col("path"))).alias("_dir"))
-    gone = removals.select(F.col("chain_id").alias("_c"), F.col("path").alias("_d"), "lsn")
+    Removals are few as a rule: they go to the events, so that only paths below
+    a removed directory move; beyond ``BROADCAST_ROWS`` of them both sides are shuffled.
+    """
+    gone = broadcast_up_to(removals.select(F.col("chain_id").alias("_c"), F.col("path").alias("_d"), "lsn"))
+    up = events.select("chain_id", "path", F.explode(ancestors(F.col("path"))).alias("_dir"))
     return up.join(gone, (F.col("chain_id") == F.col("_c")) & (F.col("_dir") == F.col("_d"))).select("chain_id", "path", "lsn").distinct()
 
 
@@ -140,22 +151,25 @@ def _replayed(sections: DataFrame, changes: DataFrame, base: DataFrame | None, s
         order = order.where(F.col("lsn") <= stop_at)
     fields = ["seq", "path", "is_dir", *IDENTITY]
     slim = changes.where("path IS NOT NULL").select("section_id", *[F.col(c) for c in fields])
-    events = slim.join(order, "section_id").select("chain_id", "lsn", *fields)
+    events = slim.join(broadcast_up_to(order), "section_id").select("chain_id", "lsn", *fields)
     if base is not None:
         events = events.unionByName(base.where("path IS NOT NULL").select("chain_id", F.lit(0).cast("bigint").alias("lsn"), *fields))
     rest = [c for c in events.columns if c not in ("chain_id", "path", "lsn", "seq")]
     events = settle(events.groupBy("chain_id", "path", "lsn", *rest).agg(F.coalesce(F.min("seq"), F.lit(0)).cast("bigint").alias("seq")))
-    events = events.withColumn("_level", F.size(ancestors(F.col("path"))))
+    # A directory can only be removed where two of its changes that follow each other are equal; those alone are settled, level by level.
     dirs = events.where("coalesce(is_dir, false) OR path LIKE '%/'")
+    value, by = F.struct(*IDENTITY), Window.partitionBy("chain_id", "path")
+    twice = F.lag(value).over(by.orderBy("lsn", "seq")).eqNullSafe(value) & F.lag("lsn").over(by.orderBy("lsn", "seq")).isNotNull()
+    again = dirs.withColumn("_twice", twice).withColumn("_any", F.bool_or("_twice").over(by)).where("_any")
+    again = settle(again.select(*events.columns, F.size(ancestors(F.col("path"))).alias("_level")))
     removals = events.select("chain_id", "path", "lsn").limit(0)
-    # Only directories that could have been removed, i.e. named more than once, need settling.
-    again = dirs.groupBy("chain_id", "path").agg(F.count(F.lit(1)).alias("_n"), F.first("_level").alias("_level")).where("_n > 1")
     levels = sorted(r[0] for r in again.select("_level").distinct().collect())  # as many as the tree is deep
     for level in levels:
-        here = dirs.where(F.col("_level") == level)
-        found = _classified(here, _below(here.select("chain_id", "path").distinct(), removals))
-        removals = settle(removals.unionByName(found.where(~F.col("_odd")).select("chain_id", "path", "lsn")))
-    return _classified(events, _below(events.select("chain_id", "path").distinct(), removals))
+        here = again.where(F.col("_level") == level).drop("_level")
+        found = _classified(here, _below(here, removals)).where(~F.col("_odd")).select("chain_id", "path", "lsn")
+        former, removals = removals, settle(removals.unionByName(found))
+        discard(former)
+    return _classified(events, _below(events, removals) if levels else removals)
 
 
 def apply_changes(sections: DataFrame, changes: DataFrame, base: DataFrame | None = None, stop_at: int | None = None) -> DataFrame:
@@ -187,10 +201,32 @@ def chain_log(sections: DataFrame, changes: DataFrame) -> DataFrame:
     the kind have no row.
     """
     events = _replayed(sections, changes, None, None)
-    in_epoch = Window.partitionBy("chain_id", "path", "_epoch").orderBy("lsn", "seq")
-    before = events.withColumn("_had", F.coalesce(F.lag("_odd").over(in_epoch), F.lit(False))).withColumn("_old_id", F.lag("content_id").over(in_epoch)).withColumn("_more", F.lead("_step").over(in_epoch).isNotNull())
+    by = Window.partitionBy("chain_id", "path").orderBy("lsn", "seq")
+    here = lambda c: F.when(~F.col("_fresh"), F.lag(c).over(by))  # noqa: E731  # of the event before in this epoch
+    more = F.coalesce(~F.lead("_fresh").over(by), F.lit(False))
+    before = events.select("chain_id", "lsn", "content_id", "_odd", "_next_reset", F.coalesce(here("_odd"), F.lit(False)).alias("_had"), here("content_id").alias("_old_id"), more.alias("_more"))
     kind = F.when(~F.col("_odd"), "removed").when(~F.col("_had"), "added").when(~F.col("_old_id").eqNullSafe(F.col("content_id")), "modified")
-    own = before.select("chain_id", "lsn", kind.alias("kind")).where("kind IS NOT NULL")
-    swept = before.where("_odd AND NOT _more AND _next_reset IS NOT NULL").select("chain_id", F.col("_next_reset").alias("lsn"), F.lit("removed").alias("kind"))
+    own = F.struct("lsn", kind.alias("kind"))
+    swept = F.when(F.col("_odd") & ~F.col("_more") & F.col("_next_reset").isNotNull(), F.struct(F.col("_next_reset").alias("lsn"), F.lit("removed").alias("kind")))
+    each = before.select("chain_id", F.explode(F.array_compact(F.array(own, swept))).alias("_k")).select("chain_id", "_k.lsn", "_k.kind").where("kind IS NOT NULL")
     count = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
-    return own.unionByName(swept).groupBy("chain_id", "lsn").agg(count("added"), count("removed"), count("modified"))
+    return each.groupBy("chain_id", "lsn").agg(count("added"), count("removed"), count("modified"))
+
+
+def unapplied_sections(sections: DataFrame) -> DataFrame:
+    """``chain_id, section_id, reason`` of the sections that change nothing, so that they can be asked for again.
+
+    ``no state``: without a chain or a new state; ``unreachable``: no chain of
+    states from the empty one leads to them, or another section that arrived
+    before started from their state and no chain comes back to it. Repeated
+    deliveries of a change that is applied aren't listed, those of one that
+    isn't are, each.
+    """
+    applied = section_order(sections).select("section_id")
+    known = sections.select("chain_id", "section_id", "base_id", "new_id").distinct()
+    stateless = F.col("chain_id").isNull() | F.col("new_id").isNull()
+    changes = known.where(~stateless)
+    done = changes.join(applied, "section_id", "left_semi").select(F.col("chain_id").alias("_c"), F.col("base_id").alias("_b"), F.col("new_id").alias("_n")).distinct()
+    same = (F.col("chain_id") == F.col("_c")) & F.col("base_id").eqNullSafe(F.col("_b")) & (F.col("new_id") == F.col("_n"))
+    lost = changes.join(done, same, "left_anti").select("chain_id", "section_id", F.lit("unreachable").alias("reason"))
+    return lost.unionByName(known.where(stateless).select("chain_id", "section_id", F.lit("no state").alias("reason"))).distinct()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,29 +14,85 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a side may be broadcast by ``broadcast_up_to``; callers pass narrow rows only.
 BROADCAST_ROWS = 200_000
+#: Rows of one range of a running sum.
+RANGE_ROWS = 100_000
+#: Folders written by ``settle`` and still there.
+_settled: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set first if the session has none."""
+    """The folder for intermediate tables: the session's checkpoint folder, which all executors share.
+
+    Where a session names none (``spark.checkpoint.dir``), a local one gets a
+    temporary folder that goes with the process, and one on a cluster a folder
+    below the user's home on the default file system; if that is a machine's
+    own, the setting is needed, and its lack is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boughline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="boughline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        elif folder is None:
+            files = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+            if files.getScheme() == "file":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = f"{files.getHomeDirectory().toString()}/.boughline/{context.applicationId}"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder all executors share.
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _settled.discard(folder)
+
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (as in tests) is an own one set.
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` computed once, written as a table to the shared folder and read from there.
+
+    This cuts the lineage like a checkpoint, but columns are pruned when it is
+    read and its size is known to the optimiser. ``by`` partitions the table by
+    a column of few values, so that reading one of them reads nothing else.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    _settled.add(folder)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    if by is not None:
+        out = out.select(*df.columns)  # it was moved to the end
+    out._settled = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more (others are left alone)."""
+    for df in tables:
+        folder = df.__dict__.get("_settled")
+        if folder is not None:
+            _delete(df.sparkSession, folder)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all settled tables; results that weren't read yet can't be read afterwards."""
+    for folder in list(_settled):
+        _delete(spark, folder)
+
+
+@atexit.register
+def _forget_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            forget(spark)
 
 
 def broadcast_up_to(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffle join follows)."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def ancestors(path: Column) -> Column:
@@ -44,15 +104,18 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: Column, amount: Column, out: str, bits: int = 10) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: Column, amount: Column, out: str, bits: int | None = None) -> DataFrame:
     """Adds ``out``: the exclusive running sum of ``amount`` per ``keys`` in the order of the 64-bit integer ``order``.
 
     No key meets one task: rows are cut into ``2 ** bits`` ranges of ``order``
-    within each key, each range is summed in a window of its own, and the sums
-    of the ranges before it (a table of keys times ranges) are joined in.
+    within each key (by default as many as keep about ``RANGE_ROWS`` rows each
+    if one key has all rows), each range is summed in a window of its own, and
+    the sums of the ranges before it (a table of keys times ranges) are joined in.
     ``order`` should spread evenly over 64 bits (a hash); make it unique where
     the order matters. NULL keys are keys of their own.
     """
+    if bits is None:
+        bits = max(1, (df.count() // RANGE_ROWS).bit_length())
     placed = df.withColumn("_order", order).withColumn("_amount", amount.cast("bigint"))
     placed = placed.withColumn("_bucket", F.shiftright("_order", 64 - bits))
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_sum"))

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from boughline.operators.common import broadcast_up_to, settle
 
-#: Pairs of snapshots whose membership one 64-bit mask holds.
-_PAIRS = 62
+
+def _signed_counts(signed: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``n``: rows whose signs (1 of one side, -1 of the other) don't cancel."""
+    return signed.groupBy(*columns).agg(F.sum("_sign").alias("n")).where("n <> 0")
 
 
 def except_all_both_ways(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,8 +22,7 @@ def except_all_both_ways(a: DataFrame, b: DataFrame, columns: list[str]) -> Data
     EXCEPT ALL counts the copies of a row on both sides; one signed count gives
     both directions, so every row is shuffled once, combined before. NULLs are equal.
     """
-    signed = a.select(*columns, F.lit(1).alias("_sign")).unionByName(b.select(*columns, F.lit(-1).alias("_sign")))
-    return signed.groupBy(*columns).agg(F.sum("_sign").alias("n")).where("n <> 0")
+    return _signed_counts(a.select(*columns, F.lit(1).alias("_sign")).unionByName(b.select(*columns, F.lit(-1).alias("_sign"))), columns)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
@@ -57,49 +58,33 @@ def series_order(snapshots: DataFrame, series: str, snapshot: str, taken_at: str
 def series_changes(rows: DataFrame, snapshots: DataFrame, series: str, snapshot: str, taken_at: str, key: str, compared: list[str]) -> DataFrame:
     """Changes between all consecutive snapshots of each series: ``snapshot, key, change_type``.
 
-    EXCEPT ALL in both directions and for all pairs at once: one aggregate over
-    (series, key, row value) ors a bit per snapshot that holds the row, so each
-    row travels once, combined before the shuffle, instead of once per side,
-    pair and direction. A bit without its left neighbour is what EXCEPT ALL
-    leaves of the newer snapshot, a bit without its right neighbour what it
-    leaves of the older one; rows in both cancel. Residues alone are full-joined
-    by key and labelled. Masks hold 62 pairs; longer series use several.
+    EXCEPT ALL both ways for all pairs at once: a row of a snapshot counts 1 in
+    the pair in which that is the newer one and -1 in the pair in which it is
+    the older one; per pair and row the signs are added up, over the real
+    columns, and rows that don't cancel are the residues, which a full join by
+    key labels. Before that each distinct row is shuffled once, with the set of
+    snapshots that hold it (combined before); the signs are counted where it
+    then lies, so neither pairs nor directions multiply what travels.
 
     Repeated rows (and rows that differ only in other columns) count once.
     NULL equals NULL only. A row with a NULL key is no record. Snapshots
     without rows in ``rows`` are empty snapshots, rows of unknown snapshots
     don't matter. Clashing names of other columns don't matter.
     """
-    placed = broadcast_up_to(series_order(snapshots, series, snapshot, taken_at))
-    # NULL flags keep (NULL, x) and (x, NULL) apart, since the hash skips NULLs.
-    flags = reduce(Column.__add__, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(compared)])
-    slim = rows.where(F.col(key).isNotNull()).select(F.col(snapshot).alias("_snapshot"), F.col(key).alias("_key"), F.xxhash64(*compared, flags).alias("_value"))
-    o = F.col("ordinal")
-    own = F.struct(F.floor(o / _PAIRS).cast("int").alias("block"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(o, F.lit(_PAIRS)) + 1).cast("int")).alias("bit"))
-    ahead = F.struct((F.floor(o / _PAIRS) + 1).cast("int").alias("block"), F.lit(1).cast("bigint").alias("bit"))
-    bits = F.when(F.pmod(o, F.lit(_PAIRS)) == _PAIRS - 1, F.array(own, ahead)).otherwise(F.array(own))
-    masks = (
-        slim.join(placed, F.col("_snapshot") == F.col("snapshot"))
-        .select("series", "_key", "_value", F.explode(bits).alias("_m"))
-        .groupBy("series", F.col("_m.block").alias("_block"), "_key", "_value")
-        .agg(F.bit_or("_m.bit").alias("_mask"))
-    )
-    mask = F.col("_mask")
-    shifted = F.shiftleft(mask, 1)
-    usable = F.lit((1 << (_PAIRS + 1)) - 2)
-    # The first snapshot of a series has nothing before it to differ from.
-    started = F.when(F.col("_block") == 0, F.bitwise_not(F.lit(2).cast("bigint"))).otherwise(F.lit(-1).cast("bigint"))
-    come = mask.bitwiseAND(F.bitwise_not(shifted)).bitwiseAND(usable).bitwiseAND(started)
-    gone = shifted.bitwiseAND(F.bitwise_not(mask)).bitwiseAND(usable)
-    residues = masks.select("series", "_block", "_key", come.alias("_come"), gone.alias("_gone")).where("_come <> 0 OR _gone <> 0")
-    pairs = lambda c: F.filter(F.sequence(F.lit(1), F.lit(_PAIRS)), lambda i: F.call_function("shiftright", c, i).bitwiseAND(F.lit(1)) == 1)
-    sides = residues.select("series", "_block", "_key", F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("_come").alias("m")), F.struct(F.lit(False).alias("new"), F.col("_gone").alias("m")))).alias("_s")).where("_s.m <> 0")
-    each = sides.select("series", "_key", F.col("_s.new").alias("_new"), F.explode(pairs(F.col("_s.m"))).alias("_i"), "_block")
-    each = each.select("series", "_key", "_new", (F.col("_block") * _PAIRS + F.col("_i") - 1).alias("ordinal"))
-    by = ["series", "ordinal", "_key"]
-    each = settle(each.distinct())  # the changes alone, read by both sides of the join
+    order = settle(series_order(snapshots, series, snapshot, taken_at))
+    placed = broadcast_up_to(order)
+    values = [f"_v{i}" for i in range(len(compared))]
+    slim = rows.where(F.col(key).isNotNull()).select(F.col(snapshot).alias("_snapshot"), F.col(key).alias("_key"), *[F.col(c).alias(v) for c, v in zip(compared, values, strict=True)])
+    held = slim.join(placed, F.col("_snapshot") == F.col("snapshot")).groupBy("series", "_key", *values).agg(F.collect_set("ordinal").alias("_held"))
+    sides = F.flatten(F.transform("_held", lambda o: F.array(F.struct(o.alias("pair"), F.lit(1).alias("sign")), F.struct((o + 1).alias("pair"), F.lit(-1).alias("sign")))))
+    signed = held.select("series", "_key", *values, F.explode(sides).alias("_s")).select("series", "_key", *values, F.col("_s.pair").alias("ordinal"), F.col("_s.sign").alias("_sign"))
+    residues = _signed_counts(signed, ["series", "_key", *values, "ordinal"])
+    # The first snapshot of a series has nothing before it, the last nothing behind it.
+    newer = order.where("ordinal > 0")
+    each = residues.join(broadcast_up_to(newer), ["series", "ordinal"]).select("snapshot", "_key", (F.col("n") > 0).alias("_new")).distinct()
+    each = settle(each)  # the changes alone, read by both sides of the join
+    by = ["snapshot", "_key"]
     older = each.where("NOT _new").select(*by, F.lit(True).alias("_o"))
     joined = older.join(each.where("_new").select(*by, F.lit(True).alias("_n")), by, "full_outer")
     kind = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").otherwise("changed")
-    newer = placed.select("series", "ordinal", F.col("snapshot"))
-    return joined.join(newer, ["series", "ordinal"]).select("snapshot", F.col("_key").alias("key"), kind.alias("change_type"))
+    return joined.select("snapshot", F.col("_key").alias("key"), kind.alias("change_type"))

@@ -20,6 +20,8 @@ ID_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 MODE_TYPES = "-dlbcps"
 MODE_BITS = "-rwxstST"
 ID_LENGTH = 90
+#: Bytes of lines that are parsed at a time (the masks take some ten times as much); a longer line is parsed alone.
+BATCH_BYTES = 4 << 20
 
 #: Reasons in the order in which they are looked for; 0 is a valid line, -1 a blank one.
 FIELDS = ["", "character", "indentation", "quoting", "fields", "mode", "timestamp", "size", "name", "c4id"]
@@ -226,9 +228,21 @@ def parse_lines(lines: pa.Array) -> dict[str, object]:
     }
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their lines have about ``limit`` bytes at most, or are one line."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column("line")).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reasons, messages = pa.array(FIELDS), pa.array(MESSAGES)
-    for batch in batches:
+    for batch in _bounded(batches, BATCH_BYTES):
         lines = batch.column("line")
         got = parse_lines(lines)
         code, good = got["code"], got["good"]
@@ -283,14 +297,18 @@ def permission_bits(mode: F.Column) -> F.Column:
 def load_manifest_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid lines as entries, and rejects ``(manifest_id, line_no, field, message, raw)``.
 
-    Repeated rows give one entry or reject per ``(manifest_id, line_no)``; of
-    different texts under one number the smaller one stays. Epoch moments,
-    ``0`` and ``-`` are NULL. A target is a ``link_target`` of a symlink, a
-    flow target where it starts with a label and a colon, else a link target.
+    Each ``(manifest_id, line_no)`` gives one entry or one reject, however often
+    it is repeated: of different texts under one number the smallest that isn't
+    blank counts, which is settled before valid and bad lines part. Epoch
+    moments, ``0`` and ``-`` are NULL. A target is a ``link_target`` of a
+    symlink, a flow target where it starts with a label and a colon, else a link
+    target.
     """
-    parsed = parse_manifest_lines(lines)
     key = ["manifest_id", "line_no"]
-    bad = parsed.where("field IS NOT NULL").groupBy(*key).agg(F.min(F.struct("raw", "field", "message")).alias("r")).select(*key, "r.field", "r.message", "r.raw")
+    text = lines.select("manifest_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"))
+    once = text.where(F.col("line").rlike("[^ \t]")).groupBy(*key).agg(F.min("line").alias("line"))
+    parsed = parse_manifest_lines(once)
+    bad = parsed.where("field IS NOT NULL").select(*key, "field", "message", "raw")
     flow = (F.coalesce(F.col("file_type"), F.lit("")) != "l") & F.col("target").rlike("^[a-zA-Z][a-zA-Z0-9_-]*:")
     ts = F.to_timestamp_ntz("ts_text", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
     fields = parsed.where("field IS NULL").select(
@@ -307,11 +325,9 @@ def load_manifest_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(flow, F.col("target")).alias("flow_target"),
         "id_text",
     )
-    rest = [c for c in fields.columns if c not in key]
-    good = fields.groupBy(*key).agg(F.min(F.struct(*rest)).alias("e")).select(*key, "e.*")
-    return good, bad
+    return fields, bad
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
-    """The rejects alone: valid lines never reach a shuffle."""
+    """The rejects alone."""
     return load_manifest_lines(lines)[1]

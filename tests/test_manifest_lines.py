@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boughline.sources.manifest_lines import FIELDS, ID_ALPHABET, load_manifest_lines, parse_lines, rejected_lines
+from boughline.sources.manifest_lines import FIELDS, ID_ALPHABET, _bounded, load_manifest_lines, parse_lines, rejected_lines
 
 ID = "c4" + "1" * 88
 GOOD = f"-rw-r--r-- 2024-02-29T10:00:00Z 1,024 a.txt {ID}"
@@ -95,3 +95,16 @@ def test_load_separates_and_deduplicates(spark):
 def test_empty_table(spark):
     lines = spark.createDataFrame([], "manifest_id string, line_no bigint, line string")
     assert rejected_lines(lines).count() == 0
+
+
+def test_a_number_with_a_good_and_a_bad_text_comes_out_once(spark):
+    good = "- - 1 a -"
+    df = spark.createDataFrame([("m", 1, good), ("m", 1, "zz"), ("m", 2, good), ("m", 2, " "), ("m", 2, None), ("m", 3, "!"), ("m", 3, good), ("m", 3, "!")], "manifest_id string, line_no int, line string")
+    entries, bad = load_manifest_lines(df)
+    assert sorted(r["line_no"] for r in entries.collect()) == [1, 2] and [(r["line_no"], r["raw"]) for r in bad.collect()] == [(3, "!")]
+
+
+def test_batches_are_bounded_by_bytes():
+    lines = ["a" * n for n in (3, 4, 50, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines)], names=["line"])
+    assert [b.column("line").to_pylist() for b in _bounded(iter([batch]), 8)] == [lines[:2], lines[2:3], lines[3:]]
