@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,33 +73,21 @@ def size_units(size: Column) -> Column:
     return text
 
 
-def _printable(c: str) -> bool:
-    return c == " " or unicodedata.category(c)[0] in "LMNPS"
+#: What can't stand in a text as it is: one character with an escape, or a run of others that aren't shown.
+_HIDDEN = regex.compile(r"(?P<escaped>[\0\t\n\r\\])|(?P<framed>(?:[^\0\t\n\r\\\p{L}\p{M}\p{N}\p{P}\p{S} ]|¤)+)")
+
+
+def _written(found) -> str:
+    if found["escaped"]:
+        return "\\" + NAME_ESCAPES[found["escaped"]]
+    return BYTE_FRAME + "".join(chr(BRAILLE + b) for b in found["framed"].encode("utf-8", "surrogateescape")) + BYTE_FRAME
 
 
 def encode_name(raw: bytes | str | None) -> str | None:
     """A name in printable characters: escapes for the common control characters, framed braille for other bytes."""
     if raw is None:
         return None
-    text = raw.decode("utf-8", "surrogateescape") if isinstance(raw, bytes) else raw
-    out, held = [], []
-
-    def flush() -> None:
-        if held:
-            out.append(BYTE_FRAME + "".join(chr(BRAILLE + b) for b in held) + BYTE_FRAME)
-            held.clear()
-
-    for c in text:
-        if c in NAME_ESCAPES:
-            flush()
-            out.append("\\" + NAME_ESCAPES[c])
-        elif c != BYTE_FRAME and _printable(c):
-            flush()
-            out.append(c)
-        else:
-            held.extend(c.encode("utf-8", "surrogateescape"))
-    flush()
-    return "".join(out)
+    return _HIDDEN.sub(_written, raw.decode("utf-8", "surrogateescape") if isinstance(raw, bytes) else raw)
 
 
 def decode_name(text: str | None) -> bytes | None:
@@ -122,21 +110,26 @@ def decode_name(text: str | None) -> bytes | None:
                 out += bytes(ord(x) - BRAILLE for x in text[i + 1 : end])
                 i = end + 1
                 continue
-            # A frame without its end: the bytes read so far count, the sign stays.
+            # A frame without its end stays as it is.
         out += c.encode()
         i += 1
     return bytes(out)
 
 
+def _each(function, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    coded = values.dictionary_encode()  # each distinct value once
+    return pa.array([function(v) for v in coded.dictionary.to_pylist()], kind).take(coded.indices)
+
+
 @functools.cache
 def _name_udfs():
     @F.arrow_udf("string")
     def encode(names: pa.Array) -> pa.Array:
-        return pa.array([encode_name(n) for n in names.to_pylist()], pa.string())
+        return _each(encode_name, names, pa.string())
 
     @F.arrow_udf("binary")
     def decode(names: pa.Array) -> pa.Array:
-        return pa.array([decode_name(n) for n in names.to_pylist()], pa.binary())
+        return _each(decode_name, names, pa.binary())
 
     return encode, decode
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from boughline.operators.common import settle
+from boughline.functions.order import ranked
+from boughline.operators.common import discard, settle
 from boughline.sources.manifest_lines import ID_ALPHABET
 
 #: An id in text: the prefix and 88 digits.
@@ -47,20 +48,88 @@ def decode_id(text: str | None) -> bytes | None:
     return value.to_bytes(64, "big") if value < 1 << 512 else None
 
 
-def _each(function, values: pa.Array, kind: pa.DataType) -> pa.Array:
-    coded = values.dictionary_encode()  # each distinct value once
-    return pa.array([function(v) for v in coded.dictionary.to_pylist()], kind).take(coded.indices)
+#: Ids that are converted at a time, five digits of base 58 a step.
+_BLOCK = 1 << 13
+_STEP, _STEPS, _LIMBS = 58**5, 18, 16
+_LETTERS = np.frombuffer(ID_ALPHABET.encode(), np.uint8)
+_PLACES = np.full(256, 255, np.uint8)
+_PLACES[_LETTERS] = np.arange(58)
+
+
+def _matrix(values: pa.Array, width: int) -> np.ndarray:
+    """The bytes of values of one width, a row each."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
+def _packed(rows: list[np.ndarray], width: int, kind: pa.DataType) -> pa.Array:
+    data = np.concatenate(rows) if rows else np.empty((0, width), np.uint8)
+    offsets = pa.py_buffer(np.arange(0, (len(data) + 1) * width, width, dtype=np.int32))
+    return pa.Array.from_buffers(kind, len(data), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encode_digests(digests: pa.Array) -> pa.Array:
+    """Texts of digests of 64 bytes: long division by powers of 58 over a whole block of ids at a time."""
+    every, rows = _matrix(digests, 64), []
+    for k in range(0, len(every), _BLOCK):
+        limbs = every[k : k + _BLOCK].view(">u4").T.astype(np.uint64)
+        out = np.empty((limbs.shape[1], _STEPS * 5), np.uint8)
+        for step in range(_STEPS):
+            rest = np.zeros(limbs.shape[1], np.uint64)
+            for limb in limbs:
+                rest = (rest << np.uint64(32)) | limb
+                limb[:], rest = np.divmod(rest, np.uint64(_STEP))
+            for digit in range(5):
+                rest, place = np.divmod(rest, np.uint64(58))
+                out[:, _STEPS * 5 - 1 - step * 5 - digit] = place
+        text = _LETTERS[out[:, _STEPS * 5 - _DIGITS :]]
+        rows.append(np.hstack([np.broadcast_to(np.frombuffer(b"c4", np.uint8), (len(text), 2)), text]))
+    return _packed(rows, _DIGITS + 2, pa.string())
+
+
+def decode_texts(texts: pa.Array) -> pa.Array:
+    """Digests of texts of the length of an id, a block at a time; NULL for what is no id."""
+    every, rows, valid = _matrix(texts, _DIGITS + 2), [], []
+    for k in range(0, len(every), _BLOCK):
+        block = every[k : k + _BLOCK]
+        places = _PLACES[block[:, 2:]]
+        good = (block[:, 0] == ord("c")) & (block[:, 1] == ord("4")) & (places < 58).all(axis=1)
+        digits = np.zeros((len(block), _STEPS * 5), np.uint64)
+        digits[:, _STEPS * 5 - _DIGITS :] = np.where(good[:, None], places, 0)
+        limbs = np.zeros((_LIMBS, len(block)), np.uint64)
+        for step in range(_STEPS):
+            carry = digits[:, step * 5 : step * 5 + 5] @ np.array([58**4, 58**3, 58**2, 58, 1], np.uint64)
+            for limb in limbs[::-1]:
+                carry = limb * np.uint64(_STEP) + carry
+                limb[:] = carry & np.uint64(0xFFFFFFFF)
+                carry >>= np.uint64(32)
+            good &= carry == 0
+        rows.append(np.ascontiguousarray(limbs.T.astype(">u4")).view(np.uint8))
+        valid.append(good)
+    return pa.compute.if_else(pa.array(np.concatenate(valid) if valid else np.empty(0, bool)), _packed(rows, 64, pa.binary()), pa.scalar(None, pa.binary()))
+
+
+def _each(whole, width: int, single, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Each distinct value converted once: those of the usual width together, others alone."""
+    coded = values.dictionary_encode()
+    known = coded.dictionary
+    usual = np.asarray(pa.compute.equal(pa.compute.binary_length(known), width))
+    if usual.all():
+        done = whole(known)
+    else:
+        done = pa.array([single(v) for v in known.to_pylist()], kind)
+    return done.take(coded.indices)
 
 
 @functools.cache
 def _codecs():
     @F.arrow_udf("string")
     def encode(digests: pa.Array) -> pa.Array:
-        return _each(encode_id, digests, pa.string())
+        return _each(encode_digests, 64, encode_id, digests, pa.string())
 
     @F.arrow_udf("binary")
     def decode(texts: pa.Array) -> pa.Array:
-        return _each(decode_id, texts, pa.binary())
+        return _each(decode_texts, _DIGITS + 2, decode_id, texts, pa.binary())
 
     return encode, decode
 
@@ -103,19 +172,26 @@ def id_list_root(df: DataFrame, group: str, digest: str, bits: int = 512) -> Dat
     """``group, root``: the id of each group's set of ids.
 
     Ids are sorted and made distinct, then summed in pairs, round after round,
-    an odd last one moving up unchanged. Rounds are joins by position, so that
-    a group's ids never meet in one row; a group of n ids takes log2(n) rounds.
-    NULL ids are left out; a group without ids has no root.
+    an odd last one moving up unchanged. Places are counted in ranges and rounds
+    are joins by place, so that a group's ids never meet in one row or task; a
+    group of n ids takes log2(n) rounds, of which several make one job. NULL ids
+    are left out; a group without ids has no root.
     """
     ids = df.where(F.col(digest).isNotNull()).select(F.col(group).alias("g"), F.col(digest).alias("d")).distinct()
-    order = Window.partitionBy("g").orderBy("d")
-    level = settle(ids.select("g", "d", (F.row_number().over(order) - 1).cast("bigint").alias("p")))
-    while not level.where("p > 0").isEmpty():
-        half = level.groupBy("g", F.floor(F.col("p") / 2).alias("q")).agg(F.max(F.when(F.col("p") % 2 == 0, F.col("d"))).alias("a"), F.max(F.when(F.col("p") % 2 == 1, F.col("d"))).alias("b"))
-        level = settle(half.select("g", F.coalesce(pair_sum(F.col("a"), F.col("b"), bits), "a").alias("d"), F.col("q").alias("p")))
+    level = settle(ranked(ids, "g", [F.col("d")], "n").select("g", "d", (F.col("n") - 1).alias("p")))
+    while (level.agg(F.max("p")).head()[0] or 0) > 0:
+        former, level = level, settle(_halved(_halved(_halved(level, bits), bits), bits))
+        discard(former)
     return level.select(F.col("g").alias(group), F.col("d").alias("root"))
 
 
+def _halved(level: DataFrame, bits: int) -> DataFrame:
+    """Ids ``g, d, p`` summed in pairs of places."""
+    at = lambda rest: F.max(F.when(F.col("p") % 2 == rest, F.col("d")))
+    pairs = level.groupBy("g", F.shiftright("p", 1).alias("q")).agg(at(0).alias("a"), at(1).alias("b"))
+    return pairs.select("g", F.coalesce(pair_sum(F.col("a"), F.col("b"), bits), "a").alias("d"), F.col("q").alias("p"))
+
+
 def tree_nodes(leaves: int) -> int:
     """Nodes of the id tree over that many leaves."""
     total = leaves

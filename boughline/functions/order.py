@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boughline.operators.common import settle
+from boughline.operators.common import broadcast_up_to, settle
+
+# Marks within keys, below every character of a text (those that aren't are written as two).
+_END, _TEXT, _NUMBER, _ESCAPE = "\x01", "\x02", "\x03", "\x05"
+
+
+def _plain(text: Column) -> Column:
+    """``text`` with the characters up to the last mark written as two, in the same order."""
+    marks = [chr(i) for i in range(ord(_ESCAPE) + 1)]
+    written = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_ESCAPE + chr(ord(c) + ord("A")))), [_ESCAPE, *marks[:-1]], text)
+    return F.when(text.rlike(r"[\x00-\x05]"), written).otherwise(text)
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key: runs of digits by value, then by length; text by bytes and before digits; fewer runs first.
+    """Sort key (text, compared by bytes): runs of digits by value, then by length; text by bytes and before digits; fewer runs first.
 
     A value is compared as the length of its digits without leading zeros and
-    those digits, so runs of any length are exact.
+    those digits, so runs of any length are exact. A length is written behind
+    the number of its own digits. NULL for NULL.
     """
 
+    def counted(text: Column) -> Column:
+        n = F.length(text).cast("string")
+        return F.concat(F.length(n).cast("string"), n)
+
     def run(part: Column) -> Column:
-        number = part.rlike("^[0-9]")
         digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
-        return F.struct(
-            F.when(number, 1).otherwise(0).alias("k"),
-            F.when(number, F.length(digits)).otherwise(0).alias("n"),
-            F.when(number, digits).otherwise(F.lit("")).alias("d"),
-            F.when(number, F.length(part)).otherwise(0).alias("w"),
-            F.when(number, F.lit("")).otherwise(part).alias("t"),
-        )
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lit(_NUMBER), counted(digits), digits, counted(part))).otherwise(part)
 
-    return F.transform(F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), 1), run)
+    text = _plain(name)
+    runs = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), 1), run), "")
+    first = F.when(name.rlike("^[^0-9]"), F.lit(_TEXT)).otherwise("")
+    return F.concat(first, F.when(name.rlike("[0-9]"), runs).otherwise(text), F.lit(_END))
 
 
 def path_parts(path: Column) -> Column:
@@ -36,8 +49,9 @@ def path_parts(path: Column) -> Column:
 
 
 def path_key(path: Column) -> Column:
-    """Sort key of the canonical order: depth-first, files before directories, names in natural order."""
-    return F.transform(path_parts(path), lambda p: F.struct(F.when(p.endswith("/"), 1).otherwise(0).alias("dir"), natural_key(p).alias("nat")))
+    """Sort key (text) of the canonical order: depth-first, files before directories, names in natural order."""
+    part = lambda p: F.concat(F.when(p.endswith("/"), _TEXT).otherwise(_END), natural_key(p))
+    return F.array_join(F.transform(path_parts(path), part), "")
 
 
 def canonical_sort(entries: DataFrame, tree: str = "manifest_id") -> DataFrame:
@@ -52,17 +66,19 @@ def canonical_sort(entries: DataFrame, tree: str = "manifest_id") -> DataFrame:
 def ranked(df: DataFrame, group: str, key: list[Column], out: str) -> DataFrame:
     """Adds ``out``, the 1-based place of each row within ``group`` by ``key``.
 
-    Rows are range-partitioned by group and key, counted within the ranges and
-    shifted by the counts of the ranges before, so a group of any size is
-    ranked by many tasks.
+    Rows are range-partitioned by group and key and sorted within the ranges
+    (one shuffle); a row's place follows from its place in its range and from
+    the rows that the ranges before hold of the group, so a group of any size
+    is ranked by many tasks. Pass narrow rows: they are written once.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
-    cut = settle(keyed.repartitionByRange(n, F.col(group), F.col("_key")).withColumn("_range", F.spark_partition_id()))
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_range").orderBy("_key")))
-    counts = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_key{i}" for i in range(len(key))]
+    keyed = df.select("*", *[k.alias(c) for c, k in zip(names, key, strict=True)])
+    cut = keyed.repartitionByRange(n, group, *names).sortWithinPartitions(group, *names).drop(*names)
+    cut = settle(cut.withColumn("_at", F.monotonically_increasing_id()))  # the range in the upper bits, the place in it below
+    of_range = F.shiftright("_at", 33)
+    held = cut.groupBy(F.col(group).alias("_rg"), of_range.alias("_r")).agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_rg").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(group).alias("_rg"), F.col("_range").alias("_r"), "_n").withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = local.join(starts.select("_rg", "_r", "_start"), F.col(group).eqNullSafe(F.col("_rg")) & (F.col("_range") == F.col("_r")))
-    return joined.withColumn(out, F.col("_local") + F.col("_start")).drop("_key", "_range", "_local", "_rg", "_r", "_start")
+    starts = broadcast_up_to(held.select("_rg", "_r", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least") + 1).alias("_start")))
+    joined = cut.join(starts, F.col(group).eqNullSafe(F.col("_rg")) & (of_range == F.col("_r")))
+    return joined.withColumn(out, F.col("_at") + F.col("_start")).drop("_at", "_rg", "_r", "_start")

@@ -4,15 +4,31 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boughline.functions.fields import canonical_line
+from boughline.functions.fields import canonical_line, moment_text
 from boughline.functions.order import natural_key
 from boughline.operators.common import settle
-from boughline.schema import TREE
+from boughline.schema import ENTRY, TREE
+
+
+#: Levels of a tree that one job goes up; lineage is cut between jobs.
+LEVELS_AT_ONCE = 4
+#: Stands for the text of an id where only its length matters.
+_ID_WIDTH = "c4" + "1" * 88
+
+
+def _levels(*tables: DataFrame) -> list[list[int]]:
+    """The depths that occur, deepest first, in groups that one job takes."""
+    found = reduce(DataFrame.unionByName, [t.select("depth").distinct() for t in tables]).distinct().collect()  # as many as the trees are deep
+    depths = sorted((r[0] for r in found), reverse=True)
+    return [depths[i : i + LEVELS_AT_ONCE] for i in range(0, len(depths), LEVELS_AT_ONCE)]
 
 
 def roll_up(entries: DataFrame, line: Column | None = None, include_listing: bool = True) -> DataFrame:
@@ -23,60 +39,75 @@ def roll_up(entries: DataFrame, line: Column | None = None, include_listing: boo
     any unknown child makes it unknown, an empty directory has size 0 and no
     moment. Known values stay and still count for the parent.
 
-    Files are summed per directory in one aggregate over all levels; the loop
-    from the deepest level up touches directories alone. ``line`` is the
-    canonical line of an entry (over its columns).
+    Files are summed per directory in one aggregate over all levels; directories
+    go up level by level as narrow rows (their lines are measured, not made).
+    ``line`` is the canonical line of an entry (over its columns, with ``-``
+    for an unknown size or moment).
     """
-    text = canonical_line() if line is None else line
+    text = canonical_line(identity=F.when(F.col("content_id").isNotNull(), F.lit(_ID_WIDTH))) if line is None else line
     length = F.octet_length(text) + 1 if include_listing else F.lit(0)
-    add = lambda df, n: df.groupBy(TREE, "parent_path").agg(
-        F.sum("size").alias("s"), F.sum(n).alias("b"), F.max("ts").alias("t"), F.bool_or(F.col("size").isNull()).alias("no_s"), F.bool_or(F.col("ts").isNull()).alias("no_t")
+    sums = lambda df: df.groupBy(TREE, "parent_path").agg(
+        F.sum("size").alias("s"), F.sum("bytes").alias("b"), F.max("ts").alias("t"), F.bool_or(F.col("size").isNull()).alias("no_s"), F.bool_or(F.col("ts").isNull()).alias("no_t")
     )
-    files = add(entries.where("NOT is_dir"), length)
-    # Neighbouring levels meet in joins on (manifest, directory); only directories go around.
-    dirs = entries.where("is_dir").alias("d").join(files.alias("f"), (F.col("d.manifest_id") == F.col("f.manifest_id")) & (F.col("d.path") == F.col("f.parent_path")), "left")
-    dirs = settle(dirs.select("d.*", F.struct("f.s", "f.b", "f.t", "f.no_s", "f.no_t", F.col("f.manifest_id").isNotNull().alias("any")).alias("own")))
-    levels = sorted((r[0] for r in dirs.select("depth").distinct().collect()), reverse=True)  # as many as the trees are deep
-    done, below = None, None
-    for depth in levels:
-        here = dirs.where(F.col("depth") == depth)
-        if below is None:
-            empty = {"s": "bigint", "b": "bigint", "t": "timestamp_ntz", "no_s": "boolean", "no_t": "boolean"}
-            here = here.withColumn("sub", F.struct(*[F.lit(None).cast(k).alias(c) for c, k in empty.items()], F.lit(False).alias("any")))
-        else:
+    files = sums(entries.where("NOT is_dir").select(TREE, "parent_path", "size", "ts", length.alias("bytes")))
+    # A directory's line is measured without its size and moment, whose own widths are added when they are known.
+    blank = entries.where("is_dir").withColumns({"_size": F.col("size"), "_ts": F.col("ts"), "size": F.lit(None).cast("bigint"), "ts": F.lit(None).cast("timestamp_ntz")})
+    dirs = blank.select(TREE, "path", "parent_path", "depth", F.col("_size").alias("size"), F.col("_ts").alias("ts"), length.alias("bytes")).alias("d")
+    own = files.select(F.col(TREE).alias("_t"), F.col("parent_path").alias("_p"), F.struct("s", "b", "t", "no_s", "no_t", F.lit(True).alias("any")).alias("own"))
+    dirs = settle(dirs.join(own, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").drop("_t", "_p"), by="depth")
+    width = lambda c: F.coalesce(F.octet_length(c), F.lit(1)) - 1
+    grown = F.col("bytes") + (width(F.when(F.col("size") >= 0, F.col("size").cast("string"))) + width(moment_text(F.col("ts"))) if include_listing else F.lit(0))
+    some = F.coalesce("own.any", F.lit(False)) | F.coalesce("sub.any", F.lit(False))
+    unknown = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(False)) | F.coalesce(F.col(f"sub.{c}"), F.lit(False))
+    zero = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(0)) + F.coalesce(F.col(f"sub.{c}"), F.lit(0))
+    size = F.when(~some, 0).when(unknown("no_s"), None).otherwise(zero("s") + zero("b"))
+    ts = F.when(some & ~unknown("no_t"), F.greatest("own.t", "sub.t"))
+    done, below = [], files.limit(0)
+    for group in _levels(dirs):
+        climbed = []
+        for depth in group:
             sub = below.select(F.col(TREE).alias("_t"), F.col("parent_path").alias("_p"), F.struct("s", "b", "t", "no_s", "no_t", F.lit(True).alias("any")).alias("sub"))
-            here = here.join(sub, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").drop("_t", "_p")
-        some = F.coalesce("own.any", F.lit(False)) | F.coalesce("sub.any", F.lit(False))
-        unknown = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(False)) | F.coalesce(F.col(f"sub.{c}"), F.lit(False))
-        zero = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(0)) + F.coalesce(F.col(f"sub.{c}"), F.lit(0))
-        size = F.when(~some, 0).when(unknown("no_s"), None).otherwise(zero("s") + zero("b"))
-        ts = F.when(some & ~unknown("no_t"), F.greatest("own.t", "sub.t"))
-        here = here.withColumn("size", F.coalesce("size", size).cast("bigint")).withColumn("ts", F.coalesce("ts", ts)).drop("own", "sub")
-        here = settle(here)
-        done = here if done is None else done.unionByName(here)
-        below = add(here, length)
-    return (dirs if done is None else done).select(TREE, "path", "size", "ts")
+            here = dirs.where(F.col("depth") == depth).join(sub, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left")
+            here = here.withColumns({"size": F.coalesce("size", size).cast("bigint"), "ts": F.coalesce("ts", ts)})
+            here = here.select(TREE, "path", "parent_path", "depth", "size", "ts", grown.alias("bytes"))
+            climbed.append(here)
+            below = sums(here)
+        out = settle(reduce(DataFrame.unionByName, climbed))
+        below = sums(out.where(F.col("depth") == group[-1]))
+        done.append(out)
+    return reduce(DataFrame.unionByName, [d.select(TREE, "path", "size", "ts") for d in done or [dirs]])
 
 
 _LISTED = "manifest_id string, path string, digest binary"
 
 
 def _hash_groups(algorithm: str):
+    """Hashes the lines (each with its newline) of neighbouring rows of one ``manifest_id, parent_path``, in their order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hasher, out = None, None, []
+        key, hasher = None, None
         for batch in batches:
-            for tree, parent, line in zip(*(batch.column(c).to_pylist() for c in ("manifest_id", "parent_path", "line")), strict=True):
-                if (tree, parent) != key:
-                    if hasher:
+            n, out = batch.num_rows, []
+            if not n:
+                continue
+            trees, parents = batch.column("manifest_id"), batch.column("parent_path")
+            lines = batch.column("line").cast(pa.large_string())
+            offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + n + 1]
+            data = memoryview(lines.buffers()[2] or b"")
+            begins = np.ones(n, bool)
+            if n > 1:
+                begins[1:] = np.asarray(pc.or_(pc.not_equal(trees[1:], trees[:-1]), pc.not_equal(parents[1:], parents[:-1])).fill_null(True))
+            starts = np.flatnonzero(begins)
+            for start, end in zip(starts, [*starts[1:], n], strict=True):
+                own = (trees[int(start)].as_py(), parents[int(start)].as_py())
+                if own != key or hasher is None:
+                    if hasher is not None:
                         out.append((*key, hasher.digest()))
-                    key, hasher = (tree, parent), hashlib.new(algorithm)
-                hasher.update(line.encode() + b"\n")
-            if len(out) > 50_000:
-                yield _rows(out)
-                out = []
-        if hasher:
-            out.append((*key, hasher.digest()))
-        yield _rows(out)
+                    key, hasher = own, hashlib.new(algorithm)
+                hasher.update(data[offsets[start] : offsets[end]])
+            yield _rows(out)
+        if hasher is not None:
+            yield _rows([(*key, hasher.digest())])
 
     return run
 
@@ -86,46 +117,57 @@ def _rows(out: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["manifest_id", "path", "digest"])
 
 
+def _listing_lines(entries: DataFrame, line: Column) -> DataFrame:
+    """Lines of one-level listings with the key by which they are sorted: files first, then in natural order."""
+    place = F.concat(F.when(F.col("is_dir"), "1").otherwise("0"), natural_key(F.col("name")))
+    return entries.select(TREE, F.coalesce("parent_path", F.lit("")).alias("parent_path"), "depth", place.alias("_n"), F.concat(line, F.lit("\n")).alias("line"))
+
+
+def _hashed(lines: DataFrame, algorithm: str) -> DataFrame:
+    ordered = lines.repartition(TREE, "parent_path").sortWithinPartitions(TREE, "parent_path", "_n", "line")
+    return ordered.select(TREE, "parent_path", "line").mapInArrow(_hash_groups(algorithm), _LISTED)
+
+
 def listing_digests(entries: DataFrame, line: Column, algorithm: str = "sha512") -> DataFrame:
     """``manifest_id, path, digest``: the hash of each directory's one-level listing ('' is the root).
 
     Lines are sorted files first, then in natural order, and streamed through a
     hasher, so a directory of any size takes constant memory.
     """
-    last = F.when(F.col("is_dir"), 1).otherwise(0)
-    lines = entries.select(TREE, "parent_path", last.alias("_d"), natural_key(F.col("name")).alias("_n"), line.alias("line"))
-    ordered = lines.repartition(TREE, "parent_path").sortWithinPartitions(TREE, "parent_path", "_d", "_n", "line")
-    return ordered.select(TREE, "parent_path", "line").mapInArrow(_hash_groups(algorithm), _LISTED)
+    return _hashed(_listing_lines(entries, line), algorithm)
 
 
 def tree_digests(entries: DataFrame, line: Column | None = None, algorithm: str = "sha512") -> DataFrame:
     """Merkle identities ``manifest_id, path, digest`` of all directories and of each root (path '').
 
     From the deepest level up each directory's listing is hashed and its digest
-    becomes the ``content_id`` of its row; every entry's line is made and
-    hashed once. A directory without entries has the digest of nothing.
+    becomes the ``content_id`` of its row; every entry's line is made and hashed
+    once, those of files for all levels at a time. Several levels are one job.
+    A directory without entries has the digest of nothing.
     """
     text = canonical_line() if line is None else line
-    entries = settle(entries)  # read once per level
-    dirs = entries.where("is_dir")
-    # The root's listing is level -1: every entry belongs to the directory one level up.
-    levels = sorted((r[0] for r in entries.select("depth").distinct().collect()), reverse=True)
-    known = None
+    files = settle(_listing_lines(entries.where("NOT is_dir"), text), by="depth")
+    dirs = settle(entries.where("is_dir").select(*ENTRY.names), by="depth")
     empty = F.lit(hashlib.new(algorithm).digest())
-    for depth in levels:
-        files = entries.where(~F.col("is_dir") & (F.col("depth") == depth))
-        here = dirs.where(F.col("depth") == depth)
-        if known is not None:
+    done, known = [], dirs.select(TREE, "path", empty.alias("digest")).limit(0)
+    # The listing of the root is one level above the first: every entry belongs to the directory one level up.
+    for group in _levels(files, dirs):
+        climbed = []
+        for depth in group:
             found = known.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), "digest")
-            here = here.join(found, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").withColumn("content_id", F.coalesce("digest", empty)).drop("_t", "_p", "digest")
-        else:
-            here = here.withColumn("content_id", empty)
-        level = settle(listing_digests(files.unionByName(here, allowMissingColumns=True), text, algorithm))
-        known = level if known is None else known.unionByName(level)
-    if known is None:
-        return entries.select(TREE, "path", F.lit(None).cast("binary").alias("digest")).limit(0)
-    childless = dirs.select(TREE, "path").join(known.select(TREE, "path"), [TREE, "path"], "left_anti").withColumn("digest", empty)
-    return known.unionByName(childless)
+            here = dirs.where(F.col("depth") == depth).join(found, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left")
+            here = _listing_lines(here.withColumn("content_id", F.coalesce("digest", empty)), text)
+            # The shuffle of the digests is one for the next level and for the result, so nothing is hashed twice.
+            known = _hashed(files.where(F.col("depth") == depth).unionByName(here), algorithm).repartition(TREE, "path")
+            climbed.append(known.withColumn("_level", F.lit(depth)))
+        out = settle(reduce(DataFrame.unionByName, climbed))
+        known = out.where(F.col("_level") == group[-1]).drop("_level")
+        done.append(out.drop("_level"))
+    if not done:
+        return known
+    listed = reduce(DataFrame.unionByName, done)
+    childless = dirs.select(TREE, "path").join(listed.select(TREE, "path"), [TREE, "path"], "left_anti").withColumn("digest", empty)
+    return listed.unionByName(childless)
 
 
 def text_digests(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
@@ -135,13 +177,17 @@ def text_digests(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
     has. Lines are streamed through a hasher in order, in constant memory.
     """
     ordered = lines.repartition(TREE).sortWithinPartitions(TREE, "line_no")
-    shaped = ordered.select(TREE, F.lit("").alias("parent_path"), "line")
+    shaped = ordered.select(TREE, F.lit("").alias("parent_path"), F.concat("line", F.lit("\n")).alias("line"))
     return shaped.mapInArrow(_hash_groups(algorithm), _LISTED).select(TREE, "digest")
 
 
 def listing_texts(entries: DataFrame, line: Column | None = None) -> DataFrame:
-    """``manifest_id, path, content``: the one-level listing of each directory as text ('' is the root), to be stored by its digest."""
+    """``manifest_id, path, content``: the one-level listing of each directory as text ('' is the root), to be stored by its digest.
+
+    A listing is one value by its nature, so it takes as much memory as it is
+    long; where only its digest is needed, ``listing_digests`` streams it.
+    """
     text = canonical_line() if line is None else line
-    item = F.struct(F.when(F.col("is_dir"), 1).otherwise(0).alias("d"), natural_key(F.col("name")).alias("n"), text.alias("line"))
-    listed = entries.groupBy(TREE, "parent_path").agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    return listed.select(TREE, F.col("parent_path").alias("path"), F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    lines = _listing_lines(entries, text)
+    listed = lines.groupBy(TREE, "parent_path").agg(F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("_l"))
+    return listed.select(TREE, F.col("parent_path").alias("path"), F.array_join(F.transform("_l", lambda x: x["line"]), "").alias("content"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boughline.operators.common import settle
 from boughline.schema import TREE
 
 _PATTERN = r"^(.*?)\[([0-9][0-9,:-]*)\](.*)$"
@@ -98,39 +100,71 @@ def fold_sequences(entries: DataFrame, least: int = 3, bits: int = 512) -> DataF
     return kept.select(TREE, "parent_path", name.alias("name"), "n_frames", "size", "ts", "perm", "first_frame", "last_frame", "member_ids")
 
 
-def normal_ranges(frames: list[int], least: int = 3) -> list[tuple[int, int, int]]:
-    """Numbers as ranges: maximal runs of step 1, then progressions of at least ``least`` terms, then singles, by first number."""
-    numbers = sorted(set(frames))
-    out, rest, i = [], [], 0
-    while i < len(numbers):
-        j = i
-        while j + 1 < len(numbers) and numbers[j + 1] == numbers[j] + 1:
-            j += 1
-        if j > i:
-            out.append((numbers[i], numbers[j], 1))
-        else:
-            rest.append(numbers[i])
-        i = j + 1
-    i = 0
-    while i < len(rest):
-        j = i + 1
-        while j + 1 < len(rest) and rest[j + 1] - rest[j] == rest[i + 1] - rest[i]:
-            j += 1
-        if j < len(rest) and j - i + 1 >= least:
-            out.append((rest[i], rest[j], rest[i + 1] - rest[i]))
-            i = j + 1
-        else:
-            out.append((rest[i], rest[i], 1))
-            i += 1
-    return sorted(out)
+def normal_ranges(frames: list[int] | np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
+    """Numbers as ranges: maximal runs of step 1, then progressions of at least ``least`` terms, then singles, by first number.
+
+    Runs are numbers of one difference to their rank. Progressions are stretches
+    of equal differences among the numbers that are left; where two stretches
+    share a number, the first one long enough takes it.
+    """
+    numbers = np.unique(np.asarray(frames, np.int64))
+    _, first, size = np.unique(numbers - np.arange(len(numbers)), return_index=True, return_counts=True)
+    together = size > 1
+    out = [(int(a), int(a + n - 1), 1) for a, n in zip(numbers[first[together]], size[together], strict=True)]
+    alone = numbers[first[~together]]
+    gaps = np.diff(alone)
+    turns = np.flatnonzero(np.diff(gaps)) + 1
+    taken, free = np.zeros(len(alone), bool), 0
+    for low, high in zip([0, *turns], [*turns, len(gaps)], strict=True):  # positions low..high of ``alone`` have one gap
+        low = max(low, free)
+        if len(gaps) and high - low + 1 >= least:
+            out.append((int(alone[low]), int(alone[high]), int(gaps[low])))
+            taken[low : high + 1] = True
+            free = high + 1
+    return sorted([*out, *((int(a), int(a), 1) for a in alone[~taken])])
+
+
+def frame_ranges(frames: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """``keys, first, last, step``: the ``normal_ranges`` of the numbers of each key, a row per range, in windows.
+
+    Runs are found by number minus rank. Of the numbers left alone a stretch of
+    equal differences is taken if it has more than three terms, or three of
+    which the stretch before doesn't take the first; the latter alternates
+    along neighbouring stretches of three. Repeated and NULL numbers don't count.
+    """
+    known = frames.where(F.col(frame).isNotNull()).select(*keys, F.col(frame).cast("bigint").alias("_f")).distinct()
+    by = Window.partitionBy(*keys).orderBy("_f")
+    runs = known.withColumn("_i", F.col("_f") - F.row_number().over(by)).groupBy(*keys, "_i").agg(F.min("_f").alias("first"), F.max("_f").alias("last"))
+    runs = settle(runs.drop("_i"))
+    by = Window.partitionBy(*keys).orderBy("first")
+    alone = runs.where("first = last").select(*keys, "first", (F.lead("first").over(by) - F.col("first")).alias("gap")).where("gap IS NOT NULL")
+    turned = F.coalesce(F.lag("gap").over(by) != F.col("gap"), F.lit(True)).cast("int")
+    numbered = alone.withColumn("_s", F.sum(turned).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stretches = numbered.groupBy(*keys, "_s", F.col("gap").alias("step")).agg(F.min("first").alias("first"), (F.max("first") + F.col("gap")).alias("last"), (F.count(F.lit(1)) + 1).alias("n"))
+    by = Window.partitionBy(*keys).orderBy("_s")
+    # Stretches of exactly three in a row: the place among them and whether the one before them is longer.
+    block = F.sum((F.col("n") != 3).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stretches = stretches.withColumn("_longer", F.coalesce(F.last(F.when(F.col("n") != 3, F.col("n") > 3), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False)))
+    stretches = stretches.withColumn("_block", block)
+    place = F.count_if(F.col("n") == 3).over(Window.partitionBy(*keys, "_block").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    took = F.when(F.col("n") > 3, True).when(F.col("n") == 3, (place + F.col("_longer").cast("int")) % 2 == 1).otherwise(False)
+    stretches = stretches.withColumn("_took", took).withColumn("_start", F.when(F.coalesce(F.lag("_took").over(by), F.lit(False)), F.col("first") + F.col("step")).otherwise(F.col("first")))
+    chosen = stretches.where("_took").select(*keys, F.col("_start").alias("first"), "last", "step")
+    inside = chosen.select(*keys, F.explode(F.sequence("first", "last", "step")).alias("first"))
+    match = [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in [*keys, "first"]]
+    rest = runs.alias("r").join(inside.alias("i"), match, "left_anti").select("r.*", F.lit(1).cast("bigint").alias("step"))
+    return rest.unionByName(chosen)
 
 
 @functools.cache
 def _normal_udf():
     @F.arrow_udf(_RANGES)
     def normal(lists: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("step", pa.int64())]))
-        return pa.array([None if x is None else [dict(zip(("first", "last", "step"), r, strict=True)) for r in normal_ranges(x)] for x in lists.to_pylist()], kind)
+        found = [None if x is None else normal_ranges(x) for x in lists.to_pylist()]
+        flat = np.array([r for x in found if x for r in x], np.int64).reshape(-1, 3)
+        offsets = np.concatenate([[0], np.cumsum([len(x or ()) for x in found])]).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["first", "last", "step"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in found]))
 
     return normal
 

@@ -371,3 +371,37 @@ def test_plan_execution(spark, tmp_path):
     assert set(now) == {"new/", "new/f", "c", "l"} and now["new/f"]["ts"] == moment == now["new/"]["ts"] and now["new/f"]["perm"] == 0o600 and bytes(now["c"]["content_id"]) == sha("bravo")
     with pytest.raises(ValueError):
         reconcile.execute(reconcile.plan_operations(build(spark, [{"path": "../x", "content_id": sha("bravo")}]), have.limit(0)), build(spark, [{"path": "../x"}]), str(root), lambda d: b"")
+
+
+def greedy_ranges(frames):
+    """``normal_ranges`` by trying at each number, from small to large, whether a range starts there."""
+    left, out = sorted(set(frames)), []
+    for n in left:
+        if n - 1 not in left and n + 1 in left:
+            out.append((n, next(m for m in range(n, n + 100) if m + 1 not in left), 1))
+    left = [n for n in left if n - 1 not in left and n + 1 not in left]
+    while left:
+        terms = left[:2]
+        while len(terms) > 1 and len(left) > len(terms) and left[len(terms)] - terms[-1] == terms[1] - terms[0]:
+            terms.append(left[len(terms)])
+        terms = terms if len(terms) > 2 else terms[:1]
+        out.append((terms[0], terms[-1], terms[1] - terms[0] if len(terms) > 1 else 1))
+        left = left[len(terms) :]
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 60)))
+def test_normal_ranges_equal_trying_each_number(frames):
+    assert sequences.normal_ranges(frames) == greedy_ranges(frames)
+
+
+def test_frame_ranges_of_many_keys(spark):
+    rng = random.Random(7)
+    lists = {f"k{i}": [rng.randrange(80) for _ in range(rng.randrange(30))] + rng.choice([[], [100, 103, 106, 108, 110, 115, 120, 122, 124]]) for i in range(60)}
+    lists[None] = [5, 5, 8]
+    df = spark.createDataFrame([(k, f) for k, fs in lists.items() for f in [*fs, None]], "k string, f int")
+    got = {}
+    for r in sequences.frame_ranges(df, ["k"], "f").collect():
+        got.setdefault(r["k"], []).append((r["first"], r["last"], r["step"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: greedy_ranges(v) for k, v in lists.items() if v}
