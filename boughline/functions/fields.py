@@ -49,13 +49,14 @@ def moment_text(ts: Column) -> Column:
 
 def parse_moment(text: Column) -> Column:
     """A moment in UTC from the canonical form, RFC 3339 with an offset, Unix ``date`` or ``Mon D hh:mm:ss yyyy``; else NULL."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "EEE MMM d HH:mm:ss yyyy", "MMM d HH:mm:ss yyyy", "MMM d yyyy HH:mm:ss"]
-    plain = [F.try_to_timestamp(F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"), text), F.lit(formats[0]))]
-    offset = F.try_to_timestamp(F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+[+-][0-9]{2}:[0-9]{2}$"), text), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    named = F.regexp_replace(F.regexp_replace(text, "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) ", ""), " (UTC|GMT)( |$)", "$2")
-    named = F.regexp_replace(named, "  +", " ")
-    plain += [F.try_to_timestamp(F.when(named.rlike("^[A-Z][a-z]{2} [0-9]"), named), F.lit(f)) for f in formats[2:]]
-    return F.coalesce(*plain, offset).cast("timestamp_ntz")
+    canonical = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$")
+    offset = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+[+-][0-9]{2}:[0-9]{2}$")
+    named = text.rlike("^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) +)?[A-Z][a-z]{2} +[0-9]")
+    # Of the named forms only the month, the day, the time and the year stay, one blank apart.
+    plain = F.regexp_replace(text, "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) +| (?:UTC|GMT)(?= |$)| +(?= )", "")
+    form = F.when(offset, "yyyy-MM-dd'T'HH:mm:ssXXX").when(text.rlike(" [0-9]{4} [0-9:]+$"), "MMM d yyyy HH:mm:ss").otherwise("MMM d HH:mm:ss yyyy")
+    usual = F.try_to_timestamp(F.when(canonical, text), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.coalesce(usual, F.try_to_timestamp(F.when(~canonical & (offset | named), plain), form)).cast("timestamp_ntz")
 
 
 def size_text(size: Column) -> Column:

@@ -153,19 +153,24 @@ def merge_trees(base: DataFrame, local: DataFrame, remote: DataFrame) -> tuple[D
     beside = F.when(F.col("path").endswith("/"), F.concat(F.regexp_replace("path", "/$", ""), F.lit(".conflict/"))).otherwise(F.concat("path", F.lit(".conflict")))
     two = (F.col("decision") == "conflict") & F.col("l").isNotNull() & F.col("r").isNotNull()
     loser = F.when(F.col("winner") == "local", F.col("r")).otherwise(F.col("l"))
+    nothing = F.lit(None).cast("string")
+    row = lambda path, kind, e, won=nothing, lost=nothing: F.struct(path.alias("path"), F.lit(kind).alias("kind"), e.alias("e"), won.alias("winner"), lost.alias("loser_path"))
     kept = F.array_compact(
-        F.array(F.when(entry.isNotNull(), F.struct(F.col("path").alias("path"), F.lit(False).alias("lost"), entry.alias("e"))), F.when(two, F.struct(beside.alias("path"), F.lit(True).alias("lost"), loser.alias("e"))))
+        F.array(
+            F.when(entry.isNotNull(), row(F.col("path"), "main", entry)),
+            F.when(two, row(beside, "lost", loser)),
+            F.when(F.col("decision") == "conflict", row(F.col("path"), "conflict", F.when(F.lit(False), entry), F.col("winner"), F.when(two, beside))),
+        )
     )
-    # Winners and losers come out of one pass over the three trees; the result is written once and completed from there.
-    put = settle(decided.select(TREE, F.explode(kept).alias("_k")).select(TREE, "_k.path", "_k.lost", "_k.e.*"))
-    main = put.where("NOT lost").select(*ENTRY.names)
-    losers = put.where("lost")
+    # Winners, losers and conflicts come out of one pass over the three trees; the result is written once and completed from there.
+    put = settle(decided.select(TREE, F.explode(kept).alias("_k")).select(TREE, "_k.path", "_k.kind", "_k.winner", "_k.loser_path", "_k.e.*"), by="kind")
+    main = put.where("kind = 'main'").select(*ENTRY.names)
+    losers = put.where("kind = 'lost'")
     for name, value in located(F.col("path")).items():
         losers = losers.withColumn(name, value)
     losers = losers.join(main.select(TREE, "path"), [TREE, "path"], "left_anti").select(*ENTRY.names)
     merged = parent_closure(main.unionByName(losers), perm=0o755)
-    conflicts = decided.where("decision = 'conflict'").select(TREE, "path", "winner", F.when(two, beside).alias("loser_path"))
-    return merged, conflicts
+    return merged, put.where("kind = 'conflict'").select(TREE, "path", "winner", "loser_path")
 
 
 def intersect_by_id(a: DataFrame, b: DataFrame) -> DataFrame:

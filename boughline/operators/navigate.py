@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boughline.functions.globs import glob
-from boughline.operators.common import ancestors, settle
+from boughline.operators.common import ancestors, last_seen, settle
 from boughline.schema import ENTRY, TREE, located
 
 
@@ -40,25 +39,21 @@ def build_paths(lines: DataFrame, order: str = "line_no", max_depth: int | None
     An entry's parent at each level is the last directory before it at that
     level; it is the parent only if no shallower entry lies between. Rows
     without an open directory one level up are orphans with their bare name as
-    path. One window per level over each manifest; ``max_depth`` (else
-    computed) bounds the levels.
+    path. Manifests are read in stretches (``last_seen``), so a long one is no
+    single task's; ``max_depth`` (else computed) bounds the levels.
     """
     deepest = max_depth if max_depth is not None else (lines.agg(F.max("depth")).head()[0] or 0)
-    upto = Window.partitionBy(TREE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parts, found = [], F.lit(True)
-    out = lines
-    is_dir = F.col("name").endswith("/")
+    is_dir, depth = F.col("name").endswith("/"), F.col("depth")
+    lasts = {}
     for level in range(deepest):
-        opened = F.last(F.when((F.col("depth") == level) & is_dir, F.struct(F.col(order).alias("at"), "name")), ignorenulls=True).over(upto)
-        closed = F.last(F.when((F.col("depth") < level) | ((F.col("depth") == level) & ~is_dir), F.col(order)), ignorenulls=True).over(upto)
-        out = out.withColumn(f"_d{level}", F.when(closed.isNull() | (opened["at"] > closed), opened["name"]))
-    for level in range(deepest):
-        need = F.col("depth") > level
-        parts.append(F.when(need, F.coalesce(F.col(f"_d{level}"), F.lit(""))).otherwise(F.lit("")))
-        found = found & (~need | F.col(f"_d{level}").isNotNull())
-    parent = F.when(found, F.concat(*parts) if parts else F.lit("")).otherwise(F.lit(""))
-    out = out.withColumn("parent_path", parent).withColumn("path", F.concat("parent_path", "name")).withColumn("is_orphan", ~found)
-    return out.drop(*[f"_d{level}" for level in range(deepest)])
+        lasts[f"_d{level}"] = F.when((depth == level) & is_dir, F.struct(F.col(order).alias("at"), F.col("name").alias("name")))
+        lasts[f"_c{level}"] = F.when((depth < level) | ((depth == level) & ~is_dir), F.col(order))
+    out = last_seen(lines, TREE, order, lasts) if lasts else lines
+    opened = [F.when(F.col(f"_c{i}").isNull() | (F.col(f"_d{i}.at") > F.col(f"_c{i}")), F.col(f"_d{i}.name")) for i in range(deepest)]
+    names = F.slice(F.array(*opened).cast("array<string>"), F.lit(1), F.greatest(depth, F.lit(0)))
+    out = out.withColumn("_names", names).withColumn("is_orphan", F.size(F.array_compact("_names")) != depth)
+    out = out.withColumn("parent_path", F.when(F.col("is_orphan"), "").otherwise(F.array_join("_names", "")))
+    return out.withColumn("path", F.concat("parent_path", "name")).drop("_names", *lasts)
 
 
 def children(entries: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boughline.functions.ids import id_text, parse_id
 from boughline.operators.common import settle
-from boughline.schema import TREE
+from boughline.schema import ENTRY, TREE, located
 
 _PATTERN = r"^(.*?)\[([0-9][0-9,:-]*)\](.*)$"
+#: Characters of an id's text.
+_ID_CHARS = 90
 _RANGES = "array<struct<first: bigint, last: bigint, step: bigint>>"
 
 
@@ -66,25 +69,21 @@ def expand_sequences(entries: DataFrame) -> DataFrame:
     return each.select(TREE, "path", (F.col("_i") + 1).alias("frame_no"), "frame", member.alias("member"))
 
 
-def fold_sequences(entries: DataFrame, least: int = 3, bits: int = 512) -> DataFrame:
-    """Runs of at least ``least`` numbered files as one entry each.
+_RUN = ["parent_path", "prefix", "suffix", "width", "link"]
 
-    ``manifest_id, parent_path, name, n_frames, size, ts, perm, first_frame,
-    last_frame, member_ids``: files of one directory whose names differ in the
-    first run of digits only (of one width; symlinks apart) and whose numbers
-    follow each other. Size and moment are the sum and the latest (the size unknown if one
-    is), permissions the smallest. Runs with an unknown id aren't folded, but
-    for symlinks. Runs are found by number minus rank; ``member_ids`` is in
-    frame order, as long as the run.
-    """
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """Files with a number in their names: ``manifest_id``, the columns of ``_RUN``, ``frame`` and the entry's own."""
     part = lambda i: F.regexp_extract("name", "^([^0-9]*)([0-9]+)(.*)$", i)
-    numbered = entries.where(~F.col("is_dir") & F.col("name").rlike("[0-9]"))
-    keyed = numbered.select(
-        TREE, "parent_path", part(1).alias("prefix"), part(3).alias("suffix"), F.length(part(2)).alias("width"), F.coalesce(F.col("file_type") == "l", F.lit(False)).alias("link"),
-        part(2).try_cast("bigint").alias("frame"), "size", "ts", "perm", "content_id",
-    ).where("frame IS NOT NULL")
-    group = [TREE, "parent_path", "prefix", "suffix", "width", "link"]
-    island = keyed.withColumn("_i", F.col("frame") - F.row_number().over(Window.partitionBy(*group).orderBy("frame")))
+    files = entries.where(~F.col("is_dir") & F.col("name").rlike("[0-9]"))
+    keyed = files.withColumns({"prefix": part(1), "suffix": part(3), "width": F.length(part(2)), "link": F.coalesce(F.col("file_type") == "l", F.lit(False)), "frame": part(2).try_cast("bigint")})
+    return keyed.where("frame IS NOT NULL")
+
+
+def _runs(numbered: DataFrame, least: int, member: Column) -> DataFrame:
+    """Runs that are folded, with ``members``: ``member`` of each file in frame order."""
+    group = [TREE, *_RUN]
+    island = numbered.select(*group, "frame", "size", "ts", "perm", "content_id", member.alias("_m")).withColumn("_i", F.col("frame") - F.row_number().over(Window.partitionBy(*group).orderBy("frame")))
     runs = island.groupBy(*group, "_i").agg(
         F.count(F.lit(1)).alias("n_frames"),
         F.when(F.count("size") == F.count(F.lit(1)), F.sum("size")).alias("size"),
@@ -93,11 +92,62 @@ def fold_sequences(entries: DataFrame, least: int = 3, bits: int = 512) -> DataF
         F.min("frame").alias("first_frame"),
         F.max("frame").alias("last_frame"),
         F.count("content_id").alias("_known"),
-        F.transform(F.array_sort(F.collect_list(F.struct("frame", "content_id"))), lambda x: x["content_id"]).alias("member_ids"),
+        F.transform(F.array_sort(F.collect_list(F.struct("frame", "_m"))), lambda x: x["_m"]).alias("members"),
     )
     kept = runs.where((F.col("n_frames") >= least) & (F.col("link") | (F.col("_known") == F.col("n_frames"))))
     name = F.concat("prefix", F.lit("["), _padded(F.col("first_frame"), F.col("width")), F.lit("-"), _padded(F.col("last_frame"), F.col("width")), F.lit("]"), "suffix")
-    return kept.select(TREE, "parent_path", name.alias("name"), "n_frames", "size", "ts", "perm", "first_frame", "last_frame", "member_ids")
+    return kept.withColumn("name", name)
+
+
+def fold_sequences(entries: DataFrame, least: int = 3) -> DataFrame:
+    """Runs of at least ``least`` numbered files as one entry each.
+
+    ``manifest_id, parent_path, name, n_frames, size, ts, perm, first_frame,
+    last_frame, member_ids``: files of one directory whose names differ in the
+    first run of digits only (of one width; symlinks apart) and whose numbers
+    follow each other. Size and moment are the sum and the latest (the size unknown if one
+    is), permissions the smallest. Runs with an unknown id aren't folded, but
+    for symlinks. Runs are found by number minus rank; ``member_ids`` is in
+    frame order, as long as the run.
+    """
+    runs = _runs(_numbered(entries), least, F.col("content_id")).withColumnRenamed("members", "member_ids")
+    return runs.select(TREE, "parent_path", "name", "n_frames", "size", "ts", "perm", "first_frame", "last_frame", "member_ids")
+
+
+def fold_tree(entries: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """A tree with its runs folded, and the range data ``manifest_id, content_id, members`` that bring their members back.
+
+    A run of files becomes one entry whose id is that of its members' id texts,
+    written one after the other; that text is its range data, kept once. A run
+    of symlinks without ids has none.
+    """
+    numbered = _numbered(entries.select(*ENTRY.names))
+    runs = settle(_runs(numbered, least, id_text(F.col("content_id"))))
+    whole = F.col("_known") == F.col("n_frames")
+    path = F.concat("parent_path", "name")
+    folded = runs.select(
+        TREE, path.alias("path"), "name", "parent_path", located(path)["depth"].alias("depth"), F.lit(False).alias("is_dir"), F.when(F.col("link"), "l").otherwise("-").alias("file_type"), "perm", "ts", "size",
+        F.when(whole, sequence_id(F.col("members"))).alias("content_id"), F.lit(True).alias("is_sequence"), F.col("name").alias("pattern"), F.col("first_frame").alias("seq"),
+    )
+    inside = numbered.alias("n").join(runs.alias("r"), [F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [TREE, *_RUN]] + [F.col("n.frame").between(F.col("r.first_frame"), F.col("r.last_frame"))], "left_semi")
+    rest = entries.select(*ENTRY.names).join(inside.select(TREE, "path"), [TREE, "path"], "left_anti").select(*ENTRY.names)
+    return rest.unionByName(folded, allowMissingColumns=True), runs.where(whole).select(TREE, sequence_id(F.col("members")).alias("content_id"), F.array_join("members", "").alias("members")).distinct()
+
+
+def expand_tree(entries: DataFrame, range_data: DataFrame) -> DataFrame:
+    """A tree with its sequences expanded: each member an entry of its own, with its id where range data tell it.
+
+    Members have the permissions and moment of their sequence; their sizes are unknown.
+    """
+    marked = entries.where("is_sequence").select(TREE, "path", "parent_path", "name", "file_type", "perm", "ts", "content_id", "seq")
+    each = expand_sequences(marked).alias("x").join(marked.alias("s"), [TREE, "path"])
+    known = range_data.select(F.col(TREE).alias("_t"), F.col("content_id").alias("_c"), "members").distinct()
+    found = each.join(known, (F.col(TREE) == F.col("_t")) & (F.col("content_id") == F.col("_c")), "left")
+    own = F.substring("members", (F.col("frame_no") - 1) * _ID_CHARS + 1, F.lit(_ID_CHARS))
+    at = located(F.col("member"))
+    rows = found.select(TREE, F.col("member").alias("path"), *[v.alias(k) for k, v in at.items()], "file_type", "perm", "ts", "seq", parse_id(own).alias("content_id"), F.lit(False).alias("is_sequence"))
+    plain = entries.where("NOT coalesce(is_sequence, false)").select(*ENTRY.names)
+    return plain.unionByName(rows, allowMissingColumns=True)
 
 
 def normal_ranges(frames: list[int] | np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boughline.functions.fields import mode_text, valid_name
 from boughline.functions.order import path_key, ranked
+from boughline.operators.common import last_seen
 from boughline.schema import TREE
 
 
@@ -100,16 +100,17 @@ def structural_issues(entries: DataFrame) -> DataFrame:
 
 
 def order_issues(entries: DataFrame) -> DataFrame:
-    """``manifest_id, seq, issue``: depth jumps of more than one level, and files after directories of one parent, in input order."""
-    by = Window.partitionBy(TREE).orderBy("seq")
-    beside = Window.partitionBy(TREE, "parent_path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    marked = entries.select(
-        TREE,
-        "seq",
-        (F.col("depth") - F.coalesce(F.lag("depth").over(by), F.lit(-1)) > 1).alias("_jump"),
-        (~F.col("is_dir") & F.coalesce(F.bool_or("is_dir").over(beside), F.lit(False))).alias("_late"),
-    )
-    issues = F.array_compact(F.array(F.when(F.col("_jump"), F.lit("depth jump")), F.when(F.col("_late"), F.lit("file after directory"))))
+    """``manifest_id, seq, issue``: depth jumps of more than one level, and files after directories of one parent, in input order.
+
+    Depths are compared in stretches of a manifest, files with the first
+    directory of their parent; neither takes a whole manifest into one task.
+    """
+    c = F.col
+    placed = last_seen(entries.select(TREE, "seq", "depth", "is_dir", "parent_path"), TREE, "seq", {"_before": c("depth")})
+    first = placed.where("is_dir").groupBy(c(TREE).alias("_t"), c("parent_path").alias("_p")).agg(F.min("seq").alias("_first"))
+    marked = placed.join(first, c(TREE).eqNullSafe(c("_t")) & c("parent_path").eqNullSafe(c("_p")), "left")
+    jump, late = c("depth") - F.coalesce("_before", F.lit(-1)) > 1, ~c("is_dir") & (c("seq") > c("_first"))
+    issues = F.array_compact(F.array(F.when(jump, F.lit("depth jump")), F.when(late, F.lit("file after directory"))))
     return marked.select(TREE, "seq", F.explode(issues).alias("issue"))
 
 

@@ -92,3 +92,21 @@ k AS (SELECT chain_id, lsn, CASE WHEN NOT odd THEN 'r' WHEN NOT had THEN 'a' WHE
   UNION ALL SELECT chain_id, next_reset, 'r' FROM b WHERE odd AND NOT more AND next_reset IS NOT NULL)
 SELECT chain_id, CAST(lsn AS BIGINT) AS lsn, count(*) FILTER (WHERE kind = 'a') AS n_added, count(*) FILTER (WHERE kind = 'r') AS n_removed, count(*) FILTER (WHERE kind = 'm') AS n_modified FROM k WHERE kind IS NOT NULL GROUP BY chain_id, lsn"""
 )
+
+ORPHANS = """WITH RECURSIVE d AS (SELECT DISTINCT chain_id, base_id, new_id FROM patch_sections WHERE chain_id IS NOT NULL AND new_id IS NOT NULL),
+r(chain_id, state) AS (SELECT chain_id, new_id FROM d WHERE base_id IS NULL UNION SELECT d.chain_id, d.new_id FROM d JOIN r ON d.chain_id = r.chain_id AND d.base_id = r.state)
+SELECT DISTINCT chain_id, section_id, CASE WHEN chain_id IS NULL OR new_id IS NULL THEN 'no state' ELSE 'unreachable' END AS reason FROM patch_sections
+WHERE chain_id IS NULL OR new_id IS NULL OR (base_id IS NOT NULL AND (chain_id, base_id) NOT IN (SELECT chain_id, state FROM r))"""
+
+#: From the empty state on, step by step: at each state the first arrived section that wasn't applied yet.
+REVERTS = """WITH RECURSIVE f AS (SELECT chain_id, min(new_id) AS first FROM patch_sections WHERE base_id IS NULL GROUP BY chain_id),
+a AS (SELECT chain_id, section_id, base_id, new_id, arrived_at FROM patch_sections
+  UNION ALL SELECT p.chain_id, -p.section_id, p.new_id, f.first, p.arrived_at + INTERVAL 1000 DAY FROM patch_sections p JOIN f USING (chain_id)
+    WHERE NOT EXISTS (SELECT 1 FROM patch_sections q WHERE q.chain_id = p.chain_id AND q.base_id = p.new_id)
+  UNION ALL SELECT chain_id, -1000000000 - section_id, new_id, unhex(sha256(chain_id)), arrived_at + INTERVAL 2000 DAY FROM patch_sections WHERE base_id IS NULL),
+s AS (SELECT chain_id, base_id, new_id, min(section_id) AS id, {'at': coalesce(min(arrived_at), TIMESTAMP 'infinity'), 'id': min(section_id)} AS k FROM a WHERE chain_id IS NOT NULL AND new_id IS NOT NULL GROUP BY ALL),
+w(chain_id, state, id, lsn, used) AS (
+  SELECT chain_id, arg_min(new_id, k), arg_min(id, k), 1, [arg_min(id, k)] FROM s WHERE base_id IS NULL GROUP BY chain_id
+  UNION ALL SELECT w.chain_id, arg_min(s.new_id, s.k), arg_min(s.id, s.k), w.lsn + 1, list_append(any_value(w.used), arg_min(s.id, s.k))
+    FROM w JOIN s ON s.chain_id = w.chain_id AND s.base_id = w.state AND NOT list_contains(w.used, s.id) GROUP BY w.chain_id, w.lsn)
+SELECT chain_id, id AS section_id, CAST(lsn AS BIGINT) AS lsn FROM w"""

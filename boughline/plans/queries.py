@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from boughline.functions import fields, ids, order
 from boughline.operators import changefeed, compare, navigate, rollup, sequences, summaries
-from boughline.operators.common import shared_folder
+from boughline.operators.common import settle, shared_folder
 from boughline.operators.snapshots import series_order, snapshot_diff
 from boughline.plans import feedsql, reconcile
 from boughline.plans import sqltext as S
 from boughline.schema import ENTRY, TREE, unique_entries
 from boughline.sources import text
+from boughline.sources.store import Store, open_any
 from boughline.sources.tables import table
-from boughline.streaming.chains import ChainState, table_stream, windowed_counts
+from boughline.streaming.chains import ChainState, table_stream, take_complete, windowed_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -128,7 +129,7 @@ def duplicate_rows(spark, d):
 
 
 @query(
-    f"WITH {S.ENTRIES}, g AS (SELECT manifest_id, content_id, count(*) AS n, arg_max(size, seq) AS s FROM (SELECT * FROM e WHERE content_id IS NOT NULL AND size IS NOT NULL UNION ALL SELECT * REPLACE (0 AS size) FROM e WHERE false) GROUP BY ALL) "
+    f"WITH {S.ENTRIES}, g AS (SELECT manifest_id, content_id, count(*) AS n, arg_max(size, seq) FILTER (WHERE size IS NOT NULL) AS s FROM e WHERE content_id IS NOT NULL GROUP BY ALL) "
     "SELECT manifest_id, CAST(sum(coalesce(s, 0) * (n - 1)) AS BIGINT) AS wasted FROM g GROUP BY ALL"
 )
 def duplicate_wasted(spark, d):
@@ -177,15 +178,39 @@ def same_name_other_content(spark, d):
     return compare.same_name_other_content(*_pairs(spark, d))
 
 
-@query(
-    "WITH b AS (SELECT doc_id, sha256(text) AS digest, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS now FROM documents WHERE text IS NOT NULL) "
-    "SELECT doc_id, digest AS stored_hex FROM b WHERE sha256(now) <> digest"
-)
+def _store(spark: SparkSession, bits: int = 256) -> Store:
+    """An empty store in the session's shared folder."""
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", bits)
+
+
+@query("SELECT DISTINCT sha256(text) AS stored_hex FROM documents WHERE text IS NOT NULL AND contains(text, 'fix')")
 def verify_content(spark, d):
-    """Stored digests against content of which some was altered: the rows that no longer match."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
-    blobs = docs.select("doc_id", ids.content_id(F.col("text"), 256).alias("digest"), F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("now"))
-    return blobs.where(ids.content_id(F.col("now"), 256) != F.col("digest")).select("doc_id", _hex("digest").alias("stored_hex"))
+    """A store some of whose contents were altered behind its back: the digests that no longer match."""
+    docs, store = table(spark, d, "documents").where("text IS NOT NULL"), _store(spark)
+    store.put(docs, "text")
+    broken = Store(spark, f"{store.path}-broken", store.bits)
+    altered = F.replace(F.col("content").cast("string"), F.lit("fix"), F.lit("xif")).cast("binary")
+    store.rows().withColumn("content", altered).write.partitionBy("shard").parquet(broken.path)
+    return broken.damaged().select(_hex("digest").alias("stored_hex"))
+
+
+@query("WITH t AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT DISTINCT h FROM t WHERE contains((SELECT any_value(text) FROM documents x WHERE sha256(x.text) = t.h), 'fix')) SELECT DISTINCT h AS digest_hex, CASE WHEN h IN (SELECT h FROM b) THEN 0 ELSE 1 END AS store_no FROM t")
+def store_several(spark, d):
+    """Contents of which one store has a part and another all: each from the first that has it."""
+    docs, one, two = table(spark, d, "documents").where("text IS NOT NULL"), _store(spark), _store(spark)
+    one.put(docs.where(F.col("text").contains("fix")), "text")
+    two.put(docs, "text")
+    wanted = docs.select(ids.content_id(F.col("text"), 256).alias("content_id"))
+    return open_any([one, two], wanted).select(_hex("digest").alias("digest_hex"), "store_no")
+
+
+@query("SELECT DISTINCT sha256(text) AS digest_hex FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'fix')")
+def store_remove(spark, d):
+    """What a store holds after some of its contents are removed."""
+    docs, store = table(spark, d, "documents").where("text IS NOT NULL"), _store(spark)
+    store.put(docs, "text")
+    store.remove(docs.where(F.col("text").contains("fix")).select(ids.content_id(F.col("text"), 256).alias("content_id")))
+    return store.rows().select(_hex("digest").alias("digest_hex"))
 
 
 # Filters and navigation
@@ -400,7 +425,7 @@ def merge_conflicts(spark, d):
 
 
 @query(
-    f"WITH {S.TRIPLES}, u AS (SELECT manifest_id, path FROM t1 UNION SELECT manifest_id, path FROM t2) SELECT manifest_id, path FROM u "
+    f"WITH {S.BOTH}, u AS (SELECT manifest_id, path FROM t1 UNION SELECT manifest_id, path FROM t2) SELECT manifest_id, path FROM u "
     f"UNION SELECT t1.manifest_id, t1.path || '.conflict' FROM t1 JOIN t2 USING (manifest_id, path) WHERE NOT t1.is_dir AND NOT {_LR} "
     f"UNION SELECT t1.manifest_id, regexp_replace(t1.path, '/$', '') || '.conflict/' FROM t1 JOIN t2 USING (manifest_id, path) WHERE t1.is_dir AND NOT {_LR}"
 )
@@ -409,6 +434,35 @@ def union_trees(spark, d):
     return compare.merge_trees(old.limit(0), old, new)[0].select(TREE, "path")
 
 
+#: Snapshots that a volume of the test tables has at most.
+_SNAPSHOTS = 6
+
+
+def _merge_all_sql() -> str:
+    columns = "manifest_id, path, is_dir, file_type, link_target, content_id, flow_op, flow_target, ts"
+    out = [S.ENTRIES, S.ORDER, f"g AS (SELECT o.volume_id, o.ordinal, e.* FROM e JOIN o USING (manifest_id)), m0 AS (SELECT {columns.replace('manifest_id', 'volume_id AS manifest_id', 1)} FROM g WHERE ordinal = 0)"]
+    for k in range(1, _SNAPSHOTS):
+        pick = lambda c, other=False: f"CASE WHEN x.path IS NULL THEN y.{c} WHEN y.path IS NULL THEN x.{c} WHEN clash AND newer THEN {'x' if other else 'y'}.{c} ELSE {'y' if other else 'x'}.{c} END AS {c}"
+        rest = ["is_dir", "file_type", "link_target", "content_id", "flow_op", "flow_target", "ts"]
+        clash = f"x.path IS NOT NULL AND y.path IS NOT NULL AND NOT {_merge_equal_sql('x', 'y')} AS clash, coalesce(y.ts, TIMESTAMP '1970-01-01') > coalesce(x.ts, TIMESTAMP '1970-01-01') AS newer"
+        out.append(f"y{k} AS (SELECT volume_id AS manifest_id, * EXCLUDE (manifest_id, volume_id, ordinal) FROM g WHERE ordinal = {k})")
+        out.append(f"j{k} AS MATERIALIZED (SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, coalesce(x.path, y.path) AS path, x, y, {clash} FROM m{k - 1} x FULL JOIN y{k} y ON x.manifest_id = y.manifest_id AND x.path = y.path)")
+        out.append(f"k{k} AS (SELECT manifest_id, path, {', '.join(map(pick, rest))} FROM j{k})")
+        beside = "CASE WHEN ends_with(path, '/') THEN regexp_replace(path, '/$', '') || '.conflict/' ELSE path || '.conflict' END"
+        out.append(f"b{k} AS (SELECT manifest_id, {beside} AS path, {', '.join(pick(c, True) for c in rest)} FROM j{k} WHERE clash)")
+        out.append(f"m{k} AS MATERIALIZED (SELECT * FROM k{k} UNION ALL SELECT * FROM b{k} WHERE (manifest_id, path) NOT IN (SELECT manifest_id, path FROM k{k}))")
+    return "WITH " + ", ".join(out) + f" SELECT manifest_id, path, lower(hex(content_id)) AS content_hex FROM m{_SNAPSHOTS - 1}"
+
+
+@query(_merge_all_sql())
+def union_of_all(spark, d):
+    """All snapshots of each volume united from the oldest to the newest, under the volume's id."""
+    entries, o = _entries(spark, d), _order(spark, d)
+    last = o.agg(F.max("ordinal")).head()[0] or 0
+    trees = [entries.join(o.where(F.col("ordinal") == i), F.col(TREE) == F.col("snapshot")).withColumn(TREE, F.col("series")).select(*ENTRY.names) for i in range(last + 1)]
+    return compare.merge_all(trees)[0].select(TREE, "path", _hex().alias("content_hex"))
+
+
 _CLOSED = """q AS (SELECT manifest_id, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/' AS path
   FROM (SELECT manifest_id, path, unnest(range(1, CAST(length(path) - length(replace(path, '/', '')) + 1 AS BIGINT))) AS i FROM f))
 SELECT manifest_id, path FROM f UNION SELECT manifest_id, path FROM q"""
@@ -442,6 +496,7 @@ def change_log(spark, d):
     return compare.id_changes(*_pairs(spark, d))
 
 
+_PHASE = "CASE op WHEN 'mkdir' THEN 1 WHEN 'create' THEN 3 WHEN 'symlink' THEN 4 WHEN 'chmod' THEN 5 WHEN 'chtimes' THEN 6 WHEN 'remove' THEN 7 ELSE 8 END"
 _PLAN = f"""{S.PAIRS},
 j AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, coalesce(a.path, b.path) AS path, b.path IS NOT NULL AS have, a.path IS NOT NULL AS had, coalesce(b.is_dir, a.is_dir) AS dir,
   b.content_id AS tid, a.content_id AS cid, coalesce(b.file_type = 'l', false) AS tl, coalesce(a.file_type = 'l', false) AS cl, b.link_target AS tt, a.link_target AS ct, b.perm AS tp, a.perm AS cp, b.ts AS tts, a.ts AS cts
@@ -459,13 +514,13 @@ mv AS (SELECT mk.manifest_id, mk.path, rm.path AS src FROM mk JOIN rm USING (man
 
 
 @query(
-    f"""WITH {_PLAN} SELECT manifest_id, op, path, NULL AS src_path FROM x
+    f"""WITH {_PLAN} SELECT manifest_id, {_PHASE} AS phase, op, path, NULL AS src_path FROM x
     WHERE NOT (op = 'create' AND (manifest_id, path) IN (SELECT manifest_id, path FROM mv)) AND NOT (op = 'remove' AND (manifest_id, path) IN (SELECT manifest_id, src FROM mv))
-    UNION ALL SELECT manifest_id, 'move', path, src FROM mv"""
+    UNION ALL SELECT manifest_id, 2, 'move', path, src FROM mv"""
 )
 def plan_operations(spark, d):
     old, new = _pairs(spark, d)
-    return reconcile.plan_operations(new, old).select(TREE, "op", "path", "src_path")
+    return reconcile.plan_operations(new, old)
 
 
 @query(f"WITH {S.PAIRS} SELECT DISTINCT manifest_id, lower(hex(content_id)) AS content_hex FROM b WHERE NOT is_dir AND content_id IS NOT NULL AND (manifest_id, content_id) NOT IN (SELECT manifest_id, content_id FROM a WHERE NOT is_dir AND content_id IS NOT NULL)")
@@ -570,9 +625,10 @@ def mode_counts(spark, d):
     return summaries.mode_counts(_entries(spark, d, "file_type", "perm"))
 
 
-@query(f"WITH {S.ENTRIES}, m AS (SELECT DISTINCT {S.mode()} AS mode, file_type, perm FROM e WHERE file_type IS NOT NULL AND perm > 0) SELECT mode, file_type, perm FROM m")
+@query(f"WITH {S.ENTRIES} SELECT DISTINCT {S.mode()} AS mode, CASE WHEN {S.mode()} IS NOT NULL THEN coalesce(file_type, '-') END AS file_type, CASE WHEN {S.mode()} IS NOT NULL THEN coalesce(perm, 0) END AS perm FROM e")
 def mode_round_trip(spark, d):
-    modes = _entries(spark, d, "file_type", "perm").where("file_type IS NOT NULL AND perm > 0").select(fields.mode_text(F.col("file_type"), F.col("perm")).alias("mode")).distinct()
+    """Modes written and parsed; an unknown type is a plain file's, unknown permissions are none."""
+    modes = _entries(spark, d, "file_type", "perm").select(fields.mode_text(F.col("file_type"), F.col("perm")).alias("mode")).distinct()
     kind, perm = fields.parse_mode(F.col("mode"))
     return modes.select("mode", kind.alias("file_type"), perm.alias("perm"))
 
@@ -582,12 +638,19 @@ def canonical_lines(spark, d):
     return _entries(spark, d).select(TREE, "path", _raw_line().alias("line"))
 
 
-@query()
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS line_no, repeat('  ', depth) || {S.line()} AS line FROM e")
 def canonical_text(spark, d):
-    """Manifests as text in canonical order, the way a writer emits them."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), fields.canonical_line())
-    placed = order.ranked(_entries(spark, d), TREE, [order.path_key(F.col("path"))], "line_no")
-    return placed.select(TREE, "line_no", line.alias("line"))
+    """Manifests as text in canonical order, the way a writer emits them (raw names and hex ids, as SQL has them)."""
+    return text.manifest_text(_entries(spark, d), line=_raw_line())
+
+
+@query(
+    f"WITH {S.ENTRIES}, {S.id_texts(ids.ID_ALPHABET, 'SELECT DISTINCT content_id AS id FROM e WHERE content_id IS NOT NULL')}, x AS (SELECT e.*, t.text FROM e LEFT JOIN id_texts t ON e.content_id = t.id) "
+    f"SELECT manifest_id, path, {S.line(identity='text', name=S.safe_name('name'))} AS line FROM x"
+)
+def manifest_lines_text(spark, d):
+    """The lines that are hashed: safe names and base-58 ids."""
+    return _entries(spark, d).select(TREE, "path", fields.canonical_line().alias("line"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS place FROM e")
@@ -607,12 +670,29 @@ def natural_order(spark, d):
       coalesce(file_type = 'l', false) AS link, size, ts, perm, content_id FROM e WHERE NOT is_dir AND regexp_matches(name, '[0-9]')),
     f AS (SELECT *, length(digits) AS width, CAST(digits AS BIGINT) AS frame FROM n),
     i AS (SELECT *, frame - row_number() OVER (PARTITION BY manifest_id, parent_path, prefix, suffix, width, link ORDER BY frame) AS island FROM f),
-    g AS (SELECT manifest_id, parent_path, prefix, suffix, width, link, count(*) AS n_frames, CASE WHEN count(size) = count(*) THEN CAST(sum(size) AS BIGINT) END AS size, min(perm) AS perm, min(frame) AS a, max(frame) AS z, count(content_id) AS k FROM i GROUP BY manifest_id, parent_path, prefix, suffix, width, link, island)
-    SELECT manifest_id, parent_path, prefix || '[' || CASE WHEN length(CAST(a AS VARCHAR)) < width THEN lpad(CAST(a AS VARCHAR), CAST(width AS INTEGER), '0') ELSE CAST(a AS VARCHAR) END || '-' || CASE WHEN length(CAST(z AS VARCHAR)) < width THEN lpad(CAST(z AS VARCHAR), CAST(width AS INTEGER), '0') ELSE CAST(z AS VARCHAR) END || ']' || suffix AS name, n_frames, size, perm
+    g AS (SELECT manifest_id, parent_path, prefix, suffix, width, link, count(*) AS n_frames, CASE WHEN count(size) = count(*) THEN CAST(sum(size) AS BIGINT) END AS size, min(perm) AS perm, max(ts) AS ts, sha256(coalesce(string_agg(lower(hex(content_id)), ',' ORDER BY frame), '')) AS members_hex, min(frame) AS a, max(frame) AS z, count(content_id) AS k FROM i GROUP BY manifest_id, parent_path, prefix, suffix, width, link, island)
+    SELECT manifest_id, parent_path, prefix || '[' || CASE WHEN length(CAST(a AS VARCHAR)) < width THEN lpad(CAST(a AS VARCHAR), CAST(width AS INTEGER), '0') ELSE CAST(a AS VARCHAR) END || '-' || CASE WHEN length(CAST(z AS VARCHAR)) < width THEN lpad(CAST(z AS VARCHAR), CAST(width AS INTEGER), '0') ELSE CAST(z AS VARCHAR) END || ']' || suffix AS name, n_frames, size, perm, {S.moment('ts')} AS ts_text, members_hex
     FROM g WHERE n_frames >= 3 AND (link OR k = n_frames)"""
 )
 def sequence_fold(spark, d):
-    return sequences.fold_sequences(_entries(spark, d, "is_dir", "name", "parent_path", "file_type", "size", "ts", "perm", "content_id")).select(TREE, "parent_path", "name", "n_frames", "size", "perm")
+    return sequences.fold_sequences(_entries(spark, d, "is_dir", "name", "parent_path", "file_type", "size", "ts", "perm", "content_id")).select(
+        TREE, "parent_path", "name", "n_frames", "size", "perm", fields.moment_text(F.col("ts")).alias("ts_text"), F.sha2(F.array_join(F.transform("member_ids", _hex_of), ","), 256).alias("members_hex")
+    )
+
+
+_MEMBERS = """n AS (SELECT manifest_id, path, parent_path, regexp_extract(name, '^([^0-9]*)([0-9]+)(.*)$', 1) AS prefix, regexp_extract(name, '^([^0-9]*)([0-9]+)(.*)$', 3) AS suffix, regexp_extract(name, '^([^0-9]*)([0-9]+)(.*)$', 2) AS digits,
+  coalesce(file_type = 'l', false) AS link, content_id FROM e WHERE NOT is_dir AND regexp_matches(name, '[0-9]')),
+i AS (SELECT *, length(digits) AS width, CAST(digits AS BIGINT) - row_number() OVER (PARTITION BY manifest_id, parent_path, prefix, suffix, length(digits), link ORDER BY CAST(digits AS BIGINT)) AS island FROM n),
+w AS (SELECT *, count(*) OVER island AS n_all, count(content_id) OVER island AS n_known FROM i WINDOW island AS (PARTITION BY manifest_id, parent_path, prefix, suffix, width, link, island))"""
+
+
+@query(f"WITH {S.ENTRIES}, {_MEMBERS} SELECT manifest_id, path, lower(hex(content_id)) AS content_hex FROM w WHERE n_all >= 3 AND n_known = n_all")
+def range_data_round_trip(spark, d):
+    """Trees folded, written as text with their id lists, read back and expanded: the members with their ids."""
+    folded, members = sequences.fold_tree(_entries(spark, d))
+    lines = settle(text.manifest_text(folded, members=members))
+    back = sequences.expand_tree(text.read_entries(lines).where("is_sequence"), text.range_data(lines))
+    return back.where("content_id IS NOT NULL").select(TREE, "path", _hex().alias("content_hex"))
 
 
 @query(
@@ -625,32 +705,38 @@ def sequence_expand(spark, d):
 
 
 @query(
-    f"WITH {S.ENTRIES}, f AS (SELECT manifest_id, parent_path, count(DISTINCT CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT)) AS n_frames FROM e WHERE NOT is_dir AND regexp_matches(name, '[0-9]') GROUP BY ALL) SELECT manifest_id, parent_path, n_frames FROM f"
+    f"""WITH {S.ENTRIES}, f AS (SELECT DISTINCT manifest_id, parent_path, CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) AS f FROM e WHERE NOT is_dir AND regexp_matches(name, '[0-9]')),
+    i AS (SELECT *, f - row_number() OVER (PARTITION BY manifest_id, parent_path ORDER BY f) AS island FROM f),
+    r AS (SELECT manifest_id, parent_path, min(f) AS a, max(f) AS z FROM i GROUP BY manifest_id, parent_path, island),
+    l AS (SELECT manifest_id, parent_path, list(a ORDER BY a) AS s FROM r WHERE a = z GROUP BY ALL),
+    p(manifest_id, parent_path, s, a, z, step, n) AS (SELECT manifest_id, parent_path, s, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0 FROM l UNION ALL
+      SELECT manifest_id, parent_path, s[take + 1:], s[1], s[take], CASE WHEN take > 1 THEN s[2] - s[1] ELSE 1 END, n + 1 FROM
+        (SELECT *, CASE WHEN len(s) >= 3 AND s[3] - s[2] = s[2] - s[1] THEN coalesce(list_position(list_transform(range(2, len(s)), lambda k: s[k + 1] - s[k] <> s[2] - s[1]), true) + 1, len(s)) ELSE 1 END AS take FROM p WHERE len(s) > 0))
+    SELECT manifest_id, parent_path, a AS first, z AS last, 1 AS step FROM r WHERE a < z UNION ALL SELECT manifest_id, parent_path, a, z, step FROM p WHERE n > 0""".replace("WITH ", "WITH RECURSIVE ", 1)
 )
-def frame_counts(spark, d):
-    """Frames of each directory as normal ranges, counted back from the ranges."""
+def frame_ranges(spark, d):
+    """Numbers of each directory's files as normal ranges."""
     files = _entries(spark, d, "is_dir", "name", "parent_path").where(~F.col("is_dir") & F.col("name").rlike("[0-9]"))
-    number = F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint")
-    one = F.struct(number.alias("first"), number.alias("last"), F.lit(1).cast("bigint").alias("step"))
-    lists = files.groupBy(TREE, "parent_path").agg(F.collect_set(one).alias("r"))
-    return lists.select(TREE, "parent_path", sequences.frame_count(sequences.normalize_ranges(F.col("r"))).alias("n_frames"))
+    return sequences.frame_ranges(files.select(TREE, "parent_path", F.regexp_extract("name", "([0-9]+)", 1).try_cast("bigint").alias("f")), [TREE, "parent_path"], "f")
 
 
 @query(
-    f"""WITH {S.ENTRIES}, c AS (SELECT manifest_id, path, regexp_replace(coalesce(name, ''), '/$', '') AS core FROM e)
-    SELECT manifest_id, path, 'name' AS issue FROM c WHERE core IN ('', '.', '..') OR contains(core, '/') OR contains(core, chr(92)) UNION SELECT manifest_id, path, 'duplicate' FROM e GROUP BY ALL HAVING count(*) > 1"""
+    """WITH r AS (SELECT manifest_id, path, path AS name FROM entries), c AS (SELECT *, regexp_replace(coalesce(name, ''), '/$', '') AS core FROM r)
+    SELECT manifest_id, path, 'name' AS issue FROM c WHERE core IN ('', '.', '..') OR contains(core, '/') OR contains(core, chr(92)) UNION SELECT manifest_id, path, 'duplicate' FROM r GROUP BY ALL HAVING count(*) > 1"""
 )
 def structural_issues(spark, d):
-    return summaries.structural_issues(_entries(spark, d, *[c for c in ENTRY.names if c not in (TREE, "path")]))
+    """Rows as they stand, repeated ones too, and whole paths for names, so that both issues occur."""
+    return summaries.structural_issues(table(spark, d, "entries").withColumn("name", F.col("path")))
 
 
 @query(
-    f"""WITH {S.ENTRIES}, w AS (SELECT manifest_id, seq, is_dir, depth - coalesce(lag(depth) OVER (PARTITION BY manifest_id ORDER BY seq), -1) AS jump,
-      coalesce(bool_or(is_dir) OVER (PARTITION BY manifest_id, parent_path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM e)
+    f"""WITH {S.ENTRIES}, r AS (SELECT * REPLACE (10000000 - seq AS seq) FROM e), w AS (SELECT manifest_id, seq, is_dir, depth - coalesce(lag(depth) OVER (PARTITION BY manifest_id ORDER BY seq), -1) AS jump,
+      coalesce(bool_or(is_dir) OVER (PARTITION BY manifest_id, parent_path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM r)
     SELECT manifest_id, seq, 'depth jump' AS issue FROM w WHERE jump > 1 UNION ALL SELECT manifest_id, seq, 'file after directory' FROM w WHERE NOT is_dir AND late"""
 )
 def order_issues(spark, d):
-    return summaries.order_issues(_entries(spark, d, "seq", "depth", "is_dir", "parent_path"))
+    """Manifests read from the end, so that both issues occur."""
+    return summaries.order_issues(_entries(spark, d, "seq", "depth", "is_dir", "parent_path").withColumn("seq", F.lit(10_000_000) - F.col("seq")))
 
 
 @query(
@@ -665,9 +751,11 @@ def path_closure(spark, d):
 
 @query("SELECT DISTINCT sha256(text) AS digest_hex, strlen(text) AS n_bytes FROM documents WHERE text IS NOT NULL")
 def store_blobs(spark, d):
-    """Content stored once per digest."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select(F.sha2("text", 256).alias("digest_hex"), F.octet_length("text").cast("bigint").alias("n_bytes")).dropDuplicates(["digest_hex"])
+    """Contents put twice and stored once per digest."""
+    docs, store = table(spark, d, "documents"), _store(spark)
+    store.put(docs, "text")
+    store.put(docs, "text")
+    return store.rows().select(_hex("digest").alias("digest_hex"), "n_bytes")
 
 
 @query("WITH i AS (SELECT DISTINCT content_id AS c FROM entries WHERE content_id IS NOT NULL), p AS (SELECT c, lag(c) OVER (ORDER BY c) AS b FROM i) SELECT lower(hex(c)) AS id_hex, CASE WHEN b IS NOT NULL THEN sha256(b || c) END AS sum_hex FROM p")
@@ -684,18 +772,30 @@ def _hex_of(c: F.Column) -> F.Column:
     return F.lower(F.hex(c))
 
 
-@query("SELECT DISTINCT lower(hex(content_id)) AS id_hex, true AS same FROM entries WHERE content_id IS NOT NULL")
+@query(f"WITH {S.id_texts(ids.ID_ALPHABET, 'SELECT DISTINCT content_id AS id FROM entries WHERE content_id IS NOT NULL')} SELECT lower(hex(id)) AS id_hex, text, lower(hex(id)) AS parsed_hex FROM id_texts")
 def id_texts(spark, d):
     """Ids rendered in base 58 and parsed back."""
     distinct = table(spark, d, "entries").where("content_id IS NOT NULL").select("content_id").distinct().withColumn("text", ids.id_text(F.col("content_id")))
-    return distinct.select(_hex().alias("id_hex"), (ids.is_id(F.col("text")) & (ids.parse_id(F.col("text")) == F.col("content_id"))).alias("same"))
+    return distinct.select(_hex().alias("id_hex"), "text", _hex_of(ids.parse_id(F.col("text"))).alias("parsed_hex"))
 
 
-@query("SELECT DISTINCT name, true AS same FROM entries WHERE name IS NOT NULL")
+@query(f"WITH n AS (SELECT DISTINCT name FROM entries WHERE name IS NOT NULL) SELECT name, {S.safe_name('name')} AS safe, lower(hex(encode(name))) AS decoded_hex FROM n")
 def safe_names(spark, d):
     """Names in safe encoding and decoded back."""
-    names = table(spark, d, "entries").where("name IS NOT NULL").select("name").distinct()
-    return names.select("name", (fields.unsafe_name(fields.safe_name(F.col("name"))) == F.col("name").cast("binary")).alias("same"))
+    names = table(spark, d, "entries").where("name IS NOT NULL").select("name").distinct().withColumn("safe", fields.safe_name(F.col("name")))
+    return names.select("name", "safe", _hex_of(fields.unsafe_name(F.col("safe"))).alias("decoded_hex"))
+
+
+@query("SELECT DISTINCT path, regexp_extract(path, '([^/]*/?)$', 1) AS base, regexp_full_match(regexp_replace(regexp_extract(path, '([^/]*/?)$', 1), '/$', ''), '[^/\\\\]+') AS valid FROM entries WHERE path IS NOT NULL")
+def base_names(spark, d):
+    paths = table(spark, d, "entries").where("path IS NOT NULL").select("path").distinct()
+    return paths.select("path", fields.base_name(F.col("path")).alias("base"), fields.valid_name(fields.base_name(F.col("path"))).alias("valid"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, row_number() OVER (PARTITION BY manifest_id ORDER BY encode(path)) AS place FROM e")
+def path_order(spark, d):
+    """Full paths in byte order."""
+    return order.ranked(_entries(spark, d, "seq").select(TREE, "path"), TREE, [F.col("path")], "place")
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, flow_op, flow_target, regexp_matches(flow_target, '^[a-zA-Z][a-zA-Z0-9_-]*:') AS labelled, count(*) AS n FROM e WHERE flow_op IS NOT NULL GROUP BY ALL")
@@ -708,13 +808,17 @@ def flow_links(spark, d):
 
 
 @query(
-    f"WITH {S.ENTRIES} SELECT manifest_id, sha256(string_agg(repeat('  ', depth) || {S.line()} || chr(10), '' ORDER BY {S.path_key('path')}, path)) AS digest_hex FROM e GROUP BY manifest_id"
+    f"WITH {S.ENTRIES}, {S.id_texts(ids.ID_ALPHABET, 'SELECT DISTINCT content_id AS id FROM e WHERE content_id IS NOT NULL')}, x AS (SELECT e.*, t.text FROM e LEFT JOIN id_texts t ON e.content_id = t.id), "
+    f"m AS (SELECT manifest_id, sha256(string_agg(repeat('  ', depth) || {S.line(identity='text', name=S.safe_name('name'))} || chr(10), '' ORDER BY {S.path_key('path')}, path)) AS digest_hex FROM x GROUP BY manifest_id) "
+    "SELECT * FROM m UNION ALL SELECT CAST(doc_id AS VARCHAR), sha256(text || chr(10)) FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL"
 )
 def text_identities(spark, d):
-    """The hash of each manifest's nested text (raw names and hex ids, as SQL has them)."""
-    e = _entries(spark, d)
-    lines = order.ranked(e, TREE, [order.path_key(F.col("path")), F.col("path")], "line_no").select(TREE, "line_no", F.concat(F.repeat(F.lit("  "), F.col("depth")), _raw_line()).alias("line"))
-    return rollup.text_digests(lines, "sha256").select(TREE, _hex("digest").alias("digest_hex"))
+    """Identities of texts: manifests by their canonical text, documents as they stand."""
+    written = text.manifest_text(_entries(spark, d))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias(TREE), "text").distinct()
+    plain = docs.select(TREE, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = settle(written.unionByName(plain.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line")))
+    return text.identify(lines, "sha256").select(TREE, _hex("digest").alias("digest_hex"))
 
 
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, parent_path AS path, sha256(string_agg({S.line()} || chr(10), '' ORDER BY CASE WHEN is_dir THEN 1 ELSE 0 END, {S.natural('name')}, {S.line()})) AS digest_hex FROM e GROUP BY manifest_id, parent_path")
@@ -723,6 +827,20 @@ def listing_texts(spark, d):
     return rollup.listing_texts(_entries(spark, d), _raw_line()).select(TREE, "path", F.sha2("content", 256).alias("digest_hex"))
 
 
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e")
+def expand_stored(spark, d):
+    """Trees kept as one stored listing per distinct directory, put together again from the ids of their roots."""
+    e = settle(_entries(spark, d))
+    digests = settle(rollup.tree_digests(e, _raw_line(), "sha256"))
+    own = digests.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), "digest")
+    known = e.join(own, F.col("is_dir") & (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").withColumn("content_id", F.coalesce("digest", "content_id"))
+    parents = digests.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), F.col("digest").alias("listing_id"))
+    stored = known.select(TREE, "parent_path", "name", "file_type", "perm", "ts", "size", "content_id").join(parents, (F.col(TREE) == F.col("_t")) & (F.col("parent_path") == F.col("_p")))
+    listings = settle(stored.select("listing_id", "name", "file_type", "perm", "ts", "size", "content_id").distinct())
+    roots = digests.where("path = ''").select(TREE, "path", F.col("digest").alias("content_id"), F.lit(True).alias("is_dir"))
+    return navigate.expand_listings(roots, listings).where("path <> ''").select(TREE, "path", "size")
+
+
 @query(
     f"""WITH {S.PAIRS}, x AS (SELECT * FROM a WHERE NOT is_dir), y AS (SELECT * FROM b WHERE NOT is_dir), st AS (SELECT DISTINCT content_id FROM a WHERE content_id IS NOT NULL),
     k AS (SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, CASE WHEN x.path IS NULL THEN 'create' WHEN y.path IS NULL THEN 'remove' WHEN x.content_id IS NOT DISTINCT FROM y.content_id THEN 'skip' ELSE 'update' END AS action,
@@ -762,19 +880,43 @@ def chain_first_three(spark, d):
 @query(f"WITH {S.ENTRIES} SELECT manifest_id, path, CASE WHEN perm > 0 OR file_type <> '-' THEN file_type END AS file_type, size, lower(hex(content_id)) AS content_hex, {S.moment('ts')} AS ts_text, flow_op FROM e")
 def text_round_trip(spark, d):
     """Manifests written as text and read back."""
-    lines = text.manifest_text(_entries(spark, d))
+    lines = settle(text.manifest_text(_entries(spark, d)))
     c = F.col
     return text.read_entries(lines).select(TREE, "path", "file_type", "size", _hex().alias("content_hex"), fields.moment_text(c("ts")).alias("ts_text"), "flow_op")
 
 
-@query()
+@query(
+    f"""WITH {S.ENTRIES}, h AS (SELECT manifest_id, path, repeat('  ', depth) || rpad(coalesce({S.mode()}, '-'), 10, ' ') || ' ' || coalesce(strftime(ts, '%b %-d %H:%M:%S %Y'), '-') || ' ' AS f, coalesce(format('{{:,}}', size), '-') AS s,
+      ' ' || {S.named()} || {S.link()} AS b, coalesce(lower(hex(content_id)), '-') AS i FROM e),
+    w AS (SELECT *, max(length(s)) OVER m AS ws, max(length(f) + length(b)) OVER m AS wn, row_number() OVER (PARTITION BY manifest_id ORDER BY {S.path_key('path')}, path) AS line_no FROM h WINDOW m AS (PARTITION BY manifest_id)),
+    l AS (SELECT *, f || lpad(s, CAST(ws AS INTEGER), ' ') || b AS head, greatest(80, CAST(ceil((wn + ws + 10) / 10.0) * 10 AS INTEGER)) AS col FROM w)
+    SELECT manifest_id, line_no, rpad(head, col, ' ') || i AS line FROM l"""
+)
 def pretty_text(spark, d):
-    return text.pretty_text(_entries(spark, d))
+    """Manifests for readers (raw names and hex ids, as SQL has them)."""
+    return text.pretty_text(_entries(spark, d), _hex(), F.col("name"))
 
 
-@query("SELECT manifest_id, true AS is_manifest FROM (SELECT DISTINCT manifest_id FROM entries)")
+@query(
+    """WITH d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS manifest_id, text FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT manifest_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS line FROM d)
+    SELECT DISTINCT manifest_id, true AS is_manifest FROM entries UNION ALL SELECT manifest_id, regexp_matches(line, '^(-|[-dlbcps][-rwxstST]{9}) +(-|0|[0-9]{4}-[0-9]{2}-[0-9]{2}T)') FROM f WHERE line IS NOT NULL"""
+)
 def sniff_text(spark, d):
-    return text.sniff(text.manifest_text(_entries(spark, d)))
+    """Whether texts are manifests: written manifests are, documents aren't."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias(TREE), "text").distinct()
+    plain = docs.select(TREE, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return text.sniff(text.manifest_text(_entries(spark, d)).unionByName(plain.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line")))
+
+
+@query(
+    f"""SELECT DISTINCT manifest_id, line_no, CASE WHEN contains(line, chr(13)) THEN 'character' WHEN starts_with(trim(line), '@') THEN 'directive' ELSE 'fields' END AS field FROM manifest_lines
+    WHERE trim(line) <> '' AND NOT regexp_full_match(trim(line), '(c4[{ids.ID_ALPHABET}]{{88}})+')
+    AND (contains(line, chr(13)) OR starts_with(trim(line), '@') OR len(list_filter(string_split(regexp_replace(trim(line), '\\\\.', '_', 'g'), ' '), lambda x: x <> '')) < 5)"""
+)
+def refused_lines(spark, d):
+    """Lines of raw manifests that a strict reader refuses before it looks into their fields."""
+    return text.rejected(table(spark, d, "manifest_lines").distinct()).where("field IN ('character', 'directive', 'fields')").select(TREE, "line_no", "field").distinct()
 
 
 @query(feedsql.STATE)
@@ -789,5 +931,27 @@ def stream_chain_state(spark, d):
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL")
 def event_windows(spark, d):
-    counts = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")
+    """Counts per day of the events taken as a stream."""
+    counts = windowed_counts(table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return take_complete(counts, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")
+
+
+# Chains with lost sections and with states that come back
+
+
+@query(feedsql.ORPHANS)
+def chain_orphans(spark, d):
+    """Sections that can't be applied, with the reason."""
+    return changefeed.unapplied_sections(table(spark, d, "patch_sections"))
+
+
+@query(feedsql.REVERTS)
+def chain_reverts(spark, d):
+    """Log order where each chain comes back from its end to its first state and goes on from there."""
+    s = table(spark, d, "patch_sections").select("chain_id", "section_id", "base_id", "new_id", "arrived_at")
+    later = lambda days: F.col("arrived_at") + F.expr(f"INTERVAL {days} DAYS")
+    first = s.where("base_id IS NULL").groupBy("chain_id").agg(F.min("new_id").alias("_first"))
+    ends = s.alias("s").join(s.select(F.col("chain_id").alias("_c"), F.col("base_id").alias("_b")).distinct(), (F.col("chain_id") == F.col("_c")) & (F.col("new_id") == F.col("_b")), "left_anti")
+    back = ends.join(first, "chain_id").select("chain_id", (-F.col("section_id")).alias("section_id"), F.col("new_id").alias("base_id"), F.col("_first").alias("new_id"), later(1000).alias("arrived_at"))
+    on = s.where("base_id IS NULL").select("chain_id", (-F.lit(10**9) - F.col("section_id")).alias("section_id"), F.col("new_id").alias("base_id"), ids.content_id(F.col("chain_id"), 256).alias("new_id"), later(2000).alias("arrived_at"))
+    return changefeed.section_order(s.unionByName(back).unionByName(on))

@@ -8,17 +8,27 @@ from pyspark.sql.window import Window
 
 from boughline.functions import fields, ids
 from boughline.functions.order import path_key, ranked
-from boughline.operators.sequences import is_sequence_text
+from boughline.operators.common import broadcast_up_to, last_seen, settle
 from boughline.operators.navigate import build_paths
 from boughline.operators.rollup import text_digests
+from boughline.operators.sequences import is_sequence_text
 from boughline.schema import TREE
 from boughline.sources.manifest_lines import permission_bits
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``manifest_id`` (the file), ``line_no`` from 1 and ``line`` of text files, each file one manifest."""
-    texts = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias(TREE), "value")
-    return texts.select(TREE, F.posexplode(F.split("value", "\n")).alias("_i", "line")).select(TREE, (F.col("_i") + 1).cast("bigint").alias("line_no"), "line")
+    """``manifest_id`` (the file), ``line_no`` from 1 and ``line`` of text files, each file one manifest.
+
+    Files are read in splits, so one may be larger than any memory; a line's
+    number follows from its place in its split and the lines of the splits
+    before it. A file that ends in a newline has no empty last line.
+    """
+    read = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias(TREE), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    read = settle(read)
+    splits = read.groupBy(F.col(TREE).alias("_f"), F.col("_b").alias("_s")).agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = broadcast_up_to(splits.select("_f", "_s", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least") + 1).alias("_start")))
+    return read.join(starts, (F.col(TREE) == F.col("_f")) & (F.col("_b") == F.col("_s"))).select(TREE, (F.col("_at") + F.col("_start")).alias("line_no"), "line")
 
 
 def line_kind(line: Column) -> Column:
@@ -39,76 +49,154 @@ def _unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r'\\([ "\[\]])', "$1")
 
 
+#: Why a strict reader refuses a line, in the order in which reasons are looked for.
+REFUSED = {
+    "character": "carriage return in the line",
+    "directive": "directives are not supported",
+    "fields": "five fields expected at least",
+    "mode": "mode is neither - nor a type and nine permission characters",
+    "timestamp": "timestamp is not -, 0 or a moment",
+    "size": "size is not - or a decimal number",
+    "name": "name is empty, . or .., or holds a slash or backslash",
+    "c4id": "id is neither - nor c4 and 88 base-58 characters",
+}
+
+
+def _tokens(lines: DataFrame) -> DataFrame:
+    """Adds ``_k`` (kind), ``_t`` (fields of an entry), parsed fields, and ``_why`` (reason of a line that is no entry, id or id list)."""
+    t = lambda i: F.try_element_at(F.col("_t"), F.lit(i))
+    value = lambda c: F.when(c != "-", c)
+    kinds = lines.withColumn("_k", line_kind(F.col("line"))).withColumn("_t", F.regexp_extract_all(F.trim("line"), F.lit(r"((?:\\.|[^ \\])+)"), 1))
+    parsed = kinds.withColumns(
+        {
+            "_mode": t(1).rlike("^(-|[-dlbcps][-rwxstST]{9})$"),
+            "_ts": fields.parse_moment(value(t(2))),
+            "_size": F.when(t(3).rlike("^[0-9][0-9,]*$"), F.regexp_replace(t(3), ",", "").try_cast("bigint")),
+            "_seq": is_sequence_text(t(4)),
+            "_name": F.coalesce(fields.unsafe_name(_unescaped(t(4))).cast("string"), t(4)),
+        }
+    )
+    why = (
+        F.when(F.col("line").contains("\r"), "character")
+        .when(F.trim("line").startswith("@"), "directive")
+        .when(F.size("_t") < 5, "fields")
+        .when(~F.col("_mode"), "mode")
+        .when(~t(2).isin("-", "0") & F.col("_ts").isNull(), "timestamp")
+        .when((t(3) != "-") & F.col("_size").isNull(), "size")
+        .when(~F.col("_seq") & ~fields.valid_name(F.col("_name")), "name")
+        .when((t(-1) != "-") & ~ids.is_id(t(-1)), "c4id")
+    )
+    return parsed.withColumn("_why", F.when(F.col("_k").isin("entry", "bad"), why))
+
+
 def read_entries(lines: DataFrame) -> DataFrame:
     """Entries of manifest text with ``section_no`` (patches after bare ids) and ``base_id`` of the section.
 
     Fields are separated by blanks that no backslash escapes, so a name is one
     field; escapes and safe encoding are undone. The indent of the first
-    indented line is the width of a level. Lines that are no entries give none;
-    unknown values are NULL. Sections are numbered from 0 by a running count.
+    indented line is the width of a level. Lines that are no entries give none
+    (``rejected`` has those a strict reader refuses, ``range_data`` the id
+    lists); unknown values are NULL. ``lines`` is read several times, so settle
+    it where it isn't a table. Sections are numbered from 0 by a running
+    count, in stretches, so that a long manifest is no single task's.
     """
-    kinds = lines.withColumn("_k", line_kind(F.col("line")))
-    upto = Window.partitionBy(TREE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = _tokens(lines)
     boundary = F.when(F.col("_k") == "id", F.trim("line"))
-    numbered = kinds.withColumn("section_no", F.count(boundary).over(upto).cast("int")).withColumn("base_id", F.last(boundary, ignorenulls=True).over(upto))
+    numbered = last_seen(kinds, TREE, "line_no", {"base_id": boundary}, upto=True, counted={"section_no": boundary}).withColumn("section_no", F.col("section_no").cast("int"))
     indent = F.length("line") - F.length(F.ltrim("line"))
-    numbered = numbered.where("_k = 'entry'").withColumn("_i", indent)
-    step = F.min_by(F.when(F.col("_i") > 0, F.col("_i")), F.when(F.col("_i") > 0, F.col("line_no"))).over(Window.partitionBy(TREE))
-    token = F.regexp_extract_all(F.trim("line"), F.lit(r"((?:\\.|[^ \\])+)"), 1)
-    split = numbered.withColumn("depth", F.floor(F.col("_i") / F.coalesce(step, F.lit(1))).cast("int")).withColumn("_t", token).where("size(_t) >= 5")
+    numbered = numbered.where("_k = 'entry' AND _why IS NULL").withColumn("_i", indent)
+    steps = numbered.where("_i > 0").groupBy(F.col(TREE).alias("_g")).agg(F.min_by("_i", "line_no").alias("_step"))
+    split = numbered.join(broadcast_up_to(steps), F.col(TREE) == F.col("_g"), "left").withColumn("depth", F.floor(F.col("_i") / F.coalesce("_step", F.lit(1))).cast("int"))
     t = lambda i: F.try_element_at(F.col("_t"), F.lit(i))
-    value = lambda c: F.when(c != "-", c)
-    raw = t(4)
-    sequence = is_sequence_text(raw)
-    name = F.coalesce(fields.unsafe_name(_unescaped(raw)).cast("string"), raw)
-    op = F.when(F.size("_t") > 5, t(5))
-    target = F.when(F.size("_t") > 6, fields.unsafe_name(_unescaped(t(6))).cast("string"))
-    flow = op.isin("<-", "<>") | ((op == "->") & fields.is_flow_target(target) & (F.substring(t(1), 1, 1) != "l"))
-    mode = F.when(t(1).rlike("^[-dlbcps][-rwxstST]{9}$") & (t(1) != "-" * 10), t(1))
+    # Each is a column of its own, since the fields below use it several times.
+    split = split.withColumns({"_op": F.when(F.size("_t") > 5, t(5)), "_target": F.when(F.size("_t") > 6, fields.unsafe_name(_unescaped(t(6))).cast("string")), "_m": F.when(~t(1).isin("-", "-" * 10), t(1))})
+    op, target = F.col("_op"), F.col("_target")
+    split = split.withColumn("_flow", op.isin("<-", "<>") | ((op == "->") & fields.is_flow_target(target) & (F.substring(t(1), 1, 1) != "l")))
+    sequence, flow, mode = F.col("_seq"), F.col("_flow"), F.col("_m")
     parsed = split.select(
         TREE,
         F.col("line_no").alias("seq"),
         "section_no",
         "base_id",
         "depth",
-        F.when(sequence, raw).otherwise(name).alias("name"),
+        F.when(sequence, t(4)).otherwise(F.col("_name")).alias("name"),
         F.substring(mode, 1, 1).alias("file_type"),
         permission_bits(mode).alias("perm"),
-        fields.parse_moment(value(t(2))).alias("ts"),
-        F.regexp_replace(value(t(3)), ",", "").try_cast("bigint").alias("size"),
+        F.col("_ts").alias("ts"),
+        F.col("_size").alias("size"),
         F.when(~flow, target).alias("link_target"),
-        ids.parse_id(value(t(-1))).alias("content_id"),
+        ids.parse_id(F.when(t(-1) != "-", t(-1))).alias("content_id"),
         F.when(op.rlike("^->[0-9]+$"), F.substring(op, 3, 9).try_cast("int")).when((op == "->") & target.isNull(), F.lit(-1)).alias("hard_link"),
         F.when(flow, op).alias("flow_op"),
         F.when(flow, target).alias("flow_target"),
         sequence.alias("is_sequence"),
     )
-    parsed = parsed.withColumn("pattern", F.when(F.col("is_sequence"), F.col("name")))
+    parsed = settle(parsed.withColumn("pattern", F.when(F.col("is_sequence"), F.col("name"))))
     located = build_paths(parsed.withColumn("_m", F.col(TREE)).withColumn(TREE, F.concat_ws("\x00", TREE, "section_no")), "seq")
     return located.withColumn(TREE, F.col("_m")).drop("_m").withColumn("is_dir", F.col("name").endswith("/"))
 
 
-def manifest_text(entries: DataFrame, indent: int = 2) -> DataFrame:
-    """``manifest_id, line_no, line``: entries as canonical text, in canonical order, indented by depth."""
-    line = F.concat(F.repeat(F.lit(" " * indent), F.col("depth")), fields.canonical_line())
-    return ranked(entries, TREE, [path_key(F.col("path")), F.col("path")], "line_no").select(TREE, "line_no", line.alias("line"))
+def rejected(lines: DataFrame) -> DataFrame:
+    """``manifest_id, line_no, field, message, raw``: lines that a strict reader refuses, each with the first reason (``REFUSED``).
+
+    ``patch`` marks the id of a section that has no entries before the next id
+    or the end, unless it is the first line with text (an external base). Blank
+    lines, entries, ids and id lists aren't refused.
+    """
+    judged = _tokens(lines)
+    said = F.element_at(F.create_map(*[F.lit(x) for pair in REFUSED.items() for x in pair]), F.col("_why"))
+    bad = judged.where("_why IS NOT NULL").select(TREE, "line_no", F.col("_why").alias("field"), said.alias("message"), F.col("line").alias("raw"))
+    text = judged.where("_k IN ('id', 'entry') AND _why IS NULL")
+    held = last_seen(text, TREE, "line_no", {"_at": F.when(F.col("_k") == "id", F.col("line_no"))}, upto=True).where("_at IS NOT NULL").groupBy(TREE, F.col("_at").alias("line_no")).agg(F.count_if(F.col("_k") == "entry").alias("_n"))
+    first = text.groupBy(TREE).agg(F.min("line_no").alias("_first"))
+    empty = held.where("_n = 0").join(first, TREE).where("line_no <> _first").select(TREE, "line_no")
+    raw = lines.select(TREE, "line_no", "line").distinct()
+    return bad.unionByName(empty.join(raw, [TREE, "line_no"]).select(TREE, "line_no", F.lit("patch").alias("field"), F.lit("a patch without entries").alias("message"), F.col("line").alias("raw")))
 
 
-def pretty_text(entries: DataFrame) -> DataFrame:
-    """``manifest_id, line_no, line`` for readers: sizes with commas in a column of one width, ids aligned."""
-    widest = entries.groupBy(TREE).agg(F.max(F.length(F.format_number(F.coalesce("size", F.lit(0)), 0))).alias("_w"))
+def range_data(lines: DataFrame) -> DataFrame:
+    """``manifest_id, content_id, members``: the id lists of manifest text, each under the id of its own text, which its sequence bears.
+
+    They belong to no section and don't change a manifest's identity.
+    """
+    text = F.trim("line")
+    return lines.where(ids.is_id_list(text)).select(TREE, ids.content_id(text).alias("content_id"), text.alias("members")).distinct()
+
+
+def manifest_text(entries: DataFrame, indent: int = 2, line: Column | None = None, members: DataFrame | None = None) -> DataFrame:
+    """``manifest_id, line_no, line``: entries as canonical text, in canonical order, indented by depth.
+
+    ``line`` is the canonical line of an entry (over its columns). ``members``
+    (as ``range_data`` gives them) are written behind the entries, in the order
+    of their ids.
+    """
+    text = F.concat(F.repeat(F.lit(" " * indent), F.col("depth")), fields.canonical_line() if line is None else line)
+    key = [path_key(F.col("path")), F.col("path")]
+    if members is None:
+        return ranked(entries, TREE, key, "line_no").select(TREE, "line_no", text.alias("line"))
+    rows = entries.select(TREE, F.lit(0).alias("_k"), key[0].alias("_p"), key[1].alias("_q"), F.lit(None).cast("binary").alias("_c"), text.alias("line"))
+    lists = members.select(TREE, F.lit(1).alias("_k"), F.lit("").alias("_p"), F.lit("").alias("_q"), F.col("content_id").alias("_c"), F.col("members").alias("line"))
+    return ranked(rows.unionByName(lists), TREE, [F.col(c) for c in ("_k", "_p", "_q", "_c")], "line_no").select(TREE, "line_no", "line")
+
+
+def pretty_text(entries: DataFrame, identity: Column | None = None, name: Column | None = None) -> DataFrame:
+    """``manifest_id, line_no, line`` for readers: sizes with commas in a column of one width, ids aligned.
+
+    ``identity`` and ``name`` are the texts of id and name, as for ``canonical_line``.
+    """
     dash = lambda c: F.coalesce(c, F.lit("-"))
-    placed = ranked(entries, TREE, [path_key(F.col("path")), F.col("path")], "line_no").join(widest, TREE)
-    size = F.lpad(dash(F.format_number("size", 0)), F.col("_w"), F.lit(" "))
-    head = F.concat(
-        F.repeat(F.lit("  "), F.col("depth")), F.rpad(dash(fields.mode_text(F.col("file_type"), F.col("perm"))), 10, " "), F.lit(" "),
-        dash(F.date_format("ts", "MMM d HH:mm:ss yyyy")), F.lit(" "), size, F.lit(" "), fields.escape_name(fields.safe_name(F.col("name")), F.col("is_sequence")),
-        fields.link_text(F.col("link_target"), F.col("hard_link"), F.col("flow_op"), F.col("flow_target")),
+    shown = fields.escape_name(fields.safe_name(F.col("name")) if name is None else name, F.col("is_sequence"))
+    front = F.concat(
+        F.repeat(F.lit("  "), F.col("depth")), F.rpad(dash(fields.mode_text(F.col("file_type"), F.col("perm"))), 10, " "), F.lit(" "), dash(F.date_format("ts", "MMM d HH:mm:ss yyyy")), F.lit(" ")
     )
-    made = placed.withColumn("_h", head)
-    longest = F.max(F.length("_h")).over(Window.partitionBy(TREE))
-    column = F.greatest(F.lit(80), (F.ceil((longest + 10) / 10) * 10)).cast("int")
-    return made.select(TREE, "line_no", F.concat(F.rpad("_h", column, F.lit(" ")), dash(ids.id_text(F.col("content_id")))).alias("line"))
+    back = F.concat(F.lit(" "), shown, fields.link_text(F.col("link_target"), F.col("hard_link"), F.col("flow_op"), F.col("flow_target")))
+    made = entries.select(TREE, "path", front.alias("_f"), dash(F.format_number("size", 0)).alias("_s"), back.alias("_b"), dash(ids.id_text(F.col("content_id")) if identity is None else identity).alias("_id"))
+    placed = ranked(made, TREE, [path_key(F.col("path")), F.col("path")], "line_no")
+    around = F.length("_f") + F.length("_b")
+    widths = placed.groupBy(F.col(TREE).alias("_g")).agg(F.max(F.length("_s")).alias("_w"), F.max(around).alias("_n"))
+    column = F.greatest(F.lit(80), (F.ceil((F.col("_n") + F.col("_w") + 10) / 10) * 10)).cast("int")
+    head = F.concat("_f", F.lpad("_s", F.col("_w"), F.lit(" ")), "_b")
+    return placed.join(broadcast_up_to(widths), F.col(TREE).eqNullSafe(F.col("_g"))).select(TREE, "line_no", F.concat(F.rpad(head, column, F.lit(" ")), "_id").alias("line"))
 
 
 def write_text(lines: DataFrame, folder: str, files: int = 8) -> None:
@@ -122,11 +210,6 @@ def path_list(entries: DataFrame) -> DataFrame:
     return entries.select(TREE, "path").orderBy(TREE, "path")
 
 
-def rejected(lines: DataFrame) -> DataFrame:
-    """Lines a strict reader refuses: directives and carriage returns."""
-    return lines.where(line_kind(F.col("line")) == "bad")
-
-
 def patch_text(delta: DataFrame, base_ids: DataFrame) -> DataFrame:
     """``manifest_id, line_no, line``: patches as text, each after the id of the state it applies to (``manifest_id, base_id``)."""
     body = manifest_text(delta)
@@ -134,13 +217,14 @@ def patch_text(delta: DataFrame, base_ids: DataFrame) -> DataFrame:
     return head.unionByName(body.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line"))
 
 
-def identify(lines: DataFrame) -> DataFrame:
-    """``manifest_id, digest`` of files read as lines: a manifest is hashed in its canonical text, another file as it stands."""
+def identify(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
+    """``manifest_id, digest`` of files read as lines: a manifest is hashed in its canonical text, another file as it stands.
+
+    A file's last line is taken to end in a newline, as ``read_lines`` can't
+    tell whether it does.
+    """
     kinds = sniff(lines)
     manifests = lines.join(kinds.where("is_manifest"), TREE, "left_semi")
     others = lines.join(kinds.where("is_manifest"), TREE, "left_anti")
     canonical = manifest_text(read_entries(manifests))
-    # A file that ends in a newline has an empty last line, which the hasher's own newline replaces.
-    last = F.max("line_no").over(Window.partitionBy(TREE))
-    raw = others.withColumn("_z", last).where("NOT (line = '' AND line_no = _z)").drop("_z")
-    return text_digests(canonical.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line").unionByName(raw.select(TREE, "line_no", "line")))
+    return text_digests(canonical.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line").unionByName(others.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line")), algorithm)

@@ -334,7 +334,8 @@ def test_more_of_text_listings_and_plans(spark, tmp_path):
     (files / "open.txt").write_text("no newline at the end")
     got = {r["manifest_id"].rsplit("/", 1)[1]: bytes(r["digest"]) for r in text.identify(text.read_lines(spark, str(files))).collect()}
     assert got["m.txt"] == sha("- - 1 a -\n- - 2 z -\n") and got["other.txt"] == sha("no manifest\nat all\n")
-    assert text.rejected(text.read_lines(spark, str(files))).count() == 0
+    refused = text.rejected(text.read_lines(spark, str(files))).collect()
+    assert sorted((r["manifest_id"].rsplit("/", 1)[1], r["line_no"], r["field"]) for r in refused) == [("open.txt", 1, "mode"), ("other.txt", 1, "fields"), ("other.txt", 2, "fields")]
     listing = {r["path"]: r["content"] for r in rollup.listing_texts(df).collect()}
     assert listing["b/"] == f"-rw-r--r-- - 1 x {ids.encode_id(sha('x'))}\n" and listing[""].count("\n") == 2
     stored = spark.createDataFrame([(sha("r"), "b/", sha("b")), (sha("b"), "x", sha("x"))], "listing_id binary, name string, content_id binary")
