@@ -9,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from boughline.operators.common import broadcast_up_to, settle
 
 #: Counters per row of the sketch and rows; 8 * WIDTH * DEPTH bytes a task.
 WIDTH = 1 << 18
@@ -111,34 +114,33 @@ def heavy_candidates(df: DataFrame, column: str, width: int = WIDTH, depth: int
 def top_values(df: DataFrame, column: str, k: int, **sketch: int) -> DataFrame:
     """The ``k`` values with the most rows: ``value, n_rows, approx_count``, exact.
 
-    Candidates come from the sketch; their rows are then counted (a scan that
-    keeps at most a few hundred values). If the ``k``-th count doesn't lie above
-    the estimates of all candidates left out and the floor, more candidates
-    are counted, up to all. If even all candidates leave the result open (flat
-    columns, ties with evicted values), all values are counted in one
-    aggregate, combined before the shuffle. At equal counts the smaller value
-    comes first.
+    Candidates come from the sketch. The rows of the ``16 * k`` heaviest are
+    counted first (one scan); the ``k``-th count then tells which values can be
+    among the first at all: if it lies above ``floor``, only candidates whose
+    estimates reach it, and those are counted too; else (flat columns, ties with
+    evicted values) any value may, and all are counted in one aggregate,
+    combined before the shuffle. Only ``16 * k`` values reach the driver;
+    candidates are broadcast behind a count of them, else joined by a shuffle.
+    At equal counts the smaller value comes first.
     """
-    found = heavy_candidates(df, column, **sketch).persist()
-    try:
-        floor = found.agg(F.max("floor")).head()[0] or 0
-        n = 16 * k
-        while True:
-            best = found.orderBy(F.desc("approx_count"), "value").limit(n + 1).select("value", "approx_count").collect()
-            chosen = df.sparkSession.createDataFrame(best[:n], found.select("value", "approx_count").schema)
-            counted = df.select(F.col(column).alias("value")).join(F.broadcast(chosen), "value").groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"), F.first("approx_count").alias("approx_count"))
-            top = counted.orderBy(F.desc("n_rows"), "value").limit(k).collect()
-            unseen = max(floor, best[n]["approx_count"] if len(best) > n else 0)
-            if (len(top) == k and top[-1]["n_rows"] > unseen) or unseen == 0:
-                break
-            if len(best) <= n or best[k - 1]["approx_count"] <= floor:  # more candidates can't settle it
-                least = top[-1]["n_rows"] if len(top) == k else 1
-                values = df.select(F.col(column).alias("value")).where("value IS NOT NULL")
-                exact = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least).orderBy(F.desc("n_rows"), "value").limit(k)
-                seen = exact.join(found.select("value", "approx_count"), "value", "left")
-                top = seen.select("value", "n_rows", F.coalesce("approx_count", F.lit(floor)).alias("approx_count")).orderBy(F.desc("n_rows"), "value").collect()
-                break
-            n *= 4
-    finally:
-        found.unpersist()
-    return df.sparkSession.createDataFrame(top, counted.schema)
+    spark = df.sparkSession
+    found = settle(heavy_candidates(df, column, **sketch))
+    floor = found.agg(F.max("floor")).head()[0] or 0
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL")
+    first = lambda counted: counted.orderBy(F.desc("n_rows"), "value").limit(k)
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        return values.join(chosen, "value").groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"), F.first("approx_count").alias("approx_count"))
+
+    heaviest = found.orderBy(F.desc("approx_count"), "value").limit(16 * k + 1).select("value", "approx_count").collect()
+    schema = found.select("value", "approx_count").schema
+    top = first(counted(F.broadcast(spark.createDataFrame(heaviest[: 16 * k], schema)))).collect()
+    least = top[-1]["n_rows"] if len(top) == k else 1
+    result = spark.createDataFrame(top, T.StructType([schema["value"], T.StructField("n_rows", T.LongType()), schema["approx_count"]]))
+    if floor >= least:
+        every = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
+        seen = first(every).join(found.select("value", "approx_count"), "value", "left")
+        result = first(seen.select("value", "n_rows", F.coalesce("approx_count", F.lit(floor)).alias("approx_count")))
+    elif len(heaviest) > 16 * k and heaviest[-1]["approx_count"] >= least:
+        result = first(counted(broadcast_up_to(found.where(F.col("approx_count") >= least).select("value", "approx_count"))))
+    return result.orderBy(F.desc("n_rows"), "value")

@@ -16,11 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boughline.operators.common import discard, settle
+
 #: Labelled documents the model is fitted on: those of the smallest key hashes, whatever the size of the input.
 TRAIN_DOCS = 6000
+#: Bytes of messages that the sample has at most; documents that exceed what is left of it are passed over.
+TRAIN_BYTES = 32 << 20
 #: Sentences of one language that the chain is fitted on.
 TRAIN_SENTENCES = 1500
 #: Steps of the optimiser.
@@ -36,8 +40,10 @@ ALIKE_AT = 0.8
 EVIDENCE_WORDS = 4
 #: Hash buckets of word, affix and n-gram features.
 BUCKETS = 1 << 15
-#: Words of a paragraph that are labelled as one chain; longer ones are cut into several.
-CHAIN = 400
+#: Words whose states are held at a time; longer chains are labelled as one all the same, in stretches.
+STRETCH = 4096
+#: Words of one block of chains that are labelled together.
+BLOCK_WORDS = 200_000
 
 # Frequent function words of each language, the prior of the lexicon features.
 LEXICON = {
@@ -67,6 +73,8 @@ _CODE_END = re.compile(r"[;{}]$")
 _PROSE_END = re.compile(r"[.!?…,:]$")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+#: First line of a commit.
+_COMMIT = "^commit [0-9a-f]+"
 
 
 def _listed(line: str) -> bool:
@@ -88,7 +96,7 @@ def sentences(text: str) -> list[list[tuple[str, list[str]]]]:
     identifiers and quoted phrases are no words. Whole texts are read.
     """
     lines = text.replace("\r", "").split("\n")
-    if text.startswith("commit "):
+    if re.match(_COMMIT + r"\b", lines[0]):
         lines = [x[4:] if x.startswith("    ") else "" for x in lines]
     paragraphs, held, level = [], [], ""
     for line in [*lines, ""]:
@@ -172,17 +180,63 @@ def untrained(labels: list[str]) -> Model:
     return Model(labels, weights, np.eye(n) * 1.0, np.zeros(n))
 
 
-def _chains(chains: list[np.ndarray], emissions: np.ndarray, model: Model, block: int = 2000, pairs: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _blocks(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of chains of up to ``STRETCH`` words, of similar lengths, in blocks of about ``BLOCK_WORDS`` words."""
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] <= STRETCH]
+    at = 0
+    while at < len(order):
+        # The longest of a block is its last: as many chains as fit, were all of them that long.
+        widths = sizes[order[at:]] * np.arange(1, len(order) - at + 1)
+        n = max(1, int(np.searchsorted(widths, BLOCK_WORDS, side="right")))
+        yield order[at : at + n]
+        at += n
+
+
+def _long_chain(ids: np.ndarray, potential: np.ndarray, exp_steps: np.ndarray, exp_start: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over one chain of any length: states are held per stretch and made again, stretch by stretch, from the end."""
+    n, starts = len(exp_start), range(0, len(ids), STRETCH)
+
+    def forward(low: int, state: np.ndarray | None) -> np.ndarray:
+        rows = np.empty((min(STRETCH, len(ids) - low), n))
+        for t in range(len(rows)):
+            state = (exp_start if state is None else state @ exp_steps) * potential[ids[low + t]]
+            state = state / state.sum()
+            rows[t] = state
+        return rows
+
+    entering: list[np.ndarray | None] = [None]
+    for low in starts:
+        entering.append(forward(low, entering[-1])[-1])
+    out, expected, back = np.empty((len(ids), n), np.float32), np.zeros((n, n)), np.ones(n)
+    for k in range(len(starts) - 1, -1, -1):
+        rows = forward(starts[k], entering[k])
+        for t in range(len(rows) - 1, -1, -1):
+            both = rows[t] * back
+            out[starts[k] + t] = both / both.sum()
+            ahead = potential[ids[starts[k] + t]] * back
+            before = rows[t - 1] if t else entering[k]
+            if pairs and before is not None:
+                expected += exp_steps * np.outer(before, ahead) / ((before @ exp_steps) * ahead).sum()
+            back = exp_steps @ ahead
+            back /= back.sum()
+    return out, expected
+
+
+def _chains(chains: list[np.ndarray], emissions: np.ndarray, model: Model, pairs: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Forward-backward over chains of word ids: word probabilities, expected transitions and starts."""
     n = len(model.labels)
     exp_steps, exp_start = np.exp(model.steps), np.exp(model.start)
     potential = np.exp(emissions - emissions.max(axis=1, keepdims=True)) + 1e-12
-    order = np.argsort([len(c) for c in chains], kind="stable")
+    sizes = np.array([len(c) for c in chains], np.int64)
     out: list[np.ndarray | None] = [None] * len(chains)
     expected, starts = np.zeros((n, n)), np.zeros(n)
-    for k in range(0, len(order), block):
-        ids = order[k : k + block]
-        size = np.array([len(chains[i]) for i in ids])
+    for i in np.flatnonzero(sizes > STRETCH):
+        out[i], more = _long_chain(chains[i], potential, exp_steps, exp_start, pairs)
+        expected += more
+        starts += out[i][0]
+    for ids in _blocks(sizes):
+        size = sizes[ids]
         longest = int(size[-1])
         grid = np.zeros((len(ids), longest), np.int64)
         for row, i in enumerate(ids):
@@ -275,7 +329,7 @@ def fit(labels: list[str], documents: list[tuple[str, str]], steps: int = STEPS)
             members = []
             for _, ws in paragraph:
                 members.append(len(bags))
-                bags.append(np.array([ids.setdefault(w, len(ids)) for w in ws[:CHAIN]]))
+                bags.append(np.array([ids.setdefault(w, len(ids)) for w in ws]))
                 given.append(known[label])
             paragraphs.append(members)
     if not bags:
@@ -289,8 +343,8 @@ def fit(labels: list[str], documents: list[tuple[str, str]], steps: int = STEPS)
         own = truth[members]
         if (room[own] > 0).any():
             np.subtract.at(room, own, 1)
-            chains.append(np.concatenate([bags[i] for i in members])[:CHAIN])
-            seen.append(np.repeat(own, [len(bags[i]) for i in members])[:CHAIN])
+            chains.append(np.concatenate([bags[i] for i in members]))
+            seen.append(np.repeat(own, [len(bags[i]) for i in members]))
     parts = [model.features(w) for w in words]
     flat = np.concatenate([np.array(p) for p in parts])
     owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
@@ -340,18 +394,14 @@ def label_texts(texts: list[str | None], model: Model, cache: dict[str, int], em
     chains = []
     for doc in parsed:
         for p in doc:
-            ids = np.array([cache[w] for _, ws in p for w in ws])
-            chains += [ids[k : k + CHAIN] for k in range(0, len(ids), CHAIN)]
+            chains.append(np.array([cache[w] for _, ws in p for w in ws]))
     marginals, _, _ = _chains(chains, table, model) if chains else ([], None, None)
     at, out = 0, []
     for doc in parsed:
         found = []
         for p in doc:
-            n = sum(len(ws) for _, ws in p)
-            pieces = -(-n // CHAIN)
-            probabilities = np.concatenate(marginals[at : at + pieces]) if pieces > 1 else marginals[at]
-            at += pieces
-            begin = 0
+            probabilities, begin = marginals[at], 0
+            at += 1
             for s, ws in p:
                 mean = probabilities[begin : begin + len(ws)].mean(axis=0)
                 begin += len(ws)
@@ -422,39 +472,68 @@ def _arrow_schema() -> tuple[pa.DataType, pa.DataType]:
 def _messages(documents: DataFrame) -> DataFrame:
     """``doc_id, given, message``: a commit's text up to its diff, cut in the JVM; other texts whole."""
     text = F.col("text")
-    message = F.when(text.startswith("commit "), F.substring_index(text, "\ndiff --", 1)).otherwise(text)
+    message = F.when(text.rlike(_COMMIT + r"\b"), F.substring_index(text, "\ndiff --", 1)).otherwise(text)
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("given"), message.alias("message"))
 
 
-def fit_languages(documents: DataFrame, codes: list[str], train_docs: int = TRAIN_DOCS) -> Model:
-    """Fits the model on at most ``train_docs`` documents whose label is one of ``codes``.
+def fit_languages(documents: DataFrame, codes: list[str], train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits the model on at most ``train_docs`` documents of ``train_bytes`` bytes in all whose label is one of ``codes``.
 
     The sample is the documents with the smallest key hashes, so it has the
-    shares of the whole. Rows with NULL texts or unknown labels don't count.
+    shares of the whole; the driver sees their sizes first and then only what
+    fits. Rows with NULL texts or unknown labels don't count; repeated rows count once.
     """
     labelled = _messages(documents).where(F.col("given").isin(codes) & F.col("message").isNotNull())
     total = documents.where(F.col("lang").isin(codes) & F.col("text").isNotNull()).count()
+    hash_ = F.xxhash64("doc_id")
     if total > 4 * train_docs:
         # Twice the sample by hash range, so that no task sends a whole sample to the driver.
-        labelled = labelled.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * train_docs / total))))
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "message").limit(train_docs).collect()
-    return fit(codes, [(r["message"], r["given"]) for r in sample])
+        labelled = labelled.where(hash_ < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * train_docs / total))))
+    sample = settle(labelled.distinct().withColumns({"_h": hash_, "_m": F.xxhash64("message", "given"), "_n": F.octet_length("message")}))
+    order = ["_h", "doc_id", "_m"]
+    room, chosen = train_bytes, []
+    for r in sample.select(*order, "_n").orderBy(*order).limit(train_docs).collect():
+        if r["_n"] <= room:
+            room -= r["_n"]
+            chosen.append((r["doc_id"], r["_m"]))
+    picked = F.broadcast(documents.sparkSession.createDataFrame(chosen, "doc_id bigint, _m bigint"))  # train_docs rows at most
+    rows = sample.join(picked, ["doc_id", "_m"], "left_semi").orderBy(*order).collect()
+    discard(sample)
+    return fit(codes, [(r["message"], r["given"]) for r in rows])
+
+
+def save_model(spark: SparkSession, model: Model, folder: str) -> None:
+    """Writes a fitted model as a table, to be labelled with later or elsewhere."""
+    parts = {"weights": model.weights, "steps": model.steps, "start": model.start[None, :]}
+    rows = [(part, int(i), model.labels, [float(x) for x in table[i]]) for part, table in parts.items() for i in np.flatnonzero(table.any(axis=1) | (part != "weights"))]
+    spark.createDataFrame(rows, "part string, place int, labels array<string>, row array<double>").coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def load_model(spark: SparkSession, folder: str) -> Model:
+    """A model that ``save_model`` wrote."""
+    rows = spark.read.parquet(folder).collect()  # BUCKETS rows and a few more at most
+    model = untrained(list(rows[0]["labels"]))
+    model.weights[:] = 0
+    for r in rows:
+        {"weights": model.weights, "steps": model.steps, "start": model.start[None, :]}[r["part"]][r["place"]] = r["row"]
+    return model
 
 
-def document_languages(documents: DataFrame, codes: list[str], train_docs: int = TRAIN_DOCS) -> DataFrame:
+def document_languages(documents: DataFrame, codes: list[str], train_docs: int = TRAIN_DOCS, model: Model | None = None) -> DataFrame:
     """For each document its main language, all languages of its sentences, and its segments, with confidences.
 
     ``documents`` has ``doc_id``, ``text`` and ``lang`` (returned as ``given``);
-    ``codes`` are the languages to tell apart. A document without any sentence
+    ``codes`` are the languages to tell apart. ``model`` is a fitted one;
+    without it one is fitted. A document without any sentence
     (NULL or empty text too) has NULL ``lang`` and no segments. Neighbouring
     sentences of one language are one segment; confidences are means of word
     probabilities. Every document is labelled whole; each row is labelled by
     itself, so there is no shuffle and repeated rows give repeated results.
     An input without labels is labelled by the lexicons alone.
     """
-    model = fit_languages(documents, codes, train_docs)
-    model.weights = model.weights.astype(np.float32)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS * len(codes) weights
+    model = fit_languages(documents, codes, train_docs) if model is None else model
+    light = Model(model.labels, model.weights.astype(np.float32), model.steps, model.start)
+    shared = documents.sparkSession.sparkContext.broadcast(light)  # BUCKETS * len(codes) weights
     return _messages(documents).mapInArrow(_labeller(shared), SCHEMA)
 
 

@@ -6,14 +6,10 @@ import bisect
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boughline.llm.tokens import VOCABULARY, token_counts
 from boughline.operators.common import running_sum, settle
 
-#: Items of one length that are ranked in one window; longer runs are cut.
-RANK_ROWS = 1_000_000
-
 
 def plan_containers(capacity: int, counts: dict[int, int], first: int = 0) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Best-fit over counts of lengths: rows ``(length, rank_from, rank_to, per_bin, first_bin, offset)`` and the next free bin.
@@ -78,7 +74,9 @@ def pack(items: DataFrame, kinds: dict[str, int]) -> DataFrame:
     Lengths are counted first, the counts (at most ``capacity`` of a kind, so
     a proven bound) are planned on the driver with ``plan_containers``, and
     items take the planned slots by joining on their rank within their length.
-    The rank of a length that very many items have is counted in parts.
+    Ranks are counted in ranges of a hash, however many items have a length. The
+    plan has about three rows a length once there are many items (77,000 rows
+    for a capacity of 32,768), so it stays small.
 
     Items of NULL or no size need no container and get none; equal sizes are
     ranked by a hash of the item; without items there are no containers. Kinds
@@ -93,25 +91,14 @@ def pack(items: DataFrame, kinds: dict[str, int]) -> DataFrame:
     per_kind = per_kind.withColumn("fulls", F.floor(F.col("size") / F.col("capacity"))).withColumn("length", F.col("size") % F.col("capacity"))
     # Nothing is rounded: sizes lie far below 2 ** 53.
     counted = per_kind.groupBy("kind", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("fulls").alias("fulls")).collect()
-    rows, parts, fulls = [], [], {}
+    rows, fulls = [], {}
     for kind, capacity in sorted(kinds.items()):
         own = [r for r in counted if r["kind"] == kind]
         plan, used = plan_containers(capacity, {r["length"]: r["n"] for r in own if r["length"]})
         fulls[kind] = used
         rows += [(kind, *p) for p in plan]
-        parts += [(kind, r["length"], -(-r["n"] // RANK_ROWS)) for r in own]
-    hash_ = F.xxhash64("item")
     rests = per_kind.where("length > 0").select("kind", "item", "length", "fulls")
-    order = Window.partitionBy("kind", "length").orderBy("_h", "item")
-    if all(p[2] == 1 for p in parts):
-        ranked = rests.withColumn("_h", hash_).withColumn("rank", F.row_number().over(order) - 1)
-    else:
-        cuts = F.broadcast(spark.createDataFrame(parts, "kind string, length bigint, parts int"))
-        cut = rests.join(cuts, ["kind", "length"]).withColumn("_h", hash_).withColumn("part", F.pmod("_h", F.col("parts")))
-        sizes = cut.groupBy("kind", "length", "part").agg(F.count(F.lit(1)).alias("n"))
-        starts = sizes.select("kind", "length", "part", (F.sum("n").over(Window.partitionBy("kind", "length").orderBy("part")) - F.col("n")).alias("start"))
-        local = F.row_number().over(Window.partitionBy("kind", "length", "part").orderBy("_h", "item")) - 1
-        ranked = cut.withColumn("local", local).join(starts, ["kind", "length", "part"]).withColumn("rank", F.col("local") + F.col("start"))
+    ranked = running_sum(rests, ["kind", "length"], F.xxhash64("item"), F.lit(1), "rank")
     slots = F.broadcast(spark.createDataFrame(rows, _PLAN)).alias("p")
     r = ranked.alias("r")
     match = (F.col("r.kind") == F.col("p.kind")) & (F.col("r.length") == F.col("p.length")) & (F.col("r.rank") >= F.col("p.rank_from")) & (F.col("r.rank") < F.col("p.rank_to"))
@@ -134,13 +121,13 @@ def pack(items: DataFrame, kinds: dict[str, int]) -> DataFrame:
     return placed.unionByName(whole)
 
 
-def pack_documents(documents: DataFrame, kinds: dict[str, int], vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(documents: DataFrame, kinds: dict[str, int], vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """``pack`` for the texts of documents, measured in tokens.
 
     Each text is tokenized once; sizes are written once and read by the count
     and the assignment. Repeated rows of a ``doc_id`` count once (with the
     largest text); NULL and empty texts need no container.
     """
-    sizes = token_counts(documents.where("doc_id IS NOT NULL"), ["doc_id"], vocabulary)
+    sizes = token_counts(documents.where("doc_id IS NOT NULL"), ["doc_id"], vocabulary, pattern)
     items = settle(sizes.groupBy(F.col("doc_id").alias("item")).agg(F.max("n_tokens").alias("size")))
     return pack(items, kinds).withColumnRenamed("item", "doc_id")

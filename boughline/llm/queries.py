@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boughline.llm.frequent import heavy_candidates, top_values
-from boughline.llm.language import document_languages, mislabelled
+from boughline.llm.frequent import WIDTH, heavy_candidates, top_values
+from boughline.llm.language import Model, document_languages, fit_languages, mislabelled
 from boughline.llm.mixing import Target, curriculum, mix, shares, sized_documents
 from boughline.llm.packing import pack_documents
 from boughline.llm.visual import consistent_names, look_alikes
@@ -24,6 +26,14 @@ def p3_approx_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.lower(F.hex("value")).alias("content_id_hex"), "approx_count")
 
 
+def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimates of the most frequent ids lie where the sketch promises: from the count up to a part of all rows above it."""
+    entries = table(spark, sf_dir, "entries")
+    slack = math.e * entries.where("content_id IS NOT NULL").count() / WIDTH
+    top = top_values(entries, "content_id", TOP)
+    return top.select(F.lower(F.hex("value")).alias("content_id_hex"), "n_rows", (F.col("approx_count") >= F.col("n_rows")).alias("not_below"), (F.col("approx_count") <= F.col("n_rows") + F.lit(slack)).alias("not_far_above"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes(table(spark, sf_dir, "entries"))
 
@@ -62,9 +72,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mix(sized, targets), sized, targets)
 
 
+#: Models that queries of this process fitted, by session and data set, so that each is fitted once.
+_MODELS: dict[tuple[str, str], Model] = {}
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
     codes = sorted(r[0] for r in table(spark, sf_dir, "lang_codes").select("lang").distinct().collect())  # the languages of the world at most
-    return document_languages(table(spark, sf_dir, "documents"), codes)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = fit_languages(documents, codes)
+    return document_languages(documents, codes, model=_MODELS[key])
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,18 +90,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _languages(spark, sf_dir).select("doc_id", "given", "lang", F.round("confidence", 4).alias("confidence"), F.size("langs").alias("n_langs"))
+    return _languages(spark, sf_dir).select("doc_id", "given", "lang", F.round("confidence", 4).alias("confidence"), F.size("langs").alias("n_langs")).distinct()
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = _languages(spark, sf_dir).where(F.size("langs") > 1)
-    return mixed.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment_no", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.n_sentences", "s.n_words", "s.text")
+    return mixed.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment_no", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.n_sentences", "s.n_words", "s.text").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_approx_counts, p4_found, p4_forms, p7_assignments, p7_usage, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_approx_counts, p3_bounds, p4_found, p4_forms, p7_assignments, p7_usage, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
 
 SQL = {
     "p3_found": f"""
         SELECT lower(hex(content_id)) AS content_id_hex FROM entries WHERE content_id IS NOT NULL
         GROUP BY content_id ORDER BY count(*) DESC, content_id LIMIT {TOP}""",
+    "p3_bounds": f"""
+        SELECT lower(hex(content_id)) AS content_id_hex, count(*) AS n_rows, true AS not_below, true AS not_far_above FROM entries WHERE content_id IS NOT NULL
+        GROUP BY content_id ORDER BY count(*) DESC, content_id LIMIT {TOP}""",
 }

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 #: The vocabulary file (ranks of byte pairs) where none is named.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters that are tokenized in one call; more texts than that go in several.
+#: Encoders that this process has made.
 _ENCODERS: dict[int, object] = {}
 
 
-def _pattern() -> str:
+def usual_pattern() -> str:
+    """The pattern that cuts texts into words for the vocabularies of the module ``public_tokenizers``."""
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -44,13 +45,14 @@ def _counter(shared):
     return run
 
 
-def token_counts(documents: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(documents: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """``keep`` columns and ``n_tokens`` of each document's whole ``text``; 0 for NULL and ''.
 
     The vocabulary (under a megabyte) is read by the driver and broadcast, so
-    executors need no file. Special tokens in a text are ordinary text.
+    executors need no file; so is ``pattern`` (``usual_pattern`` where none is
+    given). Special tokens in a text are ordinary text.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), _pattern()))
+    shared = documents.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), usual_pattern() if pattern is None else pattern))
     slim = documents.select(*keep, F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
     return slim.mapInArrow(_counter(shared), f"{fields}, n_tokens bigint")

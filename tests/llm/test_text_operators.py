@@ -165,9 +165,9 @@ def test_plan_places_every_item_without_overlap(capacity, counts):
     assert used <= 11 / 9 * max(-(-total // capacity), sum(n for k, n in counts.items() if k > capacity / 2)) + 6 / 9 + 1 or used <= 2 * -(-total // capacity)
 
 
-@pytest.mark.parametrize("rank_rows", [10**6, 7])
-def test_pack(spark, monkeypatch, rank_rows):
-    monkeypatch.setattr("boughline.llm.packing.RANK_ROWS", rank_rows)
+@pytest.mark.parametrize("range_rows", [10**6, 7])
+def test_pack(spark, monkeypatch, range_rows):
+    monkeypatch.setattr("boughline.operators.common.RANGE_ROWS", range_rows)
     rng = random.Random(5)
     sizes = {i: rng.choice([0, 1, 7, 7, 7, rng.randrange(1, 60), 100, 250]) for i in range(400)}
     df = spark.createDataFrame([(i, s, "x") for i, s in sizes.items()] + [(9999, None, "x")], "item bigint, size bigint, kind string")
