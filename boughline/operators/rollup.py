@@ -13,21 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boughline.functions.fields import canonical_line, moment_text
+from boughline.functions.ids import encode_digests
 from boughline.functions.order import natural_key
 from boughline.operators.common import settle
 from boughline.schema import ENTRY, TREE
 
 
 #: Levels of a tree that one job goes up; lineage is cut between jobs.
-LEVELS_AT_ONCE = 4
+LEVELS_AT_ONCE = 6
 #: Stands for the text of an id where only its length matters.
 _ID_WIDTH = "c4" + "1" * 88
 
 
-def _levels(*tables: DataFrame) -> list[list[int]]:
+def _levels(table: DataFrame) -> list[list[int]]:
     """The depths that occur, deepest first, in groups that one job takes."""
-    found = reduce(DataFrame.unionByName, [t.select("depth").distinct() for t in tables]).distinct().collect()  # as many as the trees are deep
-    depths = sorted((r[0] for r in found), reverse=True)
+    depths = sorted((r[0] for r in table.select("depth").distinct().collect()), reverse=True)  # as many as the trees are deep
     return [depths[i : i + LEVELS_AT_ONCE] for i in range(0, len(depths), LEVELS_AT_ONCE)]
 
 
@@ -78,16 +78,28 @@ def roll_up(entries: DataFrame, line: Column | None = None, include_listing: boo
     return reduce(DataFrame.unionByName, [d.select(TREE, "path", "size", "ts") for d in done or [dirs]])
 
 
-_LISTED = "manifest_id string, path string, digest binary"
+_LISTED = "manifest_id string, path string, digest binary, up string, _n string, line string"
 
 
-def _hash_groups(algorithm: str):
-    """Hashes the lines (each with its newline) of neighbouring rows of one ``manifest_id, parent_path``, in their order."""
+def _hash_groups(algorithm: str, spell: str):
+    """Hashes the lines (each with its newline) of neighbouring rows of one ``manifest_id, parent_path``, in their order.
+
+    A row with a ``head`` begins its group and adds nothing to the hash: from it
+    and the digest the line of the directory itself is made. ``spell`` tells how
+    that writes digests: ``id`` (base 58) or ``hex``.
+    """
+
+    def emitted(done: list[tuple]) -> pa.RecordBatch:
+        digests = pa.array([d[2] for d in done], pa.binary())
+        texts = encode_digests(digests).to_pylist() if spell == "id" and done else [d[2].hex() for d in done]
+        lines = [None if d[3] is None else d[3] + t + "\n" for d, t in zip(done, texts, strict=True)]
+        columns = [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), digests, pa.array([d[4] for d in done], pa.string()), pa.array([d[5] for d in done], pa.string()), pa.array(lines, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["manifest_id", "path", "digest", "up", "_n", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hasher = None, None
+        key, hasher, own = None, None, (None, None, None)
         for batch in batches:
-            n, out = batch.num_rows, []
+            n, done = batch.num_rows, []
             if not n:
                 continue
             trees, parents = batch.column("manifest_id"), batch.column("parent_path")
@@ -98,34 +110,41 @@ def _hash_groups(algorithm: str):
             if n > 1:
                 begins[1:] = np.asarray(pc.or_(pc.not_equal(trees[1:], trees[:-1]), pc.not_equal(parents[1:], parents[:-1])).fill_null(True))
             starts = np.flatnonzero(begins)
-            for start, end in zip(starts, [*starts[1:], n], strict=True):
-                own = (trees[int(start)].as_py(), parents[int(start)].as_py())
-                if own != key or hasher is None:
+            at = pa.array(starts)
+            heads = zip(*(batch.column(c).take(at).to_pylist() for c in ("manifest_id", "parent_path", "head", "up", "_n")), strict=True)
+            for start, end, (tree, parent, *header) in zip(starts, [*starts[1:], n], heads, strict=True):
+                if (tree, parent) != key or hasher is None:
                     if hasher is not None:
-                        out.append((*key, hasher.digest()))
-                    key, hasher = own, hashlib.new(algorithm)
+                        done.append((*key, hasher.digest(), *own))
+                    key, hasher = (tree, parent), hashlib.new(algorithm)
+                    own = tuple(header) if header[0] is not None else (None, None, None)
                 hasher.update(data[offsets[start] : offsets[end]])
-            yield _rows(out)
+            yield emitted(done)
         if hasher is not None:
-            yield _rows([(*key, hasher.digest())])
+            yield emitted([(*key, hasher.digest(), *own)])
 
     return run
 
 
-def _rows(out: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
-    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, names=["manifest_id", "path", "digest"])
+def _place() -> Column:
+    """Where an entry's line stands in its listing: files first, then in natural order."""
+    return F.concat(F.when(F.col("is_dir"), "1").otherwise("0"), natural_key(F.col("name"))).alias("_n")
 
 
 def _listing_lines(entries: DataFrame, line: Column) -> DataFrame:
-    """Lines of one-level listings with the key by which they are sorted: files first, then in natural order."""
-    place = F.concat(F.when(F.col("is_dir"), "1").otherwise("0"), natural_key(F.col("name")))
-    return entries.select(TREE, F.coalesce("parent_path", F.lit("")).alias("parent_path"), "depth", place.alias("_n"), F.concat(line, F.lit("\n")).alias("line"))
+    """Lines of one-level listings with the key by which they are sorted."""
+    return entries.select(TREE, F.coalesce("parent_path", F.lit("")).alias("parent_path"), "depth", _place(), F.concat(line, F.lit("\n")).alias("line"))
+
+
+def _hashed(rows: DataFrame, algorithm: str, spell: str = "id") -> DataFrame:
+    """Rows ``manifest_id, parent_path, head, up, _n, line`` hashed by directory."""
+    ordered = rows.withColumn("_o", F.col("head").isNull()).repartition(TREE, "parent_path").sortWithinPartitions(TREE, "parent_path", "_o", "_n", "line")
+    return ordered.select(TREE, "parent_path", "head", "up", "_n", "line").mapInArrow(_hash_groups(algorithm, spell), _LISTED)
 
 
-def _hashed(lines: DataFrame, algorithm: str) -> DataFrame:
-    ordered = lines.repartition(TREE, "parent_path").sortWithinPartitions(TREE, "parent_path", "_n", "line")
-    return ordered.select(TREE, "parent_path", "line").mapInArrow(_hash_groups(algorithm), _LISTED)
+def _plain(lines: DataFrame) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    return lines.select(TREE, "parent_path", nothing.alias("head"), nothing.alias("up"), "_n", "line")
 
 
 def listing_digests(entries: DataFrame, line: Column, algorithm: str = "sha512") -> DataFrame:
@@ -134,40 +153,39 @@ def listing_digests(entries: DataFrame, line: Column, algorithm: str = "sha512")
     Lines are sorted files first, then in natural order, and streamed through a
     hasher, so a directory of any size takes constant memory.
     """
-    return _hashed(_listing_lines(entries, line), algorithm)
+    return _hashed(_plain(_listing_lines(entries, line)), algorithm).select(TREE, "path", "digest")
 
 
-def tree_digests(entries: DataFrame, line: Column | None = None, algorithm: str = "sha512") -> DataFrame:
+def tree_digests(entries: DataFrame, line: Column | None = None, algorithm: str = "sha512", spell: str = "id") -> DataFrame:
     """Merkle identities ``manifest_id, path, digest`` of all directories and of each root (path '').
 
-    From the deepest level up each directory's listing is hashed and its digest
-    becomes the ``content_id`` of its row; every entry's line is made and hashed
-    once, those of files for all levels at a time. Several levels are one job.
-    A directory without entries has the digest of nothing.
+    From the deepest level up each directory's listing is hashed, and the hasher
+    itself makes the directory's line for the listing above from its digest, so
+    a level is one shuffle. Lines of files are made once, for all levels at a
+    time; several levels are one job. A directory without entries has the digest
+    of nothing. ``line`` is the canonical line of an entry (over its columns),
+    which ends in its id, ``-`` for an unknown one; ``spell`` tells how it writes
+    ids (``id`` or ``hex``).
     """
     text = canonical_line() if line is None else line
     files = settle(_listing_lines(entries.where("NOT is_dir"), text), by="depth")
-    dirs = settle(entries.where("is_dir").select(*ENTRY.names), by="depth")
-    empty = F.lit(hashlib.new(algorithm).digest())
-    done, known = [], dirs.select(TREE, "path", empty.alias("digest")).limit(0)
-    # The listing of the root is one level above the first: every entry belongs to the directory one level up.
-    for group in _levels(files, dirs):
+    dirs = entries.where("is_dir").withColumn("content_id", F.lit(None).cast("binary"))
+    heads = settle(dirs.select(TREE, "path", F.coalesce("parent_path", F.lit("")).alias("up"), "depth", _place(), F.regexp_replace(text, "-$", "").alias("head")), by="depth")
+    found = files.select("depth").distinct().unionByName(heads.select(F.explode(F.array("depth", F.col("depth") + 1)).alias("depth")).distinct()).distinct()
+    done, below = [], None
+    for group in _levels(found):  # of the depth of what is listed; the listing of the root is that of depth 0
         climbed = []
         for depth in group:
-            found = known.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), "digest")
-            here = dirs.where(F.col("depth") == depth).join(found, (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left")
-            here = _listing_lines(here.withColumn("content_id", F.coalesce("digest", empty)), text)
-            # The shuffle of the digests is one for the next level and for the result, so nothing is hashed twice.
-            known = _hashed(files.where(F.col("depth") == depth).unionByName(here), algorithm).repartition(TREE, "path")
-            climbed.append(known.withColumn("_level", F.lit(depth)))
+            own = heads.where(F.col("depth") == depth - 1).select(TREE, F.col("path").alias("parent_path"), "head", "up", "_n", F.lit("").alias("line"))
+            rows = _plain(files.where(F.col("depth") == depth)).unionByName(own)
+            if below is not None:
+                rows = rows.unionByName(_plain(below.where("line IS NOT NULL").select(TREE, F.col("up").alias("parent_path"), "_n", "line")))
+            below = _hashed(rows, algorithm, spell)
+            climbed.append(below.withColumn("_level", F.lit(depth)))
         out = settle(reduce(DataFrame.unionByName, climbed))
-        known = out.where(F.col("_level") == group[-1]).drop("_level")
-        done.append(out.drop("_level"))
-    if not done:
-        return known
-    listed = reduce(DataFrame.unionByName, done)
-    childless = dirs.select(TREE, "path").join(listed.select(TREE, "path"), [TREE, "path"], "left_anti").withColumn("digest", empty)
-    return listed.unionByName(childless)
+        below = out.where(F.col("_level") == group[-1]).drop("_level")
+        done.append(out.select(TREE, "path", "digest"))
+    return reduce(DataFrame.unionByName, done) if done else heads.select(TREE, "path", F.lit(None).cast("binary").alias("digest"))
 
 
 def text_digests(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
@@ -177,8 +195,8 @@ def text_digests(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
     has. Lines are streamed through a hasher in order, in constant memory.
     """
     ordered = lines.repartition(TREE).sortWithinPartitions(TREE, "line_no")
-    shaped = ordered.select(TREE, F.lit("").alias("parent_path"), F.concat("line", F.lit("\n")).alias("line"))
-    return shaped.mapInArrow(_hash_groups(algorithm), _LISTED).select(TREE, "digest")
+    shaped = _plain(ordered.select(TREE, F.lit("").alias("parent_path"), F.lit("").alias("_n"), F.concat("line", F.lit("\n")).alias("line")))
+    return shaped.mapInArrow(_hash_groups(algorithm, "id" if algorithm == "sha512" else "hex"), _LISTED).select(TREE, "digest")
 
 
 def listing_texts(entries: DataFrame, line: Column | None = None) -> DataFrame:

@@ -577,7 +577,7 @@ def _merkle_sql() -> str:
 
 @query(_merkle_sql())
 def merkle_digests(spark, d):
-    return rollup.tree_digests(_entries(spark, d), _raw_line(), "sha256").select(TREE, "path", _hex("digest").alias("digest_hex"))
+    return rollup.tree_digests(_entries(spark, d), _raw_line(), "sha256", "hex").select(TREE, "path", _hex("digest").alias("digest_hex"))
 
 
 @query()
@@ -831,7 +831,7 @@ def listing_texts(spark, d):
 def expand_stored(spark, d):
     """Trees kept as one stored listing per distinct directory, put together again from the ids of their roots."""
     e = settle(_entries(spark, d))
-    digests = settle(rollup.tree_digests(e, _raw_line(), "sha256"))
+    digests = settle(rollup.tree_digests(e, _raw_line(), "sha256", "hex"))
     own = digests.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), "digest")
     known = e.join(own, F.col("is_dir") & (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").withColumn("content_id", F.coalesce("digest", "content_id"))
     parents = digests.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), F.col("digest").alias("listing_id"))

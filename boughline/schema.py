@@ -59,5 +59,5 @@ def build(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def unique_entries(entries: DataFrame) -> DataFrame:
-    """One row per ``(manifest_id, path)`` of repeated rows, in the entry schema."""
-    return entries.select(*ENTRY.names).dropDuplicates([TREE, "path"])
+    """Repeated rows once, in the entry schema (``(manifest_id, path)`` names one entry); filters reach below this."""
+    return entries.select(*ENTRY.names).distinct()
