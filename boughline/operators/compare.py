@@ -229,6 +229,23 @@ def merge_all(trees: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     return merged, conflicts
 
 
+class Conflicts(ValueError):
+    """Trees that can't be united; ``paths`` are the first of their conflicts."""
+
+    def __init__(self, paths: list[tuple[str, str]]) -> None:
+        super().__init__(f"conflicts at {', '.join(p for _, p in paths)}")
+        self.paths = paths
+
+
+def merge_strictly(trees: list[DataFrame], shown: int = 20) -> DataFrame:
+    """Union of several trees that must agree; raises ``Conflicts`` with the first ``shown`` paths where two don't."""
+    merged, conflicts = merge_all(trees)
+    found = conflicts.select(TREE, "path").orderBy(TREE, "path").limit(shown).collect()
+    if found:
+        raise Conflicts([(r[TREE], r["path"]) for r in found])
+    return merged
+
+
 def explain_patch(target: DataFrame, current: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """``manifest_id, action, n_files, n_bytes, n_missing``: files to create, update, remove and skip.
 

@@ -42,6 +42,12 @@ class Store:
         fresh.write.mode("append").partitionBy("shard").parquet(self.path)
         return keyed.select("digest")
 
+    def put_as(self, contents: DataFrame, column: str = "content", expected: str = "content_id") -> DataFrame:
+        """Stores content under the id it is said to have; returns ``expected`` of rows whose content has another one, none of which is stored."""
+        true = F.unhex(F.sha2(F.col(column), self.bits)).eqNullSafe(F.col(expected))
+        self.put(contents.where(true), column)
+        return contents.where(~true & F.col(expected).isNotNull()).select(expected)
+
     def has(self, ids: DataFrame, column: str = "content_id") -> DataFrame:
         """``ids`` that are stored."""
         wanted = ids.withColumn("shard", F.substring(F.lower(F.hex(column)), 1, self.shard_digits))
@@ -53,6 +59,11 @@ class Store:
         wanted = ids.select(F.col(column).alias("digest")).distinct().withColumn("shard", F.substring(F.lower(F.hex("digest")), 1, self.shard_digits))
         return self.rows().join(wanted, ["shard", "digest"], "left_semi").select("digest", "content")
 
+    def open_valid(self, ids: DataFrame, column: str = "content_id") -> DataFrame:
+        """``digest, content, is_valid`` of the ids that are stored, each content hashed again as it is read; that of a damaged one is NULL."""
+        valid = F.unhex(F.sha2("content", self.bits)) == F.col("digest")
+        return self.open(ids, column).select("digest", F.when(valid, F.col("content")).alias("content"), valid.alias("is_valid"))
+
     def damaged(self) -> DataFrame:
         """``digest`` of rows whose content doesn't have it."""
         return self.rows().where(F.unhex(F.sha2("content", self.bits)) != F.col("digest")).select("digest")
@@ -77,13 +88,34 @@ def open_any(stores: list[Store], ids: DataFrame, column: str = "content_id") ->
     return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def distribute(contents: DataFrame, stores: list[Store], column: str = "content") -> dict[str, int]:
-    """Writes content to several stores after hashing it once; returns the distinct pieces each holds of it."""
+def has_any(stores: list[Store], ids: DataFrame, column: str = "content_id") -> DataFrame:
+    """``ids`` that at least one of several stores has."""
+    found = reduce(DataFrame.unionByName, [s.has(ids, column).select(column) for s in stores]).distinct()
+    return ids.join(found, column, "left_semi")
+
+
+def remove_everywhere(stores: list[Store], ids: DataFrame, column: str = "content_id") -> None:
+    """Removes ids from every store that has them."""
+    for store in stores:
+        store.remove(ids, column)
+
+
+def distribute(contents: DataFrame, stores: list[Store], column: str = "content") -> dict[str, int | Exception]:
+    """Writes content to several stores after hashing it once; per store the distinct pieces it holds of it, or why it failed.
+
+    A store that fails doesn't keep the others from being written.
+    """
     kept = contents.persist()
+    done: dict[str, int | Exception] = {}
     try:
-        return {s.path: s.put(kept, column).distinct().count() for s in stores}
+        for store in stores:
+            try:
+                done[store.path] = store.put(kept, column).distinct().count()
+            except Exception as error:  # noqa: BLE001  # the caller decides what a failed target means
+                done[store.path] = error
     finally:
         kept.unpersist()
+    return done
 
 
 def endpoints(text: str | None) -> list[str]:
