@@ -156,11 +156,10 @@ def _replayed(sections: DataFrame, changes: DataFrame, base: DataFrame | None, s
         events = events.unionByName(base.where("path IS NOT NULL").select("chain_id", F.lit(0).cast("bigint").alias("lsn"), *fields))
     rest = [c for c in events.columns if c not in ("chain_id", "path", "lsn", "seq")]
     events = settle(events.groupBy("chain_id", "path", "lsn", *rest).agg(F.coalesce(F.min("seq"), F.lit(0)).cast("bigint").alias("seq")))
-    # A directory can only be removed where two of its changes that follow each other are equal; those alone are settled, level by level.
+    # A directory can only be removed where two of its changes are equal. Hashes find those that may be (few); they are settled exactly, level by level.
     dirs = events.where("coalesce(is_dir, false) OR path LIKE '%/'")
-    value, by = F.struct(*IDENTITY), Window.partitionBy("chain_id", "path")
-    twice = F.lag(value).over(by.orderBy("lsn", "seq")).eqNullSafe(value) & F.lag("lsn").over(by.orderBy("lsn", "seq")).isNotNull()
-    again = dirs.withColumn("_twice", twice).withColumn("_any", F.bool_or("_twice").over(by)).where("_any")
+    twice = dirs.groupBy("chain_id", "path", F.xxhash64(*IDENTITY).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("chain_id", "path").distinct()
+    again = dirs.join(broadcast_up_to(settle(twice)), ["chain_id", "path"], "left_semi")
     again = settle(again.select(*events.columns, F.size(ancestors(F.col("path"))).alias("_level")))
     removals = events.select("chain_id", "path", "lsn").limit(0)
     levels = sorted(r[0] for r in again.select("_level").distinct().collect())  # as many as the tree is deep
