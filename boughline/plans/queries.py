@@ -151,6 +151,26 @@ def short_ids(spark, d):
     return _entries(spark, d, "content_id").select(TREE, "path", F.substring(_hex(), 1, 16).alias("short_id"))
 
 
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, {S.line(identity='NULL')} AS line FROM e")
+def lines_without_ids(spark, d):
+    """Entries whose ids are taken out before they are written."""
+    e = _entries(spark, d).withColumn("content_id", F.lit(None).cast("binary"))
+    return e.select(TREE, "path", _raw_line().alias("line"))
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, seq, name FROM e")
+def names_list(spark, d):
+    return _entries(spark, d, "seq", "name").select(TREE, "seq", "name")
+
+
+@query(f"WITH {S.ENTRIES} SELECT count(*) AS n_entries, count(*) FILTER (WHERE is_dir) AS n_dirs, CAST(sum(coalesce(size, 0)) AS BIGINT) AS n_bytes FROM e")
+def progress_counts(spark, d):
+    """What an observation saw pass while a pass over all entries ran."""
+    seen, o = summaries.observed(_entries(spark, d, "size", "is_dir"), "progress")
+    seen.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(o.get[c] for c in ("n_entries", "n_dirs", "n_bytes"))], "n_entries bigint, n_dirs bigint, n_bytes bigint")
+
+
 def _units_sql() -> str:
     cases = []
     for power, unit in ((4, "T"), (3, "G"), (2, "M"), (1, "K")):
@@ -523,6 +543,16 @@ def plan_operations(spark, d):
     return reconcile.plan_operations(new, old)
 
 
+@query(
+    f"""WITH {_PLAN}, z AS (SELECT manifest_id, op FROM x
+    WHERE NOT (op = 'create' AND (manifest_id, path) IN (SELECT manifest_id, path FROM mv)) AND NOT (op = 'remove' AND (manifest_id, path) IN (SELECT manifest_id, src FROM mv))
+    UNION ALL SELECT manifest_id, 'move' FROM mv) SELECT manifest_id, op, count(*) AS n FROM z GROUP BY ALL"""
+)
+def plan_counts(spark, d):
+    old, new = _pairs(spark, d)
+    return reconcile.plan_counts(reconcile.plan_operations(new, old))
+
+
 @query(f"WITH {S.PAIRS} SELECT DISTINCT manifest_id, lower(hex(content_id)) AS content_hex FROM b WHERE NOT is_dir AND content_id IS NOT NULL AND (manifest_id, content_id) NOT IN (SELECT manifest_id, content_id FROM a WHERE NOT is_dir AND content_id IS NOT NULL)")
 def plan_missing(spark, d):
     old, new = _pairs(spark, d)
@@ -772,11 +802,11 @@ def _hex_of(c: F.Column) -> F.Column:
     return F.lower(F.hex(c))
 
 
-@query(f"WITH {S.id_texts(ids.ID_ALPHABET, 'SELECT DISTINCT content_id AS id FROM entries WHERE content_id IS NOT NULL')} SELECT lower(hex(id)) AS id_hex, text, lower(hex(id)) AS parsed_hex FROM id_texts")
+@query(f"WITH {S.id_texts(ids.ID_ALPHABET, 'SELECT DISTINCT content_id AS id FROM entries WHERE content_id IS NOT NULL')} SELECT lower(hex(id)) AS id_hex, text, lower(hex(id)) AS parsed_hex, chr(34) || text || chr(34) AS json FROM id_texts")
 def id_texts(spark, d):
     """Ids rendered in base 58 and parsed back."""
     distinct = table(spark, d, "entries").where("content_id IS NOT NULL").select("content_id").distinct().withColumn("text", ids.id_text(F.col("content_id")))
-    return distinct.select(_hex().alias("id_hex"), "text", _hex_of(ids.parse_id(F.col("text"))).alias("parsed_hex"))
+    return distinct.select(_hex().alias("id_hex"), "text", _hex_of(ids.parse_id(F.col("text"))).alias("parsed_hex"), ids.id_json(F.col("content_id")).alias("json"))
 
 
 @query(f"WITH n AS (SELECT DISTINCT name FROM entries WHERE name IS NOT NULL) SELECT name, {S.safe_name('name')} AS safe, lower(hex(encode(name))) AS decoded_hex FROM n")
@@ -827,20 +857,53 @@ def listing_texts(spark, d):
     return rollup.listing_texts(_entries(spark, d), _raw_line()).select(TREE, "path", F.sha2("content", 256).alias("digest_hex"))
 
 
-@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e")
-def expand_stored(spark, d):
-    """Trees kept as one stored listing per distinct directory, put together again from the ids of their roots."""
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Trees as one stored listing per distinct directory, and the digests of all directories."""
     e = settle(_entries(spark, d))
     digests = settle(rollup.tree_digests(e, _raw_line(), "sha256", "hex"))
     own = digests.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), "digest")
     known = e.join(own, F.col("is_dir") & (F.col(TREE) == F.col("_t")) & (F.col("path") == F.col("_p")), "left").withColumn("content_id", F.coalesce("digest", "content_id"))
     parents = digests.select(F.col(TREE).alias("_t"), F.col("path").alias("_p"), F.col("digest").alias("listing_id"))
     stored = known.select(TREE, "parent_path", "name", "file_type", "perm", "ts", "size", "content_id").join(parents, (F.col(TREE) == F.col("_t")) & (F.col("parent_path") == F.col("_p")))
-    listings = settle(stored.select("listing_id", "name", "file_type", "perm", "ts", "size", "content_id").distinct())
+    return settle(stored.select("listing_id", "name", "file_type", "perm", "ts", "size", "content_id").distinct()), digests
+
+
+@query(f"WITH {S.ENTRIES} SELECT manifest_id, path, size FROM e")
+def expand_stored(spark, d):
+    """Trees kept as stored listings, put together again from the ids of their roots."""
+    listings, digests = _stored(spark, d)
     roots = digests.where("path = ''").select(TREE, "path", F.col("digest").alias("content_id"), F.lit(True).alias("is_dir"))
     return navigate.expand_listings(roots, listings).where("path <> ''").select(TREE, "path", "size")
 
 
+_DEEPEST = "(SELECT max({'d': depth, 'm': manifest_id, 'p': path}) AS k FROM e WHERE NOT is_dir)"
+
+
+@query(f"WITH {S.ENTRIES} SELECT name, size, lower(hex(content_id)) AS content_hex FROM e WHERE (manifest_id, path) IN (SELECT (k.m, k.p) FROM {_DEEPEST})")
+def resolve_through_ids(spark, d):
+    """The last of the deepest files, found from its manifest's root by one stored listing after another."""
+    listings, digests = _stored(spark, d)
+    at = _entries(spark, d, "depth", "is_dir").where("NOT is_dir").agg(F.max(F.struct("depth", TREE, "path")).alias("k")).head()["k"]
+    root = digests.where((F.col(TREE) == at[TREE]) & (F.col("path") == "")).head()["digest"]
+    return navigate.resolve_listing(listings, bytes(root), at["path"]).select("name", "size", _hex().alias("content_hex"))
+
+
+@query(
+    f"""WITH {_DELTA}, d AS (SELECT * FROM c UNION ALL SELECT manifest_id, path, 'touch' FROM j WHERE op IS NULL AND ends_with(path, '/')
+    AND EXISTS (SELECT 1 FROM c WHERE c.manifest_id = j.manifest_id AND starts_with(c.path, j.path)))
+    SELECT manifest_id, 0 AS section_no, path, size FROM a UNION ALL SELECT d.manifest_id, 1, d.path, CASE WHEN d.op = 'remove' THEN a.size ELSE b.size END
+    FROM d LEFT JOIN a USING (manifest_id, path) LEFT JOIN b USING (manifest_id, path)"""
+)
+def chain_text(spark, d):
+    """Each older snapshot followed by its patch, written as one text and read back in sections."""
+    old, new = _pairs(spark, d)
+    delta = settle(compare.tree_diff(old, new).select(*ENTRY.names))
+    bases = old.select(TREE).distinct().select(TREE, ids.content_id(F.col(TREE)).alias("base_id"))
+    first, patch = text.manifest_text(old), text.patch_text(delta, bases)
+    lines = first.unionByName(patch.select(TREE, (F.col("line_no") + 10_000_000).alias("line_no"), "line"))
+    return text.read_entries(settle(lines)).select(TREE, "section_no", "path", "size")
+
+
 @query(
     f"""WITH {S.PAIRS}, x AS (SELECT * FROM a WHERE NOT is_dir), y AS (SELECT * FROM b WHERE NOT is_dir), st AS (SELECT DISTINCT content_id FROM a WHERE content_id IS NOT NULL),
     k AS (SELECT coalesce(x.manifest_id, y.manifest_id) AS manifest_id, CASE WHEN x.path IS NULL THEN 'create' WHEN y.path IS NULL THEN 'remove' WHEN x.content_id IS NOT DISTINCT FROM y.content_id THEN 'skip' ELSE 'update' END AS action,

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from boughline.functions.order import canonical_sort, path_key, ranked
 from boughline.operators.common import discard, settle
+from boughline.operators.compare import flat_diff
 from boughline.operators.rollup import roll_up, tree_digests
 from boughline.operators.sequences import fold_tree
 from boughline.schema import ENTRY, TREE
@@ -231,6 +232,13 @@ def rolled(entries: DataFrame, ids: bool = True) -> DataFrame:
     return found.withColumn("content_id", F.coalesce("_d", "content_id")).select(*ENTRY.names)
 
 
+def verify(spark: SparkSession, root: str, entries: DataFrame, mode: str = "full") -> DataFrame:
+    """``path, problem``: where a tree differs from its manifest (``missing``, ``changed``, ``extra``); every content is read again."""
+    kinds = flat_diff(entries.withColumn(TREE, F.lit("m")), scan(spark, root, mode).withColumn(TREE, F.lit("m")), "path").where("change_type <> 'same'")
+    said = F.when(F.col("change_type") == "removed", "missing").when(F.col("change_type") == "added", "extra").otherwise("changed")
+    return kinds.select(F.col("key").alias("path"), said.alias("problem"))
+
+
 def entry_stream(entries: DataFrame, handle) -> int:
     """Calls ``handle`` for each entry in canonical order without holding them all; returns how many.
 

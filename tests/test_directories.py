@@ -15,7 +15,7 @@ from boughline.operators.changefeed import unapplied_sections
 from boughline.schema import build
 from boughline.sources import operands as given
 from boughline.sources import text
-from boughline.sources.directory import ScanCancelled, entry_stream, progressive_scan, scan
+from boughline.sources.directory import ScanCancelled, entry_stream, progressive_scan, scan, verify
 from boughline.sources.store import Store, distribute, has_any, remove_everywhere
 from boughline.streaming.chains import ChainState
 
@@ -131,3 +131,14 @@ def test_chain_state_replays_only_what_changed(spark, tmp_path):
     take(late[0], SECTION, "sections", 1)
     take(late[1], CHANGE, "changes", 1)
     assert state() == [("c", "z"), ("d", "y")]
+
+
+def test_verify_against_a_manifest(spark, tmp_path):
+    root = tree(tmp_path / "t", {"a": "1", "b": "2", "d/c": "3"})
+    before = scan(spark, root).collect()
+    kept = spark.createDataFrame(before, scan(spark, root).schema)
+    assert verify(spark, root, kept).count() == 0
+    (tmp_path / "t" / "b").write_text("changed")
+    os.remove(tmp_path / "t" / "d" / "c")
+    (tmp_path / "t" / "new").write_text("")
+    assert {(r["path"], r["problem"]) for r in verify(spark, root, kept).collect()} >= {("b", "changed"), ("d/c", "missing"), ("new", "extra")}
