@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boughline.operators.common import ancestors, settle
+from boughline.operators.common import ancestors, broadcast_up_to, settle
 from boughline.operators.navigate import last_by_name, parent_closure
 from boughline.operators.snapshots import except_all_both_ways
 from boughline.schema import ENTRY, IDENTITY, TREE, located
@@ -102,23 +102,29 @@ def toggle_patch(base: DataFrame, patch: DataFrame) -> DataFrame:
     return kept.select(*ENTRY.names).unionByName(put)
 
 
+#: What a merge carries of an entry; the other columns follow from its path.
+_CARRIED = [c for c in ENTRY.names if c not in (TREE, "path", "name", "parent_path", "depth", "is_dir")]
+
+
 def _merge_equal(x: str, y: str) -> Column:
-    """Same content: directories by their flow, symlinks by target, files by id."""
+    """Same content at one path: directories by their flow, symlinks by target, files by id."""
     cx, cy = (lambda f: F.col(f"{x}.{f}")), (lambda f: F.col(f"{y}.{f}"))
     link = lambda c: F.coalesce(c("file_type") == "l", F.lit(False))
     return (
-        F.when(cx("is_dir") != cy("is_dir"), False)
-        .when(cx("is_dir"), cx("flow_op").eqNullSafe(cy("flow_op")) & cx("flow_target").eqNullSafe(cy("flow_target")))
+        F.when(F.col("path").endswith("/"), cx("flow_op").eqNullSafe(cy("flow_op")) & cx("flow_target").eqNullSafe(cy("flow_target")))
         .when(link(cx) | link(cy), (link(cx) == link(cy)) & cx("link_target").eqNullSafe(cy("link_target")))
         .otherwise(cx("content_id").eqNullSafe(cy("content_id")))
     )
 
 
-def _decided(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Every path of the three trees with its structs and the decision of the merge."""
-    rest = [c for c in ENTRY.names if c not in (TREE, "path")]
-    side = lambda df, n: df.select(TREE, "path", F.struct(*rest).alias(n))
-    three = side(local, "l").join(side(remote, "r"), [TREE, "path"], "full_outer").join(side(base, "b"), [TREE, "path"], "full_outer")
+def _three(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Every path of the three trees with its structs ``b``, ``l`` and ``r``."""
+    side = lambda df, n: df.select(TREE, "path", F.struct(*_CARRIED).alias(n))
+    return side(local, "l").join(side(remote, "r"), [TREE, "path"], "full_outer").join(side(base, "b"), [TREE, "path"], "full_outer")
+
+
+def _decision(three: DataFrame) -> DataFrame:
+    """Adds the decision of the merge to rows ``path, b, l, r`` of structs."""
     b, left, right = (F.col(c).isNotNull() for c in "blr")
     l_same, r_same, agree = _merge_equal("b", "l"), _merge_equal("b", "r"), _merge_equal("l", "r")
     decision = (
@@ -142,9 +148,37 @@ def merge_trees(base: DataFrame, local: DataFrame, remote: DataFrame) -> tuple[D
     Of two conflicting versions a strictly newer remote wins, otherwise the
     local one; the other is kept beside it as ``<name>.conflict`` (unless a
     path of that name is merged too). A change wins over a deletion. An empty
-    base gives the union of two trees.
+    base gives the union of two trees. Names, parents and depths aren't moved:
+    they follow from the paths.
+    """
+    return _merged(_three(base, local, remote))
+
+
+def merge_runs(entries: DataFrame, order: DataFrame, length: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``merge_trees`` of every run of consecutive snapshots of each series, under the newest one's manifest id.
+
+    ``order`` is a ``series_order``. Of ``length`` 3 the oldest of a run is the
+    base, the next local, the newest remote; 2 unites pairs without a base. A
+    row that several snapshots share is moved once, with the set of them, and
+    all runs of a path are decided where its rows then lie. Repeated rows count
+    once. ``seq`` is NULL in the result: a merged tree has no input order.
     """
-    decided = _decided(base, local, remote)
+    placed = broadcast_up_to(order)
+    shared = [c for c in _CARRIED if c != "seq"]
+    whole = F.struct(*[F.col(c) if c in shared else F.lit(None).cast("bigint").alias(c) for c in _CARRIED])
+    held = entries.select(F.col(TREE).alias("_tree"), "path", *shared).join(placed, F.col("_tree") == F.col("snapshot")).groupBy("series", "path", *shared).agg(F.collect_set("ordinal").alias("_held"))
+    # A path has few distinct rows a series now, so they can meet.
+    near = held.repartition("series", "path").select("series", "path", whole.alias("e"), F.explode("_held").alias("_o"))
+    part = near.select("series", "path", "e", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.col("_o") + k)).alias("_back", "ordinal"))
+    newest = broadcast_up_to(order.where(F.col("ordinal") >= length - 1).select("series", "ordinal", F.col("snapshot").alias(TREE)))
+    sided = part.join(newest, ["series", "ordinal"])
+    pick = lambda k, n: F.first(F.when(F.col("_back") == k, F.col("e")), ignorenulls=True).alias(n)
+    return _merged(sided.groupBy("series", TREE, "path").agg(pick(0, "r"), pick(1, "l"), pick(2, "b")).drop("series"))
+
+
+def _merged(three: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged entries and conflicts of paths with their structs."""
+    decided = _decision(three)
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     newer = F.coalesce(F.col("r.ts"), epoch) > F.coalesce(F.col("l.ts"), epoch)
     winner = F.when(F.col("decision") == "conflict", F.when(F.col("l").isNull(), "remote").when(F.col("r").isNull(), "local").when(newer, "remote").otherwise("local")).otherwise(F.col("decision"))
@@ -164,11 +198,10 @@ def merge_trees(base: DataFrame, local: DataFrame, remote: DataFrame) -> tuple[D
     )
     # Winners, losers and conflicts come out of one pass over the three trees; the result is written once and completed from there.
     put = settle(decided.select(TREE, F.explode(kept).alias("_k")).select(TREE, "_k.path", "_k.kind", "_k.winner", "_k.loser_path", "_k.e.*"), by="kind")
-    main = put.where("kind = 'main'").select(*ENTRY.names)
-    losers = put.where("kind = 'lost'")
-    for name, value in located(F.col("path")).items():
-        losers = losers.withColumn(name, value)
-    losers = losers.join(main.select(TREE, "path"), [TREE, "path"], "left_anti").select(*ENTRY.names)
+    at = located(F.col("path"))
+    whole = lambda kind: put.where(F.col("kind") == kind).select(TREE, "path", *_CARRIED, *[v.alias(c) for c, v in at.items()]).select(*ENTRY.names)
+    main = whole("main")
+    losers = whole("lost").join(main.select(TREE, "path"), [TREE, "path"], "left_anti").select(*ENTRY.names)
     merged = parent_closure(main.unionByName(losers), perm=0o755)
     return merged, put.where("kind = 'conflict'").select(TREE, "path", "winner", "loser_path")
 

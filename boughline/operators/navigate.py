@@ -42,6 +42,7 @@ def build_paths(lines: DataFrame, order: str = "line_no", max_depth: int | None
     path. Manifests are read in stretches (``last_seen``), so a long one is no
     single task's; ``max_depth`` (else computed) bounds the levels.
     """
+    lines = settle(lines)  # read for the depth, for what stretches hold, and for the paths
     deepest = max_depth if max_depth is not None else (lines.agg(F.max("depth")).head()[0] or 0)
     is_dir, depth = F.col("name").endswith("/"), F.col("depth")
     lasts = {}

@@ -55,12 +55,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-def _triples(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Base, local and remote entries of every run of three consecutive snapshots, under the newest manifest's id."""
-    entries, o = _entries(spark, sf_dir), _order(spark, sf_dir)
-    newest = o.where("ordinal >= 2").select("series", F.col("snapshot").alias("_new"), F.col("ordinal").alias("_last"))
-    runs = o.join(newest, "series").select("snapshot", "_new", (F.col("_last") - F.col("ordinal")).alias("_back"))
-    return [entries.join(runs.where(F.col("_back") == i).select("snapshot", "_new"), F.col(TREE) == F.col("snapshot")).withColumn(TREE, F.col("_new")).select(*ENTRY.names) for i in (2, 1, 0)]
+def _runs(spark: SparkSession, sf_dir: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Merges of every run of consecutive snapshots."""
+    return compare.merge_runs(table(spark, sf_dir, "entries"), settle(_order(spark, sf_dir)), length)
 
 
 def _hex(c: str = "content_id") -> F.Column:
@@ -436,12 +433,12 @@ f AS (SELECT * FROM r UNION ALL SELECT * FROM l WHERE (manifest_id, path) NOT IN
     UNION ALL SELECT DISTINCT manifest_id, path, NULL FROM q WHERE (manifest_id, path) NOT IN (SELECT manifest_id, path FROM f)"""
 )
 def merge_trees(spark, d):
-    return compare.merge_trees(*_triples(spark, d))[0].select(TREE, "path", _hex().alias("content_hex"))
+    return _runs(spark, d, 3)[0].select(TREE, "path", _hex().alias("content_hex"))
 
 
 @query(f"WITH {_MERGE} SELECT manifest_id, path, winner, CASE WHEN hl AND hr THEN beside END AS loser_path FROM w WHERE decision = 'conflict'")
 def merge_conflicts(spark, d):
-    return compare.merge_trees(*_triples(spark, d))[1]
+    return _runs(spark, d, 3)[1]
 
 
 @query(
@@ -450,8 +447,7 @@ def merge_conflicts(spark, d):
     f"UNION SELECT t1.manifest_id, regexp_replace(t1.path, '/$', '') || '.conflict/' FROM t1 JOIN t2 USING (manifest_id, path) WHERE t1.is_dir AND NOT {_LR}"
 )
 def union_trees(spark, d):
-    old, new = _pairs(spark, d)
-    return compare.merge_trees(old.limit(0), old, new)[0].select(TREE, "path")
+    return _runs(spark, d, 2)[0].select(TREE, "path")
 
 
 #: Snapshots that a volume of the test tables has at most.
