@@ -50,7 +50,7 @@ def test_range_data_of_a_patched_tree(spark):
 
 def test_refused_lines(spark):
     word = ids.encode_id(sha("x"))
-    lines = ["@c4m 1.0", "- - 1 a -\r", "- - 1", "zz - 1 a -", "- yesterday 1 a -", "- - 1x a -", "- - 1 .. -", "- - 1 a c4zz", "- - 1 good -", "", word, word, "- - 2 b -", word * 2, word]
+    lines = ["@version 1.0", "- - 1 a -\r", "- - 1", "zz - 1 a -", "- yesterday 1 a -", "- - 1x a -", "- - 1 .. -", "- - 1 a c4zz", "- - 1 good -", "", word, word, "- - 2 b -", word * 2, word]
     df = spark.createDataFrame([("m", i + 1, x) for i, x in enumerate(lines)], "manifest_id string, line_no bigint, line string")
     got = {r["line_no"]: r["field"] for r in text.rejected(df).collect()}
     assert got == {1: "directive", 2: "character", 3: "fields", 4: "mode", 5: "timestamp", 6: "size", 7: "name", 8: "c4id", 11: "patch", 15: "patch"}
