@@ -11,9 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from boughline.operators.common import broadcast_up_to, settle
 
 # Fixed values of the line format.
 ID_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -328,6 +333,88 @@ def load_manifest_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fields, bad
 
 
+#: Bytes of a file that one task reads as a range; a record belongs to the range in which it begins.
+RANGE_BYTES = 64 << 20
+
+
+def records(buf: bytes, last: bool) -> tuple[pa.Array, int]:
+    """The whole records at the beginning of ``buf`` as a binary column, and how many bytes they take with their ends.
+
+    Ends are the bytes of a newline mask. A quote doesn't protect one (a line
+    never goes on in the next, so broken quoting spoils one record only), and
+    the parity of quotes starts afresh behind it. ``last`` takes what follows
+    the final newline as a record too.
+    """
+    data = np.frombuffer(buf, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    if last and (not len(ends) or ends[-1] + 1 < len(data)) and len(data):
+        ends = np.append(ends, len(data))
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
+    # Without the newlines the records are one buffer again, cut where they were.
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    taken = int(min(ends[-1] + 1, len(data))) if len(ends) else 0
+    joined = pa.py_buffer(np.ascontiguousarray(data[:taken][data[:taken] != 10]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), joined]).cast(pa.binary()), taken
+
+
+def _read_range(path: str, start: int, end: int, step: int) -> Iterator[pa.Array]:
+    """The records of a file that begin in ``[start, end)``, read ``step`` bytes at a time."""
+    files, at = pafs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+    with files.open_input_file(at) as f:
+        size, pos, held = f.size(), max(start - 1, 0), b""
+        begin = pos  # of what is held
+        skipping = start > 0  # up to the end of the record that began before
+        while begin < end and begin < size:
+            chunk = f.read_at(min(step, size - pos), pos)
+            pos += len(chunk)
+            held += chunk
+            if skipping:
+                cut = held.find(b"\n") + 1
+                if not cut and pos < size:
+                    begin, held = pos, b""
+                    continue
+                begin, held, skipping = begin + (cut or len(held)), held[cut:] if cut else b"", False
+            found, taken = records(held, pos >= size)
+            if taken:
+                lengths = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False) + 1)])[:-1]
+                yield found.slice(0, int(np.searchsorted(lengths, end - begin, side="left")))
+                begin, held = begin + taken, held[taken:]
+            if pos >= size:
+                break
+
+
+def _read_ranges(step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+                n = 0
+                for found in _read_range(path, start, end, step):
+                    at = pa.array(np.arange(n, n + len(found)))
+                    n += len(found)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(path, len(found)), pa.repeat(pa.scalar(start, pa.int64()), len(found)), at, found], names=["manifest_id", "start", "at", "line"])
+
+    return run
+
+
+def read_records(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES, step: int = BATCH_BYTES) -> DataFrame:
+    """``manifest_id`` (the file), ``line_no`` from 1 and ``line`` of manifest files, for ``load_manifest_lines``.
+
+    Files are cut into ranges that tasks read on their own, each locating record
+    ends in its bytes; a line's number follows from the counts of the ranges
+    before. A file of any size takes ``step`` bytes and its longest line of memory a task.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
+    begins = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = begins.select("path", "start", (F.col("start") + range_bytes).alias("end")).repartition(tasks, "path", "start")
+    read = settle(ranges.mapInArrow(_read_ranges(step), "manifest_id string, start bigint, at bigint, line binary"))
+    counts = read.groupBy(F.col("manifest_id").alias("_f"), F.col("start").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = broadcast_up_to(counts.select("_f", "_s", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias("_first")))
+    numbered = read.join(firsts, (F.col("manifest_id") == F.col("_f")) & (F.col("start") == F.col("_s")))
+    return numbered.select("manifest_id", (F.col("at") + F.col("_first")).alias("line_no"), F.col("line").cast("string").alias("line"))
+
+
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """The rejects alone."""
     return load_manifest_lines(lines)[1]

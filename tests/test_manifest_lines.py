@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boughline.sources.manifest_lines import FIELDS, ID_ALPHABET, _bounded, load_manifest_lines, parse_lines, rejected_lines
+from boughline.sources.manifest_lines import FIELDS, ID_ALPHABET, _bounded, _read_range, load_manifest_lines, parse_lines, read_records, rejected_lines
 
 ID = "c4" + "1" * 88
 GOOD = f"-rw-r--r-- 2024-02-29T10:00:00Z 1,024 a.txt {ID}"
@@ -108,3 +108,26 @@ def test_batches_are_bounded_by_bytes():
     lines = ["a" * n for n in (3, 4, 50, 1, 1, 1)] + [None]
     batch = pa.RecordBatch.from_arrays([pa.array(lines)], names=["line"])
     assert [b.column("line").to_pylist() for b in _bounded(iter([batch]), 8)] == [lines[:2], lines[2:3], lines[3:]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab\" \n", max_size=9), max_size=12), st.integers(1, 30), st.integers(1, 9))
+def test_ranges_hold_each_record_once(tmp_path_factory, parts, size, step):
+    path = tmp_path_factory.mktemp("f") / "m"
+    path.write_text("\n".join(parts))
+    data = path.read_bytes()
+    found = [x for start in range(0, len(data), size) for got in _read_range(str(path), start, start + size, step) for x in got.to_pylist()]
+    want = data.split(b"\n")
+    assert found == (want[:-1] if data.endswith(b"\n") or not data else want)
+
+
+def test_files_are_read_parsed_and_rejected(spark, tmp_path):
+    lines = [GOOD if i % 5 else f'broken "quote {i}' for i in range(2000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text(GOOD)
+    (tmp_path / "empty.txt").write_text("")
+    read = read_records(spark, str(tmp_path), range_bytes=5000, step=700)
+    entries, bad = load_manifest_lines(read)
+    assert sorted(r["line_no"] for r in bad.where("manifest_id LIKE '%a.txt'").collect()) == [i + 1 for i in range(0, 2000, 5)]
+    assert entries.count() == 1600 + 1 and [r["field"] for r in bad.select("field").distinct().collect()] == ["quoting"]
+    assert read.count() == 2001
