@@ -45,12 +45,10 @@ def build_paths(lines: DataFrame, order: str = "line_no", max_depth: int | None
     lines = settle(lines)  # read for the depth, for what stretches hold, and for the paths
     deepest = max_depth if max_depth is not None else (lines.agg(F.max("depth")).head()[0] or 0)
     is_dir, depth = F.col("name").endswith("/"), F.col("depth")
-    lasts = {}
-    for level in range(deepest):
-        lasts[f"_d{level}"] = F.when((depth == level) & is_dir, F.struct(F.col(order).alias("at"), F.col("name").alias("name")))
-        lasts[f"_c{level}"] = F.when((depth < level) | ((depth == level) & ~is_dir), F.col(order))
+    # Of the entries up to a level the last one decides: a directory of that level is open, anything else closes it.
+    lasts = {f"_d{level}": F.when(depth <= level, F.struct(F.when((depth == level) & is_dir, F.col("name")).alias("name"))) for level in range(deepest)}
     out = last_seen(lines, TREE, order, lasts) if lasts else lines
-    opened = [F.when(F.col(f"_c{i}").isNull() | (F.col(f"_d{i}.at") > F.col(f"_c{i}")), F.col(f"_d{i}.name")) for i in range(deepest)]
+    opened = [F.col(f"_d{level}.name") for level in range(deepest)]
     names = F.slice(F.array(*opened).cast("array<string>"), F.lit(1), F.greatest(depth, F.lit(0)))
     out = out.withColumn("_names", names).withColumn("is_orphan", F.size(F.array_compact("_names")) != depth)
     out = out.withColumn("parent_path", F.when(F.col("is_orphan"), "").otherwise(F.array_join("_names", "")))
