@@ -55,8 +55,8 @@ def parse_moment(text: Column) -> Column:
     # Of the named forms only the month, the day, the time and the year stay, one blank apart.
     plain = F.regexp_replace(text, "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) +| (?:UTC|GMT)(?= |$)| +(?= )", "")
     form = F.when(offset, "yyyy-MM-dd'T'HH:mm:ssXXX").when(text.rlike(" [0-9]{4} [0-9:]+$"), "MMM d yyyy HH:mm:ss").otherwise("MMM d HH:mm:ss yyyy")
-    usual = F.try_to_timestamp(F.when(canonical, text), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return F.coalesce(usual, F.try_to_timestamp(F.when(~canonical & (offset | named), plain), form)).cast("timestamp_ntz")
+    usual = F.substring(text, 1, 19).try_cast("timestamp_ntz")  # without a formatter
+    return F.when(canonical, usual).when(offset | named, F.try_to_timestamp(plain, form).cast("timestamp_ntz"))
 
 
 def size_text(size: Column) -> Column:

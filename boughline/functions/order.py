@@ -21,6 +21,23 @@ def _plain(text: Column) -> Column:
     return F.when(text.rlike(r"[\x00-\x05]"), written).otherwise(text)
 
 
+def _counted(text: Column) -> Column:
+    """The length of ``text`` behind the number of its own digits."""
+    n = F.length(text)
+    return F.when(n < 10, F.concat(F.lit("1"), n.cast("string"))).otherwise(F.concat(F.length(n.cast("string")).cast("string"), n.cast("string")))
+
+
+def _numbered(text: Column) -> Column:
+    """``text`` with its runs of digits written so that they sort by value, then by length."""
+
+    # Within a lambda every mention is evaluated, so no regular expression stands there.
+    def run(part: Column) -> Column:
+        digits = F.when(part.startswith("0"), F.when(F.ltrim(part, F.lit("0")) == "", "0").otherwise(F.ltrim(part, F.lit("0")))).otherwise(part)
+        return F.when(F.ascii(part).between(ord("0"), ord("9")), F.concat(F.lit(_NUMBER), _counted(digits), digits, _counted(part))).otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]++|[^0-9]++)"), 1), run), "")
+
+
 def natural_key(name: Column) -> Column:
     """Sort key (text, compared by bytes): runs of digits by value, then by length; text by bytes and before digits; fewer runs first.
 
@@ -29,18 +46,9 @@ def natural_key(name: Column) -> Column:
     the number of its own digits. NULL for NULL.
     """
 
-    def counted(text: Column) -> Column:
-        n = F.length(text).cast("string")
-        return F.concat(F.length(n).cast("string"), n)
-
-    def run(part: Column) -> Column:
-        digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
-        return F.when(part.rlike("^[0-9]"), F.concat(F.lit(_NUMBER), counted(digits), digits, counted(part))).otherwise(part)
-
     text = _plain(name)
-    runs = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), 1), run), "")
     first = F.when(name.rlike("^[^0-9]"), F.lit(_TEXT)).otherwise("")
-    return F.concat(first, F.when(name.rlike("[0-9]"), runs).otherwise(text), F.lit(_END))
+    return F.concat(first, F.when(name.rlike("[0-9]"), _numbered(text)).otherwise(text), F.lit(_END))
 
 
 def path_parts(path: Column) -> Column:
@@ -51,7 +59,13 @@ def path_parts(path: Column) -> Column:
 def path_key(path: Column) -> Column:
     """Sort key (text) of the canonical order: depth-first, files before directories, names in natural order."""
     part = lambda p: F.concat(F.when(p.endswith("/"), _TEXT).otherwise(_END), natural_key(p))
-    return F.array_join(F.transform(path_parts(path), part), "")
+    each = F.array_join(F.transform(path_parts(path), part), "")
+    # Where no component is empty, the marks between components are put into the path as a whole, and the last one's mark is that of a file or directory.
+    text = F.regexp_replace(F.regexp_replace(_plain(path), "/(?=[^0-9])", f"/{_END}{_TEXT}{_TEXT}"), "/(?=[0-9])", f"/{_END}{_TEXT}")
+    text = F.when(path.endswith("/"), text).otherwise(F.regexp_replace(text, f"/{_END}{_TEXT}([^/]*+)$", f"/{_END}{_END}$1"))
+    text = F.when(path.rlike("[0-9]"), _numbered(text)).otherwise(text)
+    first = F.concat(F.when(path.contains("/"), _TEXT).otherwise(_END), F.when(path.rlike("^[^0-9]"), F.lit(_TEXT)).otherwise(""))
+    return F.when((path == "") | path.rlike("^/|//"), each).otherwise(F.concat(first, text, F.lit(_END)))
 
 
 def canonical_sort(entries: DataFrame, tree: str = "manifest_id") -> DataFrame:

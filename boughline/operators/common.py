@@ -136,18 +136,25 @@ def last_seen(df: DataFrame, group: str, order: str, lasts: dict[str, Column], u
     ``order`` is a whole number, unique in its group; ``upto`` takes the row
     itself in. Groups are cut into stretches of ``RANGE_ROWS`` numbers, each a
     window of its own, and what the stretches before it hold (a table of groups
-    times stretches) is joined in, so that no group meets one task. NULL groups
-    are a group of their own.
+    times stretches, of the groups that have several) is joined in, so that no
+    group meets one task. NULL groups are a group of their own. ``df`` is read
+    for both, so settle it where it isn't a table.
     """
     counted = counted or {}
     placed = df.withColumn("_stretch", F.floor(F.col(order) / RANGE_ROWS)).withColumns({f"_in_{c}": v for c, v in {**lasts, **counted}.items()})
     within = Window.partitionBy(group, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow if upto else -1)
+    local = placed.withColumns({**{f"_l_{c}": F.last(f"_in_{c}", ignorenulls=True).over(within) for c in lasts}, **{f"_l_{c}": F.count(f"_in_{c}").over(within) for c in counted}})
+    kept = [F.col(c) for c in df.columns if c not in lasts and c not in counted]
+    first, last = F.floor(F.min(order) / RANGE_ROWS), F.floor(F.max(order) / RANGE_ROWS)
+    spans = df.groupBy(F.col(group).alias("_h")).agg(first.alias("_a"), last.alias("_z"), F.count(order).alias("_k"), F.count(F.lit(1)).alias("_n")).where("_a < _z OR _k BETWEEN 1 AND _n - 1").select("_h")
+    if spans.isEmpty():  # nothing is carried from one stretch to another
+        return local.select(*kept, *[F.col(f"_l_{c}").alias(c) for c in [*lasts, *counted]])
     newest = {f"_x_{c}": F.max_by(f"_in_{c}", F.when(F.col(f"_in_{c}").isNotNull(), F.col(order))) for c in lasts}
-    sums = placed.groupBy(F.col(group).alias("_g"), F.col("_stretch").alias("_s")).agg(*[v.alias(c) for c, v in newest.items()], *[F.count(f"_in_{c}").alias(f"_x_{c}") for c in counted])
+    carrying = placed.join(broadcast_up_to(spans), F.col(group).eqNullSafe(F.col("_h")), "left_semi")
+    sums = carrying.groupBy(F.col(group).alias("_g"), F.col("_stretch").alias("_s")).agg(*[v.alias(c) for c, v in newest.items()], *[F.count(f"_in_{c}").alias(f"_x_{c}") for c in counted])
     earlier = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.last(f"_x_{c}", ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in lasts] + [F.coalesce(F.sum(f"_x_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in counted]
-    starts = broadcast_up_to(sums.select("_g", "_s", *carried))
-    local = placed.withColumns({**{f"_l_{c}": F.last(f"_in_{c}", ignorenulls=True).over(within) for c in lasts}, **{f"_l_{c}": F.count(f"_in_{c}").over(within) for c in counted}})
+    starts = broadcast_up_to(settle(sums.select("_g", "_s", *carried)))
     joined = local.join(starts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_stretch").eqNullSafe(F.col("_s")), "left")
-    added = {**{c: F.coalesce(f"_l_{c}", f"_c_{c}") for c in lasts}, **{c: F.col(f"_l_{c}") + F.col(f"_c_{c}") for c in counted}}
-    return joined.select(*[F.col(c) for c in df.columns if c not in added], *[v.alias(c) for c, v in added.items()])
+    added = {**{c: F.coalesce(f"_l_{c}", f"_c_{c}") for c in lasts}, **{c: F.col(f"_l_{c}") + F.coalesce(f"_c_{c}", F.lit(0)) for c in counted}}
+    return joined.select(*kept, *[v.alias(c) for c, v in added.items()])

@@ -42,12 +42,27 @@ def build_paths(lines: DataFrame, order: str = "line_no", max_depth: int | None
     path. Manifests are read in stretches (``last_seen``), so a long one is no
     single task's; ``max_depth`` (else computed) bounds the levels.
     """
-    lines = settle(lines)  # read for the depth, for what stretches hold, and for the paths
+    return paths_in_order(settle(lines), order, max_depth)
+
+
+def paths_in_order(lines: DataFrame, order: str = "line_no", max_depth: int | None = None, boundary: str | None = None) -> DataFrame:
+    """``build_paths`` of a table, which is read for the depth, for what stretches hold, and for the paths.
+
+    ``boundary`` is a column that is NULL but in rows that part sections, whose
+    depth is NULL: no directory stays open across them. ``base_id`` (the last
+    boundary) and ``section_no`` (how many came before)
+    are added then.
+    """
     deepest = max_depth if max_depth is not None else (lines.agg(F.max("depth")).head()[0] or 0)
     is_dir, depth = F.col("name").endswith("/"), F.col("depth")
+    parts = F.lit(False) if boundary is None else F.col(boundary).isNotNull()
     # Of the entries up to a level the last one decides: a directory of that level is open, anything else closes it.
-    lasts = {f"_d{level}": F.when(depth <= level, F.struct(F.when((depth == level) & is_dir, F.col("name")).alias("name"))) for level in range(deepest)}
-    out = last_seen(lines, TREE, order, lasts) if lasts else lines
+    lasts = {f"_d{level}": F.when(parts | (depth <= level), F.struct(F.when((depth == level) & is_dir, F.col("name")).alias("name"))) for level in range(deepest)}
+    if boundary is None:
+        out = last_seen(lines, TREE, order, lasts) if lasts else lines
+    else:
+        # A boundary is never an entry, so what comes before an entry and what comes up to it have the same sections.
+        out = last_seen(lines, TREE, order, {**lasts, "base_id": F.col(boundary)}, counted={"section_no": F.col(boundary)})
     opened = [F.col(f"_d{level}.name") for level in range(deepest)]
     names = F.slice(F.array(*opened).cast("array<string>"), F.lit(1), F.greatest(depth, F.lit(0)))
     out = out.withColumn("_names", names).withColumn("is_orphan", F.size(F.array_compact("_names")) != depth)

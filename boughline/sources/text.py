@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from boughline.functions import fields, ids
 from boughline.functions.order import path_key, ranked
 from boughline.operators.common import broadcast_up_to, last_seen, settle
-from boughline.operators.navigate import build_paths
+from boughline.operators.navigate import paths_in_order
 from boughline.operators.rollup import text_digests
 from boughline.operators.sequences import is_sequence_text
 from boughline.schema import TREE
@@ -62,11 +62,15 @@ REFUSED = {
 }
 
 
+#: Fields of a line: blanks that no backslash escapes are between them. Runs are taken whole, so a field takes few steps and no deep recursion.
+_FIELD = r"((?:[^ \\]++|\\.)++)"
+
+
 def _tokens(lines: DataFrame) -> DataFrame:
     """Adds ``_k`` (kind), ``_t`` (fields of an entry), parsed fields, and ``_why`` (reason of a line that is no entry, id or id list)."""
     t = lambda i: F.try_element_at(F.col("_t"), F.lit(i))
     value = lambda c: F.when(c != "-", c)
-    kinds = lines.withColumn("_k", line_kind(F.col("line"))).withColumn("_t", F.regexp_extract_all(F.trim("line"), F.lit(r"((?:\\.|[^ \\])+)"), 1))
+    kinds = lines.withColumn("_k", line_kind(F.col("line"))).withColumn("_t", F.regexp_extract_all(F.trim("line"), F.lit(_FIELD), 1))
     parsed = kinds.withColumns(
         {
             "_mode": t(1).rlike("^(-|[-dlbcps][-rwxstST]{9})$"),
@@ -96,44 +100,60 @@ def read_entries(lines: DataFrame) -> DataFrame:
     field; escapes and safe encoding are undone. The indent of the first
     indented line is the width of a level. Lines that are no entries give none
     (``rejected`` has those a strict reader refuses, ``range_data`` the id
-    lists); unknown values are NULL. ``lines`` is read several times, so settle
-    it where it isn't a table. Sections are numbered from 0 by a running
-    count, in stretches, so that a long manifest is no single task's.
+    lists); unknown values are NULL. ``lines`` is read once: its fields are
+    kept as a table, and ids and targets are decoded only where they are asked
+    for. Sections are numbered from 0 and paths built by one running window, in
+    stretches, so that a long manifest is no single task's.
     """
-    kinds = _tokens(lines)
-    boundary = F.when(F.col("_k") == "id", F.trim("line"))
-    numbered = last_seen(kinds, TREE, "line_no", {"base_id": boundary}, upto=True, counted={"section_no": boundary}).withColumn("section_no", F.col("section_no").cast("int"))
-    indent = F.length("line") - F.length(F.ltrim("line"))
-    numbered = numbered.where("_k = 'entry' AND _why IS NULL").withColumn("_i", indent)
-    steps = numbered.where("_i > 0").groupBy(F.col(TREE).alias("_g")).agg(F.min_by("_i", "line_no").alias("_step"))
-    split = numbered.join(broadcast_up_to(steps), F.col(TREE) == F.col("_g"), "left").withColumn("depth", F.floor(F.col("_i") / F.coalesce("_step", F.lit(1))).cast("int"))
     t = lambda i: F.try_element_at(F.col("_t"), F.lit(i))
-    # Each is a column of its own, since the fields below use it several times.
-    split = split.withColumns({"_op": F.when(F.size("_t") > 5, t(5)), "_target": F.when(F.size("_t") > 6, fields.unsafe_name(_unescaped(t(6))).cast("string")), "_m": F.when(~t(1).isin("-", "-" * 10), t(1))})
-    op, target = F.col("_op"), F.col("_target")
-    split = split.withColumn("_flow", op.isin("<-", "<>") | ((op == "->") & fields.is_flow_target(target) & (F.substring(t(1), 1, 1) != "l")))
-    sequence, flow, mode = F.col("_seq"), F.col("_flow"), F.col("_m")
-    parsed = split.select(
+    # Written before any filter: one that reaches below the fields would parse a line anew for each of its terms.
+    kept = settle(
+        _tokens(lines).select(
+            TREE, "line_no",
+            F.when(F.col("_k") == "id", False).when((F.col("_k") == "entry") & F.col("_why").isNull(), True).alias("_is"),
+            F.when(F.col("_k") == "id", F.trim("line")).alias("_base"),
+            (F.length("line") - F.length(F.ltrim("line"))).alias("_i"),
+            F.when(F.col("_seq"), t(4)).otherwise(F.col("_name")).alias("name"),
+            F.when(~t(1).isin("-", "-" * 10), t(1)).alias("_m"),
+            F.substring(t(1), 1, 1).alias("_type"),
+            F.col("_ts").alias("ts"),
+            F.col("_size").alias("size"),
+            F.when(F.size("_t") > 5, t(5)).alias("_op"),
+            F.when(F.size("_t") > 6, t(6)).alias("_to"),
+            F.when(t(-1) != "-", t(-1)).alias("_id"),
+            F.col("_seq").alias("is_sequence"),
+        )
+    ).where("_is IS NOT NULL")
+    steps = kept.where("_is AND _i > 0").groupBy(F.col(TREE).alias("_g")).agg(F.min_by("_i", "line_no").alias("_step"))
+    split = kept.join(broadcast_up_to(steps), F.col(TREE) == F.col("_g"), "left").drop("_g")
+    split = split.withColumn("depth", F.when(F.col("_is"), F.floor(F.col("_i") / F.coalesce("_step", F.lit(1))).cast("int")))
+    located = paths_in_order(split, "line_no", boundary="_base").where("_is").withColumn("_target", fields.unsafe_name(_unescaped(F.col("_to"))).cast("string"))
+    op, target, mode = F.col("_op"), F.col("_target"), F.col("_m")
+    located = located.withColumn("_flow", op.isin("<-", "<>") | ((op == "->") & fields.is_flow_target(target) & (F.col("_type") != "l")))
+    flow = F.col("_flow")
+    return located.select(
         TREE,
         F.col("line_no").alias("seq"),
-        "section_no",
-        "base_id",
+        F.col("section_no").cast("int").alias("section_no"),
+        F.col("base_id"),
         "depth",
-        F.when(sequence, t(4)).otherwise(F.col("_name")).alias("name"),
+        "name",
         F.substring(mode, 1, 1).alias("file_type"),
         permission_bits(mode).alias("perm"),
-        F.col("_ts").alias("ts"),
-        F.col("_size").alias("size"),
+        "ts",
+        "size",
         F.when(~flow, target).alias("link_target"),
-        ids.parse_id(F.when(t(-1) != "-", t(-1))).alias("content_id"),
+        ids.parse_id(F.col("_id")).alias("content_id"),
         F.when(op.rlike("^->[0-9]+$"), F.substring(op, 3, 9).try_cast("int")).when((op == "->") & target.isNull(), F.lit(-1)).alias("hard_link"),
         F.when(flow, op).alias("flow_op"),
         F.when(flow, target).alias("flow_target"),
-        sequence.alias("is_sequence"),
+        "is_sequence",
+        F.when(F.col("is_sequence"), F.col("name")).alias("pattern"),
+        "is_orphan",
+        "parent_path",
+        "path",
+        F.col("name").endswith("/").alias("is_dir"),
     )
-    parsed = settle(parsed.withColumn("pattern", F.when(F.col("is_sequence"), F.col("name"))))
-    located = build_paths(parsed.withColumn("_m", F.col(TREE)).withColumn(TREE, F.concat_ws("\x00", TREE, "section_no")), "seq")
-    return located.withColumn(TREE, F.col("_m")).drop("_m").withColumn("is_dir", F.col("name").endswith("/"))
 
 
 def rejected(lines: DataFrame) -> DataFrame:

@@ -79,3 +79,21 @@ def test_last_seen_across_stretches(spark, monkeypatch):
         for r in last_seen(df, "g", "at", {"last": F.col("v")}, upto, {"n": F.col("v")}).collect():
             before = [v for g, i, v in rows if g == r["g"] and v is not None and (i < r["at"] or (upto and i == r["at"]))]
             assert (r["last"], r["n"]) == (before[-1] if before else None, len(before))
+
+
+def test_reading_text_parses_each_line_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    base = ids.encode_id(sha("x"))
+    rows = ["-rw-r--r-- 2024-01-01T00:00:00Z 1 a -", "drwxr-xr-x - - d/ -", f"  -rw-r--r-- - 1 b\\ c {base}", base, "-rw-r--r-- - 2 a -", "drwxr-xr-x - - e/ -", "  lrwxrwxrwx - - l -> d/b\\ c -"]
+    lines = spark.createDataFrame([("m", i, line) for i, line in enumerate(rows)], "manifest_id string, line_no bigint, line string")
+    back = text.read_entries(lines.mapInArrow(counted, lines.schema)).orderBy("seq").collect()
+    assert [(r["section_no"], r["base_id"], r["path"]) for r in back] == [(0, None, "a"), (0, None, "d/"), (0, None, "d/b c"), (1, base, "a"), (1, base, "e/"), (1, base, "e/l")]
+    assert bytes(back[2]["content_id"]) == sha("x") and back[4]["content_id"] is None
+    assert back[5]["link_target"] == "d/b c" and back[0]["ts"].year == 2024
+    assert seen.value == len(rows)
