@@ -166,8 +166,11 @@ def base_name(path: Column) -> Column:
 
 def valid_name(name: Column) -> Column:
     """False for NULL, empty, ``/``, ``.``, ``..`` and names with an inner slash, backslash or NUL."""
+    # Most names have a slash at their end at most, no backslash and no dot in front; the others are looked at closely.
+    slash = F.instr(name, "/")
+    usual = (name != "") & (name != "/") & ~name.startswith(".") & ((slash == 0) | (slash == F.length(name))) & ~name.contains("\\") & ~name.contains("\x00")
     core = F.regexp_replace(F.coalesce(name, F.lit("")), "/$", "")
-    return (core != "") & ~core.isin(".", "..") & ~core.rlike(r"[/\\\x00]")
+    return F.coalesce(usual, F.lit(False)) | (core != "") & ~core.isin(".", "..") & ~core.rlike(r"[/\\\x00]")
 
 
 def is_flow_target(target: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boughline.operators.common import broadcast_up_to, settle
+from boughline.operators.common import broadcast_up_to, discard, settle
 
 # Marks within keys, below every character of a text (those that aren't are written as two).
 _END, _TEXT, _NUMBER, _ESCAPE = "\x01", "\x02", "\x03", "\x05"
@@ -77,19 +77,24 @@ def canonical_sort(entries: DataFrame, tree: str = "manifest_id") -> DataFrame:
     return last.select(tree, "path", "_e.*").orderBy(tree, path_key(F.col("path")), "path")
 
 
-def ranked(df: DataFrame, group: str, key: list[Column], out: str) -> DataFrame:
+def ranked(df: DataFrame, group: str, key: list[Column], out: str, costly: bool = False) -> DataFrame:
     """Adds ``out``, the 1-based place of each row within ``group`` by ``key``.
 
     Rows are range-partitioned by group and key and sorted within the ranges
     (one shuffle); a row's place follows from its place in its range and from
     the rows that the ranges before hold of the group, so a group of any size
     is ranked by many tasks. Pass narrow rows: they are written once.
+    ``costly`` keys (and rows) are written before, since ranges are found by a
+    pass of its own over them.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_key{i}" for i in range(len(key))]
     keyed = df.select("*", *[k.alias(c) for c, k in zip(names, key, strict=True)])
+    if costly:
+        keyed = settle(keyed)
     cut = keyed.repartitionByRange(n, group, *names).sortWithinPartitions(group, *names).drop(*names)
     cut = settle(cut.withColumn("_at", F.monotonically_increasing_id()))  # the range in the upper bits, the place in it below
+    discard(keyed)
     of_range = F.shiftright("_at", 33)
     held = cut.groupBy(F.col(group).alias("_rg"), of_range.alias("_r")).agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_rg").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,7 +34,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def line_kind(line: Column) -> Column:
     """``blank``, ``id`` (a boundary between patches), ``ids`` (members of a range), ``bad`` (directives, carriage returns) or ``entry``."""
     text = F.trim(line)
-    return F.when(text == "", "blank").when(ids.is_id(text), "id").when(ids.is_id_list(text), "ids").when(text.startswith("@") | line.contains("\r"), "bad").otherwise("entry")
+    coded = text.startswith("c4")
+    return F.when(text == "", "blank").when(coded & ids.is_id(text), "id").when(coded & ids.is_id_list(text), "ids").when(text.startswith("@") | line.contains("\r"), "bad").otherwise("entry")
 
 
 def sniff(lines: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def sniff(lines: DataFrame) -> DataFrame:
 
 
 def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r'\\([ "\[\]])', "$1")
+    return F.when(text.contains("\\"), F.regexp_replace(text, r'\\([ "\[\]])', "$1")).otherwise(text)
 
 
 #: Why a strict reader refuses a line, in the order in which reasons are looked for.
@@ -70,14 +71,14 @@ def _tokens(lines: DataFrame) -> DataFrame:
     """Adds ``_k`` (kind), ``_t`` (fields of an entry), parsed fields, and ``_why`` (reason of a line that is no entry, id or id list)."""
     t = lambda i: F.try_element_at(F.col("_t"), F.lit(i))
     value = lambda c: F.when(c != "-", c)
-    kinds = lines.withColumn("_k", line_kind(F.col("line"))).withColumn("_t", F.regexp_extract_all(F.trim("line"), F.lit(_FIELD), 1))
+    kinds = lines.withColumn("_k", line_kind(F.col("line"))).withColumn("_t", F.regexp_extract_all(F.trim("line"), F.lit(_FIELD), 1)).withColumn("_u", _unescaped(t(4)))
     parsed = kinds.withColumns(
         {
             "_mode": t(1).rlike("^(-|[-dlbcps][-rwxstST]{9})$"),
             "_ts": fields.parse_moment(value(t(2))),
             "_size": F.when(t(3).rlike("^[0-9][0-9,]*$"), F.regexp_replace(t(3), ",", "").try_cast("bigint")),
             "_seq": is_sequence_text(t(4)),
-            "_name": F.coalesce(fields.unsafe_name(_unescaped(t(4))).cast("string"), t(4)),
+            "_name": F.coalesce(fields.unsafe_name(F.col("_u")).cast("string"), t(4)),
         }
     )
     why = (
@@ -193,10 +194,10 @@ def manifest_text(entries: DataFrame, indent: int = 2, line: Column | None = Non
     text = F.concat(F.repeat(F.lit(" " * indent), F.col("depth")), fields.canonical_line() if line is None else line)
     key = [path_key(F.col("path")), F.col("path")]
     if members is None:
-        return ranked(entries, TREE, key, "line_no").select(TREE, "line_no", text.alias("line"))
+        return ranked(entries, TREE, key, "line_no", costly=True).select(TREE, "line_no", text.alias("line"))
     rows = entries.select(TREE, F.lit(0).alias("_k"), key[0].alias("_p"), key[1].alias("_q"), F.lit(None).cast("binary").alias("_c"), text.alias("line"))
     lists = members.select(TREE, F.lit(1).alias("_k"), F.lit("").alias("_p"), F.lit("").alias("_q"), F.col("content_id").alias("_c"), F.col("members").alias("line"))
-    return ranked(rows.unionByName(lists), TREE, [F.col(c) for c in ("_k", "_p", "_q", "_c")], "line_no").select(TREE, "line_no", "line")
+    return ranked(rows.unionByName(lists), TREE, [F.col(c) for c in ("_k", "_p", "_q", "_c")], "line_no", costly=True).select(TREE, "line_no", "line")
 
 
 def pretty_text(entries: DataFrame, identity: Column | None = None, name: Column | None = None) -> DataFrame:
@@ -243,8 +244,8 @@ def identify(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
     A file's last line is taken to end in a newline, as ``read_lines`` can't
     tell whether it does.
     """
-    kinds = sniff(lines)
-    manifests = lines.join(kinds.where("is_manifest"), TREE, "left_semi")
-    others = lines.join(kinds.where("is_manifest"), TREE, "left_anti")
+    kinds = broadcast_up_to(settle(sniff(lines).where("is_manifest").select(TREE)))
+    manifests = lines.join(kinds, TREE, "left_semi")
+    others = lines.join(kinds, TREE, "left_anti")
     canonical = manifest_text(read_entries(manifests))
     return text_digests(canonical.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line").unionByName(others.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line")), algorithm)
