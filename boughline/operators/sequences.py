@@ -27,7 +27,7 @@ def is_sequence(name: Column) -> Column:
 
 def is_sequence_text(escaped: Column) -> Column:
     """``is_sequence`` of a name in manifest text, where escaped brackets are plain ones."""
-    return escaped.rlike(r"^(?:[^\\\[]|\\.)*\[[0-9]+(-[0-9]+(:[0-9]+)?)?(,[0-9]+(-[0-9]+(:[0-9]+)?)?)*\]")
+    return escaped.contains("[") & escaped.rlike(r"^(?:[^\\\[]|\\.)*\[[0-9]+(-[0-9]+(:[0-9]+)?)?(,[0-9]+(-[0-9]+(:[0-9]+)?)?)*\]")
 
 
 def parse_sequence(name: Column) -> Column:
@@ -139,7 +139,7 @@ def expand_tree(entries: DataFrame, range_data: DataFrame) -> DataFrame:
 
     Members have the permissions and moment of their sequence; their sizes are unknown.
     """
-    marked = entries.where("is_sequence").select(TREE, "path", "parent_path", "name", "file_type", "perm", "ts", "content_id", "seq")
+    marked = settle(entries.where("is_sequence").select(TREE, "path", "parent_path", "name", "file_type", "perm", "ts", "content_id", "seq"))
     each = expand_sequences(marked).alias("x").join(marked.alias("s"), [TREE, "path"])
     known = range_data.select(F.col(TREE).alias("_t"), F.col("content_id").alias("_c"), "members").distinct()
     found = each.join(known, (F.col(TREE) == F.col("_t")) & (F.col("content_id") == F.col("_c")), "left")

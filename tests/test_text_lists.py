@@ -97,3 +97,37 @@ def test_reading_text_parses_each_line_once(spark):
     assert bytes(back[2]["content_id"]) == sha("x") and back[4]["content_id"] is None
     assert back[5]["link_target"] == "d/b c" and back[0]["ts"].year == 2024
     assert seen.value == len(rows)
+
+
+def _counted(df):
+    """``df`` and an accumulator of the rows of it that are read."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_writing_text_reads_entries_once(spark):
+    tree, seen = _counted(build(spark, [{"path": p} for p in ("b10", "b9", "a/", "a/x 1")]))
+    assert [r["line"].strip() for r in text.manifest_text(tree).orderBy("line_no").collect()] == ["- - - b9 -", "- - - b10 -", "d--------- - - a/ -", "- - - a/x\\ 1 -".replace("a/", "")]
+    assert seen.value == 4
+
+
+def test_expanding_reads_sequences_twice_at_most(spark):
+    rows = [{"path": "s[1-3]", "is_sequence": True}, {"path": "t"}]
+    tree, seen = _counted(build(spark, rows))
+    none = spark.createDataFrame([], "manifest_id string, content_id binary, members string")
+    assert {r["path"] for r in sequences.expand_tree(tree, none).collect()} == {"s1", "s2", "s3", "t"}
+    assert seen.value <= 2 * len(rows)
+
+
+def test_identity_reads_lines_three_times_at_most(spark):
+    rows = [("m", 0, "- - - b -"), ("m", 1, "- - - a -"), ("t", 0, "some words"), ("t", 1, "more"), ("blank", 0, "")]
+    lines, seen = _counted(spark.createDataFrame(rows, "manifest_id string, line_no bigint, line string"))
+    got = {r["manifest_id"]: bytes(r["digest"]) for r in text.identify(lines).collect()}
+    assert got == {"m": sha("- - - a -\n- - - b -\n"), "t": sha("some words\nmore\n"), "blank": sha("\n")}
+    assert seen.value <= 3 * len(rows)
