@@ -13,9 +13,14 @@ from boughline.operators.navigate import paths_in_order
 from boughline.operators.rollup import text_digests
 from boughline.operators.sequences import is_sequence_text
 from boughline.schema import TREE
+from boughline.sources.canonical import HASHED, hash_files
 from boughline.sources.manifest_lines import permission_bits
 
 
+#: Columns by which the lines of ``keyed_text`` stand.
+TEXT_ORDER = ("_p", "_q")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``manifest_id`` (the file), ``line_no`` from 1 and ``line`` of text files, each file one manifest.
 
@@ -184,6 +189,10 @@ def range_data(lines: DataFrame) -> DataFrame:
     return lines.where(ids.is_id_list(text)).select(TREE, ids.content_id(text).alias("content_id"), text.alias("members")).distinct()
 
 
+def _indented(indent: int, line: Column | None) -> Column:
+    return F.concat(F.repeat(F.lit(" " * indent), F.col("depth")), fields.canonical_line() if line is None else line)
+
+
 def manifest_text(entries: DataFrame, indent: int = 2, line: Column | None = None, members: DataFrame | None = None) -> DataFrame:
     """``manifest_id, line_no, line``: entries as canonical text, in canonical order, indented by depth.
 
@@ -191,7 +200,7 @@ def manifest_text(entries: DataFrame, indent: int = 2, line: Column | None = Non
     (as ``range_data`` gives them) are written behind the entries, in the order
     of their ids.
     """
-    text = F.concat(F.repeat(F.lit(" " * indent), F.col("depth")), fields.canonical_line() if line is None else line)
+    text = _indented(indent, line)
     key = [path_key(F.col("path")), F.col("path")]
     if members is None:
         return ranked(entries, TREE, key, "line_no", costly=True).select(TREE, "line_no", text.alias("line"))
@@ -200,6 +209,11 @@ def manifest_text(entries: DataFrame, indent: int = 2, line: Column | None = Non
     return ranked(rows.unionByName(lists), TREE, [F.col(c) for c in ("_k", "_p", "_q", "_c")], "line_no", costly=True).select(TREE, "line_no", "line")
 
 
+def keyed_text(entries: DataFrame, indent: int = 2, line: Column | None = None) -> DataFrame:
+    """``manifest_id, line`` as ``manifest_text`` has them, with the columns ``TEXT_ORDER`` by which lines stand instead of numbers; rows stay where they are."""
+    return entries.select(TREE, *[k.alias(c) for c, k in zip(TEXT_ORDER, (path_key(F.col("path")), F.col("path")), strict=True)], _indented(indent, line).alias("line"))
+
+
 def pretty_text(entries: DataFrame, identity: Column | None = None, name: Column | None = None) -> DataFrame:
     """``manifest_id, line_no, line`` for readers: sizes with commas in a column of one width, ids aligned.
 
@@ -238,14 +252,33 @@ def patch_text(delta: DataFrame, base_ids: DataFrame) -> DataFrame:
     return head.unionByName(body.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line"))
 
 
-def identify(lines: DataFrame, algorithm: str = "sha512") -> DataFrame:
+def identify(lines: DataFrame, algorithm: str = "sha512", order: tuple[str, ...] = ("line_no",), together: bool = False) -> DataFrame:
     """``manifest_id, digest`` of files read as lines: a manifest is hashed in its canonical text, another file as it stands.
 
+    Each file's lines are streamed through a hasher in their order, which finds
+    out whether a manifest is its own canonical text; only those that aren't
+    are read and written anew. ``order`` has the columns by which lines stand;
+    ``together`` tells that a file's lines are in one partition already.
     A file's last line is taken to end in a newline, as ``read_lines`` can't
     tell whether it does.
     """
+    placed = lines if together else lines.select(TREE, *order, "line").repartition(TREE)
+    ordered = placed.sortWithinPartitions(TREE, *order).select(TREE, F.concat("line", F.lit("\n")).alias("line"))
+    hashed = settle(ordered.mapInArrow(hash_files(algorithm), HASHED))
+    others = hashed.where("digest IS NULL")
+    if others.isEmpty():
+        return hashed
+    names = broadcast_up_to(others.select(F.col(TREE).alias("_o")))
+    rest = lines.join(names, F.col(TREE).eqNullSafe(F.col("_o")), "left_semi")
+    if tuple(order) != ("line_no",):
+        rest = ranked(rest, TREE, [F.col(c) for c in order], "line_no")
+    return hashed.where("digest IS NOT NULL").unionByName(_identify_anew(settle(rest.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line")), algorithm))
+
+
+def _identify_anew(lines: DataFrame, algorithm: str) -> DataFrame:
+    """``identify`` of a table of lines by reading and writing the manifests among them."""
     kinds = broadcast_up_to(settle(sniff(lines).where("is_manifest").select(TREE)))
     manifests = lines.join(kinds, TREE, "left_semi")
     others = lines.join(kinds, TREE, "left_anti")
     canonical = manifest_text(read_entries(manifests))
-    return text_digests(canonical.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line").unionByName(others.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line")), algorithm)
+    return text_digests(canonical.select(TREE, F.col("line_no").cast("bigint").alias("line_no"), "line").unionByName(others.select(TREE, "line_no", "line")), algorithm)
